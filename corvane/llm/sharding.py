@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .shared import settled
 
-BITS, STEP = 62, 10
+BITS, STEP = 60, 12
 SMALL = 0.02
 ROWS_A_BUCKET = 4000
 
@@ -25,35 +25,36 @@ def _key(column: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(column), 64 - BITS)
 
 
-def splitters(keyed: DataFrame, wanted: list[float]) -> list[tuple[int, int]]:
-    """For each wanted sum of bytes: the key whose rows hold it, and the bytes below that key.
+def splitters(keyed: DataFrame, wanted: list[tuple[int, float]]) -> list[tuple[int, int]]:
+    """For each wanted (group, sum of bytes): the key whose rows hold it, and the bytes below that key in its group.
 
-    keyed: key (0 to 2^BITS-1), bytes. Each round counts at most len(wanted) * 2^STEP intervals.
+    keyed: grp, key (0 to 2^BITS-1), bytes. Each round counts the exact bytes of at most 2^STEP intervals
+    for each wanted boundary; all boundaries share a round.
     """
     at = [(0, 0)] * len(wanted)
-    for shift in range(BITS - STEP, -STEP, -STEP):
-        shift = max(shift, 0)
-        active = sorted({k for k, _ in at})
-        wide = BITS if at == [(0, 0)] * len(at) and shift == BITS - STEP else shift + STEP
+    shift = BITS
+    while shift and wanted:
+        wide, shift = shift, max(0, shift - STEP)
         here = keyed.withColumn("i", F.shiftright("key", shift))
         if wide < BITS:
-            here = here.filter(F.shiftright("key", wide).isin([k >> wide for k in active]))
-        counted = sorted((r.i, r.b) for r in here.groupBy("i").agg(F.sum("bytes").alias("b")).collect())
-        for n, (goal, (key, below)) in enumerate(zip(wanted, at)):
-            own = [(i, b) for i, b in counted if wide >= BITS or i << shift >> wide == key >> wide]
+            spans = keyed.sparkSession.createDataFrame(sorted({(g, k >> wide) for (g, _), (k, _) in zip(wanted, at)}), "grp long, span long")
+            here = here.withColumn("span", F.shiftright("key", wide)).join(F.broadcast(spans), ["grp", "span"], "left_semi")
+        counted: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for r in here.groupBy("grp", "i").agg(F.sum("bytes").alias("b")).collect():
+            counted.setdefault((r.grp, (r.i << shift) >> wide), []).append((r.i, r.b))
+        for n, ((grp, goal), (key, below)) in enumerate(zip(wanted, at)):
+            own = sorted(counted[grp, key >> wide])
             for i, b in own:
                 if below + b > goal or (i, b) == own[-1]:
                     at[n] = (i << shift, below)
                     break
                 below += b
-        if not shift:
-            break
     return at
 
 
 def _rank(key: Column, cuts: list[int]) -> Column:
-    """How many of the cuts are at most the key."""
-    return sum((F.when(key >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
+    """How many of the cuts are at most the key; there are fewer cuts than shards."""
+    return F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= key)) if cuts else F.lit(0)
 
 
 def shards(docs: DataFrame, n: int = 40) -> DataFrame:
@@ -67,18 +68,23 @@ def shards(docs: DataFrame, n: int = 40) -> DataFrame:
     groups = settled(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
     total = int(groups.agg(F.sum("bytes")).first()[0] or 0)
     wanted = [total * k / n for k in range(1, n)]
-    found = splitters(groups, wanted) if total else []
-    sizes = {r.key: r.bytes for r in groups.filter(F.col("key").isin(sorted({k for k, _ in found}))).collect()} if found else {}
+    found = splitters(groups.withColumn("grp", F.lit(0).cast("long")), [(0, w) for w in wanted]) if total else []
+    sizes = {r.key: (r.bytes, r.n) for r in groups.filter(F.col("key").isin(sorted({k for k, _ in found}))).collect()} if found else {}
     whole, cut = [], {}
     for goal, (key, below) in zip(wanted, found):
-        if sizes[key] <= SMALL * total / n:
-            whole.append(key if goal - below < sizes[key] / 2 else key + 1)
+        size, copies = sizes[key]
+        if size <= SMALL * total / n or copies == 1:
+            whole.append(key if goal - below < size / 2 else key + 1)
         else:
             cut.setdefault(key, []).append(goal - below)
-    second = {key: [k for k, _ in splitters(rows.filter(F.col("key") == key).select(F.col("second").alias("key"), F.col("size").alias("bytes")), goals)] for key, goals in cut.items()}
-    shard = _rank(F.col("key"), whole)
+    goals = [(key, goal) for key, own in cut.items() for goal in own]
+    inner = rows.filter(F.col("key").isin(list(cut))).select(F.col("key").alias("grp"), F.col("second").alias("key"), F.col("size").alias("bytes"))
+    second: dict[int, list[int]] = {}
+    for (key, _), (k, _) in zip(goals, splitters(inner, goals)):
+        second.setdefault(key, []).append(k)
+    shard = _rank(F.col("key"), sorted([*whole, *[key + 1 for key, cuts in second.items() for _ in cuts]]))
     for key, cuts in second.items():
-        shard = shard + F.when(F.col("key") == key, _rank(F.col("second"), cuts)).when(F.col("key") > key, len(cuts)).otherwise(0)
+        shard = shard + F.when(F.col("key") == key, _rank(F.col("second"), cuts)).otherwise(0)
     # slots follow (key range, salt); a key range has some ROWS_A_BUCKET rows and a large group is salted by doc_id
     count = int(groups.agg(F.sum("n")).first()[0] or 0)
     parts = max(1, count // (n * ROWS_A_BUCKET) + 1)
