@@ -2,5 +2,216 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from corvane.functions import pii
+from corvane.operators import activity, linkage
+from corvane.sources.records import RECORDS_SQL, SIGNALS_SQL, records, signals
+
+KEY, REFERENCE = "test_key_for_proof", "2024-02-01"
 QUERIES: dict = {}
 ORACLE: dict = {}
+_R = f"WITH records AS ({RECORDS_SQL})"
+_SIM = """CASE WHEN x.bn IS NULL OR y.bn IS NULL OR x.bn = '' OR y.bn = '' THEN 0.0 WHEN x.bn = y.bn THEN 1.0 ELSE least(1.0,
+  len(list_intersect(x.w, y.w)) / len(list_distinct(x.w || y.w)) + least(0.15, len(list_filter(range(1, least(length(x.s), length(y.s)) + 1), lambda i: substr(x.s, i, 1) = substr(y.s, i, 1))) / greatest(length(x.s), length(y.s)))) END"""
+_EV = f"""{_R}, named AS (SELECT *, upper(business_name) AS bn, replace(replace(upper(business_name), 'PVT', 'PRIVATE'), 'LTD', 'LIMITED') AS s,
+    list_distinct(string_split(replace(replace(upper(business_name), 'PVT', 'PRIVATE'), 'LTD', 'LIMITED'), ' ')) AS w FROM records),
+  keys AS (SELECT record_id, 'pan' AS strategy, pan AS key FROM records WHERE pan IS NOT NULL UNION ALL SELECT record_id, 'pin_prefix', pincode || '|' || upper(substr(business_name, 1, 3)) FROM records),
+  sized AS (SELECT *, count(*) OVER (PARTITION BY strategy, key) AS n FROM keys),
+  pairs AS (SELECT a.record_id AS a, b.record_id AS b, string_agg(DISTINCT a.strategy, ',' ORDER BY a.strategy) AS strategies FROM sized a JOIN sized b ON a.strategy = b.strategy AND a.key = b.key AND a.record_id < b.record_id WHERE a.n <= 1000 GROUP BY 1, 2),
+  sim AS (SELECT p.*, x.pan AS pan_a, y.pan AS pan_b, upper(x.legal_status) AS la, upper(y.legal_status) AS lb, x.legal_status AS l1, y.legal_status AS l2, x.district AS da, y.district AS db, x.pincode AS pa, y.pincode AS pb,
+    x.entity_key AS ea, y.entity_key AS eb, {_SIM} AS name_sim FROM pairs p JOIN named x ON x.record_id = p.a JOIN named y ON y.record_id = p.b),
+  conf AS (SELECT *, greatest(0.0, least(1.0, CASE WHEN pan_a = pan_b THEN 0.55 WHEN pan_a <> pan_b THEN -0.40 ELSE 0.0 END + 0.30 * name_sim + CASE WHEN da = db THEN 0.05 ELSE 0 END + CASE WHEN pa = pb THEN 0.05 ELSE 0 END
+    + CASE WHEN l1 = l2 THEN 0.05 ELSE -0.10 END)) AS confidence, coalesce(pan_a <> pan_b, false) AS conflict_pan,
+    (contains(la, 'PROPRIETORSHIP') AND (contains(lb, 'PRIVATE LIMITED') OR contains(lb, 'PUBLIC LIMITED'))) OR (contains(lb, 'PROPRIETORSHIP') AND (contains(la, 'PRIVATE LIMITED') OR contains(la, 'PUBLIC LIMITED')))
+    OR (contains(la, 'PARTNERSHIP') AND contains(lb, 'PRIVATE LIMITED')) OR (contains(lb, 'PARTNERSHIP') AND contains(la, 'PRIVATE LIMITED'))
+    OR (contains(la, 'LLP') AND contains(lb, 'PRIVATE LIMITED')) OR (contains(lb, 'LLP') AND contains(la, 'PRIVATE LIMITED')) AS conflict_legal,
+    da <> db AND substr(pa, 1, 3) <> substr(pb, 1, 3) AS far_apart FROM sim),
+  ev AS (SELECT *, NOT conflict_pan AND NOT conflict_legal AND confidence >= 0.65 AS safe, CASE WHEN confidence >= 0.92 AND NOT conflict_pan AND NOT conflict_legal THEN 'auto_link' WHEN confidence >= 0.65 THEN 'review' ELSE 'reject' END AS decision FROM conf)"""
+_CC = f"""{_EV.replace("WITH records", "WITH RECURSIVE records")}, edge AS (SELECT a AS x, b AS y FROM ev WHERE decision = 'auto_link' UNION SELECT b, a FROM ev WHERE decision = 'auto_link'),
+  reach(node, other) AS (SELECT x, y FROM edge UNION SELECT reach.node, edge.y FROM reach JOIN edge ON reach.other = edge.x),
+  members AS (SELECT r.*, coalesce(least(r.record_id, m.least_other), r.record_id) AS root FROM records r LEFT JOIN (SELECT node, min(other) AS least_other FROM reach GROUP BY 1) m ON m.node = r.record_id),
+  ub AS (SELECT *, 'UBID-KA-' || upper(substr(sha256(root), 1, 12)) AS ubid FROM members)"""
+_S = f"WITH signals AS ({SIGNALS_SQL})"
+_F = f"""{_S}, s AS (SELECT *, greatest(0, date_diff('day', CAST(signal_date AS DATE), DATE '{REFERENCE}')) AS since FROM signals),
+  v AS (SELECT entity_key, value, row_number() OVER (PARTITION BY entity_key ORDER BY signal_date, value) AS i FROM s WHERE signal_type = 'consumption' AND value IS NOT NULL),
+  sl AS (SELECT entity_key, regr_slope(value, i) AS slope, max_by(value, i) AS last_value, count(*) AS n_values FROM v GROUP BY 1),
+  g AS (SELECT entity_key, coalesce(min(since) FILTER (signal_type = 'filing'), -1) AS days_since_filing, count(*) FILTER (signal_type = 'filing' AND signal_date >= CAST(DATE '{REFERENCE}' - 365 AS VARCHAR) || 'T00:00:00+00:00') AS filings_12m,
+    coalesce(min(since) FILTER (signal_type = 'inspection'), -1) AS days_since_inspection, coalesce(max(overdue_days) FILTER (overdue_days > 0), 0) AS max_overdue,
+    count(*) FILTER (signal_type = 'renewal' AND signal_date >= CAST(DATE '{REFERENCE}' - 1095 AS VARCHAR) || 'T00:00:00+00:00') AS renewals_3y, count(*) FILTER (status = 'Active') AS n_active, count(*) FILTER (status = 'Cancelled') AS n_cancelled,
+    count(DISTINCT department) FILTER (since < 365) AS departments_12m, greatest(0, date_diff('day', CAST(max(signal_date) AS DATE), DATE '{REFERENCE}')) AS days_since_any, bool_or(formal_closure AND signal_type = 'closure') AS formally_closed, count(*) AS n_signals FROM s GROUP BY 1),
+  f AS (SELECT g.*, CASE WHEN n_values >= 2 THEN slope ELSE -1 END AS slope, CASE WHEN n_values >= 2 THEN last_value ELSE -1 END AS last_value FROM g LEFT JOIN sl USING (entity_key)),
+  c AS (SELECT *, CASE WHEN formally_closed THEN 'explicit_closure' WHEN n_active = 0 AND n_cancelled > 0 THEN 'all_cancelled' WHEN departments_12m >= 3 AND days_since_any < 180 THEN 'multi_department' WHEN days_since_any >= 540 AND n_active > 0 THEN 'dormant' ELSE 'none' END AS rule,
+    CASE WHEN formally_closed OR (n_active = 0 AND n_cancelled > 0) THEN 'CLOSED' WHEN departments_12m >= 3 AND days_since_any < 180 THEN 'ACTIVE' WHEN days_since_any >= 540 AND n_active > 0 THEN 'DORMANT' ELSE 'UNCERTAIN' END AS status FROM f)"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _ev(spark, d):
+    return linkage.evidence(records(spark, d))
+
+
+def _members(spark, d):
+    r = records(spark, d)
+    return linkage.clusters(r, linkage.evidence(r).filter("decision = 'auto_link'").select("a", "b"))
+
+
+def _act(spark, d):
+    return activity.classified(activity.features(signals(spark, d), REFERENCE))
+
+
+@query(f"{_EV} SELECT decision, count(*) AS pairs, count(*) FILTER (conflict_pan OR conflict_legal) AS blocked FROM ev GROUP BY 1")
+def flagship_decisions(spark, d):
+    return _ev(spark, d).groupBy("decision").agg(F.count("*").alias("pairs"), F.count_if(F.col("conflict_pan") | F.col("conflict_legal")).alias("blocked"))
+
+
+@query(f"{_R} SELECT * FROM records")
+def src_records(spark, d):
+    return records(spark, d)
+
+
+@query(f"{_S} SELECT * FROM signals")
+def src_signals(spark, d):
+    return signals(spark, d)
+
+
+@query(rf"""{_R} SELECT record_id, coalesce(regexp_matches(upper(trim(gstin)), '^[0-9]{{2}}[A-Z]{{5}}[0-9]{{4}}[A-Z][1-9A-Z]Z[0-9A-Z]$'), false) AS gstin_ok, coalesce(regexp_matches(upper(trim(pan)), '^[A-Z]{{5}}[0-9]{{4}}[A-Z]$'), false) AS pan_ok,
+  CASE WHEN regexp_matches(upper(trim(gstin)), '^[0-9]{{2}}[A-Z]{{5}}[0-9]{{4}}[A-Z][1-9A-Z]Z[0-9A-Z]$') THEN substr(gstin, 3, 10) END AS gstin_pan FROM records""")
+def val_identifiers(spark, d):
+    return records(spark, d).select("record_id", pii.valid_gstin("gstin").alias("gstin_ok"), pii.valid_pan("pan").alias("pan_ok"), pii.pan_of_gstin("gstin").alias("gstin_pan"))
+
+
+def _pads():
+    k = KEY.encode().ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in k).hex(), bytes(b ^ 0x5C for b in k).hex()
+
+
+@query(f"{_R} SELECT record_id, sha256(unhex('{_pads()[1]}') || unhex(sha256(unhex('{_pads()[0]}') || encode('PAN:' || pan)))) AS pan_token FROM records")
+def pii_pan_token(spark, d):
+    return records(spark, d).select("record_id", pii.pan_token("pan", KEY).alias("pan_token"))
+
+
+@query(f"{_R} SELECT record_id, left(pan, 4) || '●●●●' || right(pan, 2) AS pan, left(gstin, 5) || '●●●●●●●●' || right(gstin, 2) AS gstin FROM records")
+def pii_masks(spark, d):
+    return records(spark, d).select("record_id", pii.mask_pan("pan").alias("pan"), pii.mask_gstin("gstin").alias("gstin"))
+
+
+@query()
+def pii_tokenized(spark, d):
+    return pii.tokenized(records(spark, d), KEY)
+
+
+@query(f"{_EV} SELECT a, b, strategies FROM pairs")
+def blk_pairs(spark, d):
+    return linkage.candidate_pairs(linkage.block_keys(records(spark, d), ("pan", "pin_prefix")))
+
+
+@query(f"{_R}, k AS (SELECT record_id, substr(gstin, 1, 16) AS key FROM records WHERE gstin IS NOT NULL), s AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM k) SELECT a.record_id AS a, b.record_id AS b, 'gstin' AS strategies FROM s a JOIN s b USING (key) WHERE a.record_id < b.record_id AND a.n <= 1000")
+def blk_gstin(spark, d):
+    return linkage.candidate_pairs(linkage.block_keys(records(spark, d), ("gstin",)))
+
+
+@query()
+def blk_phonetic(spark, d):
+    return linkage.candidate_pairs(linkage.block_keys(records(spark, d), ("phonetic",))).groupBy("strategies").agg(F.count("*").alias("pairs"))
+
+
+@query(f"{_EV} SELECT round(100 * (1 - (SELECT count(*) FROM pairs) / (n * (n - 1) / 2)), 6) AS reduction FROM (SELECT count(*) AS n FROM records)")
+def blk_reduction(spark, d):
+    r = records(spark, d)
+    pairs = linkage.candidate_pairs(linkage.block_keys(r)).agg(F.count("*").alias("p"))
+    return r.agg(F.count("*").alias("n")).join(pairs).select(F.round(100 * (1 - F.col("p") / (F.col("n") * (F.col("n") - 1) / 2)), 6).alias("reduction"))
+
+
+@query(f"{_EV} SELECT a, b, round(name_sim, 6) AS name_sim, round(confidence, 6) AS confidence, conflict_pan, conflict_legal, far_apart, safe, decision FROM ev")
+def evd_rows(spark, d):
+    return _ev(spark, d).select("a", "b", F.round("name_sim", 6).alias("name_sim"), F.round("confidence", 6).alias("confidence"), "conflict_pan", "conflict_legal", "far_apart", "safe", "decision")
+
+
+@query(f"""{_EV}, t AS (SELECT range + 50 AS pct FROM range(49)), e AS (SELECT CAST(floor(round(confidence, 9) * 100) AS INT) AS bin, ea = eb AS truth FROM ev)
+  SELECT CAST(pct AS INT) AS pct, count(*) FILTER (bin >= pct AND truth) AS tp, count(*) FILTER (bin >= pct AND NOT truth) AS fp, count(*) FILTER (bin < pct AND truth) AS fn, count(*) FILTER (bin < pct AND NOT truth) AS tn,
+  CAST(5 * count(*) FILTER (bin >= pct AND NOT truth) + count(*) FILTER (bin < pct AND truth) AS DOUBLE) AS cost FROM t, e GROUP BY 1""")
+def saf_sweep(spark, d):
+    return linkage.threshold_sweep(_ev(spark, d), F.col("entity_key_a") == F.col("entity_key_b"))
+
+
+@query(f"{_CC} SELECT record_id, root, ubid FROM ub")
+def clu_members(spark, d):
+    return _members(spark, d).select("record_id", "root", "ubid")
+
+
+@query(f"{_CC} SELECT ubid, count(*) AS total_records, count(DISTINCT department) AS departments_covered, min_by(business_name, record_id) AS business_name, string_agg(record_id, ',' ORDER BY record_id) AS record_ids, count(DISTINCT pincode) AS pincodes, count(DISTINCT business_name) AS names FROM ub GROUP BY 1")
+def clu_attributes(spark, d):
+    return linkage.cluster_attributes(_members(spark, d))
+
+
+@query(f"{_CC} SELECT ubid, least(100, CASE WHEN count(DISTINCT department) >= 3 THEN 15 ELSE 0 END + CASE WHEN count(DISTINCT pincode) > 1 THEN 20 ELSE 0 END + CASE WHEN count(DISTINCT business_name) > 1 THEN 10 ELSE 0 END) AS risk FROM ub GROUP BY 1")
+def rsk_base(spark, d):
+    c = linkage.cluster_attributes(_members(spark, d))
+    points = sum((F.when(x, n).otherwise(0) for x, n in ((F.col("departments_covered") >= 3, 15), (F.col("pincodes") > 1, 20), (F.col("names") > 1, 10))), F.lit(0))
+    return c.select("ubid", F.least(F.lit(100), points).alias("risk"))
+
+
+@query(f"{_CC} SELECT ubid, count(*) AS records, count(DISTINCT department) AS departments FROM ub GROUP BY 1 HAVING count(DISTINCT department) >= 2 ORDER BY records DESC, ubid LIMIT 20")
+def clu_cross_department(spark, d):
+    m = _members(spark, d).groupBy("ubid").agg(F.count("*").alias("records"), F.countDistinct("department").alias("departments"))
+    return m.filter("departments >= 2").orderBy(F.desc("records"), "ubid").limit(20)
+
+
+@query(f"{_CC} SELECT record_id, department FROM ub u WHERE NOT EXISTS (SELECT 1 FROM ub v WHERE v.ubid = u.ubid AND v.record_id <> u.record_id)")
+def jn_unlinked(spark, d):
+    m = _members(spark, d)
+    linked = m.groupBy("ubid").count().filter("count > 1").select("ubid")
+    return m.join(linked, "ubid", "left_anti").select("record_id", "department")
+
+
+@query(f"""{_EV} SELECT printf('REV-%06d', row_number() OVER (ORDER BY a, b) - 1) AS case_id, a, b, CASE WHEN confidence >= 0.75 AND confidence < 0.85 THEN 'critical' WHEN confidence >= 0.85 AND confidence < 0.92 THEN 'high'
+  WHEN confidence >= 0.70 AND confidence < 0.75 THEN 'normal' ELSE 'low' END AS priority FROM ev WHERE decision = 'review'""")
+def rev_queue(spark, d):
+    return linkage.review_queue(_ev(spark, d)).select("case_id", "a", "b", "priority")
+
+
+@query(f"{_F} SELECT * REPLACE (round(slope, 6) AS slope, CAST(last_value AS DOUBLE) AS last_value) FROM f")
+def act_features(spark, d):
+    return activity.features(signals(spark, d), REFERENCE).withColumn("slope", F.round("slope", 6))
+
+
+@query(f"{_F} SELECT entity_key, rule, status FROM c")
+def act_status(spark, d):
+    return _act(spark, d).select("entity_key", "rule", "status")
+
+
+@query(f"{_F} SELECT status, count(*) AS n FROM c GROUP BY 1")
+def acq_counts(spark, d):
+    return _act(spark, d).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"""{_F}, r AS ({RECORDS_SQL}) SELECT r.district, count(*) FILTER (c.status = 'ACTIVE') AS active, count(*) FILTER (c.status = 'DORMANT') AS dormant, count(*) FILTER (c.status = 'CLOSED') AS closed, count(*) FILTER (c.status = 'UNCERTAIN') AS uncertain
+  FROM r LEFT JOIN c ON c.entity_key = r.entity_key GROUP BY 1""")
+def acq_heatmap(spark, d):
+    r, c = records(spark, d).select("district", "entity_key"), _act(spark, d).select("entity_key", "status")
+    return r.join(c, "entity_key", "left").groupBy("district").agg(*[F.count_if(F.coalesce(F.col("status") == s, F.lit(False))).alias(s.lower()) for s in ("ACTIVE", "DORMANT", "CLOSED", "UNCERTAIN")])
+
+
+@query(f"{_R} SELECT department, count(*) AS records, min(record_id) AS first_id, count(pan) AS with_pan FROM records GROUP BY 1")
+def biq_departments(spark, d):
+    return records(spark, d).groupBy("department").agg(F.count("*").alias("records"), F.min("record_id").alias("first_id"), F.count("pan").alias("with_pan"))
+
+
+@query(f"{_CC} SELECT DISTINCT ubid FROM ub u WHERE EXISTS (SELECT 1 FROM ub v WHERE v.ubid = u.ubid AND upper(v.district) LIKE '%AN%') AND EXISTS (SELECT 1 FROM ub v WHERE v.ubid = u.ubid AND v.department = 'commercial_taxes')")
+def biq_conjunctive(spark, d):
+    m = _members(spark, d).groupBy("ubid").agg(F.max(F.contains(F.upper("district"), F.lit("AN"))).alias("x"), F.max(F.col("department") == "commercial_taxes").alias("y"))
+    return m.filter("x and y").select("ubid")
+
+
+@query(f"{_EV} SELECT count(*) AS pairs, count(*) FILTER (decision <> 'reject') AS links, round(avg(confidence), 6) AS mean_confidence FROM ev")
+def run_metrics(spark, d):
+    return _ev(spark, d).agg(F.count("*").alias("pairs"), F.count_if(F.col("decision") != "reject").alias("links"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
