@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.functions import pii
-from corvane.operators import activity, linkage
+from corvane.functions import pii, text
+from corvane.operators import activity, learning, linkage
 from corvane.sources.records import RECORDS_SQL, SIGNALS_SQL, records, signals
 
 KEY, REFERENCE = "test_key_for_proof", "2024-02-01"
@@ -215,3 +215,99 @@ def biq_conjunctive(spark, d):
 @query(f"{_EV} SELECT count(*) AS pairs, count(*) FILTER (decision <> 'reject') AS links, round(avg(confidence), 6) AS mean_confidence FROM ev")
 def run_metrics(spark, d):
     return _ev(spark, d).agg(F.count("*").alias("pairs"), F.count_if(F.col("decision") != "reject").alias("links"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+
+
+_STOP = "('PVT', 'LTD', 'PRIVATE', 'LIMITED', 'AND', '&', 'THE', '')"
+
+
+@query(f"""{_EV}, j AS (SELECT p.a, p.b, upper(x.business_name) AS n1, upper(y.business_name) AS n2, x.district AS d1, y.district AS d2, x.pincode AS p1, y.pincode AS p2, upper(x.legal_status) AS l1, upper(y.legal_status) AS l2,
+    list_distinct(list_filter(string_split(upper(x.business_name), ' '), lambda w: w NOT IN {_STOP})) AS w1, list_distinct(list_filter(string_split(upper(y.business_name), ' '), lambda w: w NOT IN {_STOP})) AS w2
+    FROM pairs p JOIN records x ON x.record_id = p.a JOIN records y ON y.record_id = p.b)
+  SELECT a, b, round(jaro_winkler_similarity(n1, n2), 6) AS name_jw, round(1 - levenshtein(n1, n2) / greatest(length(n1), length(n2)), 6) AS name_lev,
+  round(len(list_intersect(w1, w2)) / len(list_distinct(w1 || w2)), 6) AS name_tokens, CASE WHEN d1 = d2 THEN 1.0::DOUBLE ELSE 0 END AS district, CASE WHEN p1 = p2 THEN 1.0::DOUBLE ELSE 0 END AS pincode, round(jaro_winkler_similarity(l1, l2), 6) AS legal_jw FROM j""")
+def fea_pairs(spark, d):
+    """Pair features; Jaro-Winkler runs on pairs in Arrow batches, the rest in built-ins."""
+    r = records(spark, d)
+    p = linkage.sided(linkage.candidate_pairs(linkage.block_keys(r)), r, ["business_name", "district", "pincode", "legal_status"])
+    n1, n2 = F.upper("business_name_a"), F.upper("business_name_b")
+    return p.select(
+        "a", "b", F.round(text.jw(n1, n2), 6).alias("name_jw"), F.round(text.levenshtein_sim(n1, n2), 6).alias("name_lev"), F.round(text.token_jaccard(n1, n2), 6).alias("name_tokens"),
+        text.exact(F.col("district_a"), F.col("district_b")).alias("district"), text.exact(F.col("pincode_a"), F.col("pincode_b")).alias("pincode"),
+        F.round(text.jw(F.upper("legal_status_a"), F.upper("legal_status_b")), 6).alias("legal_jw"),
+    )
+
+
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(greatest(0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def str_cosine(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
+    n = e.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("embedding").alias("other"))
+    return e.join(n, e.vec_id == n.a).select("a", "b", F.round(text.cosine(F.col("embedding"), F.col("other")), 5).alias("cosine"))
+
+
+@query(f"{_EV} SELECT a, b, concat_ws('; ', CASE WHEN pan_a = pan_b THEN 'PAN match +0.55' WHEN pan_a <> pan_b THEN 'PAN conflict -0.40' END, CASE WHEN da = db THEN 'District match +0.05' END, CASE WHEN pa = pb THEN 'Pincode match +0.05' END, CASE WHEN l1 = l2 THEN 'Legal status match +0.05' ELSE 'Legal status conflict -0.10' END) AS explanation FROM ev")
+def scr_explanations(spark, d):
+    same = lambda c: F.col(f"{c}_a") == F.col(f"{c}_b")
+    return _ev(spark, d).select("a", "b", F.concat_ws("; ",
+        F.when(same("pan"), "PAN match +0.55").when(~same("pan"), "PAN conflict -0.40"), F.when(same("district"), "District match +0.05"), F.when(same("pincode"), "Pincode match +0.05"),
+        F.when(same("legal_status"), "Legal status match +0.05").otherwise("Legal status conflict -0.10")).alias("explanation"))
+
+
+@query(f"{_EV}, t AS (SELECT unnest([0.80, 0.85, 0.90, 0.92, 0.95]) AS t) SELECT CAST(round(t * 100) AS INT) AS pct, count(*) FILTER (confidence >= t AND safe) AS auto, count(*) FILTER (confidence < t AND confidence >= 0.65) AS review, count(*) FILTER (confidence < 0.65) AS rejected FROM t, ev GROUP BY 1")
+def saf_calibration(spark, d):
+    levels = F.explode(F.array(*[F.lit(x) for x in (0.80, 0.85, 0.90, 0.92, 0.95)]))
+    c = F.col("confidence")
+    return _ev(spark, d).withColumn("t", levels).groupBy(F.round(F.col("t") * 100).cast("int").alias("pct")).agg(
+        F.count_if((c >= F.col("t")) & F.col("safe")).alias("auto"), F.count_if((c < F.col("t")) & (c >= 0.65)).alias("review"), F.count_if(c < 0.65).alias("rejected"))
+
+
+@query(f"{_EV} SELECT e.a, e.b, confidence FROM (SELECT a, b, round(confidence, 6) AS confidence FROM ev WHERE decision = 'review') e ORDER BY abs(confidence - 0.785), a, b LIMIT 10")
+def rev_next(spark, d):
+    q = _ev(spark, d).filter("decision = 'review'").select("a", "b", F.round("confidence", 6).alias("confidence"))
+    return q.orderBy(F.abs(F.col("confidence") - 0.785), "a", "b").limit(10)
+
+
+@query(f"{_CC}, act AS (SELECT entity_key, max(status) AS status FROM (SELECT user_id AS entity_key, event_type AS status FROM events) GROUP BY 1) SELECT u.ubid, coalesce(max(a.status), 'UNKNOWN') AS status FROM ub u LEFT JOIN act a ON a.entity_key = u.entity_key GROUP BY 1")
+def jn_cluster_events(spark, d):
+    act = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("entity_key")).agg(F.max("event_type").alias("status"))
+    return _members(spark, d).join(act, "entity_key", "left").groupBy("ubid").agg(F.coalesce(F.max("status"), F.lit("UNKNOWN")).alias("status"))
+
+
+@query(f"{_R} SELECT district, department, count(*) AS n, grouping(district) + grouping(department) AS level FROM records GROUP BY ROLLUP (district, department)")
+def ext_rollup(spark, d):
+    return records(spark, d).rollup("district", "department").agg(F.count("*").alias("n"), (F.grouping("district") + F.grouping("department")).cast("long").alias("level"))
+
+
+@query("SELECT event_type, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n FROM events GROUP BY 1, 2")
+def ext_hourly(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.groupBy("event_type", F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss").alias("hour")).agg(F.count("*").alias("n"))
+
+
+@query()
+def ext_minhash_names(spark, d):
+    """Pairs of similar names by MinHash LSH."""
+    return learning.minhash_pairs(records(spark, d))
+
+
+@query()
+def clf_boosted(spark, d):
+    return learning.boosted_probabilities(_ev(spark, d))
+
+
+@query(f"{_EV} SELECT a || '___' || b AS pair_id, a AS record_id FROM ev WHERE decision <> 'reject' UNION ALL SELECT a || '___' || b, b FROM ev WHERE decision <> 'reject'")
+def snk_linked_via(spark, d):
+    e = _ev(spark, d).filter("decision <> 'reject'").withColumn("pair_id", F.concat("a", F.lit("___"), "b"))
+    return e.select("pair_id", F.explode(F.array("a", "b")).alias("record_id"))
+
+
+@query(f"{_EV}, l AS (SELECT a, b, confidence FROM ev WHERE decision <> 'reject') SELECT a AS source, b AS other, round(confidence, 6) AS confidence FROM l UNION ALL SELECT b, a, round(confidence, 6) FROM l")
+def jn_evidence_paths(spark, d):
+    e = _ev(spark, d).filter("decision <> 'reject'").withColumn("c", F.round("confidence", 6))
+    return e.select(F.col("a").alias("source"), F.col("b").alias("other"), F.col("c").alias("confidence")).unionByName(e.select(F.col("b").alias("source"), F.col("a").alias("other"), F.col("c").alias("confidence")))
+
+
+@query(f"{_F} SELECT 'DORMANCY' AS kind, CAST(count(*) FILTER (status = 'DORMANT') * 100 / count(*) >= 15 AS BOOLEAN) AS raised, count(*) FILTER (status = 'DORMANT') AS n FROM c UNION ALL SELECT 'UNCERTAIN', count(*) FILTER (status = 'UNCERTAIN') > 0, count(*) FILTER (status = 'UNCERTAIN') FROM c")
+def biq_alerts(spark, d):
+    one = _act(spark, d).agg(F.count("*").alias("all"), F.count_if(F.col("status") == "DORMANT").alias("dormant"), F.count_if(F.col("status") == "UNCERTAIN").alias("uncertain"))
+    kinds = F.array(F.struct(F.lit("DORMANCY").alias("kind"), (F.col("dormant") * 100 / F.col("all") >= 15).alias("raised"), F.col("dormant").alias("n")), F.struct(F.lit("UNCERTAIN").alias("kind"), (F.col("uncertain") > 0).alias("raised"), F.col("uncertain").alias("n")))
+    return one.select(F.explode(kinds).alias("x")).select("x.*")
