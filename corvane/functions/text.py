@@ -36,8 +36,7 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * front * (1 - jaro) if jaro > 0.7 else jaro
 
 
-@F.pandas_udf("double")
-def jw(a: pd.Series, b: pd.Series) -> pd.Series:
+def _jw(a: pd.Series, b: pd.Series) -> pd.Series:
     seen: dict = {}
     out = []
     for pair in zip(a, b):
@@ -47,6 +46,10 @@ def jw(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+def jw(a: Column, b: Column) -> Column:
+    return F.pandas_udf(_jw, "double")(a, b)
+
+
 def levenshtein_sim(a: Column, b: Column) -> Column:
     n = F.greatest(F.length(a), F.length(b))
     return F.when(n > 0, 1 - F.levenshtein(a, b) / n).otherwise(0.0)
