@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import pii, text
-from corvane.operators import activity, learning, linkage
+from corvane.operators import activity, console, learning, linkage
 from corvane.sources.records import RECORDS_SQL, SIGNALS_SQL, records, signals
 
 KEY, REFERENCE = "test_key_for_proof", "2024-02-01"
@@ -311,3 +311,14 @@ def biq_alerts(spark, d):
     one = _act(spark, d).agg(F.count("*").alias("all"), F.count_if(F.col("status") == "DORMANT").alias("dormant"), F.count_if(F.col("status") == "UNCERTAIN").alias("uncertain"))
     kinds = F.array(F.struct(F.lit("DORMANCY").alias("kind"), (F.col("dormant") * 100 / F.col("all") >= 15).alias("raised"), F.col("dormant").alias("n")), F.struct(F.lit("UNCERTAIN").alias("kind"), (F.col("uncertain") > 0).alias("raised"), F.col("uncertain").alias("n")))
     return one.select(F.explode(kinds).alias("x")).select("x.*")
+
+
+@query(f"{_CC} SELECT ubid, CASE WHEN bool_or(contains(lower(ubid), 'ct-000001')) THEN 'UBID' WHEN bool_or(contains(lower(business_name), 'ct-000001')) THEN 'name' ELSE 'record id' END AS reason FROM ub GROUP BY 1 HAVING bool_or(contains(lower(record_id), 'ct-000001'))")
+def biq_search(spark, d):
+    return console.searched(_members(spark, d), "ct-000001")
+
+
+@query(f"""{_CC}, alone AS (SELECT ubid FROM ub GROUP BY 1 HAVING count(*) = 1) SELECT event, count(*) AS n FROM (SELECT 'ingested' AS event, a FROM ev WHERE decision = 'auto_link' UNION ALL SELECT 'ingested', b FROM ev WHERE decision = 'auto_link'
+  UNION ALL SELECT 'auto_linked', a FROM ev WHERE decision = 'auto_link' UNION ALL SELECT 'sent_to_review', a FROM ev WHERE decision = 'review' UNION ALL SELECT 'standalone', ubid FROM alone) x GROUP BY 1""")
+def aud_events(spark, d):
+    return console.audit_events(_ev(spark, d), _members(spark, d)).groupBy("event").agg(F.count("*").alias("n"))
