@@ -13,15 +13,20 @@ from pyspark.sql import functions as F
 
 from .shared import ascii_lower, scratch, settled
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State lies on disk; a partition's store is closed once it has committed, so few are open at a time.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def keyed_state(digests: DataFrame, path: str) -> DataFrame:
     """digest -> (keep_id, group_size), from a stream over the table of digests at ``path``."""
     spark = digests.sparkSession
     out, checkpoint = scratch(spark, "dedup-state"), scratch(spark, "dedup-stream")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         state = (
             spark.readStream.schema(digests.schema).parquet(path).groupBy("digest")
@@ -33,10 +38,8 @@ def keyed_state(digests: DataFrame, path: str) -> DataFrame:
             .start().awaitTermination()
         )
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = "digest string, keep struct<order:bigint,doc_id:bigint,locator:string>, group_size long, batch int"
     try:
         found = spark.read.schema(schema).parquet(f"{out}/*")
