@@ -9,42 +9,63 @@ partition gives nothing.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-CACHE = 400_000
+CACHE = 800_000
 
 
 class Encoder:
     """Ids of whole texts; chunks between ASCII white space are encoded once and remembered, CACHE at most."""
 
     def __init__(self, path: str, end: int = 1):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks themselves are parallel
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.seen = Tokenizer.from_file(path), end, {}
+        self.tokenizer, self.end = Tokenizer.from_file(path), end
+        self.forget()
+
+    def forget(self) -> None:
+        self.code, self.pool, self.length = {None: 0}, np.array([self.end], "<u4"), np.array([1])
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [x.split() if x.isascii() else x.translate(_ASCII_SPACE).split(" ") for x in texts]
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        seen = self.seen
-        new = list({w for words in split for w in words if w not in seen})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            seen[w] = e.ids
-        out = []
+        split = [x.split() if not OTHER_SPACE.search(x) else CHUNK.findall(x) for x in texts]
         for words in split:
-            ids = [i for w in words for i in seen[w]]
-            ids.append(self.end)
-            out.append(np.array(ids, dtype="<u4"))
-        return out
-
-
-_ASCII_SPACE = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
+            words.append(None)  # the end
+        if len(self.code) > CACHE:
+            self.forget()
+        code = self.code
+        if new := [w for w in set(chain.from_iterable(split)) if w not in code]:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            code.update(zip(new, range(len(code), len(code) + len(new))))
+            self.length = np.append(self.length, np.fromiter(map(len, found), np.int64, len(found)))
+            self.pool = np.append(self.pool, np.fromiter(chain.from_iterable(found), "<u4"))
+        start = np.cumsum(self.length) - self.length
+        codes = np.fromiter(map(code.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        n = self.length[codes]
+        to = np.cumsum(n)
+        ids = self.pool[np.repeat(start[codes] - (to - n), n) + np.arange(to[-1])]
+        return np.split(ids, to[np.cumsum([len(w) for w in split])[:-1] - 1])
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker."""
+    return Encoder(path)
+
+
+#: What str.split() takes as white space beyond ``[ \t-\r]``.
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+CHUNK = re.compile(r"[^ \t-\r]+")
 
 
 def fill(items: np.ndarray, tokens: int, segments: int, loss: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -112,7 +133,7 @@ def packer(path: str, tokens: int = 2048, segments: int = 256, loss: int = 2048,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, sequence, encode = TaskContext.get().partitionId() << 40, 0, Encoder(path)
+        base, sequence, encode = TaskContext.get().partitionId() << 40, 0, encoder(path)
 
         def placed(bins, rests):
             nonlocal sequence
