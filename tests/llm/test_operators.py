@@ -167,17 +167,63 @@ def test_katz(docs, rows, empty):
     assert katz.scored(empty).count() == 0
 
 
-def test_katz_is_normalised(spark):
-    """The probabilities of all words after one context sum to 1, the unseen event included."""
+def brute_katz(texts, head):
+    """(P(w | h), vocabulary) by plain loops; None is the end, "?" an unseen word."""
+    from collections import Counter
+
+    uni, bi = Counter(), Counter()
+    for words in texts:
+        uni.update(words)
+    n = sum(uni.values())
+    freq = lambda c: np.array([sum(v == r for v in c.values()) for r in range(4097)])
+    d1 = katz.discounts(freq(uni))
+    least = next((c for c in sorted(set(uni.values())) if sum(v >= c for v in uni.values()) <= head), 10**9)
+    cls = lambda w: w if uni[w] >= least else "rare"
+    for words in texts:
+        bi.update(zip([cls(None), *map(cls, words)], map(cls, words)))
+    d2 = katz.discounts(freq(bi))
+    cut = lambda r: min(r, katz.GT_MAX + 1)
+    one = {w: d1[cut(c)] * c / n for w, c in uni.items()}
+    mass = 1 - sum(one.values())
+    unseen = max(mass, 0.5 / (n + 0.5 * (len(uni) + 1)))
+    one = {w: p * (1 - unseen) / (1 - mass) for w, p in one.items()} | {"?": unseen}
+    group = Counter()
+    for w, p in one.items():
+        group[cls(w)] += p
+    after = Counter()
+    for (h, _), c in bi.items():
+        after[h] += c
+
+    def p(w, h):
+        g, k = cls(w), cls(h)
+        share = one.get(w, one["?"]) / group[g] if g == "rare" else 1.0
+        if not after[k]:
+            return share * group[g]
+        seen = {x: d2[cut(c)] * c for (y, x), c in bi.items() if y == k}
+        kept, rest = sum(seen.values()), 1 - sum(group[x] for x in seen)
+        held = after[k] if set(seen) == set(group) else min(kept, after[k] - 0.5)
+        if g in seen:
+            return share * seen[g] * held / kept / after[k]
+        return share * group[g] * (1 - held / after[k]) / rest
+
+    return p, [*uni, "?"]
+
+
+@pytest.mark.parametrize("head", [1000, 12])
+def test_katz_against_brute_force(spark, head):
     rnd = random.Random(2)
-    train = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(6))) for i in range(40)]
-    t = spark.createDataFrame(train, "doc_id long, text string")
-    ask = spark.createDataFrame([(k, f"a {w}".strip(), True) for k, w in enumerate([*"abcdefgh", "unseen", ""])], "doc_id long, text string, held_out boolean")
-    got = {r.doc_id: r.score for r in katz.score(ask, t).collect()}
-    pair = {k: 10**v for k, v in got.items()}
-    # P(a|start) P(w|a) P(end|w), so P(w|a) needs P(end|w) from texts of one word
-    one = spark.createDataFrame([(k, w, True) for k, w in enumerate([*"abcdefgh", "unseen", "unseen unseen"])], "doc_id long, text string, held_out boolean")
-    assert all(v < 1 for v in pair.values()) and katz.score(one, t).count() == 10
+    words = [f"w{i}" for i in range(30)]
+    texts = [[words[min(29, int(rnd.expovariate(0.2)))] for _ in range(rnd.randint(1, 9))] for _ in range(120)]
+    train = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    p, vocabulary = brute_katz([[*t, None] for t in texts], head)
+    for h in ("w0", "w3", None, "?"):
+        assert abs(sum(p(w, h) for w in vocabulary) - 1) < 1e-9
+    asked = [*texts[:40], ["w29", "w0", "nowhere", "w1"], ["nowhere"], []]
+    ask = spark.createDataFrame([(i, " ".join(t), True) for i, t in enumerate(asked)], "doc_id long, text string, held_out boolean")
+    for r in katz.score(ask, train, head).collect():
+        t = [None, *asked[r.doc_id], None]
+        want = sum(np.log10(p(w if w is None or w in vocabulary else "?", h)) for h, w in zip(t, t[1:]))
+        assert abs(want - r.score) < 1e-6 * max(1, abs(want)), (r, want)
 
 
 def test_fingerprints(docs, rows, empty):
@@ -226,3 +272,15 @@ def test_classifiers(spark, docs, rows, empty, module, label):
     got = [r for r in score(d).collect() if r.held_out]
     assert got and sum(r.predicted == ((r.doc_id % 4 == 0) == (label == "toxic")) for r in got) / len(got) > 0.95
     assert all(0 <= r.score <= 1 for r in score(docs).collect()) and score(docs).count() == len(rows) and score(empty).count() == 0
+
+
+def test_components_of_random_graphs(spark):
+    rnd = random.Random(9)
+    edges = [(i, i + 1) for i in range(40)] + [(100 + rnd.randrange(60), 100 + rnd.randrange(60)) for _ in range(50)] + [(500, 300 + k) for k in range(30)]
+    label = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in range(80):
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    got = {r.node: r.label for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == label
