@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .shared import settled
 from .textblocks import _U, blocks, distinct, long, mix, shingles
 
-BUCKETS, FLUSH, SMALL_TILE = 64, 1_000_000, 16
+BUCKETS, FLUSH, SMALL_TILE, CENTRES, BLOCK_ITEMS = 64, 1_000_000, 16, 4, 1_000_000
 
 
 class Bands:
@@ -118,20 +118,24 @@ def _tiles(t: pa.Table) -> pa.Table:
     same[1:-1] = keys[1:] == keys[:-1]
     keep = same[:-1] | same[1:]
     keys, ids, _ = distinct(keys[keep], ids[keep])
-    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    size = np.diff(np.append(heads, len(keys)))
+    size = np.diff(np.flatnonzero(np.append(np.append(True, keys[1:] != keys[:-1]), True))) if len(keys) else np.zeros(0, np.int64)
     small, a, b = np.repeat(size <= SMALL_TILE, size), [], []
     for step in range(1, SMALL_TILE):
-        i = np.arange(len(keys) - step) if len(keys) > step else np.zeros(0, np.int64)
+        i = np.arange(max(len(keys) - step, 0))
         i = i[(keys[i] == keys[i + step]) & small[i]]
         a.append(ids[i])
         b.append(ids[i + step])
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if len(keys) else np.zeros((0, 2), np.int64)
-    head = np.repeat(heads, size)
-    rest = ~small & (np.arange(len(keys)) != head)
+    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+    # of a large tile: its sets against one of them, which one of a few orders of all sets puts first
+    keys, ids = keys[~small], ids[~small]
+    order = np.lexsort((mix(ids.astype(np.uint64) ^ mix(keys % _U(CENTRES))), keys))
+    keys, ids = keys[order], ids[order]
+    first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    centre = ids[np.flatnonzero(first)][np.cumsum(first) - 1] if len(keys) else ids
+    keys, ids, centre = keys[~first], ids[~first], centre[~first]
     return pa.table({
-        "key": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), long(keys[rest].view(np.int64))]),
-        "a": long(np.concatenate([pairs[:, 0], ids[head[rest]]])), "b": long(np.concatenate([pairs[:, 1], ids[rest]])),
+        "key": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), long(keys.view(np.int64))]),
+        "a": long(np.concatenate([pairs[:, 0], np.minimum(ids, centre)])), "b": long(np.concatenate([pairs[:, 1], np.maximum(ids, centre)])),
     })
 
 
@@ -180,19 +184,76 @@ def _verified(percent):
     return run
 
 
+def _compared(percent):
+    """Links of one block that join its labels: its visitors against its homes of other labels, bitmaps first."""
+
+    def run(t: pa.Table) -> pa.Table:
+        node, label, home = (t[c].to_numpy() for c in ("node", "label", "home"))
+        items = [np.frombuffer(x, np.uint64) for x in t["items"].to_pylist()]
+        size = np.array([len(x) for x in items])
+        bits = 64 << max(0, int(size.max()) // 32).bit_length()
+        maps = np.zeros((len(items), bits // 64), np.uint64)
+        for i, x in enumerate(items):
+            at = x % _U(bits)
+            np.bitwise_or.at(maps[i], (at >> _U(6)).astype(np.int64), _U(1) << (at & _U(63)))
+        homes, a, b = np.flatnonzero(home), [], []
+        _, at = np.unique(label, return_inverse=True)
+        group = np.arange(len(label))  # of each label: those that links found here have joined are one
+        for v in np.flatnonzero(~home):
+            c = homes[100 * np.minimum(size[homes], size[v]) >= percent * np.maximum(size[homes], size[v])]
+            c = c[group[at[c]] != group[at[v]]]
+            most = (size[c] + size[v] - np.bitwise_count(maps[c] ^ maps[v]).sum(1).astype(np.int64)) // 2
+            for i in c[100 * most >= percent * (size[c] + size[v] - most)]:
+                if group[at[i]] != group[at[v]] and linked(percent, items[i], items[v], b"", b"0"):
+                    group[group == group[at[i]]] = group[at[v]]
+                    a.append(min(node[i], node[v]))
+                    b.append(max(node[i], node[v]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _rest(edges: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between sets of different labels in a group of tiles: enough to join all that links join.
+
+    The sets outside a group's largest label visit the blocks of its sets in the bands of sizes around theirs.
+    """
+    log = math.log(100 / percent)
+    nodes = components(edges).withColumnRenamed("label", "grp").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    nodes = nodes.join(sets.select(F.col("cls").alias("node"), "items"), "node").withColumn("n", F.octet_length("items") / 8)
+    nodes = settled(nodes.withColumn("band", F.floor(F.log("n") / log)), "ngram-rest")
+    largest = nodes.groupBy("grp", "label").count().groupBy("grp").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
+    visitors = nodes.join(largest, "grp").filter("label <> largest").drop("largest")
+    parts = lambda: F.ceil(F.sum("n") / BLOCK_ITEMS)
+    bands = nodes.groupBy("grp", "band").agg(parts().alias("blocks"))
+    guests = visitors.groupBy("grp").agg(parts().alias("chunks"))
+    home = nodes.join(bands, ["grp", "band"]).join(guests, "grp").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    home = home.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    guest = visitors.join(guests, "grp").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks")).withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+    guest = guest.join(bands, ["grp", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ["grp", "band", "block", "chunk", "node", "label", "items"]
+    both = home.select(*columns, F.lit(True).alias("home")).unionByName(guest.select(*columns, F.lit(False).alias("home")))
+    return both.groupBy("grp", "band", "block", "chunk").applyInArrow(_compared(percent), "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the least node that links reach, by least labels and pointer jumping; each round is a written table."""
-    both = settled(links.select("a", "b").union(links.select("b", "a")).distinct(), "cc-links")
-    labels = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "cc-labels")
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.node == near.a).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        step = settled(step, "cc-step")
-        up = step.select(F.col("node").alias("up"), F.col("label").alias("up_label"))
-        step = settled(step.join(up, step.label == up.up).select("node", F.col("up_label").alias("label"), "old"), "cc-labels")
-        if step.filter("label < old").isEmpty():
-            return step.select("node", "label")
-        labels = step.select("node", "label")
+    """(node, label): the least node that links reach. Each round hooks nodes to their least neighbour and contracts the links."""
+    pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    edges = settled(links.select(*pair("a", "b")).filter("a < b").distinct(), "cc-links")
+    labels = edges.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
+    first = True
+    while not edges.isEmpty():
+        near = edges.select("a", "b").union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("up"))
+        near = settled(near, "cc-near")
+        higher = near.select(F.col("node").alias("up"), F.col("up").alias("label"))
+        step = settled(near.join(higher, "up").select("node", "label"), "cc-step")
+        now = step.select(F.col("node").alias("label"), F.col("label").alias("new"))
+        labels = step if first else settled(labels.join(now, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "cc-labels")
+        first = False
+        for c in "ab":
+            edges = edges.join(step.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), c)
+        edges = settled(edges.select(*pair("a_label", "b_label")).filter("a < b").distinct(), "cc-links")
+    return labels
 
 
 def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -213,16 +274,13 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
 
     links = settled(verify(pairs), "ngram-links")
     labels = components(links)
-    # large tiles whose sets are not of one component: their sets of different components are compared, all of them
-    member = tiles.filter("key is not null")
-    member = member.select("key", F.col("b").alias("node")).union(member.select("key", "a")).distinct()
-    member = member.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = member.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
-    member = settled(member.join(mixed, "key", "left_semi"), "ngram-mixed")
-    if not member.isEmpty():
-        other = member.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
-        more = member.withColumnRenamed("node", "a").join(other, "key").filter("label < other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        labels = components(links.union(verify(more.join(pairs, ["a", "b"], "left_anti"))))
+    # large tiles whose sets are not of one component yet
+    star = tiles.filter("key is not null")
+    sides = star.select("key", F.col("a").alias("node")).union(star.select("key", F.col("b").alias("node")))
+    mixed = sides.join(labels, "node", "left").groupBy("key").agg(F.min(F.coalesce("label", "node")).alias("x"), F.max(F.coalesce("label", "node")).alias("y")).filter("x < y")
+    edges = settled(star.join(mixed.select("key"), "key", "left_semi").select("a", "b").distinct(), "ngram-mixed")
+    if not edges.isEmpty():
+        labels = components(links.union(_rest(edges, labels, sets, percent)))
     least = classes.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("label", "cls").alias("label"))
     least = settled(least, "ngram-labels")
     component = least.groupBy("label").agg(F.min("first").alias("component_id")).join(least, "label").select("cls", "component_id")
