@@ -63,11 +63,13 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     hits = state.filter("group_size > 1")
     full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("full")).withColumn("digest", F.sha2("full", 256))
     keepers = full.join(hits, (full.doc_id.eqNullSafe(hits.keep_id)) & (full.digest == hits.digest)).groupBy(hits.digest).agg(F.min("full").alias("kept_full"))
-    differs = full.join(keepers, "digest").filter(F.col("full") != F.col("kept_full")).select("digest").distinct()
+    keepers = settled(keepers, "dedup-keepers")  # so that the join below reads plain shuffles and a large group can be split
+    differs = full.join(keepers, "digest").filter(F.col("full") != F.col("kept_full")).select("digest")
     if differs.isEmpty():
         rows = digests.join(state, "digest")
     else:
-        again = full.join(F.broadcast(differs), "digest").groupBy("digest", "full").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        differs = differs.distinct()
+        again = full.join(differs, "digest").groupBy("digest", "full").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         apart = full.join(again, ["digest", "full"]).select("digest", "doc_id", "keep_id", "group_size")
         rows = digests.join(state, "digest").join(differs, "digest", "left_anti").select("digest", "doc_id", "keep_id", "group_size").unionByName(apart)
     return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
