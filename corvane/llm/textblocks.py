@@ -6,6 +6,8 @@ it is vectorised; what a block needs in memory is some 60 bytes for each byte of
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -135,5 +137,12 @@ def shingles(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([out, more]), np.concatenate([owner, short])
 
 
+def give_back() -> None:
+    """Frees what a worker's allocators keep; workers outlive their tasks and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def long(column: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(column, dtype=np.int64))
