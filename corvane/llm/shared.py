@@ -12,6 +12,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: What separates words wherever a contract says ``[^\x20\x09-\x0D]+``.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Whether a query's shuffle files are deleted at its end.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,10 +38,18 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: its lineage ends there."""
+    """``df`` written as a table in the shared folder and read again: its lineage ends there.
+
+    The table stands for all that made it, so the write's shuffle files go as soon as it is done.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
