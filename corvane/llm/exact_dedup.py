@@ -62,8 +62,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     state = settled(keyed_state(digests, path), "dedup-groups")
     hits = state.filter("group_size > 1")
     full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("full")).withColumn("digest", F.sha2("full", 256))
-    keepers = full.join(hits, (full.doc_id.eqNullSafe(hits.keep_id)) & (full.digest == hits.digest)).groupBy(hits.digest).agg(F.min("full").alias("kept_full"))
+    # all texts move once; what follows has those of the hits alone
+    full = settled(full.join(hits.select("digest", "keep_id"), "digest"), "dedup-hits")
+    keepers = full.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("full").alias("kept_full"))
     keepers = settled(keepers, "dedup-keepers")  # so that the join below reads plain shuffles and a large group can be split
+    full = full.drop("keep_id")
     differs = full.join(keepers, "digest").filter(F.col("full") != F.col("kept_full")).select("digest")
     if differs.isEmpty():
         rows = digests.join(state, "digest")
