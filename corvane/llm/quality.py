@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import features
 from .shared import fold
-from .textblocks import blocks
+from .textblocks import Block, blocks
 from .toxicity import labelled
 
 SAMPLE, PAIRS, CUT = 12_000, 60_000, 0.3
@@ -57,20 +57,33 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     return fit(np.array([np.frombuffer(r.x) for r in rows]), np.array([r.label for r in rows]))
 
 
+def scores(block: Block, model) -> np.ndarray:
+    if model is None:
+        return np.full(block.n, 0.5)
+    mean, scale, w, cut, slope = model
+    raw = (features.dense(block) - mean) / scale @ w
+    return 1 / (1 + np.exp(-np.clip((raw - cut) * slope + np.log(CUT / (1 - CUT)), -30, 30)))
+
+
 def scored(docs: DataFrame, model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
 
     def run(batches):
         for batch in batches:
             for part, block in blocks(batch, raw=True):
-                if model is None:
-                    score = np.full(block.n, 0.5)
-                else:
-                    mean, scale, w, cut, slope = model
-                    raw = (features.dense(block) - mean) / scale @ w
-                    score = 1 / (1 + np.exp(-np.clip((raw - cut) * slope + np.log(CUT / (1 - CUT)), -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score)], names=["doc_id", "held_out", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores(block, model))], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == 0).alias("held_out"), "text")
     rows = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
     return rows.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+
+
+def kept(docs: DataFrame, model) -> DataFrame:
+    """The rows whose score reaches the cut, with their own columns; no row is moved."""
+
+    def run(batches):
+        for batch in batches:
+            for part, block in blocks(batch, raw=True):
+                yield part.filter(pa.array(scores(block, model) >= CUT))
+
+    return docs.mapInArrow(run, docs.schema)
