@@ -12,6 +12,7 @@ share a class; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -55,11 +56,20 @@ def _sets(k):
                 value, owner = shingles(block, k)
                 o, v, _ = distinct(owner, value)
                 size, cls = class_of(o, v, block.n)
-                yield pa.RecordBatch.from_arrays([part.column(0), long(size), long(cls)], names=["doc_id", "n", "cls"])
+                yield pa.RecordBatch.from_arrays([part.column(0), long(size), long(cls), bitmaps(o, v, size)], names=["doc_id", "n", "cls", "bits"])
 
     return run
 
 
+def bitmaps(owner: np.ndarray, value: np.ndarray, size: np.ndarray) -> pa.Array:
+    """A bitmap of each text's shingles: a power of two of bits, about one a shingle, 64 at least."""
+    bits = np.int64(64) << np.frexp(size // 64)[1].astype(np.int64)
+    end = np.cumsum(bits)
+    flat = np.zeros(int(bits.sum()), bool)
+    flat[(end - bits)[owner] + (value & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)] = True
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, end // 8).astype(np.int32)), pa.py_buffer(np.packbits(flat))])
+
+
 def _keys(k, percent):
     def run(batches):
         bands = Bands(percent)
@@ -147,25 +157,36 @@ def _arrays(k):
                 o, v, _ = distinct(owner, value)
                 size, cls = class_of(o, v, block.n)
                 ptr = np.searchsorted(o, np.arange(block.n + 1))
-                rows = []
-                for s, e in zip(ptr, ptr[1:]):
-                    own, bits = v[s:e], 64 << max(0, int(e - s) // 64).bit_length()
-                    bitmap = np.zeros(bits, bool)
-                    bitmap[own % _U(bits)] = True
-                    rows.append((np.packbits(bitmap).tobytes(), own.tobytes()))
-                yield pa.RecordBatch.from_arrays([long(cls), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["cls", "bits", "items"])
+                rows = [v[s:e].tobytes() for s, e in zip(ptr, ptr[1:])]
+                yield pa.RecordBatch.from_arrays([long(cls), pa.array(rows, pa.binary())], names=["cls", "items"])
+
+    return run
+
+
+def may_link(percent: int, n_x: int, n_y: int, bits_x: bytes, bits_y: bytes) -> bool:
+    """Whether sets of these sizes and bitmaps can reach the threshold. The longer bitmap is folded to the shorter one's length."""
+    if 100 * min(n_x, n_y) < percent * max(n_x, n_y):
+        return False
+    x, y = sorted((np.frombuffer(bits_x, np.uint64), np.frombuffer(bits_y, np.uint64)), key=len)
+    if len(y) > len(x):
+        y = np.bitwise_or.reduce(y.reshape(-1, len(x)))
+    total = n_x + n_y
+    most = (total - int(np.bitwise_count(x ^ y).sum())) // 2
+    return 100 * most >= percent * (total - most)
+
+
+def _possible(percent):
+    def run(batches):
+        for batch in batches:
+            ok = [may_link(percent, *row) for row in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)))]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def linked(percent, x, y, bits_x, bits_y) -> bool:
-    """Whether the sorted arrays' overlap reaches the threshold; the bitmaps rule out most others."""
+def linked(percent: int, x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the sorted arrays' overlap reaches the threshold."""
     total = len(x) + len(y)
-    if len(bits_x) == len(bits_y):
-        differ = int(np.bitwise_count(np.frombuffer(bits_x, np.uint8) ^ np.frombuffer(bits_y, np.uint8)).sum())
-        most = (total - differ) // 2
-        if 100 * most < percent * (total - most):
-            return False
     both = np.sort(np.concatenate([x, y]), kind="stable")
     overlap = int((both[1:] == both[:-1]).sum())
     return 100 * overlap >= percent * (total - overlap)
@@ -176,8 +197,8 @@ def _verified(percent):
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             ok = [
-                linked(percent, np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), bx, by)
-                for bx, x, by, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))
+                linked(percent, np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+                for x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3)))
             ]
             yield pa.RecordBatch.from_arrays([long(a[ok]), long(b[ok])], names=["a", "b"])
 
@@ -204,7 +225,7 @@ def _compared(percent):
             c = c[group[at[c]] != group[at[v]]]
             most = (size[c] + size[v] - np.bitwise_count(maps[c] ^ maps[v]).sum(1).astype(np.int64)) // 2
             for i in c[100 * most >= percent * (size[c] + size[v] - most)]:
-                if group[at[i]] != group[at[v]] and linked(percent, items[i], items[v], b"", b"0"):
+                if group[at[i]] != group[at[v]] and linked(percent, items[i], items[v]):
                     group[group == group[at[i]]] = group[at[v]]
                     a.append(min(node[i], node[v]))
                     b.append(max(node[i], node[v]))
@@ -213,13 +234,15 @@ def _compared(percent):
     return run
 
 
-def _rest(edges: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(edges: DataFrame, labels: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Links between sets of different labels in a group of tiles: enough to join all that links join.
 
     The sets outside a group's largest label visit the blocks of its sets in the bands of sizes around theirs.
     """
     log = math.log(100 / percent)
-    nodes = components(edges).withColumnRenamed("label", "grp").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    groups = components(edges).withColumnRenamed("label", "grp")
+    sets = sets_of(groups.select(F.col("node").alias("cls")))
+    nodes = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     nodes = nodes.join(sets.select(F.col("cls").alias("node"), "items"), "node").withColumn("n", F.octet_length("items") / 8)
     nodes = settled(nodes.withColumn("band", F.floor(F.log("n") / log)), "ngram-rest")
     largest = nodes.groupBy("grp", "label").count().groupBy("grp").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
@@ -259,20 +282,25 @@ def components(links: DataFrame) -> DataFrame:
 def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = settled(texts.mapInArrow(_sets(k), "doc_id long, n long, cls long"), "ngram-classes")
+    signed = settled(texts.mapInArrow(_sets(k), "doc_id long, n long, cls long, bits binary"), "ngram-classes")
     keys = texts.mapInArrow(_keys(k, percent), "bucket int, keys binary, ids binary")
     tiles = settled(keys.groupBy("bucket").applyInArrow(_tiles, "key long, a long, b long"), "ngram-tiles")
-    classes = settled(signed.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first")), "ngram-firsts")
-    pairs = settled(tiles.select("a", "b").distinct(), "ngram-pairs")
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().join(classes, F.col("a") == F.col("cls")).select("cls", F.col("first").alias("doc_id"))
-    sets = texts.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(_arrays(k), "cls long, bits binary, items binary")
-    sets = settled(sets.dropDuplicates(["cls"]), "ngram-sets")
-    left, right = (sets.select(F.col("cls").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("items").alias(f"items_{c}")) for c in "ab")
-
-    def verify(p: DataFrame) -> DataFrame:
-        return p.join(left, "a").join(right, "b").select("a", "b", "bits_a", "items_a", "bits_b", "items_b").mapInArrow(_verified(percent), "a long, b long")
-
-    links = settled(verify(pairs), "ngram-links")
+    classes = settled(signed.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("bits").alias("bits")), "ngram-firsts")
+    # bitmaps first: of what shares a part, only pairs that can reach the threshold fetch their arrays
+    left, right = (classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    pairs = tiles.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    pairs = settled(pairs.mapInArrow(_possible(percent), "a long, b long"), "ngram-pairs")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(cls, items) of the wanted classes, and maybe of some others."""
+        ids = wanted.distinct().join(classes.select("cls", "first"), "cls").select(F.col("first").alias("doc_id"))
+        arrays = texts.join(ids, "doc_id", "left_semi").mapInArrow(_arrays(k), "cls long, items binary")
+        return settled(arrays.dropDuplicates(["cls"]), "ngram-sets")
+
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")))
+    left, right = (sets.select(F.col("cls").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b")
+    links = settled(both.mapInArrow(_verified(percent), "a long, b long"), "ngram-links")
     labels = components(links)
     # large tiles whose sets are not of one component yet
     star = tiles.filter("key is not null")
@@ -280,8 +308,8 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
     mixed = sides.join(labels, "node", "left").groupBy("key").agg(F.min(F.coalesce("label", "node")).alias("x"), F.max(F.coalesce("label", "node")).alias("y")).filter("x < y")
     edges = settled(star.join(mixed.select("key"), "key", "left_semi").select("a", "b").distinct(), "ngram-mixed")
     if not edges.isEmpty():
-        labels = components(links.union(_rest(edges, labels, sets, percent)))
-    least = classes.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("label", "cls").alias("label"))
+        labels = components(links.union(_rest(edges, labels, sets_of, percent)))
+    least = classes.select("cls", "first").join(labels, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("label", "cls").alias("label"))
     least = settled(least, "ngram-labels")
     component = least.groupBy("label").agg(F.min("first").alias("component_id")).join(least, "label").select("cls", "component_id")
     out = signed.join(component, "cls", "left")
