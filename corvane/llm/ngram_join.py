@@ -245,11 +245,12 @@ def _rest(edges: DataFrame, labels: DataFrame, sets_of: Callable[[DataFrame], Da
     nodes = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     nodes = nodes.join(sets.select(F.col("cls").alias("node"), "items"), "node").withColumn("n", F.octet_length("items") / 8)
     nodes = settled(nodes.withColumn("band", F.floor(F.log("n") / log)), "ngram-rest")
-    largest = nodes.groupBy("grp", "label").count().groupBy("grp").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
+    # what is known of each group is written first, so that the joins read plain shuffles and a large group can be split
+    largest = settled(nodes.groupBy("grp", "label").count().groupBy("grp").agg(F.max_by("label", F.struct("count", "label")).alias("largest")), "ngram-largest")
     visitors = nodes.join(largest, "grp").filter("label <> largest").drop("largest")
     parts = lambda: F.ceil(F.sum("n") / BLOCK_ITEMS)
-    bands = nodes.groupBy("grp", "band").agg(parts().alias("blocks"))
-    guests = visitors.groupBy("grp").agg(parts().alias("chunks"))
+    bands = settled(nodes.groupBy("grp", "band").agg(parts().alias("blocks")), "ngram-bands")
+    guests = settled(visitors.groupBy("grp").agg(parts().alias("chunks")), "ngram-guests")
     home = nodes.join(bands, ["grp", "band"]).join(guests, "grp").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     home = home.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     guest = visitors.join(guests, "grp").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks")).withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
