@@ -284,3 +284,30 @@ def test_components_of_random_graphs(spark):
                 label[a] = label[b] = min(label[a], label[b])
     got = {r.node: r.label for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == label
+
+
+def test_bitmaps_rule_out_no_link():
+    """Over sizes whose bitmaps differ in length; most unlike pairs are ruled out."""
+    rnd = np.random.default_rng(8)
+    ruled_out = 0
+    for n in (1, 2, 5, 63, 64, 100, 127, 130, 250, 600):
+        for change in (0, 1, n // 12, n // 5, n):
+            x = np.unique(rnd.integers(0, 2**63, n, dtype=np.uint64))
+            y = np.unique(np.append(x[change:], rnd.integers(0, 2**63, change + n // 20, dtype=np.uint64)))
+            if not len(y):
+                continue
+            maps = ngram_join.bitmaps(np.repeat([0, 1], [len(x), len(y)]), np.concatenate([x, y]), np.array([len(x), len(y)])).to_pylist()
+            may, real = ngram_join.may_link(80, len(x), len(y), *maps), ngram_join.linked(80, x, y)
+            assert may or not real
+            assert real == (100 * len(set(x.tolist()) & set(y.tolist())) >= 80 * len(set(x.tolist()) | set(y.tolist())))
+            ruled_out += not may
+    assert ruled_out >= 8
+
+
+def test_quality_keeps_whole_rows(spark, docs):
+    """The rows that reach the cut, with clashing extra columns, nulls and repeats; without a model all have 0.5."""
+    assert sorted(map(str, quality.kept(docs, None).collect())) == sorted(map(str, docs.collect()))
+    wide = quality.features.dense(quality.Block(quality.pa.array(["a b"]), True)).shape[1]
+    model = quality.fit(np.random.default_rng(1).random((40, wide)), np.arange(40) % 2)
+    want = sorted(r.doc_id for r in quality.scored(docs, model).filter("predicted = 1").collect())
+    assert sorted(r.doc_id for r in quality.kept(docs, model).collect()) == want
