@@ -100,6 +100,25 @@ def review_statistics(state: DataFrame) -> DataFrame:
     return state.agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "completed").alias("completed"), F.round(yes / F.nullif(yes + no, F.lit(0)), 3).alias("approval_rate"), F.countDistinct("reviewer").alias("reviewers"))
 
 
+def readiness(members: DataFrame) -> DataFrame:
+    """(ubid, score, ready): how many of PAN, GSTIN, email, phone and Udyam number any record has; four make a cluster ready."""
+    kinds = [c for c in ("pan", "gstin", "email", "phone", "udyam_number") if c in members.columns]
+    has = [F.max((F.coalesce(F.col(c), F.lit("")) != "").cast("int")) for c in kinds]
+    score = sum(has[1:], has[0])
+    return members.groupBy("ubid").agg(score.alias("score")).withColumn("ready", F.col("score") >= 4)
+
+
+def security_flags(members: DataFrame, status: DataFrame) -> DataFrame:
+    """(ubid, flag): several names under a PAN are flagged; closed, or one department with several places or with activity this month, are watched."""
+    m = members.join(status.select("entity_key", "status", "days_since_any"), "entity_key", "left").groupBy("ubid").agg(
+        F.count("pan").alias("pans"), F.countDistinct("business_name").alias("names"), F.countDistinct("department").alias("departments"), F.countDistinct("pincode").alias("places"),
+        F.max(F.coalesce(F.col("status") == "CLOSED", F.lit(False))).alias("closed"), F.min("days_since_any").alias("days"),
+    )
+    one = F.col("departments") == 1
+    flag = F.when((F.col("pans") > 0) & (F.col("names") > 2), "Flagged").when(F.col("closed") | (one & (F.col("places") > 1)) | (one & (F.col("days") < 30)), "Watch").otherwise("Clean")
+    return m.select("ubid", flag.alias("flag"))
+
+
 def run_deltas(runs: DataFrame) -> DataFrame:
     """Status counts of each run beside the change since the run before."""
     order = Window.partitionBy("status").orderBy("run_id")
