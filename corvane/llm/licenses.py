@@ -1,7 +1,7 @@
 """License detection by ordered signature rules, in DataFrame functions alone.
 
 A text is lower-cased (A-Z) and its words are set apart by single blanks. Rules are regular expressions
-over these words; each is tried only where its keyword is among the words. A detection that lies within
+over these words; each is tried only where one of its keywords is among the words. A detection that lies within
 another of higher rank, or within a longer one, is suppressed. Null text is empty: no words, no labels,
 score 0. Repeated rows are kept each; doc_id may be null or tie (rows are told apart by an own id).
 """
@@ -16,13 +16,12 @@ from .shared import ascii_lower
 #: Words of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` once A-Z are lower-cased, told on the text as it is.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-GATE = r"(?i)licen[sc]|spdx|copyright|copyleft|public domain|warrant|permission|creative commons|\bgpl|unlicense|cc0"
 BASE = [("mit", "license", "mit license"), ("apache", "license", "apache license"), ("gpl", "license", "general public license")]
 
 _V = r"(?: (?:version|v))?"
-#: label; keyword; what names the license; what identifies it for SPDX, in words. Own signatures, written by hand.
+#: label; keywords, one of which is in whatever the rule matches; what names the license; what identifies it for SPDX, in words. Own signatures, written by hand.
 NAMES = f"""
-mit; mit; (?:the )?mit (?:license|licence|licensed)|licensed under mit|expat license; mit
+mit; mit expat; (?:the )?mit (?:license|licence|licensed)|licensed under mit|expat license; mit
 mit-0; mit; mit no attribution; mit 0
 x11; x11; x11 (?:license|licence); x11
 apache-1.0; apache; apache (?:software )?license{_V} 1 0; apache 1 0
@@ -30,7 +29,7 @@ apache-1.1; apache; apache (?:software )?license{_V} 1 1; apache 1 1
 apache-2.0; apache; apache (?:software )?licen[sc]e{_V} 2(?: 0)?|apache 2 0 licensed?; apache 2 0
 gpl-1.0; gnu; gnu (?:general public license|gpl){_V} 1(?: 0)?; gpl 1 0(?: only| or later)?
 gpl-2.0; gnu; gnu (?:general public license|gpl){_V} 2(?: 0)?; gpl 2 0 only
-gpl-2.0-or-later; gnu; gnu (?:general public license|gpl){_V} 2(?: 0)? or (?:\\(at your option\\) )?(?:any )?later; gpl 2 0 or later
+gpl-2.0-or-later; gnu; gnu (?:general public license|gpl){_V} 2(?: 0)? or (?:at your option )?(?:any )?later; gpl 2 0 or later
 gpl-3.0; gnu; gnu (?:general public license|gpl){_V} 3(?: 0)?; gpl 3 0 only
 gpl-3.0-or-later; gnu; gnu (?:general public license|gpl){_V} 3(?: 0)? or (?:any )?later; gpl 3 0 or later
 lgpl-2.0; library; gnu library general public license{_V} 2(?: 0)?; lgpl 2 0(?: only| or later)?
@@ -41,13 +40,13 @@ agpl-3.0; affero; (?:gnu )?affero general public license{_V} 3(?: 0)?; agpl 3 0(
 gfdl-1.1; documentation; gnu free documentation license{_V} 1 1; gfdl 1 1(?: only| or later)?
 gfdl-1.2; documentation; gnu free documentation license{_V} 1 2; gfdl 1 2(?: only| or later)?
 gfdl-1.3; documentation; gnu free documentation license{_V} 1 3; gfdl 1 3(?: only| or later)?
-bsd-2-clause; bsd; (?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd) license; bsd 2 clause
+bsd-2-clause; bsd freebsd; (?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd) license; bsd 2 clause
 bsd-3-clause; bsd; (?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd) license; bsd 3 clause
 bsd-4-clause; bsd; (?:bsd 4 clause|4 clause bsd|original bsd|old bsd) license; bsd 4 clause
 bsd-1-clause; bsd; (?:bsd 1 clause|1 clause bsd) license; bsd 1 clause
-0bsd; bsd; (?:zero clause bsd|bsd zero clause|0 clause bsd|free public) license; 0bsd
-bsd; bsd; bsd(?: style)? license|under the bsd|berkeley software distribution license; bsd
-isc; isc; isc license|internet systems consortium license; isc
+0bsd; bsd license; (?:zero clause bsd|bsd zero clause|0 clause bsd|free public) license; 0bsd
+bsd; bsd berkeley; bsd(?: style)? license|under the bsd|berkeley software distribution license; bsd
+isc; isc consortium; isc license|internet systems consortium license; isc
 mpl-1.0; mozilla; mozilla public license{_V} 1 0; mpl 1 0
 mpl-1.1; mozilla; mozilla public license{_V} 1 1; mpl 1 1
 mpl-2.0; mozilla; mozilla public license{_V} 2(?: 0)?; mpl 2 0
@@ -84,7 +83,7 @@ cecill-2.1; cecill; cecill{_V} 2 1; cecill 2 1
 cecill-b; cecill; cecill b(?: free software license)?; cecill b
 cecill-c; cecill; cecill c(?: free software license)?; cecill c
 unlicense; unlicense; the unlicense|unlicense org; unlicense
-wtfpl; wtfpl; wtfpl|do what the fuck you want to public license; wtfpl
+wtfpl; wtfpl fuck; wtfpl|do what the fuck you want to public license; wtfpl
 zlib; zlib; zlib(?: libpng)? license; zlib
 libpng; libpng; libpng license(?: version 2)?; libpng(?: 2 0)?
 ijg; jpeg; independent jpeg group; ijg
@@ -94,7 +93,7 @@ openssl; openssl; openssl (?:and ssleay )?license; openssl
 ssleay; ssleay; (?:original )?ssleay license; ssleay standalone
 php-3.0; php; php license{_V} 3 0; php 3 0
 php-3.01; php; php license{_V} 3 01; php 3 01
-python-2.0; python; python (?:software foundation )?license(?:{_V} 2)?|psf license; (?:python|psf) 2 0
+python-2.0; python psf; python (?:software foundation )?license(?:{_V} 2)?|psf license; (?:python|psf) 2 0
 ruby; ruby; ruby(?: s)? license; ruby
 tcl; tcl; tcl tk license|tcl license; tcl
 vim; vim; vim license; vim
@@ -103,8 +102,8 @@ curl; curl; curl license; curl
 icu; icu; icu license; icu
 unicode; unicode; unicode (?:inc )?license(?: agreement)?; unicode (?:dfs 2015|dfs 2016|3 0)
 ncsa; ncsa; (?:university of illinois )?ncsa (?:open source )?license; ncsa
-ms-pl; microsoft; microsoft public license|ms pl; ms pl
-ms-rl; microsoft; microsoft reciprocal license|ms rl; ms rl
+ms-pl; microsoft ms; microsoft public license|ms pl; ms pl
+ms-rl; microsoft ms; microsoft reciprocal license|ms rl; ms rl
 apsl-1.0; apple; apple public source license{_V} 1 0; apsl 1 0
 apsl-2.0; apple; apple public source license{_V} 2 0; apsl 2 0
 spl-1.0; sun; sun public license{_V} 1 0; spl 1 0
@@ -122,8 +121,8 @@ pddl-1.0; dedication; public domain dedication and license; pddl 1 0
 cdla-permissive-1.0; community; community data license agreement permissive(?:{_V} 1 0)?; cdla permissive 1 0
 cdla-permissive-2.0; community; community data license agreement permissive{_V} 2 0; cdla permissive 2 0
 cdla-sharing-1.0; community; community data license agreement sharing(?:{_V} 1 0)?; cdla sharing 1 0
-cc0-1.0; cc0; cc0(?: 1 0)?(?: universal)?|creative commons zero; cc0 1 0
-cc-by-1.0; cc; (?:cc|commons) (?:by|attribution) 1 0; cc by 1 0
+cc0-1.0; cc0 zero; cc0(?: 1 0)?(?: universal)?|creative commons zero; cc0 1 0
+cc-by-1.0; cc commons; (?:cc|commons) (?:by|attribution) 1 0; cc by 1 0
 cc-by-2.0; cc; cc by 2 0; cc by 2 0
 cc-by-2.5; cc; cc by 2 5; cc by 2 5
 cc-by-3.0; cc; cc by 3 0; cc by 3 0
@@ -155,12 +154,12 @@ zpl-2.0; zope; zope public license{_V} 2 0; zpl 2 0
 zpl-2.1; zope; zope public license{_V} 2 1; zpl 2 1
 llama2; llama; llama 2 community license(?: agreement)?; llama2
 llama3; llama; llama 3 community license(?: agreement)?; llama3
-openrail-m; openrail; (?:creativeml )?open ?rail m(?: license)?; openrail
+openrail-m; openrail rail; (?:creativeml )?open ?rail m(?: license)?; openrail
 bigscience-rail; bigscience; bigscience (?:open )?rail license; bigscience rail 1 0
 polyform-nc; polyform; polyform noncommercial license(?: 1 0 0)?; polyform noncommercial 1 0 0
 commons-clause; clause; commons clause(?: license condition)?; commons clause
 """
-#: label; keyword; signature of a grant or notice.
+#: label; keywords as above, but the disclaimer that other licenses share asks for MIT's word beside it; signature of a grant or notice.
 NOTICES = """
 mit; permission; permission is hereby granted free of charge to any person obtaining a copy
 mit; noninfringement; the software is provided as is without warranty of any kind
@@ -173,7 +172,7 @@ lgpl; lesser; under the terms of the gnu lesser general public license
 agpl; affero; under the terms of the gnu affero general public license
 mpl-2.0; mozilla; this source code form is subject to the terms of the mozilla public license
 unlicense; unencumbered; this is free and unencumbered software released into the public domain
-cc; commons; (?:http|https)(?: www)? creativecommons org licenses
+cc; creativecommons; (?:http|https)(?: www)? creativecommons org licenses
 public-domain; domain; (?:released|placed|dedicated) (?:in|into|to) the public domain
 proprietary; rights; all rights reserved
 proprietary; proprietary; proprietary and confidential
@@ -187,7 +186,7 @@ copyright; copyright; copyright (?:c )?(?:19|20)[0-9][0-9]
 
 
 def rules() -> list[tuple[str, str, int, float, str]]:
-    """(label, keyword, rank, confidence, pattern), in order: tags, notices, names, then the base phrases."""
+    """(label, keywords, rank, confidence, pattern), in order: tags, notices, names, then the base phrases."""
     split = lambda table: [[x.strip() for x in line.split(";")] for line in table.strip().split("\n")]
     out = [(label, "spdx", 0.99, rf"spdx license identifiers? (?:{tag})") for label, _, _, tag in split(NAMES)]
     out += [(label, key, 0.9, pattern) for label, key, pattern in split(NOTICES)]
@@ -196,6 +195,18 @@ def rules() -> list[tuple[str, str, int, float, str]]:
     return [(label, key, rank, sure, f" (?:{pattern})(?= )") for rank, (label, key, sure, pattern) in enumerate(out)]
 
 
+def _prefixes(words: set[str]) -> str:
+    """A regular expression of these words that shares their beginnings."""
+    rests = {c: {w[1:] for w in words if w[:1] == c} for c in sorted({w[:1] for w in words} - {""})}
+    some = "|".join(c + _prefixes(rest) for c, rest in rests.items())
+    return "" if not some else f"(?:{some})?" if "" in words else f"(?:{some})"
+
+
+def gate() -> str:
+    """What a text has, as it is, if and only if a keyword is among its words."""
+    return rf"(?i)(?<!{RAW_WORD[:-1]}){_prefixes({k for r in rules() for k in r[1].split()})}(?!{RAW_WORD[:-1]})"
+
+
 def _blanks(x):
     return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
 
@@ -204,14 +215,14 @@ def scan(docs: DataFrame) -> DataFrame:
     """Own columns of docs beside text, with n_words and found: array of (label, base, first, length, rank, sure)."""
     spark = docs.sparkSession
     table = spark.createDataFrame(
-        [(label, key, rank, sure, pattern, (label, key, pattern[4:-6]) in BASE) for label, key, rank, sure, pattern in rules()],
+        [(label, key, rank, sure, pattern, (label, keys, pattern[4:-6]) in BASE) for label, keys, rank, sure, pattern in rules() for key in keys.split()],
         "label string, keyword string, rank int, sure double, pattern string, base boolean",
     )
     text = F.coalesce("text", F.lit(""))
-    docs = docs.withColumn("n_words", F.regexp_count(text, F.lit(RAW_WORD)).cast("long"))
-    gated = docs.filter(text.rlike(GATE)).select("doc_id", F.xxhash64(text).alias("t"), ascii_lower("text").alias("low")).distinct()
+    gated = docs.filter(text.rlike(gate())).select("doc_id", F.xxhash64(text).alias("t"), ascii_lower("text").alias("low"))
+    docs = docs.select("*", F.regexp_count(text, F.lit(RAW_WORD)).cast("long").alias("n_words"), F.xxhash64(text).alias("t")).drop("text")
     normal = gated.select("doc_id", "t", F.concat(F.lit(" "), F.trim(F.regexp_replace("low", NOT_WORD, " ")), F.lit(" ")).alias("norm"))
-    keywords = F.array(*[F.lit(k) for k in sorted({r[1] for r in rules()})])
+    keywords = F.array(*[F.lit(k) for k in sorted({k for r in rules() for k in r[1].split()})])
     tried = normal.withColumn("keyword", F.explode(F.array_intersect(F.split("norm", " "), keywords))).join(F.broadcast(table), "keyword")
     tried = tried.filter(F.expr("norm rlike pattern"))
     parts, hits = F.expr("split(norm, pattern, -1)"), F.expr("regexp_extract_all(norm, pattern, 0)")
@@ -220,9 +231,9 @@ def scan(docs: DataFrame) -> DataFrame:
         "transform(lengths, (n, k) -> named_struct('label', label, 'base', base, 'first', cast(aggregate(slice(gaps, 1, k + 1), 0, (a, x) -> a + x)"
         " + aggregate(slice(lengths, 1, k), 0, (a, x) -> a + x) as long), 'length', cast(n as long), 'rank', rank, 'sure', sure))"
     )
-    found = tried.select("doc_id", "t", places.alias("p")).groupBy("doc_id", "t").agg(F.flatten(F.collect_list("p")).alias("found"))
+    found = tried.select("doc_id", "t", places.alias("p")).groupBy("doc_id", "t").agg(F.flatten(F.collect_set("p")).alias("found"))
     found = found.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "found")
-    return docs.join(found, docs.doc_id.eqNullSafe(found._id) & (F.xxhash64(text) == found._t), "left").drop("_id", "_t")
+    return docs.join(found, docs.doc_id.eqNullSafe(found._id) & (docs.t == found._t), "left").drop("_id", "t", "_t")
 
 
 def licenses(docs: DataFrame) -> DataFrame:

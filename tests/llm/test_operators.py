@@ -154,6 +154,43 @@ def test_licenses(docs, rows, empty):
     assert len(licenses.rules()) > 250 and all(re.compile(r[4]) for r in licenses.rules())
 
 
+def spelled(pattern):
+    """All strings that a rule matches; of a class of characters, its ends."""
+    from re import _parser
+
+    def one(op, a):
+        if op == "LITERAL":
+            return [chr(a)]
+        if op == "IN":
+            return [chr(c) for kind, v in a for c in ([v] if str(kind) == "LITERAL" else v)]
+        if op == "MAX_REPEAT":
+            return [x for n in range(a[0], a[1] + 1) for x in ([""] if n == 0 else of(a[2]))]
+        return of(a[3]) if op == "SUBPATTERN" else [x for branch in a[1] for x in of(branch)]
+
+    def of(items):
+        out = [""]
+        for op, a in items:
+            out = [x + y for x in out for y in one(str(op), a)]
+        return out
+
+    return of(_parser.parse(pattern))
+
+
+def test_every_license_rule_fires_alone(spark):
+    """Each spelling of each rule, with nothing else in the text but what its author asks for."""
+    texts, want = [], []
+    for label, keys, rank, _, pattern in licenses.rules():
+        for x in spelled(pattern[1:-5]):
+            texts.append((len(texts), f"noninfringement. {x.upper()}" if keys == "noninfringement" else x.replace(" ", "\n-")))
+            want.append((label, rank))
+    texts += [(None, "All Rights\tReserved"), (None, "All Rights\tReserved"), (-1, "smithy omits rightsé")]
+    got = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(texts)
+    found = {r.doc_id: {(x.label, x.rank) for x in r.found or []} for r in got}
+    assert [w for i, w in enumerate(want) if w not in found[i]] == [] and not found[-1]
+    assert [len(r.found) for r in got if r.doc_id is None] == [1, 1]
+
+
 def test_katz(docs, rows, empty):
     from collections import Counter
 
