@@ -1,8 +1,9 @@
 """Toxicity by non-negative positive-unlabelled learning on hashed words, trained with NumPy.
 
-Confirmed toxic rows are the positives; the other rows' labels are hidden, so these count as unlabelled.
-The risk is prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) under logistic loss, by full-batch Adam. At
-most SAMPLE labelled rows are fitted. Null and empty texts get the score of a text without features; with
+Confirmed toxic rows are the positives; all rows of the training folds, whatever their labels, are drawn
+from as unlabelled. The risk is prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) under logistic loss, by
+full-batch Adam. The prior is the least ratio of the unlabelled rows' share above a score to the positives',
+each half scored by fits to the other. At most some SAMPLE positives and as many unlabelled rows are fitted. Null and empty texts get the score of a text without features; with
 no positives every score is 0; repeated rows are scored each.
 """
 
@@ -17,9 +18,11 @@ from pyspark.sql import functions as F
 
 from . import features
 from .shared import fold
-from .textblocks import blocks
+from .textblocks import _U, blocks, mix
 
 SAMPLE = 12_000
+#: The priors under which the scores are fitted that the prior is read from.
+GUESSES = (0.5, 0.25, 0.1, 0.04, 0.015)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
@@ -30,6 +33,18 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> Dat
     return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("doc_id", "label", "text")
 
 
+def drawn(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """Texts of the training folds: some ``sample`` confirmed positives and some ``sample`` of all rows, by hashes of doc_id."""
+    least = lambda n: int((1 << 20) * min(1.0, sample / max(n, 1)))
+    own = labels.filter((fold() != 0) & (F.col("toxic") == 1)).select("doc_id").distinct()
+    own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < least(own.count())).withColumn("positive", F.lit(True))
+    docs = docs.select("doc_id", "text").filter(fold() != 0)
+    any_label = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 20)) < least(docs.count())
+    rows = docs.withColumn("unlabelled", any_label).join(F.broadcast(own), "doc_id", "left")
+    label = F.coalesce("positive", F.lit(False)).cast("int") + 2 * F.col("unlabelled").cast("int")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), label.alias("label"), "text").filter("label > 0")
+
+
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, block in blocks(batch):
@@ -38,35 +53,32 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["doc_id", "label", "buckets"])
 
 
-def fit(x: list[np.ndarray], y: np.ndarray, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights of the buckets and the bias. Kept buckets are those clearly more frequent in the positives."""
-    n, positive = len(y), np.flatnonzero(y == 1)
-    prior = len(positive) / max(n, 1)
-    weights = np.zeros(features.BUCKETS, np.float32)
-    if not len(positive) or len(positive) == n:
-        return weights, -20.0 if not len(positive) else 20.0
-    df = np.bincount(np.concatenate(x), minlength=features.BUCKETS)
-    dp = np.bincount(np.concatenate([x[i] for i in positive]), minlength=features.BUCKETS)
-    lift = ((dp + 0.5) / len(positive)) / ((df + 0.5) / n)
-    used = np.flatnonzero((dp >= max(4, 0.004 * len(positive))) & (lift > 1 + 0.5 * (1 / prior - 1)))
+def fit(x: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights of the buckets and the bias. Kept buckets are those clearly more frequent in the positives than in the unlabelled."""
+    weights, n, n_p, n_u = np.zeros(features.BUCKETS, np.float32), len(x), int(positive.sum()), int(unlabelled.sum())
+    if not n_p or not n_u:
+        return weights, 20.0 if n_p else -20.0
+    df, dp = np.zeros(features.BUCKETS), np.zeros(features.BUCKETS)
+    for v, is_p, is_u in zip(x, positive, unlabelled):  # a row has a bucket once
+        df[v] += is_u
+        dp[v] += is_p
+    lift = ((dp + 0.5) / n_p) / ((df + 0.5) / n_u)
+    used = np.flatnonzero((dp >= max(4, 0.004 * n_p)) & (lift > 1 + 0.5 * (1 / prior - 1)))
     if not len(used):
         return weights, float(np.log(prior / (1 - prior)))
     at = np.full(features.BUCKETS, -1)
     at[used] = np.arange(len(used))
-    row = np.repeat(np.arange(n), [len(v) for v in x])
-    col = at[np.concatenate(x)]
-    row, col = row[col >= 0], col[col >= 0]
+    cols = [c[c >= 0] for c in (at[v] for v in x)]
+    row, col = np.repeat(np.arange(n), [len(c) for c in cols]), np.concatenate(cols)
     w, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     w[-1] = np.log(prior / (1 - prior))
-    is_positive = (y == 1).astype(float)
+    of_p, of_u = prior * positive / n_p, unlabelled / n_u
     for t in range(1, steps + 1):
         z = np.bincount(row, w[col], n) + w[-1]
         p = 1 / (1 + np.exp(-z))
-        minus = np.logaddexp(0, z)
-        negative_risk = minus.mean() - prior * minus[positive].mean()
-        g_plus = -prior * (1 - p) * is_positive / len(positive)
-        g_minus = p / n - prior * p * is_positive / len(positive)
-        g = g_plus + g_minus if negative_risk >= 0 else -g_minus
+        negative_risk = (of_u - of_p) @ np.logaddexp(0, z)
+        g_minus = p * (of_u - of_p)
+        g = g_minus - (1 - p) * of_p if negative_risk >= 0 else -g_minus
         grad = np.append(np.bincount(col, g[row], len(used)), g.sum()) + decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -74,10 +86,36 @@ def fit(x: list[np.ndarray], y: np.ndarray, steps: int = 300, rate: float = 0.05
     return weights, float(w[-1])
 
 
+def class_prior(x: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray, half: np.ndarray) -> float:
+    """The positives' share of the unlabelled rows: any score bounds it from above, so the least of several scores' bounds."""
+    n_p, n_u = int(positive.sum()), int(unlabelled.sum())
+    if not n_p or not n_u:
+        return 0.5
+    # a tail of few rows is no witness: a bound on both shares' errors is added before the least is sought
+    slack, found = np.sqrt(np.log(40) / 2) * (n_p**-0.5 + n_u**-0.5), []
+    for guess in GUESSES:
+        z = np.zeros(len(x))
+        for side in (False, True):
+            own = np.flatnonzero(half == side)
+            weights, _ = fit([x[i] for i in own], positive[own], unlabelled[own], guess, steps=100)
+            for i in np.flatnonzero(half != side):
+                z[i] = weights[x[i]].sum(dtype=np.float64)
+        p, u = np.sort(z[positive]), np.sort(z[unlabelled])
+        above_p = 1 - np.searchsorted(p, p, "left") / n_p
+        above_u = 1 - np.searchsorted(u, p, "left") / n_u
+        best = np.argmin((above_u + slack) / above_p)
+        found.append(((above_u[best] + slack) / above_p[best], above_u[best] / above_p[best]))
+    return float(np.clip(min(found)[1], 1 / n_u, 0.95))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    rows = labelled(docs, labels, "toxic", sample).mapInArrow(_featured, "doc_id long, label int, buckets binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.buckets)))
-    return fit([np.frombuffer(r.buckets, np.int32) for r in rows], np.array([r.label for r in rows]))
+    rows = drawn(docs, labels, sample).mapInArrow(_featured, "doc_id long, label int, buckets binary").collect()
+    rows.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.label, bytes(r.buckets)))
+    x, label = [np.frombuffer(r.buckets, np.int32) for r in rows], np.array([r.label for r in rows], int)
+    positive, unlabelled = label % 2 == 1, label >= 2
+    # halves by doc_id, so that a repeated row isn't on both sides
+    half = (mix(np.array([r.doc_id or 0 for r in rows], np.int64).view(np.uint64)) & _U(1)) == 1
+    return fit(x, positive, unlabelled, class_prior(x, positive, unlabelled, half))
 
 
 def scored(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:

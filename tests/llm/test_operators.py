@@ -311,6 +311,27 @@ def test_classifiers(spark, docs, rows, empty, module, label):
     assert all(0 <= r.score <= 1 for r in score(docs).collect()) and score(docs).count() == len(rows) and score(empty).count() == 0
 
 
+@pytest.mark.parametrize("others", [0, None])
+def test_toxicity_finds_what_is_not_confirmed(spark, others):
+    """A quarter of the texts are toxic, a third of these confirmed; all others are labelled 0, or not at all."""
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(200)]
+    texts = [(i, " ".join([rnd.choice(words) for _ in range(30)] + ["vile", "nasty"] * (i % 4 == 0))) for i in range(1200)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    l = spark.createDataFrame([(i, 1 if i % 12 == 0 else others) for i in range(1200)], "doc_id long, toxic int")
+    got = [r for r in toxicity.scored(d, *toxicity.train(d, l)).collect() if r.held_out]
+    assert got and sum(r.predicted == (r.doc_id % 4 == 0) for r in got) / len(got) > 0.95
+
+
+def test_toxicity_corrects_a_negative_risk():
+    """Positives that are not among the unlabelled drive the risk below 0; the fit stays finite and the prior comes from elsewhere."""
+    x = [np.array([k], np.int32) for k in [1] * 40 + [2] * 60]
+    positive, unlabelled = np.arange(100) < 40, np.arange(100) >= 40
+    assert toxicity.class_prior(x, positive, unlabelled, np.arange(100) % 2 == 1) < 0.05
+    loose = toxicity.fit(x, positive, unlabelled, 0.3, steps=2000)
+    assert abs(loose[0][1]) < 20 and loose[0][1] > 0
+
+
 def test_components_of_random_graphs(spark):
     rnd = random.Random(9)
     edges = [(i, i + 1) for i in range(40)] + [(100 + rnd.randrange(60), 100 + rnd.randrange(60)) for _ in range(50)] + [(500, 300 + k) for k in range(30)]
