@@ -3,8 +3,8 @@
 One random walk, shared by all texts, reads a text's characters: at step j a character of class x is
 written and the walk moves on if bit (x, j) says so. Edits become few differences between the written
 strings. A fingerprint holds the string at fixed steps, as many in each octave [2^k, 2^(k+1)), so texts
-of any length compare; likeness is the weighted share of equal samples. Bands of samples find near
-fingerprints, likeness verifies them. Null text is empty, its fingerprint too; two empty ones are alike
+of any length compare; likeness is the weighted share of equal samples. near_pairs() finds near
+fingerprints by bands of samples and verifies them by likeness; with_edits() doesn't call it. Null text is empty, its fingerprint too; two empty ones are alike
 (1.0); repeated rows are next to each other; a single row is next to itself.
 """
 
@@ -14,12 +14,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textblocks import _U, mix
 
-CLASSES, PERIOD, EACH, BLOCK_CHARS = 16, 1 << 16, 16, 12_000_000
+CLASSES, PERIOD, EACH, BLOCK_CHARS, TILE = 16, 1 << 16, 16, 12_000_000, 1000
 _move = (mix(np.arange(CLASSES * PERIOD, dtype=np.uint64) + _U(0xABCDEF)) & _U(1)).astype(bool).reshape(CLASSES, PERIOD)
 #: STAY[x, j]: steps from j until the walk has left a character of class x.
 STAY = np.ones((CLASSES, PERIOD), np.int32)
@@ -166,10 +166,20 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
 
 def near_pairs(prints: DataFrame, samples: int = 12, bands: int = 8, least: float = 0.8) -> DataFrame:
-    """(a, b, likeness) between the least doc_ids of different fingerprints that share a band; large bands compare with their least."""
-    one = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id")).filter("fingerprint <> ''")
-    banded = one.select("id", "fingerprint", F.posexplode(F.array(*[F.substring("fingerprint", -(b + 1) * samples, samples) for b in range(bands)])).alias("band", "part"))
-    head = F.min(F.struct("id", "fingerprint")).over(Window.partitionBy("band", "part"))
-    pairs = banded.withColumn("head", head).filter("id > head.id").select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.fingerprint").alias("x"), F.col("fingerprint").alias("y")).distinct()
+    """(a, b, likeness) of all pairs of different fingerprints that share a band, by their least doc_ids.
+
+    Bands are the last cells of a grid over the samples, so lengths of different octaves meet; a short
+    fingerprint has as many as it fills. A large band's pairs are dealt over tiles of TILE x TILE.
+    """
+    one = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id")).filter("fingerprint <> '' and id is not null")
+    filled = F.rtrim("fingerprint", F.lit("z"))
+    cells = F.ceil(F.length(filled) / F.lit(samples)).cast("int")
+    cell = F.explode(F.sequence(F.greatest(cells - bands, F.lit(0)), cells - 1))
+    banded = one.filter(F.length(filled) > 0).select("id", "fingerprint", cell.alias("cell")).withColumn("part", F.rtrim(F.substring("fingerprint", F.col("cell") * samples + 1, F.lit(samples)), F.lit("z")))
+    many = banded.groupBy("cell", "part").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"), F.count("*").alias("n")).filter("n > 1")
+    dealt = banded.join(many, ["cell", "part"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    left = dealt.select("cell", "part", F.col("own").alias("i"), F.col("other").alias("j"), F.col("id").alias("a"), F.col("fingerprint").alias("x"))
+    right = dealt.select("cell", "part", F.col("other").alias("i"), F.col("own").alias("j"), F.col("id").alias("b"), F.col("fingerprint").alias("y"))
+    pairs = left.join(right, ["cell", "part", "i", "j"]).filter("a < b").select("a", "b", "x", "y").distinct()
     scored = F.pandas_udf(lambda x, y: x.combine(y, likeness), "double")
     return pairs.withColumn("likeness", scored("x", "y")).filter(F.col("likeness") >= least).select("a", "b", "likeness")

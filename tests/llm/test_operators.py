@@ -278,6 +278,26 @@ def test_fingerprints(docs, rows, empty):
     assert fingerprints.with_edits(empty).count() == 0
 
 
+@pytest.mark.parametrize("tile", [1000, 2])
+def test_near_pairs_are_all_that_share_a_band(spark, monkeypatch, tile):
+    """A band's least member is unlike the others; short fingerprints and other octaves; against all pairs."""
+    monkeypatch.setattr(fingerprints, "TILE", tile)
+    rnd = random.Random(7)
+    y = "".join(rnd.choice("0123456789abcdef") for _ in range(96))
+    other = lambda c: "0123456789abcdef"[("0123456789abcdef".index(c) + 5) % 16]
+    w = "".join(other(c) if k % 12 == 0 and k < 84 else c for k, c in enumerate(y))
+    x = "".join(other(c) if k < 84 else c for k, c in enumerate(y))
+    prints = [x, y, w, y + "z" * 16, y[:16], y[:15] + "0", y[:4] + "z" * 12, w[:32], "", y]
+    prints += ["".join(rnd.choice("01") for _ in range(16)) for _ in range(40)]
+    ids = {}
+    for i, f in enumerate(prints):
+        ids.setdefault(f, i)
+    cells = lambda f: {(k, f[12 * k : 12 * k + 12].rstrip("z")) for k in range(-(-len(f.rstrip("z")) // 12))[-8:]}
+    want = {(min(i, j), max(i, j)) for f, i in ids.items() for g, j in ids.items() if i < j and cells(f) & cells(g) and fingerprints.likeness(f, g) >= 0.8}
+    got = [(r.a, r.b) for r in fingerprints.near_pairs(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")).collect()]
+    assert (1, 2) in want and len(got) == len(set(got)) and set(got) == want
+
+
 def test_likeness_follows_edits():
     rnd = random.Random(1)
     base = "".join(rnd.choice("abcdefghij ") for _ in range(4000))
