@@ -1,53 +1,36 @@
 """Katz backoff language model over words, and the log10 probability of every text.
 
-Counts come from the training folds. The HEAD most frequent words (a parameter, so their table's size is
-bounded) have ids of their own; all others share one class, within which a word has its unigram share.
-P(w | h) is the Good-Turing discounted bigram estimate where (h, w) was seen, else alpha(h) P(w), with
-alpha exactly the mass left over; P(w) is the discounted unigram estimate, its left mass for unseen
-words as one event. Tables lie in the shared folder, dealt by hash. Null text is empty: one end token.
+P(w | h) is the Good-Turing discounted estimate where the n-gram (h, w) was seen in the training texts,
+else alpha(h) P(w | h without its first word), down to the discounted unigrams, whose left mass goes to
+unseen words as one event; alpha(h) is exactly the mass that h's seen words leave. N-grams of three words
+or more count as seen from LEAST occurrences on, at every input size; what rarer ones had goes to alpha.
+A text begins after end tokens and its end is a token. Null text is empty: one end token. Repeated rows
+count and are scored each; a null doc_id belongs to the fold of the empty text; no rows give no rows.
+
+Texts become blocks of hashed words, written once. For each order every block asks the buckets of n-grams,
+then the buckets of contexts, about its distinct ones; a bucket adds up what all blocks sent and answers in
+the order it was asked. A bucket takes TOKENS_A_BUCKET tokens' n-grams at most, so buckets grow with the input.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import fold, settled
-from .textblocks import _U, blocks, distinct, give_back, long, mix, owners
+from .textblocks import _U, blocks, give_back, mix, owners
 
-HEAD, BUCKETS, FLUSH, GT_MAX = 1 << 17, 64, 1_000_000, 5
+ORDER, LEAST, GT_MAX, TOKENS_A_BUCKET = 3, 2, 5, 3_000_000
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 END = np.uint64(0x1F2E3D4C5B6A7988)
-
-
-def _tokens(block) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, ptr) of each text's words and its end."""
-    words, _, _, ptr = block.words()
-    to = ptr + np.arange(len(ptr))
-    out = np.full(len(words) + block.n, END, np.uint64)
-    inside = np.ones(len(out), bool)
-    inside[to[1:] - 1] = False
-    out[inside] = words
-    return out, to
-
-
-def _split(bucket, *columns):
-    order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-    columns = [c[order] for c in columns]
-    for b, (s, e) in enumerate(zip(ends, ends[1:])):
-        if e > s:
-            yield (b, *(packed(c[s:e]) for c in columns))
-
-
-def _merged(keys, counts):
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+#: What a part of a block holds: its own arrays, then 10 k + COUNT, SHARE or ALPHA of order k as the buckets answered.
+WORDS, CODES, IDS, NULL, HELD, LENGTHS = range(6)
+KINDS = {WORDS: "u8", CODES: "u4", IDS: "i8", NULL: "u1", HELD: "u1", LENGTHS: "i8"}
+COUNT, SHARE, ALPHA = 0, 1, 2
+PART = "block long, kind int, bucket int, data binary"
+ASKED = "bucket int, block long, keys binary, counts binary, kept binary, mass binary, single long"
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -62,56 +45,54 @@ def unpacked(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
 
 
-class Tally:
-    """Counts of uint64 keys, merged as they come; rows of (bucket, keys, counts) when there are many."""
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted keys as the steps between them."""
+    return packed(np.diff(keys, prepend=_U(0)))
 
-    def __init__(self):
-        self.held, self.n = [], 0
 
-    def add(self, keys):
-        one, count = np.unique(keys, return_counts=True)
-        self.held.append((one, count))
-        self.n += len(one)
+def _keys(b: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(b, "u8"), dtype=np.uint64)
 
-    def flush(self):
-        keys, counts = _merged(*(np.concatenate(x) for x in zip(*self.held)))
-        self.held, self.n = [], 0
-        rows = list(_split((mix(keys) >> _U(40)).astype(np.int64) % BUCKETS, keys, counts.astype(np.uint32)))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "keys", "counts"])
 
+def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values in order, where each value lies among them)."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(x)]
+    at = np.empty(len(x), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ordered[new], at
 
-def _counted(code):
-    """Counts over the training texts of what code(tokens, ptr) gives."""
-
-    def run(batches):
-        tally = Tally()
-        for batch in batches:
-            for _, block in blocks(batch):
-                tally.add(code(*_tokens(block)))
-                if tally.n > FLUSH:
-                    yield tally.flush()
-        if tally.n:
-            yield tally.flush()
-        give_back()
-
-    return run
-
-
-def _sum(t: pa.Table) -> pa.Table:
-    keys, counts = _merged(np.concatenate([unpacked(x, np.uint64) for x in t["keys"].to_pylist()]), np.concatenate([unpacked(x, np.uint32) for x in t["counts"].to_pylist()]).astype(np.int64))
-    small = np.bincount(counts[counts <= 4096], minlength=4097)
-    return pa.table({"bucket": t["bucket"][:1], "keys": pa.array([keys.tobytes()]), "counts": pa.array([counts.astype(np.uint32).tobytes()]), "total": [int(counts.sum())], "types": [len(keys)], "freq": pa.array([small.tolist()], pa.list_(pa.int64()))})
 
+def _tokens(block) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, ptr) of each text's words and its end."""
+    words, _, _, ptr = block.words()
+    to = ptr + np.arange(len(ptr))
+    out = np.full(len(words) + block.n, END, np.uint64)
+    inside = np.ones(len(out), bool)
+    inside[to[1:] - 1] = False
+    out[inside] = words
+    return out, to
 
-TABLE = "bucket int, keys binary, counts binary, total long, types long, freq array<long>"
 
+def _stored(batches):
+    """Parts of blocks of texts: distinct words, each token's word, and the documents' ids, flags and lengths."""
+    from pyspark import TaskContext
 
-def _freq(table: DataFrame) -> np.ndarray:
-    """How many keys have count 0 to 4096."""
-    out = np.zeros(4097, np.int64)
-    for r in table.select("freq").toLocalIterator():
-        out += np.array(r.freq)
-    return out
+    block_id = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for part, block in blocks(batch):
+            hashed, ptr = _tokens(block)
+            words, codes = ranked(hashed)
+            ids, flags = part.column(0), part.column(1)
+            own = {
+                WORDS: _steps(words), CODES: packed(codes.astype("u4")), IDS: packed(ids.fill_null(0).to_numpy()), LENGTHS: packed(np.diff(ptr)),
+                NULL: packed(ids.is_null().to_numpy(zero_copy_only=False).astype("u1")), HELD: packed(flags.fill_null(True).to_numpy(zero_copy_only=False).astype("u1")),
+            }
+            n = len(own)
+            yield pa.RecordBatch.from_arrays([pa.array([block_id] * n), pa.array(list(own), pa.int32()), pa.array([0] * n, pa.int32()), pa.array(list(own.values()), pa.binary())], names=["block", "kind", "bucket", "data"])
+            block_id += 1
+    give_back()
 
 
 def discounts(freq: np.ndarray) -> np.ndarray:
@@ -132,193 +113,239 @@ def discounts(freq: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Unigrams of the head and what all the rest has; filled on the driver, at most HEAD words."""
-
-    def __init__(self, head, counts, total, types, freq):
-        order = np.argsort(head)
-        self.head, self.count = head[order], counts[order].astype(float)
-        self.total, self.types, self.d1 = total, types, discounts(freq)
-        mass = sum((1 - self.d1[r]) * r * freq[r] for r in range(1, GT_MAX + 1)) / max(total, 1)
-        # the unseen event never has less than one added half count would give it
-        self.unseen = max(mass, 0.5 / (total + 0.5 * (types + 1))) if total else 1.0
-        self.scale = (1 - self.unseen) / (1 - mass) / max(total, 1) if mass < 1 else 0.0
-        seen = self.count * self.d1[np.minimum(counts[order], GT_MAX + 1)] * self.scale
-        self.p = np.append(max(1.0 - seen.sum(), 1e-12), seen)  # 0: the rest
-
-    def ids(self, tokens: np.ndarray) -> np.ndarray:
-        if not len(self.head):
-            return np.zeros(len(tokens), np.int64)
-        at = np.minimum(np.searchsorted(self.head, tokens), len(self.head) - 1)
-        return np.where(self.head[at] == tokens, at + 1, 0)
-
-    def pairs(self, tokens: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-        """(h, w) of each token as one number; a text's first token has the context of an end."""
-        w = self.ids(tokens)
-        h = np.empty_like(w)
-        h[1:] = w[:-1]
-        h[ptr[:-1]] = self.ids(np.array([END]))[0]
-        return (h.astype(np.uint64) << _U(32)) | w.astype(np.uint64)
-
-
-def _contexts(d2, p):
-    """Of a bucket's bigrams: for each context its count, discounted count and the unigram mass of its words."""
-
-    def run(batches):
-        for batch in batches:
-            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                k, c = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32).astype(float)
-                h, w = (k >> _U(32)).astype(np.int64), (k & _U(0xFFFFFFFF)).astype(np.int64)
-                n = int(h.max(initial=0)) + 1
-                some = np.flatnonzero(np.bincount(h, minlength=n))
-                kept = c * d2[np.minimum(c, GT_MAX + 1).astype(int)]
-                sums = [np.bincount(h, x, n)[some] for x in (c, kept, p[w])]
-                yield pa.RecordBatch.from_arrays([long(some), *map(pa.array, sums)], names=["h", "c", "kept", "mass"])
+    """What is known of all training texts at once: a few numbers for each order."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.d = buckets, {}
+
+    def counted(self, k: int, freq: np.ndarray, total: int, types: int) -> None:
+        d = self.d[k] = discounts(freq)
+        if k == 1:
+            self.total, self.types = total, types
+            mass = sum((1 - d[r]) * r * freq[r] for r in range(1, GT_MAX + 1)) / max(total, 1)
+            # the unseen event never has less than one added half count would give it
+            self.unseen = max(mass, 0.5 / (total + 0.5 * (types + 1))) if total else 1.0
+            self.scale = (1 - self.unseen) / (1 - mass) / max(total, 1) if mass < 1 else 0.0
+
+    def cut(self, k: int, counts: np.ndarray) -> np.ndarray:
+        return self.d[k][np.minimum(counts, GT_MAX + 1)]
+
+
+class Texts:
+    """A block's tokens and what the buckets have answered about them. Order k's n-gram ends at each token."""
+
+    def __init__(self, model: Model, rows: pa.Table):
+        self.model, parts = model, {}
+        kind, bucket, data = (rows.column(c).to_pylist() for c in ("kind", "bucket", "data"))
+        for i in sorted(range(len(kind)), key=lambda i: (kind[i], bucket[i])):
+            parts.setdefault(kind[i], []).append(data[i])
+        self.own = {k: _keys(parts[k][0]) if k == WORDS else unpacked(parts[k][0], t) for k, t in KINDS.items()}
+        self.answers = {k: np.concatenate([unpacked(x, "i8" if k % 10 == COUNT else "f8") for x in own]) for k, own in parts.items() if k >= 10}
+        self.lengths = self.own[LENGTHS]
+        ptr = np.append(0, np.cumsum(self.lengths))
+        self.first = np.zeros(ptr[-1], bool)
+        self.first[ptr[:-1]] = True
+        self.owner = owners(ptr)
+        self.learn = self.own[HELD][self.owner] == 0
+        self.gram, self.at, self.of = {}, {}, {}
+
+    def key(self, k: int) -> np.ndarray:
+        if k not in self.gram:
+            word = self.own[WORDS][self.own[CODES]]
+            self.gram[k] = word if k == 1 else mix(self.context(k) * _U(0x9FB21C651E98DF25) + word)
+        return self.gram[k]
+
+    def context(self, k: int) -> np.ndarray:
+        """The key of the k - 1 tokens before each token; ends stand before a text."""
+        begin = np.array([END])
+        for _ in range(k - 2):
+            begin = mix(begin * _U(0x9FB21C651E98DF25) + END)
+        below = self.key(k - 1)
+        out = np.empty_like(below)
+        out[1:] = below[:-1]
+        out[self.first] = begin
+        return out
+
+    def open(self, k: int, whole: bool) -> np.ndarray:
+        """Where order k's context (whole: its n-gram) can have been seen LEAST times, as far as the order below tells."""
+        if k < 3:
+            return np.ones(len(self.first), bool)
+        often = self.count(k - 1) >= LEAST
+        before = np.append(True, often[:-1])[: len(often)] | self.first
+        return before & often if whole else before
+
+    def asked(self, k: int, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(open tokens, distinct keys, which of them each open token has)."""
+        if (k, whole) not in self.at:
+            open_ = np.flatnonzero(self.open(k, whole))
+            self.at[k, whole] = (open_, *ranked((self.key(k) if whole else self.context(k))[open_]))
+        return self.at[k, whole]
+
+    def answer(self, k: int, what: int, missing: float) -> np.ndarray:
+        """A bucket's answer at each token."""
+        if (k, what) not in self.of:
+            open_, _, at = self.asked(k, what == COUNT)
+            out = np.full(len(self.first), missing, np.int64 if what == COUNT else np.float64)
+            if 10 * k + what in self.answers:
+                out[open_] = self.answers[10 * k + what][at]
+            self.of[k, what] = out
+        return self.of[k, what]
+
+    def count(self, k: int) -> np.ndarray:
+        return self.answer(k, COUNT, 0)
+
+    def seen(self, k: int) -> np.ndarray:
+        return self.count(k) >= (LEAST if k > 2 else 1)
+
+    def p(self, k: int) -> np.ndarray:
+        """Each token's probability after the k - 1 tokens before it."""
+        c = self.count(k)
+        kept = self.model.cut(k, c) * c
+        if k == 1:
+            return np.where(c > 0, kept * self.model.scale, self.model.unseen)
+        return np.where(self.seen(k), kept * self.answer(k, SHARE, 0.0), self.answer(k, ALPHA, 1.0) * self.p(k - 1))
+
+
+def _asks(model: Model, block: int, keys: np.ndarray, single: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket that has some of the sorted keys."""
+    bucket = ((keys >> _U(32)) * _U(model.buckets)) >> _U(32)
+    ends = np.searchsorted(bucket, np.arange(model.buckets + 1).astype(np.uint64))
+    some = np.flatnonzero(np.diff(ends))
+    slices = [slice(ends[b], ends[b + 1]) for b in some]
+    data = [[_steps(keys[s]) for s in slices], *[[packed(x[s]) for s in slices] for x in columns]]
+    data += [[None] * len(some)] * (4 - len(data))
+    singles = np.where(np.arange(len(some)) == 0, single, 0)
+    if single and not len(some):  # nothing is asked, but what is known to occur once still counts
+        some, data, singles = np.zeros(1), [[packed(np.zeros(0, "u8"))]] * 2 + [[None]] * 2, np.array([single])
+    arrays = [pa.array(some.astype(np.int32)), pa.array([block] * len(some), pa.int64()), *[pa.array(x, pa.binary()) for x in data], pa.array(singles.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(arrays, names=["bucket", "block", "keys", "counts", "kept", "mass", "single"])
+
+
+def _grams(model: Model, k: int):
+    """A block's distinct n-grams and how often each occurs in its training texts."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        t = Texts(model, rows)
+        open_, keys, at = t.asked(k, True)
+        counts = np.bincount(at[t.learn[open_]], minlength=len(keys))
+        return pa.Table.from_batches([_asks(model, rows["block"][0].as_py(), keys, int(t.learn.sum() - t.learn[open_].sum()), counts)])
 
     return run
 
 
-def _queries(model: Model):
-    """Rows of (bucket, block, docs, keys, counts): bigrams at buckets from 0, rare words from BUCKETS, a block's own rows from 2 * BUCKETS."""
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        block_id = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for part, block in blocks(batch):
-                tokens, ptr = _tokens(block)
-                owner, ids = owners(ptr), model.ids(tokens)
-                n = np.diff(ptr)
-                count = np.append(0.0, model.count)[ids]
-                base = np.where(ids > 0, np.log10((count + 0.5) / (model.total + 0.5 * (model.types + 1))), 0.0)
-                own = (part.column(0).cast(pa.int64()).fill_null(0).to_numpy(), part.column(0).is_null().to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False), n, np.bincount(owner, ids > 0, block.n).astype(np.int64), np.bincount(owner, base, block.n))
-                rows = [(2 * BUCKETS + block_id % BUCKETS, block_id, *[x.tobytes() for x in own[:3]], *[x.tobytes() for x in own[3:]])]
-                o, v, c = distinct(owner, model.pairs(tokens, ptr))
-                b = (mix(v) >> _U(40)).astype(np.int64) % BUCKETS
-                rows += [(r[0], block_id, *r[1:], None, None, None) for r in _split(b, o.astype(np.uint32), v, c.astype(np.uint32))]
-                rare = ids == 0
-                o, v, c = distinct(owner[rare], tokens[rare])
-                b = (mix(v) >> _U(40)).astype(np.int64) % BUCKETS
-                rows += [(BUCKETS + r[0], block_id, *r[1:], None, None, None) for r in _split(b, o.astype(np.uint32), v, c.astype(np.uint32))]
-                kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
-                for s in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[s : s + 64]), kinds)], names=QUERY)
-                block_id += 1
-            give_back()
+def _contexts(model: Model, k: int):
+    """A block's distinct contexts, how often each is followed, the discounted counts it keeps and the lower order's mass of its seen words."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        t = Texts(model, rows)
+        open_, keys, at = t.asked(k, False)
+        learn, c = t.learn[open_], np.maximum(t.count(k)[open_], 1)
+        seen = learn & t.seen(k)[open_]
+        sums = [np.bincount(at[ok], x[ok], len(keys)) for ok, x in ((seen, model.cut(k, c)), (seen, t.p(k - 1)[open_] / c))]
+        return pa.Table.from_batches([_asks(model, rows["block"][0].as_py(), keys, 0, np.bincount(at[learn], minlength=len(keys)), *sums)])
 
     return run
 
 
-PASSED = ["block", "docs", "keys", "counts", "n", "known", "base"]
-QUERY = ["bucket", "block", "docs", "keys", "counts", "n", "known", "base"]
-
-
-def _answers(model: Model, c, kept, mass, d2):
-    # a context keeps half a count at least for what it wasn't seen with, unless every word follows it
-    full = mass > 1 - 1e-9
-    held = np.where(full, c, np.minimum(kept, c - 0.5))
-    share = np.where(kept > 0, held / np.maximum(kept * c, 1e-12), 0.0)
-    alpha = np.where(c > 0, np.where(full, 0.0, (1 - held / np.maximum(c, 1e-300)) / np.maximum(1 - mass, 1e-12)), 1.0)
-
-    def run(key, queries: pa.Table, tables: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
-        if bucket >= 2 * BUCKETS:
-            return pa.table([queries[x] for x in PASSED] + [pa.nulls(queries.num_rows, pa.binary())], names=[*PASSED, "sums"])
-        keys = np.frombuffer(tables["keys"][0].as_py(), np.uint64) if tables.num_rows else np.zeros(0, np.uint64)
-        counts = np.frombuffer(tables["counts"][0].as_py(), np.uint32).astype(np.int64) if tables.num_rows else np.zeros(0, np.int64)
-        rows = []
-        for i in range(queries.num_rows):
-            docs, v, n = (unpacked(queries[x][i].as_py(), t) for x, t in (("docs", np.uint32), ("keys", np.uint64), ("counts", np.uint32)))
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, v), len(keys) - 1)
-                seen = np.where(keys[at] == v, counts[at], 0)
-            else:
-                seen = np.zeros(len(v), np.int64)
-            found = d2[np.minimum(seen, GT_MAX + 1)] * seen
-            if bucket < BUCKETS:
-                h, w = (v >> _U(32)).astype(np.int64), (v & _U(0xFFFFFFFF)).astype(np.int64)
-                p = np.where(seen > 0, found * share[h], alpha[h] * model.p[w])
-                parts = [np.log10(np.maximum(p, 1e-300)) * n, 0 * n, 0.0 * n]
-            else:
-                one = np.where(seen > 0, model.d1[np.minimum(seen, GT_MAX + 1)] * seen * model.scale, model.unseen)
-                base = np.log10((seen + 0.5) / (model.total + 0.5 * (model.types + 1)))
-                parts = [np.log10(np.minimum(one / model.p[0], 1.0)) * n, (seen > 0) * n, base * n]
-            some, whose = np.unique(docs, return_inverse=True)
-            sums = [np.bincount(whose, x, len(some)) for x in parts]
-            rows.append((queries["block"][i].as_py(), some.tobytes(), np.stack(sums).tobytes()))
-        columns = list(zip(*rows)) if rows else [[]] * 3
-        none = pa.nulls(len(rows), pa.binary())
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), *[none] * 5, pa.array(columns[2], pa.binary())], names=[*PASSED, "sums"])
+def _gathered(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's rows in the order of their blocks, where each row's keys end, the distinct keys and which each is."""
+    rows = rows.sort_by("block")
+    keys = [_keys(x) for x in rows["keys"].to_pylist()]
+    ends = np.cumsum([len(x) for x in keys])
+    return rows, ends, *ranked(np.concatenate(keys))
+
+
+def _answered(rows: pa.Table, ends: np.ndarray, at: np.ndarray, columns: list[tuple[int, np.ndarray]], stat: list[int] | None) -> pa.Table:
+    out, bucket = [], rows["bucket"][0].as_py()
+    for i, block in enumerate(rows["block"].to_pylist()):
+        own = at[ends[i - 1] if i else 0 : ends[i]]
+        out += [(block, kind, bucket, packed(x[own]), None) for kind, x in columns if len(own)]
+    if stat:
+        out.append((None, None, bucket, None, stat))
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)], names=["block", "kind", "bucket", "data", "stat"])
+
+
+def _counts(k: int):
+    def run(rows: pa.Table) -> pa.Table:
+        rows, ends, keys, at = _gathered(rows)
+        given = np.concatenate([unpacked(x, "i8") for x in rows["counts"].to_pylist()])
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, at, given)
+        freq = np.bincount(np.minimum(total, GT_MAX + 2), minlength=GT_MAX + 3)
+        freq[1] += sum(rows["single"].to_pylist())
+        return _answered(rows, ends, at, [(10 * k + COUNT, total)], [*freq.tolist(), int(total.sum()), int((total > 0).sum())])
 
     return run
 
 
-def _joined(t: pa.Table) -> pa.Table:
-    """One block's documents: their own row and the sums that the buckets gave."""
-    own = pc.is_null(t["sums"])
-    row, answers = t.filter(own).to_pylist()[0], t.filter(pc.invert(own))
-    ids, null, held = (np.frombuffer(row[x], t) for x, t in (("docs", np.int64), ("keys", bool), ("counts", bool)))
-    n, known, base = (np.frombuffer(row[x], t).astype(float) for x, t in (("n", np.int64), ("known", np.int64), ("base", np.float64)))
-    score = np.zeros(len(n))
-    docs, sums = answers["docs"].to_pylist(), answers["sums"].to_pylist()
-    for i in sorted(range(len(docs)), key=lambda i: (docs[i], sums[i])):  # the same order, so the same sums, in each run
-        d, s = np.frombuffer(docs[i], np.uint32), np.frombuffer(sums[i], np.float64).reshape(3, -1)
-        score[d] += s[0]
-        known[d] += s[1]
-        base[d] += s[2]
-    return pa.table({"doc_id": pa.array(ids, mask=null), "held_out": held, "n_tokens": n.astype(np.int64), "n_known": known.astype(np.int64), "base_score": base, "score": score})
-
-
-def score(docs: DataFrame, train: DataFrame, head: int = HEAD) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; docs has held_out."""
+def _backoff(k: int):
+    def run(rows: pa.Table) -> pa.Table:
+        rows, ends, keys, at = _gathered(rows)
+        c, kept, mass = (np.bincount(at, np.concatenate([unpacked(x, t) for x in rows[name].to_pylist()]), len(keys)) for name, t in (("counts", "i8"), ("kept", "f8"), ("mass", "f8")))
+        # a context keeps half a count at least for what it wasn't seen with, unless every word follows it
+        full = mass > 1 - 1e-9
+        held = np.where(full, c, np.minimum(kept, c - 0.5))
+        some = kept > 0
+        share = np.where(some, held / np.maximum(kept * c, 1e-300), 0.0)
+        alpha = np.where(some, np.where(full, 0.0, (1 - held / np.maximum(c, 1e-300)) / np.where(full, 1.0, 1 - mass)), 1.0)
+        return _answered(rows, ends, at, [(10 * k + SHARE, share), (10 * k + ALPHA, alpha)], None)
+
+    return run
+
+
+OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _scores(model: Model, order: int):
+    def run(rows: pa.Table) -> pa.Table:
+        t = Texts(model, rows)
+        n, c = len(t.lengths), t.count(1)
+        base = np.log10((c + 0.5) / (model.total + 0.5 * (model.types + 1)))
+        columns = [t.lengths, np.bincount(t.owner, c > 0, n).astype(np.int64), np.bincount(t.owner, base, n), np.bincount(t.owner, np.log10(t.p(order)), n)]
+        ids = pa.array(t.own[IDS], mask=t.own[NULL] == 1)
+        return pa.table([ids, pa.array(t.own[HELD] == 1), *map(pa.array, columns)], names=[x.split()[0] for x in OUT.split(", ")])
+
+    return run
+
+
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. docs: doc_id, text, held_out; rows that aren't held out are learnt from."""
     spark = docs.sparkSession
     rows = spark.conf.get(BATCH)
-    spark.conf.set(BATCH, "1000")  # Arrow batches of whole texts
+    spark.conf.set(BATCH, "1000")  # Arrow batches of whole texts, read here only
     try:
-        return _score(docs, train, head)
+        own = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(_stored, PART), "katz-blocks")
     finally:
         spark.conf.set(BATCH, rows)
-
-
-def _score(docs: DataFrame, train: DataFrame, head: int) -> DataFrame:
-    texts = train.select("text")
-    grouped = lambda code: settled(texts.mapInArrow(_counted(code), "bucket int, keys binary, counts binary").groupBy("bucket").applyInArrow(_sum, TABLE), "katz-counts")
-    words = grouped(lambda tokens, ptr: tokens)
-    total, types = words.agg(F.sum("total"), F.sum("types")).first()
-    total, types, freq = int(total or 0), int(types or 0), _freq(words)
-    high = types - int(freq.sum())
-    reach = high + np.cumsum(freq[::-1])[::-1]
-    least = int(np.argmax(reach <= head)) if (reach <= head).any() else 4097
-    heads, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-
-    def frequent(batches):
-        for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = np.frombuffer(c, np.uint32)
-                ok = n >= max(least, 1)
-                yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(k, np.uint64)[ok].tobytes()]), pa.array([n[ok].tobytes()])], names=["keys", "counts"])
-
-    for r in words.select("keys", "counts").mapInArrow(frequent, "keys binary, counts binary").toLocalIterator():
-        heads.append(np.frombuffer(bytes(r.keys), np.uint64))
-        counts.append(np.frombuffer(bytes(r.counts), np.uint32).astype(np.int64))
-    model = Model(np.concatenate(heads), np.concatenate(counts), total, types, freq)
-    pairs = grouped(lambda tokens, ptr: model.pairs(tokens, ptr))
-    d2 = discounts(_freq(pairs))
-    size = len(model.p)
-    c, kept, mass = np.zeros(size), np.zeros(size), np.zeros(size)
-    contexts = pairs.select("keys", "counts").mapInArrow(_contexts(d2, model.p), "h long, c double, kept double, mass double")
-    for r in contexts.groupBy("h").agg(*[F.sum(x).alias(x) for x in ("c", "kept", "mass")]).toLocalIterator():
-        c[r.h], kept[r.h], mass[r.h] = r.c, r.kept, r.mass
-    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(
-        _queries(model), "bucket int, block long, docs binary, keys binary, counts binary, n binary, known binary, base binary"
-    )
-    tables = pairs.select("bucket", "keys", "counts").unionByName(words.select((F.col("bucket") + BUCKETS).alias("bucket"), "keys", "counts"))
-    binary = ", ".join(f"{x} binary" for x in [*PASSED[1:], "sums"])
-    answers = asked.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(_answers(model, c, kept, mass, d2), f"block long, {binary}")
-    out = answers.groupBy("block").applyInArrow(_joined, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.withColumn("train_tokens", F.lit(total).cast("long"))
+    tokens = sum(int(unpacked(r.data, "i8").sum()) for r in own.filter(F.col("kind") == LENGTHS).select("data").toLocalIterator())
+    model = Model(max(16, -(-tokens // TOKENS_A_BUCKET)))
+    known: dict[int, DataFrame] = {}
+
+    def blocks_with(*kinds: int) -> DataFrame:
+        """Blocks and the answers of these kinds, dealt by block."""
+        parts = own
+        for kind in kinds:
+            parts = parts.unionByName(known[kind].filter(F.col("kind") == kind).select("block", "kind", "bucket", "data"))
+        return parts.groupBy("block")
+
+    def answered(asks: DataFrame, answer, name: str) -> DataFrame:
+        return settled(asks.groupBy("bucket").applyInArrow(answer, f"{PART}, stat array<long>"), name)
+
+    for k in range(1, order + 1):
+        below = [10 * j + COUNT for j in range(2, k)]
+        known[10 * k + COUNT] = table = answered(blocks_with(*below).applyInArrow(_grams(model, k), ASKED), _counts(k), f"katz-counts-{k}")
+        stats = table.filter("stat is not null").select(*[F.sum(F.col("stat")[i]) for i in range(GT_MAX + 5)]).first()
+        stats = [int(x or 0) for x in stats]
+        model.counted(k, np.array(stats[: GT_MAX + 3]), stats[-2], stats[-1])
+        if k > 1:
+            # what order k has seen the order below has seen, so its probability needs no backoff weight
+            needed = [*(10 * j + COUNT for j in range(1, k + 1)), *(10 * j + SHARE for j in range(2, k))]
+            both = answered(blocks_with(*needed).applyInArrow(_contexts(model, k), ASKED), _backoff(k), f"katz-contexts-{k}")
+            known[10 * k + SHARE] = known[10 * k + ALPHA] = both
+    out = blocks_with(*known).applyInArrow(_scores(model, order), OUT)
+    return out.withColumn("train_tokens", F.lit(model.total).cast("long"))
 
 
 def scored(docs: DataFrame) -> DataFrame:
-    held = docs.select("doc_id", "text", (fold() == 1).alias("held_out"))
-    return score(held, held.filter("not held_out"))
+    return score(docs.select("doc_id", "text", (fold() == 1).alias("held_out")))

@@ -204,63 +204,84 @@ def test_katz(docs, rows, empty):
     assert katz.scored(empty).count() == 0
 
 
-def brute_katz(texts, head):
-    """(P(w | h), vocabulary) by plain loops; None is the end, "?" an unseen word."""
+def brute_katz(texts, order):
+    """(P(w | the words before it), vocabulary) by plain loops; None is the end, "?" an unseen word."""
     from collections import Counter
 
-    uni, bi = Counter(), Counter()
+    grams = {k: Counter() for k in range(1, order + 1)}
     for words in texts:
-        uni.update(words)
-    n = sum(uni.values())
-    freq = lambda c: np.array([sum(v == r for v in c.values()) for r in range(4097)])
-    d1 = katz.discounts(freq(uni))
-    least = next((c for c in sorted(set(uni.values())) if sum(v >= c for v in uni.values()) <= head), 10**9)
-    cls = lambda w: w if uni[w] >= least else "rare"
-    for words in texts:
-        bi.update(zip([cls(None), *map(cls, words)], map(cls, words)))
-    d2 = katz.discounts(freq(bi))
-    cut = lambda r: min(r, katz.GT_MAX + 1)
-    one = {w: d1[cut(c)] * c / n for w, c in uni.items()}
+        padded = [None] * (order - 1) + words
+        for i in range(order - 1, len(padded)):
+            for k in grams:
+                grams[k][tuple(padded[i - k + 1 : i + 1])] += 1
+    n = sum(grams[1].values())
+    d = {k: katz.discounts(np.bincount(list(c.values()), minlength=10)) for k, c in grams.items()}
+    cut = lambda k, c: d[k][min(c, katz.GT_MAX + 1)] * c
+    one = {w: cut(1, c) / n for (w,), c in grams[1].items()}
     mass = 1 - sum(one.values())
-    unseen = max(mass, 0.5 / (n + 0.5 * (len(uni) + 1)))
+    unseen = max(mass, 0.5 / (n + 0.5 * (len(one) + 1)))
     one = {w: p * (1 - unseen) / (1 - mass) for w, p in one.items()} | {"?": unseen}
-    group = Counter()
-    for w, p in one.items():
-        group[cls(w)] += p
-    after = Counter()
-    for (h, _), c in bi.items():
-        after[h] += c
+    cache = {}
 
     def p(w, h):
-        g, k = cls(w), cls(h)
-        share = one.get(w, one["?"]) / group[g] if g == "rare" else 1.0
-        if not after[k]:
-            return share * group[g]
-        seen = {x: d2[cut(c)] * c for (y, x), c in bi.items() if y == k}
-        kept, rest = sum(seen.values()), 1 - sum(group[x] for x in seen)
-        held = after[k] if set(seen) == set(group) else min(kept, after[k] - 0.5)
-        if g in seen:
-            return share * seen[g] * held / kept / after[k]
-        return share * group[g] * (1 - held / after[k]) / rest
-
-    return p, [*uni, "?"]
-
-
-@pytest.mark.parametrize("head", [1000, 12])
-def test_katz_against_brute_force(spark, head):
+        if (w, h) not in cache:
+            cache[w, h] = _p(w, h)
+        return cache[w, h]
+
+    def _p(w, h):
+        if not h:
+            return one.get(w, one["?"])
+        k = len(h) + 1
+        after = sum(c for g, c in grams[k].items() if g[:-1] == h)
+        seen = {g[-1]: cut(k, c) for g, c in grams[k].items() if g[:-1] == h and c >= (katz.LEAST if k > 2 else 1)}
+        if not seen:
+            return p(w, h[1:])
+        kept, rest = sum(seen.values()), 1 - sum(p(x, h[1:]) for x in seen)
+        held = after if rest < 1e-9 else min(kept, after - 0.5)
+        return seen[w] * held / kept / after if w in seen else p(w, h[1:]) * (1 - held / after) / rest
+
+    return p, [*one]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_against_brute_force(spark, monkeypatch, order):
+    """Several blocks and buckets; repeated, empty and null texts; the brute force sums to 1, and what the engine gives equals it."""
+    monkeypatch.setattr(katz, "TOKENS_A_BUCKET", 20)
     rnd = random.Random(2)
     words = [f"w{i}" for i in range(30)]
-    texts = [[words[min(29, int(rnd.expovariate(0.2)))] for _ in range(rnd.randint(1, 9))] for _ in range(120)]
-    train = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    p, vocabulary = brute_katz([[*t, None] for t in texts], head)
-    for h in ("w0", "w3", None, "?"):
+    texts = [[words[min(29, int(rnd.expovariate(0.2)))] for _ in range(rnd.randint(0, 9))] for _ in range(120)]
+    p, vocabulary = brute_katz([[*t, None] for t in texts], order)
+    for h in (["w0", "w3", "w1"], [None, None, None], ["?", "?", "?"], ["w1", "?", "w2"]):
+        h = tuple(h[: order - 1])
         assert abs(sum(p(w, h) for w in vocabulary) - 1) < 1e-9
     asked = [*texts[:40], ["w29", "w0", "nowhere", "w1"], ["nowhere"], []]
-    ask = spark.createDataFrame([(i, " ".join(t), True) for i, t in enumerate(asked)], "doc_id long, text string, held_out boolean")
-    for r in katz.score(ask, train, head).collect():
-        t = [None, *asked[r.doc_id], None]
-        want = sum(np.log10(p(w if w is None or w in vocabulary else "?", h)) for h, w in zip(t, t[1:]))
-        assert abs(want - r.score) < 1e-6 * max(1, abs(want)), (r, want)
+    rows = [(1000 + i, " ".join(t) or None, False) for i, t in enumerate(texts)] + [(i, " ".join(t), True) for i, t in enumerate(asked)]
+    rnd.shuffle(rows)
+    got = katz.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(7), order).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        t = [None] * (order - 1) + (asked[r.doc_id] if r.doc_id < 1000 else texts[r.doc_id - 1000]) + [None]
+        want = sum(np.log10(p(t[i] if t[i] is None or t[i] in vocabulary else "?", tuple(t[i - order + 1 : i]))) for i in range(order - 1, len(t)))
+        assert abs(want - r.score) < 1e-9 * max(1, abs(want)), (r, want)
+
+
+def test_katz_sums_to_one(spark):
+    """The engine's own probabilities of every word that can follow a context, an unseen one included."""
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(words[min(11, int(rnd.expovariate(0.4)))] for _ in range(rnd.randint(1, 12))) for _ in range(80)]
+    contexts = ("w0 w1", "w3 w0", "w11 w11", "unseen w0")
+    asked = [x for h in contexts for x in (h, *(f"{h} {w}" for w in [*words, "nowhere"]))]
+    rows = [(i, t, True) for i, t in enumerate(asked)] + [(1000 + i, t, False) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.score for r in katz.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect()}
+    p, vocabulary = brute_katz([[*t.split(), None] for t in texts], 3)
+    for k, h in enumerate(contexts):
+        # every text ends: P(h w end) = P(h) P(w | h) P(end | h w), and P(h end) = P(h) P(end | h)
+        w = [None, None, *h.split()]
+        front = sum(np.log10(p(w[i] if w[i] in vocabulary else "?", tuple(w[i - 2 : i]))) for i in range(2, len(w)))
+        end = lambda x: np.log10(p(None, (h.split()[-1], x)))
+        own = [got[14 * k + i] - front for i in range(14)]
+        assert abs(10 ** own[0] + sum(10 ** (own[i] - end(x)) for i, x in enumerate([*words, "?"], 1) if x in vocabulary) - 1) < 1e-9
 
 
 def test_fingerprints(docs, rows, empty):
