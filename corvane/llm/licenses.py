@@ -2,13 +2,14 @@
 
 A text is lower-cased (A-Z) and its words are set apart by single blanks. Rules are regular expressions
 over these words; each is tried only where one of its keywords is among the words. A detection that lies within
-another of higher rank, or within a longer one, is suppressed. Null text is empty: no words, no labels,
-score 0. Repeated rows are kept each; doc_id may be null or tie (rows are told apart by an own id).
+a longer one, or has the same words as one of higher rank, is suppressed: in the order of their starts, longer
+ones first, a detection stays if it ends beyond all before it. Null text is empty: no words, no labels, score 0.
+Repeated rows are kept each; doc_id may be null or tie (a text is told by doc_id and its hash).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import ascii_lower
@@ -31,7 +32,7 @@ gpl-1.0; gnu; gnu (?:general public license|gpl){_V} 1(?: 0)?; gpl 1 0(?: only|
 gpl-2.0; gnu; gnu (?:general public license|gpl){_V} 2(?: 0)?; gpl 2 0 only
 gpl-2.0-or-later; gnu; gnu (?:general public license|gpl){_V} 2(?: 0)? or (?:at your option )?(?:any )?later; gpl 2 0 or later
 gpl-3.0; gnu; gnu (?:general public license|gpl){_V} 3(?: 0)?; gpl 3 0 only
-gpl-3.0-or-later; gnu; gnu (?:general public license|gpl){_V} 3(?: 0)? or (?:any )?later; gpl 3 0 or later
+gpl-3.0-or-later; gnu; gnu (?:general public license|gpl){_V} 3(?: 0)? or (?:at your option )?(?:any )?later; gpl 3 0 or later
 lgpl-2.0; library; gnu library general public license{_V} 2(?: 0)?; lgpl 2 0(?: only| or later)?
 lgpl-2.1; lesser; gnu lesser general public license{_V} 2 1; lgpl 2 1(?: only| or later)?
 lgpl-3.0; lesser; gnu lesser general public license{_V} 3(?: 0)?; lgpl 3 0(?: only| or later)?
@@ -211,45 +212,44 @@ def _blanks(x):
     return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Own columns of docs beside text, with n_words and found: array of (label, base, first, length, rank, sure)."""
-    spark = docs.sparkSession
-    table = spark.createDataFrame(
+def detections(docs: DataFrame) -> DataFrame:
+    """doc_id, t (the text's hash), label, base, first, length, rank, sure, kept: a row for each place where a rule matches a text."""
+    table = docs.sparkSession.createDataFrame(
         [(label, key, rank, sure, pattern, (label, keys, pattern[4:-6]) in BASE) for label, keys, rank, sure, pattern in rules() for key in keys.split()],
         "label string, keyword string, rank int, sure double, pattern string, base boolean",
     )
     text = F.coalesce("text", F.lit(""))
     gated = docs.filter(text.rlike(gate())).select("doc_id", F.xxhash64(text).alias("t"), ascii_lower("text").alias("low"))
-    docs = docs.select("*", F.regexp_count(text, F.lit(RAW_WORD)).cast("long").alias("n_words"), F.xxhash64(text).alias("t")).drop("text")
     normal = gated.select("doc_id", "t", F.concat(F.lit(" "), F.trim(F.regexp_replace("low", NOT_WORD, " ")), F.lit(" ")).alias("norm"))
     keywords = F.array(*[F.lit(k) for k in sorted({k for r in rules() for k in r[1].split()})])
     tried = normal.withColumn("keyword", F.explode(F.array_intersect(F.split("norm", " "), keywords))).join(F.broadcast(table), "keyword")
     tried = tried.filter(F.expr("norm rlike pattern"))
-    parts, hits = F.expr("split(norm, pattern, -1)"), F.expr("regexp_extract_all(norm, pattern, 0)")
-    tried = tried.withColumn("gaps", F.transform(parts, _blanks)).withColumn("lengths", F.transform(hits, _blanks))
-    places = F.expr(
-        "transform(lengths, (n, k) -> named_struct('label', label, 'base', base, 'first', cast(aggregate(slice(gaps, 1, k + 1), 0, (a, x) -> a + x)"
-        " + aggregate(slice(lengths, 1, k), 0, (a, x) -> a + x) as long), 'length', cast(n as long), 'rank', rank, 'sure', sure))"
-    )
-    found = tried.select("doc_id", "t", places.alias("p")).groupBy("doc_id", "t").agg(F.flatten(F.collect_set("p")).alias("found"))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "found")
-    return docs.join(found, docs.doc_id.eqNullSafe(found._id) & (docs.t == found._t), "left").drop("_id", "t", "_t")
+    # words before each place and words in it; the last has none in it
+    gaps, lengths = F.transform(F.expr("split(norm, pattern, -1)"), _blanks), F.transform(F.expr("regexp_extract_all(norm, pattern, 0)"), _blanks)
+    rule = tried.select("doc_id", "t", "rank", "label", "base", "sure", F.arrays_zip(gaps.alias("gap"), lengths.alias("length")).alias("z"))
+    rule = rule.repartition("doc_id", "t").dropDuplicates(["doc_id", "t", "rank"])  # several keywords or equal rows
+    own = Window.partitionBy("doc_id", "t", "rank").orderBy("place")
+    before = F.sum("gap").over(own) + F.coalesce(F.sum("length").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = rule.select("doc_id", "t", "rank", "label", "base", "sure", F.posexplode("z").alias("place", "z")).select("*", "z.gap", "z.length")
+    place = place.withColumn("first", before.cast("long")).filter("length is not null").withColumn("length", F.col("length").cast("long")).drop("z", "gap", "place")
+    end = F.col("first") + F.col("length")
+    wider = Window.partitionBy("doc_id", "t").orderBy("first", F.desc("length"), "rank").rowsBetween(Window.unboundedPreceding, -1)
+    return place.withColumn("kept", end > F.coalesce(F.max(end).over(wider), F.lit(-1)))
 
 
 def licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and the kept spans."""
-    rows = scan(docs.select("doc_id", "text")).withColumn("found", F.expr("coalesce(found, array())"))
-    base = F.expr("filter(found, x -> x.base)")
-    kept = F.expr(
-        "filter(found, x -> not exists(found, y -> y.first <= x.first and y.first + y.length >= x.first + x.length"
-        " and (y.length > x.length or y.rank < x.rank)))"
-    )
-    rows = rows.withColumn("base", base).withColumn("kept", kept)
-    names = lambda c: F.array_distinct(F.transform(F.col(c), lambda x: x["label"]))
+    base, kept = F.col("base"), F.col("kept")
+    names = lambda ok: F.array_join(F.sort_array(F.collect_set(F.when(ok, F.col("label")))), ",")
+    found = detections(docs).groupBy("doc_id", "t").agg(
+        F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("first"))).alias("first_word"), F.max(F.when(base, F.col("first"))).alias("last_word"),
+        names(base).alias("base_labels"), names(base | kept).alias("labels"), F.max(F.when(kept, F.col("sure"))).alias("score"),
+        F.array_sort(F.collect_list(F.when(kept, F.struct("first", "length", "label")))).alias("spans"),
+    )
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_t"), F.regexp_count(text, F.lit(RAW_WORD)).cast("long").alias("n_words"))
+    rows = rows.join(found, rows._id.eqNullSafe(found.doc_id) & (rows._t == found.t), "left")
     return rows.select(
-        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
-        F.array_min(F.transform("base", lambda x: x["first"])).alias("first_word"), F.array_max(F.transform("base", lambda x: x["first"])).alias("last_word"),
-        F.array_join(F.sort_array(names("base")), ",").alias("base_labels"), F.array_join(F.sort_array(F.array_union(names("base"), names("kept"))), ",").alias("labels"),
-        F.coalesce(F.array_max(F.transform("kept", lambda x: x["sure"])), F.lit(0.0)).alias("score"),
-        F.transform("kept", lambda x: F.struct(x["label"].alias("label"), x["first"].alias("first"), x["length"].alias("length"))).alias("spans"),
+        F.col("_id").alias("doc_id"), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"),
+        F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("spans", F.array()).alias("spans"),
     )

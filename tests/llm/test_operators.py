@@ -184,11 +184,44 @@ def test_every_license_rule_fires_alone(spark):
             texts.append((len(texts), f"noninfringement. {x.upper()}" if keys == "noninfringement" else x.replace(" ", "\n-")))
             want.append((label, rank))
     texts += [(None, "All Rights\tReserved"), (None, "All Rights\tReserved"), (-1, "smithy omits rightsé")]
-    got = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()
-    assert len(got) == len(texts)
-    found = {r.doc_id: {(x.label, x.rank) for x in r.found or []} for r in got}
-    assert [w for i, w in enumerate(want) if w not in found[i]] == [] and not found[-1]
-    assert [len(r.found) for r in got if r.doc_id is None] == [1, 1]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    assert licenses.licenses(docs).count() == len(texts)
+    got = licenses.detections(docs).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.doc_id, set()).add((r.label, r.rank))
+    assert [w for i, w in enumerate(want) if w not in found.get(i, ())] == [] and -1 not in found
+    assert [r.label for r in got if r.doc_id is None] == ["proprietary"]
+
+
+def test_licenses_against_brute_force(spark):
+    """Texts of license words at random and of phrases, with repeats, nulls and rows that tie; every rule is tried everywhere."""
+    rnd = random.Random(11)
+    phrases = ["MIT License", "the Apache License, Version 2.0", "GNU General Public License v3 or (at your option) any later version", "All rights reserved", "public\ndomain", "released into the public domain", "Creative Commons Attribution Share-Alike", "SPDX-License-Identifier: MIT", "BSD 3-Clause License", "wtfpl"]
+    words = ["mit", "license", "apache", "general", "public", "gnu", "the", "2", "0", "or", "later", "version", "é", "bsd", "commons", "by"]
+    texts = [(i, " ".join(rnd.choice(phrases if rnd.random() < 0.3 else words) for _ in range(rnd.randint(0, 25)))) for i in range(60)]
+    texts += [(None, "MIT license"), (None, None), (3, "MIT License mit license"), (4, texts[4][1]), (99, "MIT License. " * 3000)]
+    rules = [(label, keys.split(), rank, sure, re.compile(pattern), (label, keys, pattern[4:-6]) in licenses.BASE) for label, keys, rank, sure, pattern in licenses.rules()]
+    want = []
+    for i, t in texts:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+        norm, found = f" {' '.join(w)} ", []
+        for label, keys, rank, sure, pattern, base in rules:
+            if set(keys) & set(w):
+                found += [(m.group().count(" "), norm[: m.start()].count(" "), rank, label, sure, base) for m in pattern.finditer(norm)]
+        found = sorted(set(found))
+        spans = {}
+        for n, first, rank, *_ in found:
+            spans.setdefault((first, n), []).append(rank)
+        longest = {}
+        for first, n in spans:
+            longest[first] = max(longest.get(first, 0), first + n)
+        kept = [x for x in found if x[2] == min(spans[x[1], x[0]]) and not any(e > x[1] + x[0] or (f < x[1] and e == x[1] + x[0]) for f, e in longest.items() if f <= x[1] and e >= x[1] + x[0])]
+        base = [x for x in found if x[5]]
+        name = lambda some: ",".join(sorted({x[3] for x in some}))
+        want.append((i, len(w), len(base), min((x[1] for x in base), default=None), max((x[1] for x in base), default=None), name(base), name(base + kept), max((x[4] for x in kept), default=0.0)))
+    got = licenses.licenses(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).drop("spans").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
 def test_katz(docs, rows, empty):
