@@ -25,10 +25,13 @@ from .textblocks import _U, blocks, give_back, mix, owners
 ORDER, LEAST, GT_MAX, TOKENS_A_BUCKET = 3, 2, 5, 3_000_000
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 END = np.uint64(0x1F2E3D4C5B6A7988)
-#: What a part of a block holds: its own arrays, then 10 k + COUNT, SHARE or ALPHA of order k as the buckets answered.
-WORDS, CODES, IDS, NULL, HELD, LENGTHS = range(6)
-KINDS = {WORDS: "u8", CODES: "u4", IDS: "i8", NULL: "u1", HELD: "u1", LENGTHS: "i8"}
-COUNT, SHARE, ALPHA = 0, 1, 2
+#: What a part of a block holds: its own arrays, then 10 k + COUNT, AFTER, RATE or ALPHA of order k as the buckets answered.
+WORDS, OFTEN, CODES, IDS, NULL, HELD, LENGTHS = range(7)
+KINDS = {WORDS: "u8", OFTEN: "i8", CODES: "u4", IDS: "i8", NULL: "u1", HELD: "u1", LENGTHS: "i8"}
+COUNT, AFTER, RATE, ALPHA = range(4)
+ANSWERS = {COUNT: "i8", AFTER: "i8", RATE: "f8", ALPHA: "f8"}
+#: Discounts and masses are whole multiples of these, so their sums are exact in any order.
+PART_OF_DISCOUNT, PART_OF_MASS = 2.0**-12, 2.0**-45
 PART = "block long, kind int, bucket int, data binary"
 ASKED = "bucket int, block long, keys binary, counts binary, kept binary, mass binary, single long"
 
@@ -84,9 +87,12 @@ def _stored(batches):
         for part, block in blocks(batch):
             hashed, ptr = _tokens(block)
             words, codes = ranked(hashed)
+            often = np.bincount(codes)  # the commonest words have the least codes
+            place = np.empty(len(words), "u4")
+            place[np.argsort(-often, kind="stable")] = np.arange(len(words))
             ids, flags = part.column(0), part.column(1)
             own = {
-                WORDS: _steps(words), CODES: packed(codes.astype("u4")), IDS: packed(ids.fill_null(0).to_numpy()), LENGTHS: packed(np.diff(ptr)),
+                WORDS: _steps(words), OFTEN: packed(often), CODES: packed(place[codes]), IDS: packed(ids.fill_null(0).to_numpy()), LENGTHS: packed(np.diff(ptr)),
                 NULL: packed(ids.is_null().to_numpy(zero_copy_only=False).astype("u1")), HELD: packed(flags.fill_null(True).to_numpy(zero_copy_only=False).astype("u1")),
             }
             n = len(own)
@@ -106,7 +112,7 @@ def discounts(freq: np.ndarray) -> np.ndarray:
         if n[r] > 0 and common < 1:
             x = ((r + 1) * n[r + 1] / n[r] / r - common) / (1 - common)
             if 0 < x < 1:
-                d[r] = x
+                d[r] = max(round(x / PART_OF_DISCOUNT), 1) * PART_OF_DISCOUNT
     if not (d < 1).any():
         d[1] = 0.5
     return d
@@ -140,7 +146,8 @@ class Texts:
         for i in sorted(range(len(kind)), key=lambda i: (kind[i], bucket[i])):
             parts.setdefault(kind[i], []).append(data[i])
         self.own = {k: _keys(parts[k][0]) if k == WORDS else unpacked(parts[k][0], t) for k, t in KINDS.items()}
-        self.answers = {k: np.concatenate([unpacked(x, "i8" if k % 10 == COUNT else "f8") for x in own]) for k, own in parts.items() if k >= 10}
+        self.answers = {k: np.concatenate([unpacked(x, ANSWERS[k % 10]) for x in own]) for k, own in parts.items() if k >= 10}
+        self.words = self.own[WORDS][np.argsort(-self.own[OFTEN], kind="stable")[self.own[CODES]]]
         self.lengths = self.own[LENGTHS]
         ptr = np.append(0, np.cumsum(self.lengths))
         self.first = np.zeros(ptr[-1], bool)
@@ -151,8 +158,7 @@ class Texts:
 
     def key(self, k: int) -> np.ndarray:
         if k not in self.gram:
-            word = self.own[WORDS][self.own[CODES]]
-            self.gram[k] = word if k == 1 else mix(self.context(k) * _U(0x9FB21C651E98DF25) + word)
+            self.gram[k] = self.words if k == 1 else mix(self.context(k) * _U(0x9FB21C651E98DF25) + self.words)
         return self.gram[k]
 
     def context(self, k: int) -> np.ndarray:
@@ -185,7 +191,7 @@ class Texts:
         """A bucket's answer at each token."""
         if (k, what) not in self.of:
             open_, _, at = self.asked(k, what == COUNT)
-            out = np.full(len(self.first), missing, np.int64 if what == COUNT else np.float64)
+            out = np.full(len(self.first), missing, ANSWERS[what])
             if 10 * k + what in self.answers:
                 out[open_] = self.answers[10 * k + what][at]
             self.of[k, what] = out
@@ -203,7 +209,7 @@ class Texts:
         kept = self.model.cut(k, c) * c
         if k == 1:
             return np.where(c > 0, kept * self.model.scale, self.model.unseen)
-        return np.where(self.seen(k), kept * self.answer(k, SHARE, 0.0), self.answer(k, ALPHA, 1.0) * self.p(k - 1))
+        return np.where(self.seen(k), kept * self.answer(k, RATE, 1.0) / self.answer(k, AFTER, 1), self.answer(k, ALPHA, 1.0) * self.p(k - 1))
 
 
 def _asks(model: Model, block: int, keys: np.ndarray, single: int, *columns: np.ndarray) -> pa.RecordBatch:
@@ -241,7 +247,8 @@ def _contexts(model: Model, k: int):
         open_, keys, at = t.asked(k, False)
         learn, c = t.learn[open_], np.maximum(t.count(k)[open_], 1)
         seen = learn & t.seen(k)[open_]
-        sums = [np.bincount(at[ok], x[ok], len(keys)) for ok, x in ((seen, model.cut(k, c)), (seen, t.p(k - 1)[open_] / c))]
+        parts = model.cut(k, c) / PART_OF_DISCOUNT, np.rint(t.p(k - 1)[open_] / c / PART_OF_MASS)
+        sums = [np.bincount(at[seen], x[seen], len(keys)).astype(np.int64) for x in parts]
         return pa.Table.from_batches([_asks(model, rows["block"][0].as_py(), keys, 0, np.bincount(at[learn], minlength=len(keys)), *sums)])
 
     return run
@@ -255,6 +262,13 @@ def _gathered(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndar
     return rows, ends, *ranked(np.concatenate(keys))
 
 
+def _added(column: pa.ChunkedArray, at: np.ndarray, n: int) -> np.ndarray:
+    """What all rows of a bucket give to each of its keys."""
+    total = np.zeros(n, np.int64)
+    np.add.at(total, at, np.concatenate([unpacked(x, "i8") for x in column.to_pylist()]))
+    return total
+
+
 def _answered(rows: pa.Table, ends: np.ndarray, at: np.ndarray, columns: list[tuple[int, np.ndarray]], stat: list[int] | None) -> pa.Table:
     out, bucket = [], rows["bucket"][0].as_py()
     for i, block in enumerate(rows["block"].to_pylist()):
@@ -269,9 +283,7 @@ def _answered(rows: pa.Table, ends: np.ndarray, at: np.ndarray, columns: list[tu
 def _counts(k: int):
     def run(rows: pa.Table) -> pa.Table:
         rows, ends, keys, at = _gathered(rows)
-        given = np.concatenate([unpacked(x, "i8") for x in rows["counts"].to_pylist()])
-        total = np.zeros(len(keys), np.int64)
-        np.add.at(total, at, given)
+        total = _added(rows["counts"], at, len(keys))
         freq = np.bincount(np.minimum(total, GT_MAX + 2), minlength=GT_MAX + 3)
         freq[1] += sum(rows["single"].to_pylist())
         return _answered(rows, ends, at, [(10 * k + COUNT, total)], [*freq.tolist(), int(total.sum()), int((total > 0).sum())])
@@ -282,14 +294,15 @@ def _counts(k: int):
 def _backoff(k: int):
     def run(rows: pa.Table) -> pa.Table:
         rows, ends, keys, at = _gathered(rows)
-        c, kept, mass = (np.bincount(at, np.concatenate([unpacked(x, t) for x in rows[name].to_pylist()]), len(keys)) for name, t in (("counts", "i8"), ("kept", "f8"), ("mass", "f8")))
-        # a context keeps half a count at least for what it wasn't seen with, unless every word follows it
+        c, kept, mass = (_added(rows[name], at, len(keys)) for name in ("counts", "kept", "mass"))
+        kept, mass = kept * PART_OF_DISCOUNT, mass * PART_OF_MASS
+        # the left mass is 0 where every word follows; else a context keeps at least for what it wasn't seen with
         full = mass > 1 - 1e-9
         held = np.where(full, c, np.minimum(kept, c - 0.5))
         some = kept > 0
-        share = np.where(some, held / np.maximum(kept * c, 1e-300), 0.0)
+        rate = np.where(some, held / np.where(some, kept, 1.0), 1.0)
         alpha = np.where(some, np.where(full, 0.0, (1 - held / np.maximum(c, 1e-300)) / np.where(full, 1.0, 1 - mass)), 1.0)
-        return _answered(rows, ends, at, [(10 * k + SHARE, share), (10 * k + ALPHA, alpha)], None)
+        return _answered(rows, ends, at, [(10 * k + AFTER, c), (10 * k + RATE, rate), (10 * k + ALPHA, alpha)], None)
 
     return run
 
@@ -340,9 +353,9 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         model.counted(k, np.array(stats[: GT_MAX + 3]), stats[-2], stats[-1])
         if k > 1:
             # what order k has seen the order below has seen, so its probability needs no backoff weight
-            needed = [*(10 * j + COUNT for j in range(1, k + 1)), *(10 * j + SHARE for j in range(2, k))]
+            needed = [*(10 * j + COUNT for j in range(1, k + 1)), *(10 * j + x for j in range(2, k) for x in (AFTER, RATE))]
             both = answered(blocks_with(*needed).applyInArrow(_contexts(model, k), ASKED), _backoff(k), f"katz-contexts-{k}")
-            known[10 * k + SHARE] = known[10 * k + ALPHA] = both
+            known |= {10 * k + x: both for x in (AFTER, RATE, ALPHA)}
     out = blocks_with(*known).applyInArrow(_scores(model, order), OUT)
     return out.withColumn("train_tokens", F.lit(model.total).cast("long"))
 
