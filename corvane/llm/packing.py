@@ -1,10 +1,12 @@
 """Vector bin packing of token pieces under limits on tokens, segments and loss-bearing tokens.
 
-Documents are tokenised and cut into full sequences and a rest. Of the rests in a window, the next piece
-of a bin is the one whose demand has the largest dot product with the room left; a bin that no piece fits
-is filled with the front of one. What is left at a partition's end goes to sequences of powers of two, so
-nothing is padded. Null text is empty and has the end id alone; repeated rows are packed each; an empty
-partition gives nothing.
+As in instruction data, an example's front is its prompt and bears no loss: its first PROMPT-th part, or as many
+tokens as a column ``prompt_tokens`` tells. A long example gives full sequences of prompt and answer in proportion;
+the rests of a window are packed: the next piece of a bin is the one whose demand (tokens, segments, loss) has
+the largest dot product with the room left, and where no whole piece fits, the longest front that does is cut
+off one. Bins that no piece can fill wait for the next window; what is left at a partition's end goes to
+sequences of powers of two, so nothing is padded. Null text is empty and has the end id alone; repeated rows
+are packed each; an empty partition gives nothing.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import DataFrame
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 CACHE = 1_600_000
+#: The share of an example that is its prompt, and the limits of a sequence.
+PROMPT, TOKENS, SEGMENTS, LOSS, WINDOW = 4, 2048, 256, 1792, 2048
 
 
 class Codes(dict):
@@ -97,82 +101,98 @@ OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202
 CHUNK = re.compile(r"[^ \t-\r]+")
 
 
-def fill(items: np.ndarray, tokens: int, segments: int, loss: int) -> Iterator[list[tuple[int, int, int]]]:
-    """Bins of (item, start, length) for items of so many tokens, each of them loss-bearing.
+def fill(start: np.ndarray, end: np.ndarray, prompt: np.ndarray, tokens: int, segments: int, loss: int, last: bool) -> tuple[list, list]:
+    """(bins, rest) of (item, start, end) for pieces of examples whose tokens bear loss from ``prompt`` on.
 
-    All that is left when no full bin can be made is the last bin. Items of one length are one class.
+    Unless last, the first bin that can't be filled and all that is left are the rest.
     """
-    by_length: dict[int, list[tuple[int, int]]] = {}
-    for i, n in enumerate(items.tolist()):
-        by_length.setdefault(n, []).append((i, 0))
-    lengths, left, count = np.array(sorted(by_length)), int(items.sum()), len(items)
-    most = min(tokens, loss)
-    room_of = np.array([1 / tokens, 1 / segments, 1 / loss])
-    while left:
-        room = np.array([tokens, segments, loss], float)
-        used, taken = [], 0
-        while taken < most and left and room[1] >= 1:
-            free = most - taken
-            fits = lengths[: np.searchsorted(lengths, free, "right")]
-            if len(fits):
-                # demand . room left: segments weigh in as the pieces still to place need them
-                score = (room * room_of * room_of)[0] * fits + (room * room_of * room_of)[1] + (room * room_of * room_of)[2] * fits
-                n = int(fits[np.argmax(score)])
-                i, start = by_length[n].pop()
+    item = np.arange(len(start))
+    start, end, prompt = start.copy(), end.copy(), prompt.copy()
+    alive, n_alive, bins = np.ones(len(item), bool), len(item), []
+    while n_alive:
+        if 2 * n_alive < len(item):
+            item, start, end, prompt = item[alive], start[alive], end[alive], prompt[alive]
+            alive = np.ones(n_alive, bool)
+        n = np.where(alive, end - start, tokens + 1)
+        bears = end - np.minimum(np.maximum(prompt, start), end)
+        room, pieces = [tokens, segments, loss], []
+        while room[0] and room[1] and n_alive:
+            # demand . room, each as a share of its limit
+            score = n * (room[0] / tokens**2) + bears * (room[2] / loss**2) + room[1] / segments**2
+            score[(n > room[0]) | (bears > room[2])] = -1.0
+            i = int(score.argmax())
+            if score[i] > 0:
+                k = int(n[i])
             else:
-                n = int(lengths[0])
-                i, start = by_length[n].pop()
-                keep = n - free
-                by_length.setdefault(keep, []).append((i, start + free))
-                if len(by_length[keep]) == 1:
-                    lengths = np.insert(lengths, np.searchsorted(lengths, keep), keep)
-                used.append((i, start, free))
-                taken, left, room = taken + free, left - free, room - [free, 1, free]
-                if not by_length[n]:
-                    del by_length[n]
-                    lengths = lengths[lengths != n]
-                continue
-            if not by_length[n]:
-                del by_length[n]
-                lengths = lengths[lengths != n]
-            used.append((i, start, n))
-            taken, left, room = taken + n, left - n, room - [n, 1, n]
-        yield used
+                # the longest front: all of the prompt that is left and as much loss as there is room for
+                front = np.where(alive, np.minimum(room[0], np.maximum(prompt - start, 0) + room[2]), 0)
+                i = int(front.argmax())
+                k = int(front[i])
+                if not k:
+                    break
+            pieces.append((int(item[i]), int(start[i]), int(start[i]) + k))
+            room = [room[0] - k, room[1] - 1, room[2] - max(0, int(start[i]) + k - max(int(prompt[i]), int(start[i])))]
+            start[i] += k
+            if start[i] == end[i]:
+                alive[i], n_alive, n[i] = False, n_alive - 1, tokens + 1
+            else:
+                n[i], bears[i] = n[i] - k, end[i] - min(max(prompt[i], start[i]), end[i])
+        if room[0] and not last:
+            return bins, pieces + [(int(item[i]), int(start[i]), int(end[i])) for i in np.flatnonzero(alive)]
+        bins.append(pieces)
+    return bins, []
 
 
-def powers(pieces: list[tuple[int, int, int]], tokens: int) -> Iterator[list[tuple[int, int, int]]]:
+def powers(pieces: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
     """The pieces of a bin cut into bins whose sizes are powers of two."""
     pieces = list(pieces)
-    left = sum(n for _, _, n in pieces)
+    left = sum(e - s for _, s, e in pieces)
     while left:
-        size = min(tokens, 1 << (left.bit_length() - 1))
-        used, need = [], size
+        need = 1 << (left.bit_length() - 1)
+        left -= need
+        used = []
         while need:
-            i, start, n = pieces.pop()
-            k = min(n, need)
-            used.append((i, start, k))
-            if k < n:
-                pieces.append((i, start + k, n - k))
+            i, s, e = pieces.pop()
+            k = min(e - s, need)
+            used.append((i, s, s + k))
+            if s + k < e:
+                pieces.append((i, s + k, e))
             need -= k
-        left -= size
         yield used
 
 
-def packer(path: str, tokens: int = 2048, segments: int = 256, loss: int = 2048, window: int = 4096):
+def cut(n: int, prompt: int, tokens: int, loss: int) -> tuple[list[list[tuple[int, int]]], list[tuple[int, int]]]:
+    """(full sequences, rests) of an example, as (start, end): each sequence takes as much of the answer as the limit on loss and the example's own share allow."""
+    answer = n - prompt
+    each = min(loss, -(-answer * tokens // max(n, 1)))
+    full = min(n // tokens, answer // each if each else n // tokens, prompt // (tokens - each) if tokens > each else n // tokens)
+    p, a = full * (tokens - each), prompt + full * each
+    sequences = [[x for x in ((i * (tokens - each), (i + 1) * (tokens - each)), (prompt + i * each, prompt + (i + 1) * each)) if x[1] > x[0]] for i in range(full)]
+    if a == prompt:  # nothing between what is left of prompt and answer
+        return sequences, _short([(p, n)], tokens)
+    return sequences, _short([(p, prompt), (a, n)], tokens)
+
+
+def _short(spans: list[tuple[int, int]], tokens: int) -> list[tuple[int, int]]:
+    return [(s, min(s + tokens, e)) for b, e in spans for s in range(b, e, tokens)]
+
+
+def packer(path: str, tokens: int, segments: int, loss: int, window: int = WINDOW):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         base, sequence, encode = TaskContext.get().partitionId() << 40, 0, encoder(path)
 
         def placed(bins, rests):
+            """Rows of the bins; rests: (doc, first, ids, total, prompt) with ids from the example's token ``first`` on."""
             nonlocal sequence
             rows = []
             for one in bins:
                 at = 0
-                for i, start, n in one:
-                    doc, first, ids, total = rests[i]
-                    rows.append((doc, first + start, n, zlib.crc32(ids[start : start + n].tobytes()), total, base + sequence, at))
-                    at += n
+                for i, s, e in one:
+                    doc, first, ids, total, _ = rests[i]
+                    rows.append((doc, s, e - s, zlib.crc32(ids[s - first : e - first].tobytes()), total, base + sequence, at))
+                    at += e - s
                 sequence += 1
             return rows
 
@@ -180,36 +200,52 @@ def packer(path: str, tokens: int = 2048, segments: int = 256, loss: int = 2048,
             columns = list(zip(*rows)) or [[]] * 7
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        def whole(one):  # a bin that the other limits left short is cut into powers of two
-            return [one] if sum(n for _, _, n in one) == tokens else powers(one, tokens)
+        def filled(rests, last):
+            column = lambda f: np.array([f(r) for r in rests], np.int64)
+            bins, left = fill(column(lambda r: r[1]), column(lambda r: r[1] + len(r[2])), column(lambda r: r[4]), tokens, segments, loss, last)
+            whole = [b for one in bins for b in ([one] if sum(e - s for _, s, e in one) == tokens else powers(one))]
+            rows = placed(whole, rests)
+            return rows, [(rests[i][0], s, rests[i][2][s - rests[i][1] : e - rests[i][1]], *rests[i][3:]) for i, s, e in left]
 
         rests: list = []
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = [x or "" for x in part.column(part.schema.get_field_index("text")).to_pylist()]
+                column = lambda name, part=part: part.column(part.schema.get_field_index(name)).to_pylist()
                 rows = []
-                for doc, ids in zip(part.column(part.schema.get_field_index("doc_id")).to_pylist(), encode(texts)):
-                    full = len(ids) // tokens * tokens if loss >= tokens else 0
-                    for s in range(0, full, tokens):
-                        rows.append((doc, s, tokens, zlib.crc32(ids[s : s + tokens].tobytes()), len(ids), base + sequence, 0))
-                        sequence += 1
-                    if full < len(ids):
-                        rests.append((doc, full, ids[full:], len(ids)))
+                for doc, prompt, ids in zip(column("doc_id"), column("prompt"), encode([x or "" for x in column("text")])):
+                    n = len(ids)
+                    prompt = n // PROMPT if prompt is None else min(max(prompt, 0), n)
+                    sequences, short = cut(n, prompt, tokens, loss) if n >= tokens else ([], [(0, n)])
+                    rows += placed([[(0, s, e) for s, e in one] for one in sequences], [(doc, 0, ids, n, prompt)])
+                    rests += [(doc, s, ids[s:e], n, prompt) for s, e in short]
                 if rows:
                     yield out(rows)
                 if len(rests) >= window:
-                    bins = list(fill(np.array([len(r[2]) for r in rests]), tokens, segments, loss))
-                    done, last = bins[:-1], bins[-1]
-                    yield out(placed([b for one in done for b in whole(one)], rests))
-                    rests = [(rests[i][0], rests[i][1] + s, rests[i][2][s : s + n], rests[i][3]) for i, s, n in last]
+                    rows, rests = filled(rests, False)
+                    yield out(rows)
+                    if len(rests) > window // 2:  # what can't be filled doesn't pile up
+                        rows, rests = filled(rests, True)
+                        yield out(rows)
         if rests:
-            bins = list(fill(np.array([len(r[2]) for r in rests]), tokens, segments, loss))
-            yield out(placed([b for one in bins for b in whole(one)], rests))
+            yield out(filled(rests, True)[0])
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, tokens: int = 2048, segments: int = 256, loss: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS) -> DataFrame:
     """One row per piece. Every partition packs its own documents; no row is moved."""
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(packer(tokenizer, tokens, segments, loss), SCHEMA)
+    prompt = "prompt_tokens" if "prompt_tokens" in docs.columns else "null"
+    return docs.selectExpr("cast(doc_id as long) doc_id", f"cast({prompt} as long) prompt", "text").mapInArrow(packer(tokenizer, tokens, segments, loss), SCHEMA)
+
+
+def examples(conversations: DataFrame) -> DataFrame:
+    """doc_id, text and prompt_chars of each conversation: its turns in order, of which the last assistant turn alone is the answer."""
+    from pyspark.sql import functions as F
+
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))))
+    one = conversations.groupBy(F.col("conv_id").alias("doc_id")).agg(turns.alias("t"))
+    text = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n")
+    last = F.element_at("t", -1)
+    answer = F.when(last["role"] == "assistant", F.length(last["text"])).otherwise(0)
+    return one.select("doc_id", text.alias("text"), (F.length(text) - answer).alias("prompt_chars"))

@@ -100,6 +100,7 @@ def test_packing(docs, rows, empty):
 
     t = Tokenizer.from_file(tokenizer())
     got = packing.pack(docs.filter("doc_id <> 79"), tokenizer()).collect()
+    assert packing.pack(docs, tokenizer()).groupBy().sum("length").first()[0] == sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in rows)
     want = {i: np.array(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4") for i, x in rows}
     pieces, sequences = {}, {}
     for r in got:
@@ -109,15 +110,80 @@ def test_packing(docs, rows, empty):
     assert set(pieces) == set(want) - {79}
     for i, p in pieces.items():
         assert sum(n for _, n in p) == len(want[i]) and all(a + n == b for (a, n), (b, _) in zip(sorted(p), sorted(p)[1:]))
+    bears = {}
+    for r in got:
+        prompt = r.doc_tokens // packing.PROMPT
+        bears[r.sequence_id] = bears.get(r.sequence_id, 0) + max(0, r.start + r.length - max(r.start, prompt))
+    assert max(bears.values()) <= packing.LOSS
     for p in sequences.values():
         n = sum(x for _, x in p)
         assert n <= 2048 and n & (n - 1) == 0 and all(a + x == b for (a, x), (b, _) in zip(sorted(p), sorted(p)[1:]))
     assert packing.pack(empty, tokenizer()).count() == 0
 
 
-def test_segment_limit():
-    bins = list(packing.fill(np.array([3] * 50 + [100]), 2048, 16, 2048))
-    assert all(len(b) <= 17 for b in bins) and sum(n for b in bins for _, _, n in b) == 250
+def largest_fit(pieces, tokens, segments, loss):
+    """How many bins the longest piece that fits, taken each time, needs for whole pieces (tokens, loss)."""
+    left, bins = sorted(pieces, reverse=True), 0
+    while left:
+        room, bins = [tokens, segments, loss], bins + 1
+        while fit := next((x for x in left if x[0] <= room[0] and x[1] <= room[2] and room[1]), None):
+            left.remove(fit)
+            room = [room[0] - fit[0], room[1] - 1, room[2] - fit[1]]
+    return bins
+
+
+def check_bins(bins, start, end, prompt, tokens, segments, loss):
+    """Limits hold and each token lies in exactly one piece."""
+    spans = {}
+    for one in bins:
+        assert sum(e - s for _, s, e in one) <= tokens and len(one) <= segments
+        assert sum(max(0, e - max(s, prompt[i])) for i, s, e in one) <= loss
+        for i, s, e in one:
+            spans.setdefault(i, []).append((s, e))
+    for i in range(len(start)):
+        own = sorted(spans[i])
+        assert own[0][0] == start[i] and own[-1][1] == end[i] and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+
+
+@pytest.mark.parametrize("tokens, segments, loss", [(2048, 256, 1792), (2048, 5, 2048), (100, 4, 60), (64, 64, 1)])
+def test_vector_limits(tokens, segments, loss):
+    rnd = np.random.default_rng(3)
+    n = rnd.integers(1, tokens, 300)
+    start = rnd.integers(0, 50, 300)
+    prompt = start + rnd.integers(0, n + 1)
+    bins, rest = packing.fill(start, start + n, prompt, tokens, segments, loss, True)
+    assert rest == []
+    check_bins(bins, start, start + n, prompt, tokens, segments, loss)
+    bins, rest = packing.fill(start, start + n, prompt, tokens, segments, loss, False)
+    assert all(sum(e - s for _, s, e in b) == tokens for b in bins)
+    check_bins([*bins, *[[x] for x in rest]], start, start + n, prompt, tokens, len(start), loss) if loss >= tokens else None
+
+
+def test_dot_product_needs_fewer_bins_than_largest_fit():
+    """Examples of which half are all answer and half all prompt: the limit on loss binds, and the dot product mixes them."""
+    better = worse = 0
+    for seed in range(20):
+        rnd = np.random.default_rng(seed)
+        n = rnd.integers(20, 55, 200)
+        prompt = np.where(rnd.random(200) < 0.5, 0, n)
+        bins, _ = packing.fill(np.zeros(200, np.int64), n, prompt, 100, 10, 55, True)
+        plain = largest_fit([(int(x), int(x - p)) for x, p in zip(n, prompt)], 100, 10, 55)
+        better, worse = better + (len(bins) < plain), worse + (len(bins) > plain)
+    assert better >= 18 and worse == 0
+
+
+def test_cut_of_long_examples():
+    for n, prompt in [(2048, 512), (10_000, 2500), (10_000, 0), (10_000, 10_000), (5000, 10), (4097, 4000), (2049, 2048)]:
+        sequences, rests = packing.cut(n, prompt, 2048, 1792)
+        spans = sorted([x for one in sequences for x in one] + rests)
+        assert spans[0][0] == 0 and spans[-1][1] == n and all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and all(e - s <= 2048 for s, e in rests)
+        assert all(sum(e - s for s, e in one) == 2048 and sum(max(0, e - max(s, prompt)) for s, e in one) <= 1792 for one in sequences)
+
+
+def test_conversations_are_examples(spark):
+    rows = [(1, 0, "user", "ask me"), (1, 1, "assistant", "tell"), (2, 1, "user", "more"), (2, 0, "assistant", None)]
+    got = {r.doc_id: (r.text, r.prompt_chars) for r in packing.examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {1: ("user: ask me\nassistant: tell", 24), 2: ("assistant: \nuser: more", 22)}
 
 
 def test_shards(docs, rows, empty):
