@@ -14,12 +14,14 @@ the order it was asked. A bucket takes TOKENS_A_BUCKET tokens' n-grams at most,
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold, settled
+from .shared import dealt, fold, settled
 from .textblocks import _U, blocks, give_back, mix, owners
 
 ORDER, LEAST, GT_MAX, TOKENS_A_BUCKET = 3, 2, 5, 3_000_000
@@ -140,8 +142,9 @@ class Model:
 class Texts:
     """A block's tokens and what the buckets have answered about them. Order k's n-gram ends at each token."""
 
-    def __init__(self, model: Model, rows: pa.Table):
+    def __init__(self, model: Model, own: pa.Table, answers: pa.Table | None):
         self.model, parts = model, {}
+        rows = own if answers is None else pa.concat_tables([own, answers])
         kind, bucket, data = (rows.column(c).to_pylist() for c in ("kind", "bucket", "data"))
         for i in sorted(range(len(kind)), key=lambda i: (kind[i], bucket[i])):
             parts.setdefault(kind[i], []).append(data[i])
@@ -209,7 +212,7 @@ class Texts:
         kept = self.model.cut(k, c) * c
         if k == 1:
             return np.where(c > 0, kept * self.model.scale, self.model.unseen)
-        return np.where(self.seen(k), kept * self.answer(k, RATE, 1.0) / self.answer(k, AFTER, 1), self.answer(k, ALPHA, 1.0) * self.p(k - 1))
+        return np.where(self.seen(k), kept * self.answer(k, RATE, 1.0) / np.maximum(self.answer(k, AFTER, 1), 1), self.answer(k, ALPHA, 1.0) * self.p(k - 1))
 
 
 def _asks(model: Model, block: int, keys: np.ndarray, single: int, *columns: np.ndarray) -> pa.RecordBatch:
@@ -230,11 +233,11 @@ def _asks(model: Model, block: int, keys: np.ndarray, single: int, *columns: np.
 def _grams(model: Model, k: int):
     """A block's distinct n-grams and how often each occurs in its training texts."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        t = Texts(model, rows)
+    def run(own: pa.Table, answers: pa.Table | None) -> pa.Table:
+        t = Texts(model, own, answers)
         open_, keys, at = t.asked(k, True)
         counts = np.bincount(at[t.learn[open_]], minlength=len(keys))
-        return pa.Table.from_batches([_asks(model, rows["block"][0].as_py(), keys, int(t.learn.sum() - t.learn[open_].sum()), counts)])
+        return pa.Table.from_batches([_asks(model, own["block"][0].as_py(), keys, int(t.learn.sum() - t.learn[open_].sum()), counts)])
 
     return run
 
@@ -242,14 +245,14 @@ def _grams(model: Model, k: int):
 def _contexts(model: Model, k: int):
     """A block's distinct contexts, how often each is followed, the discounted counts it keeps and the lower order's mass of its seen words."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        t = Texts(model, rows)
+    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
+        t = Texts(model, own, answers)
         open_, keys, at = t.asked(k, False)
         learn, c = t.learn[open_], np.maximum(t.count(k)[open_], 1)
         seen = learn & t.seen(k)[open_]
         parts = model.cut(k, c) / PART_OF_DISCOUNT, np.rint(t.p(k - 1)[open_] / c / PART_OF_MASS)
         sums = [np.bincount(at[seen], x[seen], len(keys)).astype(np.int64) for x in parts]
-        return pa.Table.from_batches([_asks(model, rows["block"][0].as_py(), keys, 0, np.bincount(at[learn], minlength=len(keys)), *sums)])
+        return pa.Table.from_batches([_asks(model, own["block"][0].as_py(), keys, 0, np.bincount(at[learn], minlength=len(keys)), *sums)])
 
     return run
 
@@ -311,8 +314,8 @@ OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score do
 
 
 def _scores(model: Model, order: int):
-    def run(rows: pa.Table) -> pa.Table:
-        t = Texts(model, rows)
+    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
+        t = Texts(model, own, answers)
         n, c = len(t.lengths), t.count(1)
         base = np.log10((c + 0.5) / (model.total + 0.5 * (model.types + 1)))
         columns = [t.lengths, np.bincount(t.owner, c > 0, n).astype(np.int64), np.bincount(t.owner, base, n), np.bincount(t.owner, np.log10(t.p(order)), n)]
@@ -328,35 +331,37 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     rows = spark.conf.get(BATCH)
     spark.conf.set(BATCH, "1000")  # Arrow batches of whole texts, read here only
     try:
-        own = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(_stored, PART), "katz-blocks")
+        own = dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(_stored, PART), "katz-blocks", "block")
     finally:
         spark.conf.set(BATCH, rows)
     tokens = sum(int(unpacked(r.data, "i8").sum()) for r in own.filter(F.col("kind") == LENGTHS).select("data").toLocalIterator())
     model = Model(max(16, -(-tokens // TOKENS_A_BUCKET)))
     known: dict[int, DataFrame] = {}
 
-    def blocks_with(*kinds: int) -> DataFrame:
-        """Blocks and the answers of these kinds, dealt by block."""
-        parts = own
-        for kind in kinds:
-            parts = parts.unionByName(known[kind].filter(F.col("kind") == kind).select("block", "kind", "bucket", "data"))
-        return parts.groupBy("block")
+    def told(work, schema: str, *kinds: int) -> DataFrame:
+        """What each block makes of its own parts and the answers of these kinds; the blocks stay where they are."""
+        if not kinds:
+            return own.groupBy("block").applyInArrow(lambda parts: work(parts, None), schema)
+        tables = {id(known[kind]): known[kind] for kind in kinds}
+        parts = [t.filter(F.col("kind").isin([k for k in kinds if known[k] is t])).select("block", "kind", "bucket", "data") for t in tables.values()]
+        answers = reduce(DataFrame.unionByName, parts)
+        return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, schema)
 
     def answered(asks: DataFrame, answer, name: str) -> DataFrame:
         return settled(asks.groupBy("bucket").applyInArrow(answer, f"{PART}, stat array<long>"), name)
 
     for k in range(1, order + 1):
         below = [10 * j + COUNT for j in range(2, k)]
-        known[10 * k + COUNT] = table = answered(blocks_with(*below).applyInArrow(_grams(model, k), ASKED), _counts(k), f"katz-counts-{k}")
+        known[10 * k + COUNT] = table = answered(told(_grams(model, k), ASKED, *below), _counts(k), f"katz-counts-{k}")
         stats = table.filter("stat is not null").select(*[F.sum(F.col("stat")[i]) for i in range(GT_MAX + 5)]).first()
         stats = [int(x or 0) for x in stats]
         model.counted(k, np.array(stats[: GT_MAX + 3]), stats[-2], stats[-1])
         if k > 1:
             # what order k has seen the order below has seen, so its probability needs no backoff weight
             needed = [*(10 * j + COUNT for j in range(1, k + 1)), *(10 * j + x for j in range(2, k) for x in (AFTER, RATE))]
-            both = answered(blocks_with(*needed).applyInArrow(_contexts(model, k), ASKED), _backoff(k), f"katz-contexts-{k}")
+            both = answered(told(_contexts(model, k), ASKED, *needed), _backoff(k), f"katz-contexts-{k}")
             known |= {10 * k + x: both for x in (AFTER, RATE, ALPHA)}
-    out = blocks_with(*known).applyInArrow(_scores(model, order), OUT)
+    out = told(_scores(model, order), OUT, *known)
     return out.withColumn("train_tokens", F.lit(model.total).cast("long"))
 
 

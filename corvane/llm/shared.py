@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -53,6 +54,23 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``settled``, dealt by the key into as many buckets as a shuffle has partitions: what groups it by the key later moves no row of it."""
+    spark = df.sparkSession
+    n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), scratch(spark, name)
+    table = re.sub(r"\W", "_", path.rpartition("/")[2])
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
+    finally:
+        spark.conf.set(RELEASE, before)
+    out = spark.table(table)
+    out.schema  # resolved; the catalog needn't know the table any longer, its files stay
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def ascii_lower(text: Column | str) -> Column:
     """Null is empty; only A-Z change."""
     return F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), UPPER, LOWER)
