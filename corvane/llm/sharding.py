@@ -1,10 +1,10 @@
 """Shards of near equal bytes by histogram sort.
 
-Rows are ordered by (hash of the text, doc_id). Exact bytes below candidate keys are counted over all
-partitions; each round splits the intervals that hold a wanted boundary until one group of equal texts
-is left in each. A group of at most SMALL of a shard stays whole; a larger one is cut by the hash of its
-doc_ids, refined alike. Then rows are exchanged once. Null text has size 16; rows that repeat stay;
-an empty table gives no rows.
+Rows are ordered by (hash of the text, hash of the doc_id). Exact bytes below candidate keys are counted over
+all partitions; each round splits the intervals that hold a wanted boundary until a probe lies within TOLERANCE
+of a shard's bytes from it. A boundary that falls deeper into one group of equal texts is refined likewise by
+the hash of its doc_ids, so a group of any size is cut where its bytes ask for it. Then rows are exchanged once.
+Null text has size 16; rows that repeat stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .shared import settled
 
 BITS, STEP = 60, 12
-SMALL = 0.02
+TOLERANCE = 0.001
 ROWS_A_BUCKET = 4000
 
 
@@ -25,31 +25,38 @@ def _key(column: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(column), 64 - BITS)
 
 
-def splitters(keyed: DataFrame, wanted: list[tuple[int, float]]) -> list[tuple[int, int]]:
-    """For each wanted (group, sum of bytes): the key whose rows hold it, and the bytes below that key in its group.
+def splitters(keyed: DataFrame, wanted: list[tuple[int, float]], tolerance: float) -> list[tuple[int, float, int]]:
+    """For each wanted (group, sum of bytes): (key, bytes still wanted of the rows with that key, all their bytes); 0 are wanted where the splitter meets the tolerance.
 
     keyed: grp, key (0 to 2^BITS-1), bytes. Each round counts the exact bytes of at most 2^STEP intervals
-    for each wanted boundary; all boundaries share a round.
+    for each boundary that is still open; all of these share a round.
     """
-    at = [(0, 0)] * len(wanted)
+    at = [(0, 0, 0)] * len(wanted)
+    found: list[tuple[int, float, int] | None] = [None] * len(wanted)
     shift = BITS
-    while shift and wanted:
+    while shift and None in found:
         wide, shift = shift, max(0, shift - STEP)
         here = keyed.withColumn("i", F.shiftright("key", shift))
         if wide < BITS:
-            spans = keyed.sparkSession.createDataFrame(sorted({(g, k >> wide) for (g, _), (k, _) in zip(wanted, at)}), "grp long, span long")
+            spans = keyed.sparkSession.createDataFrame(sorted({(g, k >> wide) for (g, _), (k, *_), f in zip(wanted, at, found) if f is None}), "grp long, span long")
             here = here.withColumn("span", F.shiftright("key", wide)).join(F.broadcast(spans), ["grp", "span"], "left_semi")
         counted: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for r in here.groupBy("grp", "i").agg(F.sum("bytes").alias("b")).collect():
             counted.setdefault((r.grp, (r.i << shift) >> wide), []).append((r.i, r.b))
-        for n, ((grp, goal), (key, below)) in enumerate(zip(wanted, at)):
+        for n, ((grp, goal), (key, below, _)) in enumerate(zip(wanted, at)):
+            if found[n]:
+                continue
             own = sorted(counted[grp, key >> wide])
             for i, b in own:
                 if below + b > goal or (i, b) == own[-1]:
-                    at[n] = (i << shift, below)
+                    at[n] = (i << shift, below, b)
+                    if goal - below <= tolerance:
+                        found[n] = (i << shift, 0.0, b)
+                    elif abs(below + b - goal) <= tolerance:
+                        found[n] = ((i + 1) << shift, 0.0, b)
                     break
                 below += b
-    return at
+    return [f or (key, goal - below, b) for f, (key, below, b), (_, goal) in zip(found, at, wanted)]
 
 
 def _rank(key: Column, cuts: list[int]) -> Column:
@@ -57,7 +64,7 @@ def _rank(key: Column, cuts: list[int]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= key)) if cuts else F.lit(0)
 
 
-def shards(docs: DataFrame, n: int = 40) -> DataFrame:
+def shards(docs: DataFrame, n: int = 40, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
@@ -67,21 +74,20 @@ def shards(docs: DataFrame, n: int = 40) -> DataFrame:
     rows = settled(rows, "shard-keys")
     groups = settled(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
     total = int(groups.agg(F.sum("bytes")).first()[0] or 0)
-    wanted = [total * k / n for k in range(1, n)]
-    found = splitters(groups.withColumn("grp", F.lit(0).cast("long")), [(0, w) for w in wanted]) if total else []
-    sizes = {r.key: (r.bytes, r.n) for r in groups.filter(F.col("key").isin(sorted({k for k, _ in found}))).collect()} if found else {}
+    wanted = [(0, total * k / n) for k in range(1, n)]
+    tolerance = tolerance * total / n
     whole, cut = [], {}
-    for goal, (key, below) in zip(wanted, found):
-        size, copies = sizes[key]
-        if size <= SMALL * total / n or copies == 1:
-            whole.append(key if goal - below < size / 2 else key + 1)
+    for key, goal, _ in splitters(groups.withColumn("grp", F.lit(0).cast("long")), wanted, tolerance) if total else []:
+        if goal:
+            cut.setdefault(key, []).append(goal)
         else:
-            cut.setdefault(key, []).append(goal - below)
+            whole.append(key)
     goals = [(key, goal) for key, own in cut.items() for goal in own]
     inner = rows.filter(F.col("key").isin(list(cut))).select(F.col("key").alias("grp"), F.col("second").alias("key"), F.col("size").alias("bytes"))
     second: dict[int, list[int]] = {}
-    for (key, _), (k, _) in zip(goals, splitters(inner, goals)):
-        second.setdefault(key, []).append(k)
+    for (key, goal), (k, left, b) in zip(goals, splitters(inner, goals, tolerance)):
+        # rows that are one in text and doc_id aren't told apart: the nearer side of them
+        second.setdefault(key, []).append(k + int(left >= b / 2 and left > 0))
     shard = _rank(F.col("key"), sorted([*whole, *[key + 1 for key, cuts in second.items() for _ in cuts]]))
     for key, cuts in second.items():
         shard = shard + F.when(F.col("key") == key, _rank(F.col("second"), cuts)).otherwise(0)

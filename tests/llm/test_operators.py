@@ -202,6 +202,20 @@ def test_shards_cut_a_large_group(spark):
     assert len(n) == 40 and max(n) <= 102 and min(n) >= 98
 
 
+def test_shards_have_near_equal_bytes(spark):
+    """Texts of many lengths, a large group of equal ones, repeats: every shard within a text of the mean, and the order is (text, doc_id)."""
+    rnd = random.Random(21)
+    texts = [(i, "x" * rnd.randint(0, 400) + str(i)) for i in range(1500)] + [(2000 + i, "the same text again") for i in range(800)] + [(7, "x")] * 5 + [(None, None)] * 3
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
+    got = sharding.shards(d, 16).collect()
+    assert len(got) == len(texts)
+    size = {k: sum(r["size"] for r in got if r.shard == k) for k in range(16)}
+    mean = sum(size.values()) / 16
+    assert max(abs(x - mean) for x in size.values()) <= 450
+    assert len({r.shard for r in got if r.doc_id is not None and r.doc_id >= 2000}) >= 2
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, sharding.shards(d.repartition(2), 16).collect()), key=str)
+
+
 def test_mix(docs, rows, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows) and sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(5)).collect()), key=str)
