@@ -305,6 +305,7 @@ def _backoff(k: int):
         some = kept > 0
         rate = np.where(some, held / np.where(some, kept, 1.0), 1.0)
         alpha = np.where(some, np.where(full, 0.0, (1 - held / np.maximum(c, 1e-300)) / np.where(full, 1.0, 1 - mass)), 1.0)
+        alpha = (alpha.view("u8") & ~_U(0xFFF)).view("f8")  # 41 bits are kept, so that it packs better
         return _answered(rows, ends, at, [(10 * k + AFTER, c), (10 * k + RATE, rate), (10 * k + ALPHA, alpha)], None)
 
     return run

@@ -59,10 +59,11 @@ def dealt(df: DataFrame, name: str, key: str) -> DataFrame:
     spark = df.sparkSession
     n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), scratch(spark, name)
     table = re.sub(r"\W", "_", path.rpartition("/")[2])
+    spark.sql(f"CREATE TABLE {table} ({', '.join(f'`{c}` {t}' for c, t in df.dtypes)}) USING parquet CLUSTERED BY ({key}) INTO {n} BUCKETS LOCATION '{path}'")
     before = spark.conf.get(RELEASE, "false")
     spark.conf.set(RELEASE, "true")
     try:
-        df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
+        df.repartition(n, key).write.insertInto(table)
     finally:
         spark.conf.set(RELEASE, before)
     out = spark.table(table)
@@ -71,6 +72,25 @@ def dealt(df: DataFrame, name: str, key: str) -> DataFrame:
     return out
 
 
+def one_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose (doc_id, hash of the text) is among ``kept`` (doc_id, t), one for each: equal rows are told apart by a number of their own."""
+    t = F.xxhash64(F.coalesce("text", F.lit("")))
+    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("t").alias("_kept_t")).distinct()
+    kept = settled(kept, "kept")
+    rows = docs.withColumn("_kept_hash", t)
+    rows = rows.join(kept, (rows._kept_hash == kept._kept_t) & F.col("doc_id").cast("long").eqNullSafe(kept._kept_id), "left_semi")
+    keys = docs.select(F.col("doc_id").cast("long").alias("_again_id"), t.alias("_again_t")).groupBy("_again_id", "_again_t").count().filter("count > 1").drop("count")
+    again = settled(keys.join(kept, (keys._again_t == kept._kept_t) & keys._again_id.eqNullSafe(kept._kept_id), "left_semi"), "again")
+    if again.isEmpty():
+        return rows.drop("_kept_hash")
+    on = (rows._kept_hash == again._again_t) & F.col("doc_id").cast("long").eqNullSafe(again._again_id)
+    # a repeated row moves; all of its columns are one value for the choice
+    repeated = rows.join(again, on, "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = repeated.groupBy("doc_id", "_kept_hash").agg(F.first(whole).alias("_row")).select("_row.*")
+    return rows.join(again, on, "left_anti").drop("_kept_hash").unionByName(one)
+
+
 def ascii_lower(text: Column | str) -> Column:
     """Null is empty; only A-Z change."""
     return F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), UPPER, LOWER)
