@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, scratch, settled
+from .shared import ascii_lower, one_each, scratch, settled
 
 #: State lies on disk; a partition's store is closed once it has committed, so few are open at a time.
 STATE = {
@@ -52,16 +52,17 @@ def keyed_state(digests: DataFrame, path: str) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per document: doc_id, t (the text's hash), keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
     text = ascii_lower("text")
     path = scratch(spark, "dedup-digests")
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("digest"), F.input_file_name().alias("locator")).write.parquet(path)
-    schema = "doc_id long, digest string, locator string"
+    raw = F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("digest"), raw, F.input_file_name().alias("locator")).write.parquet(path)
+    schema = "doc_id long, digest string, t long, locator string"
     digests = spark.read.schema(schema).parquet(path)
     state = settled(keyed_state(digests, path), "dedup-groups")
     hits = state.filter("group_size > 1")
-    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("full")).withColumn("digest", F.sha2("full", 256))
+    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw, text.alias("full")).withColumn("digest", F.sha2("full", 256))
     # all texts move once; what follows has those of the hits alone
     full = settled(full.join(hits.select("digest", "keep_id"), "digest"), "dedup-hits")
     keepers = full.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("full").alias("kept_full"))
@@ -73,12 +74,12 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     else:
         differs = differs.distinct()
         again = full.join(differs, "digest").groupBy("digest", "full").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        apart = full.join(again, ["digest", "full"]).select("digest", "doc_id", "keep_id", "group_size")
-        rows = digests.join(state, "digest").join(differs, "digest", "left_anti").select("digest", "doc_id", "keep_id", "group_size").unionByName(apart)
-    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+        apart = full.join(again, ["digest", "full"]).select("digest", "doc_id", "t", "keep_id", "group_size")
+        rows = digests.join(state, "digest").join(differs, "digest", "left_anti").select("digest", "doc_id", "t", "keep_id", "group_size").unionByName(apart)
+    return rows.select("doc_id", "t", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their own columns."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept._id), "left_semi")
+    """Of rows with equal texts the one that stays, with its own columns: of the largest doc_id, of these the text with the least hash."""
+    kept = exact_groups(docs).filter("kept").groupBy("doc_id", "text_sha256").agg(F.min("t").alias("t"))
+    return one_each(docs, kept.select("doc_id", "t"))

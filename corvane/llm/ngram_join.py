@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settled
+from .shared import one_each, settled
 from .textblocks import _U, blocks, distinct, long, mix, shingles
 
-BUCKETS, FLUSH, SMALL_TILE, CENTRES, BLOCK_ITEMS = 64, 1_000_000, 16, 4, 1_000_000
+SHINGLES_A_BUCKET, FLUSH, SMALL_TILE, CENTRES, BLOCK_ITEMS, BLOCK_ROWS = 2_000_000, 1_000_000, 16, 4, 1_000_000, 500
 
 
 class Bands:
@@ -56,7 +56,7 @@ def _sets(k):
                 value, owner = shingles(block, k)
                 o, v, _ = distinct(owner, value)
                 size, cls = class_of(o, v, block.n)
-                yield pa.RecordBatch.from_arrays([part.column(0), long(size), long(cls), bitmaps(o, v, size)], names=["doc_id", "n", "cls", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), long(size), long(cls), bitmaps(o, v, size)], names=["doc_id", "t", "n", "cls", "bits"])
 
     return run
 
@@ -70,16 +70,16 @@ def bitmaps(owner: np.ndarray, value: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, end // 8).astype(np.int32)), pa.py_buffer(np.packbits(flat))])
 
 
-def _keys(k, percent):
+def _keys(k, percent, buckets):
     def run(batches):
         bands = Bands(percent)
         held, count = [], 0
 
         def flush():
             keys, ids = (np.concatenate(x) for x in zip(*held))
-            bucket = (keys >> _U(32)) % _U(BUCKETS)
+            bucket = (keys >> _U(32)) % _U(buckets)
             order = np.argsort(bucket, kind="stable")
-            keys, ids, ends = keys[order], ids[order], np.searchsorted(bucket[order], np.arange(BUCKETS + 1).astype(np.uint64))
+            keys, ids, ends = keys[order], ids[order], np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
             rows = [(b, keys[s:e].tobytes(), ids[s:e].tobytes()) for b, (s, e) in enumerate(zip(ends, ends[1:])) if e > s]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "keys", "ids"])
 
@@ -248,7 +248,7 @@ def _rest(edges: DataFrame, labels: DataFrame, sets_of: Callable[[DataFrame], Da
     # what is known of each group is written first, so that the joins read plain shuffles and a large group can be split
     largest = settled(nodes.groupBy("grp", "label").count().groupBy("grp").agg(F.max_by("label", F.struct("count", "label")).alias("largest")), "ngram-largest")
     visitors = nodes.join(largest, "grp").filter("label <> largest").drop("largest")
-    parts = lambda: F.ceil(F.sum("n") / BLOCK_ITEMS)
+    parts = lambda: F.ceil(F.greatest(F.sum("n") / BLOCK_ITEMS, F.count("*") / BLOCK_ROWS))
     bands = settled(nodes.groupBy("grp", "band").agg(parts().alias("blocks")), "ngram-bands")
     guests = settled(visitors.groupBy("grp").agg(parts().alias("chunks")), "ngram-guests")
     home = nodes.join(bands, ["grp", "band"]).join(guests, "grp").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
@@ -281,12 +281,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id of every row."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = settled(texts.mapInArrow(_sets(k), "doc_id long, n long, cls long, bits binary"), "ngram-classes")
-    keys = texts.mapInArrow(_keys(k, percent), "bucket int, keys binary, ids binary")
+    """doc_id, t (the text's hash), n_shingles, class_id, group_id (of what links reach; null without shingles), component_id of every row."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
+    signed = settled(texts.mapInArrow(_sets(k), "doc_id long, t long, n long, cls long, bits binary"), "ngram-classes")
+    buckets = max(64, -(-(signed.agg(F.sum("n")).first()[0] or 0) // SHINGLES_A_BUCKET))
+    keys = texts.mapInArrow(_keys(k, percent, buckets), "bucket int, keys binary, ids binary")
     tiles = settled(keys.groupBy("bucket").applyInArrow(_tiles, "key long, a long, b long"), "ngram-tiles")
-    classes = settled(signed.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("bits").alias("bits")), "ngram-firsts")
+    classes = settled(signed.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "t")).alias("row"), F.min("n").alias("n"), F.min("bits").alias("bits")), "ngram-firsts")
     # bitmaps first: of what shares a part, only pairs that can reach the threshold fetch their arrays
     left, right = (classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
     pairs = tiles.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
@@ -294,8 +295,9 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(cls, items) of the wanted classes, and maybe of some others."""
-        ids = wanted.distinct().join(classes.select("cls", "first"), "cls").select(F.col("first").alias("doc_id"))
-        arrays = texts.join(ids, "doc_id", "left_semi").mapInArrow(_arrays(k), "cls long, items binary")
+        rows = wanted.distinct().join(classes.select("cls", "row"), "cls").select(F.col("row.doc_id").alias("_id"), F.col("row.t").alias("_t"))
+        own = texts.join(rows, (texts.t == rows._t) & texts.doc_id.eqNullSafe(rows._id), "left_semi")
+        arrays = own.mapInArrow(_arrays(k), "cls long, items binary")
         return settled(arrays.dropDuplicates(["cls"]), "ngram-sets")
 
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")))
@@ -312,12 +314,16 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
         labels = components(links.union(_rest(edges, labels, sets_of, percent)))
     least = classes.select("cls", "first").join(labels, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("label", "cls").alias("label"))
     least = settled(least, "ngram-labels")
-    component = least.groupBy("label").agg(F.min("first").alias("component_id")).join(least, "label").select("cls", "component_id")
+    component = least.groupBy("label").agg(F.min("first").alias("component_id")).join(least, "label").select("cls", "label", "component_id")
     out = signed.join(component, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "t", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.col("label").alias("group_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def drop_near(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, with its own columns."""
-    kept = ngram_components(docs, k, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept._id), "left_semi")
+    """One row of each component, with its own columns: the one with the least doc_id, of several the one with the least hash of its text.
+
+    Rows without shingles stay, but for repeats of (doc_id, text); null doc_ids come after others.
+    """
+    found = ngram_components(docs, k, percent)
+    first = found.filter("n_shingles > 0").groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("row"))
+    return one_each(docs, first.select("row.doc_id", "row.t").unionByName(found.filter("n_shingles = 0").select("doc_id", "t")))

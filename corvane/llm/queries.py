@@ -38,7 +38,7 @@ def op5_katz_scores(spark, sf_dir):
 
 
 def op6_ngram_jaccard(spark, sf_dir):
-    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), 4, 85)
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), 4, 85).drop("t", "group_id")
 
 
 def op7_source_mix(spark, sf_dir):
@@ -55,7 +55,7 @@ def op9_quality_bradley_terry(spark, sf_dir):
 
 
 def op10_exact_dedup(spark, sf_dir):
-    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("t")
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_vector_packing, op3_toxicity_nnpu, op4_histogram_shards, op5_katz_scores, op6_ngram_jaccard, op7_source_mix, op8_edit_fingerprints, op9_quality_bradley_terry, op10_exact_dedup)}
