@@ -3,9 +3,12 @@
 One random walk, shared by all texts, reads a text's characters: at step j a character of class x is
 written and the walk moves on if bit (x, j) says so. Edits become few differences between the written
 strings. A fingerprint holds the string at fixed steps, as many in each octave [2^k, 2^(k+1)), so texts
-of any length compare; likeness is the weighted share of equal samples. near_pairs() finds near
-fingerprints by bands of samples and verifies them by likeness; with_edits() doesn't call it. Null text is empty, its fingerprint too; two empty ones are alike
-(1.0); repeated rows are next to each other; a single row is next to itself.
+of any length compare; likeness is the weighted share of equal samples. Near fingerprints are searched for
+by bands: BANDS sets of BITS sampled places, each hashed, over a fingerprint's last two octaves and over the last
+two but one, so lengths on both sides of a power of two meet; what shares a band is verified by likeness. Queries
+are the rows whose doc_id is divisible by EVERY, against all rows. Null text is empty, its fingerprint too; two
+empty ones are alike (1.0), but are not searched for; repeated rows are next to each other; a single row is next
+to itself; a null doc_id is no query and comes last.
 """
 
 from __future__ import annotations
@@ -14,12 +17,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import settled
 from .textblocks import _U, mix
 
-CLASSES, PERIOD, EACH, BLOCK_CHARS, TILE = 16, 1 << 16, 16, 12_000_000, 1000
+CLASSES, PERIOD, EACH, BLOCK_CHARS = 16, 1 << 16, 16, 12_000_000
+#: Bands of a fingerprint, sampled places in each, least likeness of near ones, and which doc_ids are queries.
+BANDS, BITS, LEAST, EVERY = 12, 4, 0.8, 100
 _move = (mix(np.arange(CLASSES * PERIOD, dtype=np.uint64) + _U(0xABCDEF)) & _U(1)).astype(bool).reshape(CLASSES, PERIOD)
 #: STAY[x, j]: steps from j until the walk has left a character of class x.
 STAY = np.ones((CLASSES, PERIOD), np.int32)
@@ -31,6 +37,8 @@ _r = np.random.default_rng(5)
 #: The sampled steps: all below 16, then EACH in every octave.
 STEPS = np.concatenate([np.arange(16), *(np.sort(_r.choice(1 << k, EACH, replace=False)) + (1 << k) for k in range(4, 36))]).astype(np.int64)
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
+#: The sampled places of each band among the 2 * EACH of two octaves, later ones (which stand for more steps) rather than earlier.
+PLACES = np.stack([np.sort(_r.choice(2 * EACH, BITS, replace=False, p=np.repeat([0.25, 0.75], EACH) / EACH)) for _ in range(BANDS)])
 
 
 def _octaves(end: int) -> int:
@@ -66,16 +74,23 @@ def _print(symbols: np.ndarray, steps: np.ndarray, end: int) -> str:
     return got.tobytes().decode()
 
 
-def likeness(a: str, b: str) -> float:
-    """0 to 1: equal samples, each weighted by the steps it stands for."""
-    n = max(len(a), len(b))
-    if not n:
-        return 1.0
-    x, y = (np.frombuffer(s.ljust(n, "z").encode(), np.uint8).reshape(-1, EACH) for s in (a, b))
-    weight = 2.0 ** np.maximum(np.arange(len(x)) + 3, 4)
-    weight[0] = 16
+def matrix(prints: list[str], width: int) -> np.ndarray:
+    """One row of samples for each fingerprint, z beyond its end."""
+    return np.frombuffer("".join(x.ljust(width, "z") for x in prints).encode(), np.uint8).reshape(len(prints), width)
+
+
+def likenesses(a: list[str], b: list[str]) -> np.ndarray:
+    """0 to 1 for each pair: equal samples, each weighted by the steps it stands for."""
+    width = max([EACH, *map(len, a), *map(len, b)])
+    x, y = (matrix(s, width).reshape(len(a), -1, EACH) for s in (a, b))
+    weight = 2.0 ** np.maximum(np.arange(x.shape[1]) + 3, 4)
     both = (x != ord("z")) | (y != ord("z"))
-    return float((weight @ ((x == y) & both).sum(1)) / (weight @ both.sum(1)))
+    total = both.sum(2) @ weight
+    return np.where(total > 0, (((x == y) & both).sum(2) @ weight) / np.maximum(total, 1), 1.0)
+
+
+def likeness(a: str, b: str) -> float:
+    return float(likenesses([a], [b])[0])
 
 
 def _half(rows: list[tuple]) -> list[tuple]:
@@ -141,18 +156,29 @@ def _chained(batches):
     yield from runs(held)
 
 
+def _rank(x: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts lie below x: first which run of them, then how many of that run."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, int(len(cuts) ** 0.5))
+    literal = lambda c: F.array(*[F.lit(v).cast("long") for v in c])
+    below = lambda c: F.size(F.filter(c, lambda v: v < x))
+    run = below(literal(cuts[step - 1 :: step]))
+    runs = [cuts[i : i + step] for i in range(0, len(cuts), step)] + [[]]
+    return run * step + below(F.element_at(F.array(*[literal(r) if r else literal([2**63 - 1]) for r in runs]), run + 1))
+
+
 def with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of it with its end replaced by the next document's beginning.
 
     Documents are dealt by ranges of doc_id; a range's first row is sent to the range before as well.
     """
     spark = docs.sparkSession
-    parts = min(2000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("o", F.coalesce("doc_id", F.lit(-(2**63))))
-    cuts = rows.agg(F.percentile_approx("o", [k / parts for k in range(1, parts)], 20_000)).first()[0] or []
+    cuts = rows.agg(F.percentile_approx("o", [k / parts for k in range(1, parts)], max(20_000, 10 * parts))).first()[0] or []
     cuts = sorted(set(cuts))
-    pid = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("o"))) if cuts else F.lit(0)
-    rows = rows.withColumn("pid", pid)
+    rows = rows.withColumn("pid", _rank(F.col("o"), cuts))
     heads = sorted((r.pid, r.o) for r in rows.groupBy("pid").agg(F.max("o").alias("o")).collect())
     if not heads:
         return spark.createDataFrame([], SCHEMA)
@@ -165,21 +191,57 @@ def with_edits(docs: DataFrame) -> DataFrame:
     return dealt.select("pid", "ghost", "doc_id", "text").mapInArrow(_chained, SCHEMA)
 
 
-def near_pairs(prints: DataFrame, samples: int = 12, bands: int = 8, least: float = 0.8) -> DataFrame:
-    """(a, b, likeness) of all pairs of different fingerprints that share a band, by their least doc_ids.
+def bands(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, fingerprint) of the bands of each: over its last two octaves and over the two before the last."""
+    keys, whose = [], []
+    size = np.array([len(x) // EACH for x in prints])
+    for back in (0, 1):
+        use = np.flatnonzero(size > back)
+        if not len(use):
+            continue
+        top = size[use] - back  # octaves read: the last is this one
+        text = matrix([("y" * EACH + prints[i])[(t - 1) * EACH : (t + 1) * EACH] for i, t in zip(use, top)], 2 * EACH).astype(np.uint64)
+        for b, places in enumerate(PLACES):
+            key = mix(np.uint64(b + 1) + top.astype(np.uint64) * _U(1 << 20))
+            for p in places:
+                key = mix(key * _U(0x9FB21C651E98DF25) + text[:, p])
+            keys.append(key)
+            whose.append(use)
+    return (np.concatenate(keys), np.concatenate(whose)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _banded(batches):
+    for batch in batches:
+        key, whose = bands(batch.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(whose)), pa.array(key.view(np.int64))], names=["doc_id", "band"])
+
+
+def _alike(least):
+    def run(batches):
+        for batch in batches:
+            near = likenesses(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], names=["query", "doc_id", "likeness"]).filter(pa.array(near >= least))
+
+    return run
+
+
+def near_queries(prints: DataFrame, every: int = EVERY, least: float = LEAST) -> DataFrame:
+    """(query, doc_id, likeness) of all rows that share a band with a query and are as near; prints: doc_id, fingerprint, kept in a table.
 
-    Bands are the last cells of a grid over the samples, so lengths of different octaves meet; a short
-    fingerprint has as many as it fills. A large band's pairs are dealt over tiles of TILE x TILE.
+    Fingerprints of repeated doc_ids are each searched. Only ids and hashes meet by bands, then the found pairs fetch their fingerprints.
     """
-    one = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id")).filter("fingerprint <> '' and id is not null")
-    filled = F.rtrim("fingerprint", F.lit("z"))
-    cells = F.ceil(F.length(filled) / F.lit(samples)).cast("int")
-    cell = F.explode(F.sequence(F.greatest(cells - bands, F.lit(0)), cells - 1))
-    banded = one.filter(F.length(filled) > 0).select("id", "fingerprint", cell.alias("cell")).withColumn("part", F.rtrim(F.substring("fingerprint", F.col("cell") * samples + 1, F.lit(samples)), F.lit("z")))
-    many = banded.groupBy("cell", "part").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"), F.count("*").alias("n")).filter("n > 1")
-    dealt = banded.join(many, ["cell", "part"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    left = dealt.select("cell", "part", F.col("own").alias("i"), F.col("other").alias("j"), F.col("id").alias("a"), F.col("fingerprint").alias("x"))
-    right = dealt.select("cell", "part", F.col("other").alias("i"), F.col("own").alias("j"), F.col("id").alias("b"), F.col("fingerprint").alias("y"))
-    pairs = left.join(right, ["cell", "part", "i", "j"]).filter("a < b").select("a", "b", "x", "y").distinct()
-    scored = F.pandas_udf(lambda x, y: x.combine(y, likeness), "double")
-    return pairs.withColumn("likeness", scored("x", "y")).filter(F.col("likeness") >= least).select("a", "b", "likeness")
+    rows = prints.filter("doc_id is not null and fingerprint <> ''").select("doc_id", "fingerprint").distinct()
+    of = lambda x: x.mapInArrow(_banded, "doc_id long, band long").distinct()
+    queries = rows.filter(F.col("doc_id") % every == 0)
+    pairs = of(queries).withColumnRenamed("doc_id", "query").join(of(rows), "band").filter("query <> doc_id").select("query", "doc_id").distinct()
+    left = queries.select(F.col("doc_id").alias("query"), F.col("fingerprint").alias("x"))
+    both = pairs.join(left, "query").join(rows.withColumnRenamed("fingerprint", "y"), "doc_id").select("query", "doc_id", "x", "y")
+    return both.mapInArrow(_alike(least), "query long, doc_id long, likeness double").groupBy("query", "doc_id").agg(F.max("likeness").alias("likeness"))
+
+
+def searched(docs: DataFrame) -> DataFrame:
+    """with_edits and of each row the nearest query (near_id, the least of equal ones; null without one), its likeness, and how many queries are near."""
+    prints = settled(with_edits(docs), "edit-prints")
+    near = near_queries(prints).groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.struct("likeness", (-F.col("query")).alias("q"))).alias("best"), F.count("*").alias("near_queries"))
+    out = prints.join(near, prints.doc_id == near._id, "left")
+    return out.select(*prints.columns, (-F.col("best.q")).alias("near_id"), F.col("best.likeness").alias("near_likeness"), F.coalesce("near_queries", F.lit(0)).cast("long").alias("near_queries"))

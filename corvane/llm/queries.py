@@ -46,7 +46,7 @@ def op7_source_mix(spark, sf_dir):
 
 
 def op8_edit_fingerprints(spark, sf_dir):
-    return fingerprints.with_edits(table(spark, sf_dir, "documents"))
+    return fingerprints.searched(table(spark, sf_dir, "documents"))
 
 
 def op9_quality_bradley_terry(spark, sf_dir):

@@ -412,24 +412,72 @@ def test_fingerprints(docs, rows, empty):
     assert fingerprints.with_edits(empty).count() == 0
 
 
-@pytest.mark.parametrize("tile", [1000, 2])
-def test_near_pairs_are_all_that_share_a_band(spark, monkeypatch, tile):
-    """A band's least member is unlike the others; short fingerprints and other octaves; against all pairs."""
-    monkeypatch.setattr(fingerprints, "TILE", tile)
+def plain_walk(text):
+    """The written string, a character for each step, by a plain loop."""
+    out, j = [], 0
+    for c in text:
+        x = int(fingerprints.mix(np.array([ord(c)], np.uint64))[0]) & 15
+        while True:
+            out.append("0123456789abcdef"[x])
+            move = int(fingerprints.mix(np.array([x * fingerprints.PERIOD + j % fingerprints.PERIOD + 0xABCDEF], np.uint64))[0]) & 1
+            j += 1
+            if move:
+                break
+    return "".join(out)
+
+
+def test_fingerprints_against_a_plain_walk(spark):
+    rnd = random.Random(17)
+    texts = [(i, "".join(rnd.choice("abc dé\U0001f600") for _ in range(rnd.choice([1, 2, 15, 40, 700])))) for i in range(25)] + [(50, ""), (51, None)]
+    got = {r.doc_id: r for r in fingerprints.with_edits(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()}
+
+    def sampled(text):
+        w = plain_walk(text)
+        m = 0 if not w else 16 * (1 if len(w) <= 16 else (len(w) - 1).bit_length() - 3)
+        return "".join(w[s] if s < len(w) else "z" for s in fingerprints.STEPS[:m].tolist())
+
+    ids = sorted((i for i, _ in texts), reverse=True)
+    text = {i: t or "" for i, t in texts}
+    for k, i in enumerate(ids):
+        after = text[ids[(k + 1) % len(ids)]]
+        n = len(text[i])
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (sampled(text[i]), sampled(text[i][: n - n // 2] + after[: n // 2]))
+        for mine, a, b in ((got[i].near_edited, got[i].fingerprint, got[i].edited_fingerprint), (got[i].near_next, got[i].fingerprint, sampled(after))):
+            same = total = 0
+            for p in range(max(len(a), len(b))):
+                x, y, w = a.ljust(p + 1, "z")[p], b.ljust(p + 1, "z")[p], 2 ** max(p // 16 + 3, 4)
+                same, total = same + w * (x == y != "z"), total + w * (x != "z" or y != "z")
+            assert abs(mine - (same / total if total else 1)) < 1e-9
+
+
+def test_a_single_document_is_next_to_itself(spark):
+    r = fingerprints.searched(spark.createDataFrame([(0, "some text")], "doc_id long, text string")).first()
+    assert r.near_next == 1 and r.near_id is None and r.near_queries == 0
+
+
+def test_search_finds_near_fingerprints(spark):
+    """Every found pair is near, and of all near pairs of the queries at least 0.9 are found; copies, edits, other lengths, repeats, nulls."""
     rnd = random.Random(7)
-    y = "".join(rnd.choice("0123456789abcdef") for _ in range(96))
-    other = lambda c: "0123456789abcdef"[("0123456789abcdef".index(c) + 5) % 16]
-    w = "".join(other(c) if k % 12 == 0 and k < 84 else c for k, c in enumerate(y))
-    x = "".join(other(c) if k < 84 else c for k, c in enumerate(y))
-    prints = [x, y, w, y + "z" * 16, y[:16], y[:15] + "0", y[:4] + "z" * 12, w[:32], "", y]
-    prints += ["".join(rnd.choice("01") for _ in range(16)) for _ in range(40)]
-    ids = {}
-    for i, f in enumerate(prints):
-        ids.setdefault(f, i)
-    cells = lambda f: {(k, f[12 * k : 12 * k + 12].rstrip("z")) for k in range(-(-len(f.rstrip("z")) // 12))[-8:]}
-    want = {(min(i, j), max(i, j)) for f, i in ids.items() for g, j in ids.items() if i < j and cells(f) & cells(g) and fingerprints.likeness(f, g) >= 0.8}
-    got = [(r.a, r.b) for r in fingerprints.near_pairs(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")).collect()]
-    assert (1, 2) in want and len(got) == len(set(got)) and set(got) == want
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8))) for _ in range(300)]
+    texts = []
+    for g in range(40):
+        base = [rnd.choice(words) for _ in range(rnd.choice([3, 12, 60, 400]))]
+        for c in range(12):
+            t = list(base)
+            for _ in range(rnd.choice([0, 1, 1, 2])):
+                at = rnd.randrange(len(t))
+                t[at : at + 1] = rnd.choice([[], ["new"], [t[at], "more"]])
+            texts.append(" ".join(t))
+    rows = [(10 * i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (5, ""), (0, texts[0]), (200, None)]
+    prints = fingerprints.with_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", "fingerprint")
+    own = [(r.doc_id, r.fingerprint) for r in prints.collect()]
+    got = {(r["query"], r.doc_id): r.likeness for r in fingerprints.near_queries(prints).collect()}
+    near = {}
+    for q, x in own:
+        for i, y in own:
+            if q is not None and q % 100 == 0 and i is not None and i != q and x and y and (like := fingerprints.likeness(x, y)) >= 0.8:
+                near[q, i] = max(like, near.get((q, i), 0))
+    assert len(near) > 150 and all(abs(near[p] - like) < 1e-9 for p, like in got.items()) and len(got) >= 0.9 * len(near)
 
 
 def test_likeness_follows_edits():
