@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, settled
+from .shared import WORD, one_each, settled
 
 ROWS_A_BUCKET, FEW_SOURCES = 2000, 50_000
 
@@ -94,3 +94,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     more = (F.col("before") + F.col("within") + F.col("size") / 2 <= rest) & (F.col("size") > 0)
     copies = F.least(epochs + more.cast("long"), F.lit(int(most))).cast("long")
     return ranked.select("doc_id", "t", "source", "size", "source_size", F.round("target", 6).alias("target"), (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """Every document as often as the mix takes it, with its own columns; those it takes no time are gone.
+
+    Rows that repeat in doc_id and text share their copies. Null texts have no words, so none is taken.
+    """
+    copies = mix(docs, **how).groupBy(F.col("doc_id").alias("_mix_id"), F.col("t").alias("_mix_t")).agg(F.sum("copies").alias("_mix_n"), F.count("*").alias("_mix_rows")).filter("_mix_n > 0")
+    copies = settled(copies, "mix-copies")
+    if not copies.filter("_mix_rows > 1").isEmpty():
+        docs = one_each(docs, copies.select(F.col("_mix_id").alias("doc_id"), F.col("_mix_t").alias("t")))
+    rows = docs.withColumn("_mix_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    taken = rows.join(copies, (rows._mix_hash == copies._mix_t) & rows.doc_id.eqNullSafe(copies._mix_id))
+    return taken.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_n").cast("int")))).select(*[docs[c] for c in docs.columns])

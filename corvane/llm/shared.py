@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -33,9 +34,28 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._corvane_dir
 
 
+#: The paths that each open ``tidied`` block has made.
+_made: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def tidied(spark: SparkSession):
+    """Deletes the tables that were made within once it ends; results are written before."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
