@@ -58,13 +58,16 @@ def tidied(spark: SparkSession):
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
+def settled(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: its lineage ends there.
 
-    The table stands for all that made it, so the write's shuffle files go as soon as it is done.
+    The table stands for all that made it, so the write's shuffle files go as soon as it is done. With keep it
+    outlives the ``tidied`` block it is made in.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
+    if keep and _made:
+        _made[-1].remove(path)
     before = spark.conf.get(RELEASE, "false")
     spark.conf.set(RELEASE, "true")
     try:
