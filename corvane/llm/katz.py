@@ -35,7 +35,7 @@ ANSWERS = {COUNT: "i8", AFTER: "i8", RATE: "f8", ALPHA: "f8"}
 #: Discounts and masses are whole multiples of these, so their sums are exact in any order.
 PART_OF_DISCOUNT, PART_OF_MASS = 2.0**-12, 2.0**-45
 PART = "block long, kind int, bucket int, data binary"
-ASKED = "bucket int, block long, keys binary, counts binary, kept binary, mass binary, single long"
+ASKED = "bucket int, block long, keys binary, counts binary, kept binary, mass binary, need binary, single long"
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -222,12 +222,12 @@ def _asks(model: Model, block: int, keys: np.ndarray, single: int, *columns: np.
     some = np.flatnonzero(np.diff(ends))
     slices = [slice(ends[b], ends[b + 1]) for b in some]
     data = [[_steps(keys[s]) for s in slices], *[[packed(x[s]) for s in slices] for x in columns]]
-    data += [[None] * len(some)] * (4 - len(data))
+    data += [[None] * len(some)] * (5 - len(data))
     singles = np.where(np.arange(len(some)) == 0, single, 0)
     if single and not len(some):  # nothing is asked, but what is known to occur once still counts
-        some, data, singles = np.zeros(1), [[packed(np.zeros(0, "u8"))]] * 2 + [[None]] * 2, np.array([single])
+        some, data, singles = np.zeros(1), [[packed(np.zeros(0, "u8"))]] * 2 + [[None]] * 3, np.array([single])
     arrays = [pa.array(some.astype(np.int32)), pa.array([block] * len(some), pa.int64()), *[pa.array(x, pa.binary()) for x in data], pa.array(singles.astype(np.int64))]
-    return pa.RecordBatch.from_arrays(arrays, names=["bucket", "block", "keys", "counts", "kept", "mass", "single"])
+    return pa.RecordBatch.from_arrays(arrays, names=["bucket", "block", "keys", "counts", "kept", "mass", "need", "single"])
 
 
 def _grams(model: Model, k: int):
@@ -252,7 +252,9 @@ def _contexts(model: Model, k: int):
         seen = learn & t.seen(k)[open_]
         parts = model.cut(k, c) / PART_OF_DISCOUNT, np.rint(t.p(k - 1)[open_] / c / PART_OF_MASS)
         sums = [np.bincount(at[seen], x[seen], len(keys)).astype(np.int64) for x in parts]
-        return pa.Table.from_batches([_asks(model, own["block"][0].as_py(), keys, 0, np.bincount(at[learn], minlength=len(keys)), *sums)])
+        need = np.zeros(len(keys), "u1")
+        need[at[~t.seen(k)[open_]]] = 1  # where a word is unseen, so that the weight is asked for
+        return pa.Table.from_batches([_asks(model, own["block"][0].as_py(), keys, 0, np.bincount(at[learn], minlength=len(keys)), *sums, need)])
 
     return run
 
@@ -276,7 +278,11 @@ def _answered(rows: pa.Table, ends: np.ndarray, at: np.ndarray, columns: list[tu
     out, bucket = [], rows["bucket"][0].as_py()
     for i, block in enumerate(rows["block"].to_pylist()):
         own = at[ends[i - 1] if i else 0 : ends[i]]
-        out += [(block, kind, bucket, packed(x[own]), None) for kind, x in columns if len(own)]
+        if len(own):
+            needed = rows["need"][i].as_py()
+            for kind, x in columns:
+                given = x[own] * unpacked(needed, "u1") if kind % 10 == ALPHA else x[own]
+                out.append((block, kind, bucket, packed(given), None))
     if stat:
         out.append((None, None, bucket, None, stat))
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
