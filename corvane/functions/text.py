@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -9,41 +10,46 @@ from pyspark.sql import functions as F
 STOP = ("PVT", "LTD", "PRIVATE", "LIMITED", "AND", "&", "THE")
 
 
-def jaro_winkler(a: str, b: str) -> float:
-    """The usual measure; the common front counts from a Jaro value above 0.7 on."""
-    if not a and not b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    used, mine = [False] * len(b), []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                mine.append(c)
-                break
-    m = len(mine)
-    if not m:
-        return 0.0
-    swaps = sum(x != y for x, y in zip(mine, (c for c, u in zip(b, used) if u))) // 2
-    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    front = 0
-    for x, y in zip(a[:4], b[:4]):
-        if x != y:
-            break
-        front += 1
-    return jaro + 0.1 * front * (1 - jaro) if jaro > 0.7 else jaro
+def jaro_winkler(a: list[str], b: list[str]) -> np.ndarray:
+    """The usual measure of each pair, all pairs at once; the common front counts from a Jaro value above 0.7 on. Two empty texts are equal."""
+    n = len(a)
+    la, lb = np.array([*map(len, a)], np.int64), np.array([*map(len, b)], np.int64)
+    x, y = _matrix(a, la, 0), _matrix(b, lb, 1)  # pads are no characters of the other side
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)[:, None]
+    rows, at = np.arange(n), np.arange(y.shape[1])
+    used, mine = np.zeros(y.shape, bool), np.zeros(x.shape, bool)
+    for i in range(x.shape[1]):
+        ok = (y == x[:, i : i + 1]) & ~used & (np.abs(at - i) <= reach) & (i < la)[:, None]
+        j = ok.argmax(1)
+        hit = ok[rows, j]
+        used[rows[hit], j[hit]] = True
+        mine[:, i] = hit
+    m = mine.sum(1)
+    width = max(int(m.max(initial=0)), 1)
+    front = lambda z, ok: np.take_along_axis(z, np.argsort(~ok, 1, kind="stable")[:, :width], 1)
+    u, v = front(x, mine), front(y, used)
+    least = min(u.shape[1], v.shape[1])
+    swaps = ((u[:, :least] != v[:, :least]) & (np.arange(least) < m[:, None])).sum(1) // 2
+    some = np.maximum(m, 1)
+    jaro = np.where(m > 0, (m / np.maximum(la, 1) + m / np.maximum(lb, 1) + (m - swaps) / some) / 3, 0.0)
+    least = min(4, x.shape[1], y.shape[1])
+    prefix = np.cumprod(x[:, :least] == y[:, :least], 1).sum(1)
+    out = np.where(jaro > 0.7, jaro + 0.1 * prefix * (1 - jaro), jaro)
+    return np.where((la == 0) & (lb == 0), 1.0, out)
+
+
+def _matrix(texts: list[str], length: np.ndarray, pad: int) -> np.ndarray:
+    width = max(int(length.max(initial=0)), 1)
+    out = np.full((len(texts), width), 0x110000 + pad, np.uint32)
+    out[np.arange(width) < length[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
 
 
 def _jw(a: pd.Series, b: pd.Series) -> pd.Series:
-    seen: dict = {}
-    out = []
-    for pair in zip(a, b):
-        if pair not in seen:
-            seen[pair] = None if pair[0] is None or pair[1] is None else jaro_winkler(*pair)
-        out.append(seen[pair])
-    return pd.Series(out, dtype="float64")
+    pairs = pd.DataFrame({"a": a, "b": b})
+    one = pairs.dropna().drop_duplicates()
+    one = one.assign(v=jaro_winkler(one["a"].tolist(), one["b"].tolist()) if len(one) else pd.Series(dtype="float64"))
+    return pairs.merge(one, on=["a", "b"], how="left")["v"].astype("float64")
 
 
 def jw(a: Column, b: Column) -> Column:
@@ -79,3 +85,24 @@ def cosine(a: Column, b: Column) -> Column:
 
 def address(*columns: str) -> Column:
     return F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in columns])
+
+
+def email(x: Column) -> Column:
+    return F.lower(F.trim(x))
+
+
+def similar(a: Column, b: Column) -> Column:
+    """Jaro-Winkler of the upper-cased, trimmed texts; 0 where one is missing or empty."""
+    x, y = (F.upper(F.trim(F.coalesce(c, F.lit("")))) for c in (a, b))
+    return F.when((x != "") & (y != ""), jw(x, y)).otherwise(0.0)
+
+
+def trigram_cosine(a: Column, b: Column) -> Column:
+    """Cosine of the distinct character trigrams of both texts, a blank before and after each: what stands for a sentence encoder where none is given. 0 where one is empty."""
+    def grams(c):
+        padded = F.concat(F.lit(" "), c, F.lit(" "))
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3))))
+
+    x, y = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    both = F.size(F.array_intersect(grams(x), grams(y))) / F.sqrt(F.size(grams(x)) * F.size(grams(y)).cast("double"))
+    return F.when((x != "") & (y != ""), both).otherwise(0.0)

@@ -17,8 +17,8 @@ def additive(ev: DataFrame) -> DataFrame:
     same = lambda c: F.col(f"{c}_a") == F.col(f"{c}_b")
     part = lambda name, x: F.struct(F.lit(name).alias("feature"), x.cast("double").alias("contribution"))
     parts = F.array(
-        part("PAN", F.when(same("pan"), 0.55).when(~same("pan"), -0.40)), part("Name", F.lit(0.30) * F.col("name_sim")), part("District", F.when(same("district"), 0.05)),
-        part("Pincode", F.when(same("pincode"), 0.05)), part("Legal status", F.when(same("legal_status"), 0.05).otherwise(-0.10)),
+        part("PAN", F.when(same("pan_token"), 0.55).when(~same("pan_token"), -0.40)), part("GSTIN", F.when(same("gstin_token"), 0.15)), part("Phone", F.when(same("phone"), 0.05)), part("Name", F.lit(0.30) * F.col("name_sim")), part("District", F.when(same("district"), 0.05)),
+        part("Pincode", F.when(same("pincode"), 0.05)), part("Legal status", F.when(same("legal"), 0.05).when(~same("legal"), -0.10)),
     )
     x = ev.select("a", "b", F.explode(parts).alias("p")).select("a", "b", "p.*").filter("contribution is not null")
     return described(x)

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.phonetics import metaphone_code
+from corvane.functions.pii import tokenized
+
 AUTO, REVIEW, BLOCK_CAP = 0.92, 0.65, 1000
 # Legal forms that cannot be one business.
 INCOMPATIBLE = [("PROPRIETORSHIP", "PRIVATE LIMITED"), ("PROPRIETORSHIP", "PUBLIC LIMITED"), ("PARTNERSHIP", "PRIVATE LIMITED"), ("LLP", "PRIVATE LIMITED")]
@@ -14,22 +20,31 @@ def _text(c: str) -> Column:
     return F.nullif(F.col(c), F.lit(""))
 
 
-def block_keys(df: DataFrame, strategies: tuple[str, ...] = ("pan", "pin_prefix")) -> DataFrame:
-    """(record_id, strategy, key) of each record and strategy that gives it a key."""
-    word = F.explode(F.array_distinct(F.filter(F.slice(F.split(F.upper(F.trim("business_name")), r"\s+"), 1, 3), lambda w: F.length(w) >= 3)))
+STRATEGIES = ("pan", "gstin", "phonetic", "pin_prefix", "phone")
+
+
+def block_keys(df: DataFrame, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
+    """(record_id, strategy, key) of each tokenized record and strategy that gives it a key.
+
+    Phonetic keys are the Soundex and Metaphone codes of the first three words of the name that have three letters or more.
+    """
+    name = F.upper(F.coalesce("business_name", F.lit("")))
+    words = F.filter(F.slice(F.filter(F.split(name, r"\s+"), lambda w: w != ""), 1, 3), lambda w: F.length(w) >= 3)
+    trimmed = lambda c: F.nullif(F.trim(c), F.lit(""))
     keys = {
-        "pan": _text("pan"), "gstin": F.substring(_text("gstin"), 1, 16), "phone": F.nullif(F.trim("phone"), F.lit("")) if "phone" in df.columns else F.lit(None).cast("string"),
-        "pin_prefix": F.when(F.length("business_name") >= 3, F.concat(_text("pincode"), F.lit("|"), F.upper(F.substring("business_name", 1, 3)))),
-        "phonetic": F.concat(F.lit("SX:"), F.soundex("word")), "word_prefix": F.concat(F.lit("PX:"), F.substring("word", 1, 3)),
+        "pan": trimmed("pan_token"), "gstin": F.substring(_text("gstin_token"), 1, 16), "phone": trimmed("phone"),
+        "pin_prefix": F.when((F.col("pincode") != "") & (F.length("business_name") >= 3), F.concat("pincode", F.lit(":"), F.upper(F.substring("business_name", 1, 3)))),
     }
     parts = []
     for s in strategies:
-        base = df.withColumn("word", word) if s in ("phonetic", "word_prefix") else df
-        parts.append(base.select("record_id", F.lit(s).alias("strategy"), keys[s].alias("key")).filter("key is not null").distinct())
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        if s == "phonetic":
+            word = df.select("record_id", F.explode(F.array_distinct(words)).alias("word"))
+            codes = F.array(F.concat(F.lit("SX:"), F.soundex("word")), F.concat(F.lit("MP:"), metaphone_code(F.col("word"))))
+            part = word.select("record_id", F.lit(s).alias("strategy"), F.explode(codes).alias("key"))
+        else:
+            part = df.select("record_id", F.lit(s).alias("strategy"), keys[s].alias("key"))
+        parts.append(part.filter("key is not null"))
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def candidate_pairs(keys: DataFrame, cap: int = BLOCK_CAP) -> DataFrame:
@@ -64,19 +79,44 @@ def scored(p: DataFrame) -> DataFrame:
     both = lambda c: _text(f"{c}_a").isNotNull() & _text(f"{c}_b").isNotNull()
     same = lambda c: both(c) & (F.col(f"{c}_a") == F.col(f"{c}_b"))
     p = p.withColumn("name_sim", name_sim(F.upper("business_name_a"), F.upper("business_name_b")))
-    total = F.when(same("pan"), 0.55).when(both("pan"), -0.40).otherwise(0.0) + 0.30 * F.col("name_sim")
-    total = total + F.when(same("district"), 0.05).otherwise(0.0) + F.when(same("pincode"), 0.05).otherwise(0.0)
-    total = total + F.when(same("legal_status"), 0.05).when(both("legal_status"), -0.10).otherwise(0.0)
+    p = p.withColumn("legal_a", F.upper("legal_status_a")).withColumn("legal_b", F.upper("legal_status_b"))
+    total = F.when(same("pan_token"), 0.55).when(both("pan_token"), -0.40).otherwise(0.0) + F.when(same("gstin_token"), 0.15).otherwise(0.0) + 0.30 * F.col("name_sim")
+    for c in ("district", "pincode", "phone"):
+        total = total + F.when(same(c), 0.05).otherwise(0.0)
+    total = total + F.when(same("legal"), 0.05).when(both("legal"), -0.10).otherwise(0.0)
     return p.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
 
 
+def explanation() -> Column:
+    """What counted for or against a scored pair, joined by semicolons."""
+    some = lambda c: _text(f"{c}_a").isNotNull() & _text(f"{c}_b").isNotNull()
+    same = lambda c: some(c) & (F.col(f"{c}_a") == F.col(f"{c}_b"))
+    name = F.col("name_sim")
+    parts = [F.when(same("pan_token"), "PAN: EXACT MATCH (+0.55)").when(some("pan_token"), "PAN: DIFFERENT (-0.40)"), F.when(same("gstin_token"), "GSTIN: MATCH (+0.15)")]
+    parts.append(F.format_string("Name sim: %.2f (+%.3f)", F.floor(name * 100 + 0.5) / 100, F.floor(name * 300 + 0.5) / 1000))
+    parts += [F.when(same(c), f"{c.title()}: MATCH (+0.05)") for c in ("district", "pincode", "phone")]
+    parts.append(F.when(same("legal"), "Legal status: MATCH (+0.05)").when(some("legal"), "Legal status: CONFLICT (-0.10)"))
+    return F.concat_ws("; ", *parts)
+
+
+def calibration(ev: DataFrame, review: float = REVIEW) -> DataFrame:
+    """What 13 fixed thresholds would link, send to review and reject, on confidences as shown (4 decimals)."""
+    levels = F.explode(F.array(*[F.lit(x) for x in (0.3, 0.4, 0.5, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.92, 0.95, 0.98)]))
+    # the evidence is counted by confidence first, so only distinct ones meet the thresholds
+    h = ev.groupBy(F.round("confidence", 4).alias("c"), "safe").agg(F.count("*").alias("n")).withColumn("t", levels)
+    n = lambda ok: F.sum(F.when(ok, F.col("n")).otherwise(0))
+    out = h.groupBy("t").agg(n((F.col("c") >= F.col("t")) & F.col("safe")).alias("auto"), n((F.col("c") < F.col("t")) & (F.col("c") >= review)).alias("review"), n(F.col("c") < review).alias("rejected"), F.sum("n").alias("total"))
+    risk = F.greatest(F.lit(0), 100 - F.floor(F.col("t") * 100).cast("int"))
+    return out.select(F.round(F.col("t") * 100).cast("int").alias("pct"), "auto", "review", "rejected", "total", risk.alias("fp_risk"))
+
+
 def safety(p: DataFrame) -> DataFrame:
     """conflict_pan, conflict_legal (hard), far_apart (soft), safe."""
     a, b = F.upper(F.coalesce("legal_status_a", F.lit(""))), F.upper(F.coalesce("legal_status_b", F.lit("")))
     legal = F.lit(False)
     for x, y in INCOMPATIBLE:
         legal = legal | (a.contains(x) & b.contains(y)) | (a.contains(y) & b.contains(x))
-    p = p.withColumn("conflict_pan", F.coalesce(_text("pan_a") != _text("pan_b"), F.lit(False))).withColumn("conflict_legal", legal)
+    p = p.withColumn("conflict_pan", F.coalesce(_text("pan_token_a") != _text("pan_token_b"), F.lit(False))).withColumn("conflict_legal", legal)
     far = (F.upper("district_a") != F.upper("district_b")) & (F.substring("pincode_a", 1, 3) != F.substring("pincode_b", 1, 3))
     return p.withColumn("far_apart", F.coalesce(far, F.lit(False))).withColumn("safe", ~F.col("conflict_pan") & ~F.col("conflict_legal") & (F.col("confidence") >= 0.65))
 
@@ -86,27 +126,41 @@ def routed(p: DataFrame, auto: float = AUTO, review: float = REVIEW) -> DataFram
     return p.withColumn("decision", F.when((c >= auto) & F.col("safe"), "auto_link").when(c >= review, "review").otherwise("reject"))
 
 
-def evidence(records: DataFrame, strategies: tuple[str, ...] = ("pan", "pin_prefix")) -> DataFrame:
-    pairs = candidate_pairs(block_keys(records, strategies))
-    p = sided(pairs, records, ["business_name", "department", "pan", "legal_status", "district", "pincode", "entity_key"])
-    return routed(safety(scored(p)))
+PAIR = ["business_name", "department", "pan_token", "gstin_token", "legal_status", "district", "pincode", "phone", "entity_key"]
+
+
+def evidence(records: DataFrame, key: str, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
+    """A row for each candidate pair of the records, scored, checked and routed on tokens alone."""
+    tokens = tokenized(records, key)
+    return routed(safety(scored(sided(candidate_pairs(block_keys(tokens, strategies)), tokens, PAIR))))
+
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder that ``spark.checkpoint.dir`` names; only a local master may do without, in a folder of its own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="corvane-"))
+    return df.checkpoint()
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label): least labels with pointer jumping; every third round is checkpointed."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().persist()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label"))
-    reliable = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
-    for _ in range(rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.node == near.a).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        up = step.select(F.col("node").alias("up"), F.col("label").alias("up_label"))
-        step = step.join(up, step.label == up.up).select("node", F.col("up_label").alias("label"), "old")
-        step = step.checkpoint() if reliable else step.persist()
-        labels = step.select("node", "label")
-        if step.filter("label < old").isEmpty():
-            return labels
-    raise RuntimeError(f"no fixed point within {rounds} rounds")
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): the least node that edges reach. Each round hooks nodes to their least neighbour and contracts the edges, and is checkpointed."""
+    pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    edges = checkpointed(edges.select(*pair("a", "b")).filter("a < b").distinct())
+    labels = None
+    while not edges.isEmpty():
+        near = edges.select("a", "b").union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("up"))
+        near = checkpointed(near)
+        step = checkpointed(near.join(near.select(F.col("node").alias("up"), F.col("up").alias("label")), "up").select("node", "label"))
+        now = step.select(F.col("node").alias("label"), F.col("label").alias("new"))
+        labels = step if labels is None else checkpointed(labels.join(now, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
+        for c in "ab":
+            edges = edges.join(step.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), c)
+        edges = checkpointed(edges.select(*pair("a_label", "b_label")).filter("a < b").distinct())
+    return edges.select(F.col("a").alias("node"), F.col("a").alias("label")) if labels is None else labels
 
 
 def clusters(records: DataFrame, links: DataFrame) -> DataFrame:
@@ -124,6 +178,21 @@ def cluster_attributes(members: DataFrame) -> DataFrame:
     )
 
 
+def risk(members: DataFrame, ev: DataFrame, status: DataFrame) -> DataFrame:
+    """(ubid, risk, risk_factors): points for departments, activity, several pincodes and names, and an unsafe pair whose first record is a member. status: ubid, status."""
+    unsafe = members.select("ubid", "record_id").join(ev.filter(~F.col("safe")).select(F.col("a").alias("record_id")).distinct(), "record_id").select("ubid").distinct().withColumn("unsafe", F.lit(True))
+    c = members.groupBy("ubid").agg(F.countDistinct("department").alias("departments"), F.countDistinct(_text("pincode")).alias("pincodes"), F.countDistinct("business_name").alias("names"))
+    c = c.join(status.select("ubid", F.col("status").alias("abi")), "ubid", "left").join(unsafe, "ubid", "left")
+    factor = lambda ok, name, points, severity: F.when(ok, F.struct(name.alias("factor"), F.lit(points).alias("contribution"), F.lit(severity).alias("severity")))
+    factors = F.filter(F.array(
+        factor(F.col("departments") >= 3, F.lit("Complex multi-dept entity"), 15, "medium"), factor(F.col("abi") == "UNCERTAIN", F.lit("Conflicting ABI signals"), 30, "high"),
+        factor(F.col("abi") == "DORMANT", F.lit("Dormant classification"), 15, "medium"), factor(F.col("pincodes") > 1, F.format_string("Address inconsistency: %d pincodes", "pincodes"), 20, "high"),
+        factor(F.col("names") > 1, F.format_string("Name variations: %d variants", "names"), 10, "low"), factor(F.col("unsafe"), F.lit("Safety block on merge"), 15, "high"),
+    ), lambda f: f.isNotNull())
+    total = F.aggregate(factors, F.lit(0), lambda s, f: s + f["contribution"])
+    return c.select("ubid", F.least(F.lit(100), total).alias("risk"), factors.alias("risk_factors"))
+
+
 def threshold_sweep(ev: DataFrame, truth: Column, fp_cost: float = 5.0, fn_cost: float = 1.0) -> DataFrame:
     """Counts, precision, recall and cost at thresholds 0.50 to 0.98; the thresholds are a fixed 49 rows."""
     t = ev.sparkSession.range(49).select((F.col("id") + 50).cast("int").alias("pct"))
@@ -137,9 +206,15 @@ def threshold_sweep(ev: DataFrame, truth: Column, fp_cost: float = 5.0, fn_cost:
 
 
 def review_queue(ev: DataFrame) -> DataFrame:
-    """Reviews with priority, rank and case id in the order of (a, b)."""
+    """Reviews with priority, rank and case id in the order of (a, b): numbered within ranges of a, after what earlier ranges hold."""
     c = F.col("confidence")
     rank = F.when((c >= 0.75) & (c < 0.85), 0).when((c >= 0.85) & (c < 0.92), 1).when((c >= 0.70) & (c < 0.75), 2).otherwise(3)
-    out = ev.filter("decision = 'review'").withColumn("rank", rank)
-    out = out.withColumn("case_id", F.format_string("REV-%06d", F.row_number().over(Window.orderBy("a", "b")) - 1))
+    out = checkpointed(ev.filter("decision = 'review'").withColumn("rank", rank).repartitionByRange("a").withColumn("range", F.spark_partition_id()))
+    before, ranges = 0, []
+    for r in sorted(out.groupBy("range").count().collect()):  # a row for each partition of one shuffle
+        ranges.append((r["range"], before))
+        before += r["count"]
+    out = out.join(F.broadcast(ev.sparkSession.createDataFrame(ranges, "range int, before long")), "range")
+    number = F.row_number().over(Window.partitionBy("range").orderBy("a", "b")) - 1 + F.col("before")
+    out = out.withColumn("case_id", F.format_string("REV-%06d", number)).drop("range", "before")
     return out.withColumn("priority", F.element_at(F.array(*[F.lit(x) for x in ("critical", "high", "normal", "low")]), F.col("rank") + 1))

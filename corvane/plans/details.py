@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import phonetics, pii
-from corvane.operators import attribution, console, learning, linkage, normalize
-from corvane.sources.records import from_text, records
+from corvane.operators import activity, attribution, console, learning, linkage, normalize
+from corvane.sources.records import SIGNALS_SQL, from_text, records, signals
 
-from .registry import _CC, _EV, _F, _R, KEY, ORACLE, QUERIES, _act, _ev, _members, _pads, query
+from .registry import _CC, _EV, _F, _R, KEY, ORACLE, QUERIES, REFERENCE, _act, _ev, _members, _pads, query
 
 _IDS = """SELECT c_custkey AS k, 'UDYAM-KA-' || lpad(CAST(c_custkey % 100 AS STRING), 2, '0') || '-' || lpad(CAST(c_custkey AS STRING), CAST(6 + c_custkey % 3 AS INT), '0') AS udyam,
   CAST(2 + c_custkey % 9 AS STRING) || ' ' || lpad(CAST(c_custkey * 7 AS STRING), 11, '0') AS aadhaar FROM customer"""
@@ -51,7 +51,7 @@ def saf_recommend(spark, d):
   concat_ws('; ', CASE WHEN confidence < 0.65 THEN 'Confidence below review threshold' END, CASE WHEN pan_a = pan_b AND name_sim < 0.5 THEN 'PAN match with unlike names' END) AS warnings FROM ev""")
 def saf_evidence(spark, d):
     n = lambda c: F.col(c).cast("int")
-    alike = F.when((F.col("pan_a") == F.col("pan_b")) & (F.col("name_sim") < 0.5), "PAN match with unlike names")
+    alike = F.when((F.col("pan_token_a") == F.col("pan_token_b")) & (F.col("name_sim") < 0.5), "PAN match with unlike names")
     warnings = F.concat_ws("; ", F.when(F.col("confidence") < 0.65, "Confidence below review threshold"), alike)
     return _ev(spark, d).select("a", "b", (n("conflict_pan") + n("conflict_legal")).alias("hard"), n("far_apart").alias("soft"), warnings.alias("warnings"))
 
@@ -59,24 +59,57 @@ def saf_evidence(spark, d):
 @query(f"""{_CC} SELECT 'node' AS kind, ubid AS source, '' AS target, 15 + 5 * count(*) AS size FROM ub GROUP BY ubid UNION ALL SELECT 'record', record_id, '', 10 FROM ub
   UNION ALL SELECT 'member', ubid, record_id, 0 FROM ub UNION ALL SELECT 'evidence', a, b, 0 FROM ev WHERE decision <> 'reject'""")
 def clu_graph(spark, d):
-    m, row = _members(spark, d), lambda kind, x, y, n: (F.lit(kind).alias("kind"), x.alias("source"), y.alias("target"), n.cast("long").alias("size"))
+    e = _ev(spark, d)
+    m, row = _members(spark, d, e), lambda kind, x, y, n: (F.lit(kind).alias("kind"), x.alias("source"), y.alias("target"), n.cast("long").alias("size"))
     nodes = m.groupBy("ubid").count().select(*row("node", F.col("ubid"), F.lit(""), 15 + 5 * F.col("count")))
-    parts = [m.select(*row("record", F.col("record_id"), F.lit(""), F.lit(10))), m.select(*row("member", F.col("ubid"), F.col("record_id"), F.lit(0))), _ev(spark, d).filter("decision <> 'reject'").select(*row("evidence", F.col("a"), F.col("b"), F.lit(0)))]
+    parts = [m.select(*row("record", F.col("record_id"), F.lit(""), F.lit(10))), m.select(*row("member", F.col("ubid"), F.col("record_id"), F.lit(0))), e.filter("decision <> 'reject'").select(*row("evidence", F.col("a"), F.col("b"), F.lit(0)))]
     for p in parts:
         nodes = nodes.unionByName(p)
     return nodes
 
 
-@query(f"{_CC} SELECT ubid, CAST(bool_or(pan IS NOT NULL) AS INT) + CAST(bool_or(gstin IS NOT NULL) AS INT) AS score, false AS ready FROM ub GROUP BY 1")
+@query(f"{_CC}, s AS (SELECT ubid, CAST(bool_or(pan IS NOT NULL) AS INT) + CAST(bool_or(gstin IS NOT NULL) AS INT) + CAST(bool_or(email IS NOT NULL) AS INT) + CAST(bool_or(phone IS NOT NULL) AS INT) + CAST(bool_or(udyam_number IS NOT NULL) AS INT) AS score FROM ub GROUP BY 1) SELECT *, score >= 4 AS ready FROM s")
 def clu_readiness(spark, d):
-    """How many kinds of identifiers and contacts a cluster has; four make it ready. These records have two kinds at most."""
+    """How many kinds of identifiers and contacts a cluster has; four make it ready."""
     return console.readiness(_members(spark, d))
 
 
-@query(f"WITH r AS ({ORACLE['rsk_base']}) SELECT CASE WHEN risk >= 50 THEN 'red' WHEN risk >= 25 THEN 'yellow' ELSE 'green' END AS band, count(*) AS n FROM r GROUP BY 1")
+#: The activity of a cluster: of all signals of its records' entities.
+_FU = f"""{_CC}, signals AS (SELECT u.ubid AS entity_key, g.* EXCLUDE (entity_key) FROM ({SIGNALS_SQL}) g JOIN (SELECT DISTINCT ubid, entity_key FROM ub) u USING (entity_key)), {_F.partition("signals AS (" + SIGNALS_SQL + "), ")[2]}"""
+_RISK = f"""{_FU}, unsafe AS (SELECT DISTINCT u.ubid FROM ev JOIN ub u ON u.record_id = ev.a WHERE NOT safe),
+  rk AS (SELECT u.ubid, count(DISTINCT department) AS departments, count(DISTINCT pincode) AS pincodes, count(DISTINCT business_name) AS names, max(c.status) AS abi, count(x.ubid) > 0 AS unsafe FROM ub u LEFT JOIN c ON c.entity_key = u.ubid LEFT JOIN unsafe x ON x.ubid = u.ubid GROUP BY 1),
+  risk AS (SELECT *, least(100, CASE WHEN departments >= 3 THEN 15 ELSE 0 END + CASE abi WHEN 'UNCERTAIN' THEN 30 WHEN 'DORMANT' THEN 15 ELSE 0 END + CASE WHEN pincodes > 1 THEN 20 ELSE 0 END + CASE WHEN names > 1 THEN 10 ELSE 0 END + CASE WHEN unsafe THEN 15 ELSE 0 END) AS risk FROM rk)"""
+
+
+def _cluster_activity(spark, d, members):
+    """status and features of each cluster that has signals, by ubid."""
+    own = members.select("ubid", "entity_key").distinct()
+    s = signals(spark, d).join(own, "entity_key").drop("entity_key").withColumnRenamed("ubid", "entity_key")
+    return activity.classified(activity.features(s, REFERENCE)).withColumnRenamed("entity_key", "ubid")
+
+
+def _risk(spark, d):
+    e = _ev(spark, d)
+    m = linkage.checkpointed(_members(spark, d, e))
+    return linkage.risk(m, e, _cluster_activity(spark, d, m))
+
+
+@query(f"{_RISK} SELECT ubid, risk FROM risk")
+def rsk_base(spark, d):
+    return _risk(spark, d).select("ubid", "risk")
+
+
+@query(f"""{_RISK} SELECT ubid, concat_ws('; ', CASE WHEN departments >= 3 THEN 'Complex multi-dept entity +15 medium' END, CASE abi WHEN 'UNCERTAIN' THEN 'Conflicting ABI signals +30 high' WHEN 'DORMANT' THEN 'Dormant classification +15 medium' END,
+  CASE WHEN pincodes > 1 THEN 'Address inconsistency: ' || pincodes || ' pincodes +20 high' END, CASE WHEN names > 1 THEN 'Name variations: ' || names || ' variants +10 low' END, CASE WHEN unsafe THEN 'Safety block on merge +15 high' END) AS factors FROM risk""")
+def rsk_factors(spark, d):
+    one = F.transform("risk_factors", lambda f: F.concat(f["factor"], F.lit(" +"), f["contribution"].cast("string"), F.lit(" "), f["severity"]))
+    return _risk(spark, d).select("ubid", F.array_join(one, "; ").alias("factors"))
+
+
+@query(f"{_RISK} SELECT CASE WHEN risk >= 50 THEN 'red' WHEN risk >= 25 THEN 'yellow' ELSE 'green' END AS band, count(*) AS n FROM risk GROUP BY 1")
 def rsk_bands(spark, d):
     risk = F.col("risk")
-    return QUERIES["rsk_base"](spark, d).groupBy(F.when(risk >= 50, "red").when(risk >= 25, "yellow").otherwise("green").alias("band")).agg(F.count("*").alias("n"))
+    return _risk(spark, d).groupBy(F.when(risk >= 50, "red").when(risk >= 25, "yellow").otherwise("green").alias("band")).agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT ubid, CASE WHEN count(pan) > 0 AND count(DISTINCT business_name) > 2 THEN 'Flagged' WHEN bool_or(coalesce(status, '') = 'CLOSED') THEN 'Watch' WHEN count(DISTINCT department) = 1 AND count(DISTINCT pincode) > 1 THEN 'Watch'
@@ -93,14 +126,16 @@ def jn_cluster_status(spark, d):
 @query(f"{_CC} SELECT ubid, count(*) AS pairs FROM (SELECT DISTINCT u.ubid, e.a, e.b FROM ub u JOIN (SELECT a, b, a AS r FROM ev UNION ALL SELECT a, b, b FROM ev) e ON e.r = u.record_id) x GROUP BY 1")
 def jn_cluster_evidence(spark, d):
     """How many evidence rows touch a cluster, on either side: an equi join of both sides, not an OR."""
-    sides = _ev(spark, d).select("a", "b", F.explode(F.array("a", "b")).alias("record_id"))
-    return _members(spark, d).select("record_id", "ubid").join(sides, "record_id").select("ubid", "a", "b").distinct().groupBy("ubid").agg(F.count("*").alias("pairs"))
+    e = _ev(spark, d)
+    sides = e.select("a", "b", F.explode(F.array("a", "b")).alias("record_id"))
+    return _members(spark, d, e).select("record_id", "ubid").join(sides, "record_id").select("ubid", "a", "b").distinct().groupBy("ubid").agg(F.count("*").alias("pairs"))
 
 
 @query(f"{_CC} SELECT e.a, e.b, least(x.ubid, y.ubid) AS ubid FROM ev e JOIN ub x ON x.record_id = e.a JOIN ub y ON y.record_id = e.b WHERE decision = 'review'")
 def rev_clusters(spark, d):
-    m = _members(spark, d)
-    return linkage.sided(_ev(spark, d).filter("decision = 'review'").select("a", "b"), m, ["ubid"]).select("a", "b", F.least("ubid_a", "ubid_b").alias("ubid"))
+    e = _ev(spark, d)
+    m = _members(spark, d, e)
+    return linkage.sided(e.filter("decision = 'review'").select("a", "b"), m, ["ubid"]).select("a", "b", F.least("ubid_a", "ubid_b").alias("ubid"))
 
 
 _DECIDED = f"WITH q AS ({ORACLE['rev_queue']}), s AS (SELECT *, CASE CAST(substr(case_id, 5) AS INT) % 4 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' WHEN 2 THEN 'defer' END AS decision FROM q)"
@@ -128,7 +163,8 @@ def acq_shares(spark, d):
 
 
 @query(f"""{_EV}, p AS (SELECT a, b, 'PAN' AS feature, CASE WHEN pan_a = pan_b THEN 0.55 WHEN pan_a <> pan_b THEN -0.40 END::DOUBLE AS contribution FROM ev UNION ALL SELECT a, b, 'Name', 0.30::DOUBLE * name_sim FROM ev
-  UNION ALL SELECT a, b, 'District', CASE WHEN da = db THEN 0.05::DOUBLE END FROM ev UNION ALL SELECT a, b, 'Pincode', CASE WHEN pa = pb THEN 0.05::DOUBLE END FROM ev UNION ALL SELECT a, b, 'Legal status', CASE WHEN l1 = l2 THEN 0.05 ELSE -0.10 END::DOUBLE FROM ev)
+  UNION ALL SELECT a, b, 'District', CASE WHEN da = db THEN 0.05::DOUBLE END FROM ev UNION ALL SELECT a, b, 'Pincode', CASE WHEN pa = pb THEN 0.05::DOUBLE END FROM ev UNION ALL SELECT a, b, 'GSTIN', CASE WHEN gst_a = gst_b THEN 0.15::DOUBLE END FROM ev UNION ALL SELECT a, b, 'Phone', CASE WHEN ha = hb THEN 0.05::DOUBLE END FROM ev
+  UNION ALL SELECT a, b, 'Legal status', CASE WHEN la = lb THEN 0.05 ELSE -0.10 END::DOUBLE FROM ev)
   SELECT a, b, feature, round(contribution, 6) AS contribution, CASE WHEN contribution > 0 THEN 'positive' ELSE 'negative' END AS direction, CASE WHEN abs(contribution) > 0.15 THEN 'strong' WHEN abs(contribution) > 0.05 THEN 'moderate' ELSE 'weak' END AS strength,
   CAST(trunc(round(contribution * 100, 9)) AS INT) AS bar_pct FROM p WHERE contribution IS NOT NULL""")
 def scr_contributions(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import pii, text
-from corvane.operators import activity, console, learning, linkage
+from corvane.operators import activity, console, features, learning, linkage
 from corvane.sources.records import RECORDS_SQL, SIGNALS_SQL, records, signals
 
 KEY, REFERENCE = "test_key_for_proof", "2024-02-01"
@@ -14,15 +14,24 @@ ORACLE: dict = {}
 _R = f"WITH records AS ({RECORDS_SQL})"
 _SIM = """CASE WHEN x.bn IS NULL OR y.bn IS NULL OR x.bn = '' OR y.bn = '' THEN 0.0 WHEN x.bn = y.bn THEN 1.0 ELSE least(1.0,
   len(list_intersect(x.w, y.w)) / len(list_distinct(x.w || y.w)) + least(0.15, len(list_filter(range(1, least(length(x.s), length(y.s)) + 1), lambda i: substr(x.s, i, 1) = substr(y.s, i, 1))) / greatest(length(x.s), length(y.s)))) END"""
-_EV = f"""{_R}, named AS (SELECT *, upper(business_name) AS bn, replace(replace(upper(business_name), 'PVT', 'PRIVATE'), 'LTD', 'LIMITED') AS s,
-    list_distinct(string_split(replace(replace(upper(business_name), 'PVT', 'PRIVATE'), 'LTD', 'LIMITED'), ' ')) AS w FROM records),
-  keys AS (SELECT record_id, 'pan' AS strategy, pan AS key FROM records WHERE pan IS NOT NULL UNION ALL SELECT record_id, 'pin_prefix', pincode || '|' || upper(substr(business_name, 1, 3)) FROM records),
+_GSTIN_OK, _PAN_OK = (f"coalesce(regexp_matches(upper(trim({c})), '{r}'), false)" for c, r in (("gstin", pii.GSTIN), ("pan", pii.PAN)))
+#: Codes of words that are made of consonants, each followed by A, E, O or U: Soundex and Metaphone by their rules.
+_SX = "'SX:' || substr(w, 1, 1) || rpad(substr(replace(substr(translate(w, 'BFPVCJKSZDTLMNRAEOU', '1111222223345560000'), 2), '0', ''), 1, 3), 3, '0')"
+_MP = "'MP:' || translate(w, 'DVZCAEOU', 'TFSK')"
+#: tok: pt and gt are the PAN and GSTIN that tokens are made of, equal where the tokens are.
+_EV = f"""{_R}, tok AS (SELECT *, CASE WHEN coalesce(pan, '') <> '' THEN CASE WHEN {_PAN_OK} THEN upper(trim(pan)) END WHEN {_GSTIN_OK} THEN upper(substr(gstin, 3, 10)) END AS pt, CASE WHEN {_GSTIN_OK} THEN upper(trim(gstin)) END AS gt FROM records),
+  named AS (SELECT *, upper(business_name) AS bn, replace(replace(upper(business_name), 'PVT', 'PRIVATE'), 'LTD', 'LIMITED') AS s,
+    list_distinct(string_split(replace(replace(upper(business_name), 'PVT', 'PRIVATE'), 'LTD', 'LIMITED'), ' ')) AS w FROM tok),
+  words AS (SELECT record_id, unnest(list_filter(string_split(upper(business_name), ' ')[1:3], lambda x: length(x) >= 3)) AS w FROM records),
+  keys AS (SELECT record_id, 'pan' AS strategy, pt AS key FROM tok WHERE pt IS NOT NULL UNION SELECT record_id, 'gstin', gt FROM tok WHERE gt IS NOT NULL UNION SELECT record_id, 'phone', trim(phone) FROM tok WHERE trim(phone) <> ''
+    UNION SELECT record_id, 'pin_prefix', pincode || ':' || upper(substr(business_name, 1, 3)) FROM tok WHERE pincode <> '' AND length(business_name) >= 3
+    UNION SELECT record_id, 'phonetic', {_SX} FROM words UNION SELECT record_id, 'phonetic', {_MP} FROM words),
   sized AS (SELECT *, count(*) OVER (PARTITION BY strategy, key) AS n FROM keys),
   pairs AS (SELECT a.record_id AS a, b.record_id AS b, string_agg(DISTINCT a.strategy, ',' ORDER BY a.strategy) AS strategies FROM sized a JOIN sized b ON a.strategy = b.strategy AND a.key = b.key AND a.record_id < b.record_id WHERE a.n <= 1000 GROUP BY 1, 2),
-  sim AS (SELECT p.*, x.pan AS pan_a, y.pan AS pan_b, upper(x.legal_status) AS la, upper(y.legal_status) AS lb, x.legal_status AS l1, y.legal_status AS l2, x.district AS da, y.district AS db, x.pincode AS pa, y.pincode AS pb,
-    x.entity_key AS ea, y.entity_key AS eb, {_SIM} AS name_sim FROM pairs p JOIN named x ON x.record_id = p.a JOIN named y ON y.record_id = p.b),
-  conf AS (SELECT *, greatest(0.0, least(1.0, CASE WHEN pan_a = pan_b THEN 0.55 WHEN pan_a <> pan_b THEN -0.40 ELSE 0.0 END + 0.30 * name_sim + CASE WHEN da = db THEN 0.05 ELSE 0 END + CASE WHEN pa = pb THEN 0.05 ELSE 0 END
-    + CASE WHEN l1 = l2 THEN 0.05 ELSE -0.10 END)) AS confidence, coalesce(pan_a <> pan_b, false) AS conflict_pan,
+  sim AS (SELECT p.*, x.pt AS pan_a, y.pt AS pan_b, x.gt AS gst_a, y.gt AS gst_b, upper(x.legal_status) AS la, upper(y.legal_status) AS lb, x.district AS da, y.district AS db, x.pincode AS pa, y.pincode AS pb, x.phone AS ha, y.phone AS hb,
+    x.business_name AS na, y.business_name AS nb, x.department AS ta, y.department AS tb, x.entity_key AS ea, y.entity_key AS eb, {_SIM} AS name_sim FROM pairs p JOIN named x ON x.record_id = p.a JOIN named y ON y.record_id = p.b),
+  conf AS (SELECT *, greatest(0.0, least(1.0, CASE WHEN pan_a = pan_b THEN 0.55 WHEN pan_a <> pan_b THEN -0.40 ELSE 0.0 END + CASE WHEN gst_a = gst_b THEN 0.15 ELSE 0.0 END + 0.30 * name_sim + CASE WHEN da = db THEN 0.05 ELSE 0 END + CASE WHEN pa = pb THEN 0.05 ELSE 0 END
+    + CASE WHEN ha = hb THEN 0.05 ELSE 0 END + CASE WHEN la = lb THEN 0.05 ELSE -0.10 END)) AS confidence, coalesce(pan_a <> pan_b, false) AS conflict_pan,
     (contains(la, 'PROPRIETORSHIP') AND (contains(lb, 'PRIVATE LIMITED') OR contains(lb, 'PUBLIC LIMITED'))) OR (contains(lb, 'PROPRIETORSHIP') AND (contains(la, 'PRIVATE LIMITED') OR contains(la, 'PUBLIC LIMITED')))
     OR (contains(la, 'PARTNERSHIP') AND contains(lb, 'PRIVATE LIMITED')) OR (contains(lb, 'PARTNERSHIP') AND contains(la, 'PRIVATE LIMITED'))
     OR (contains(la, 'LLP') AND contains(lb, 'PRIVATE LIMITED')) OR (contains(lb, 'LLP') AND contains(la, 'PRIVATE LIMITED')) AS conflict_legal,
@@ -56,12 +65,16 @@ def query(sql: str | None = None):
 
 
 def _ev(spark, d):
-    return linkage.evidence(records(spark, d))
+    return linkage.evidence(records(spark, d), KEY)
 
 
-def _members(spark, d):
-    r = records(spark, d)
-    return linkage.clusters(r, linkage.evidence(r).filter("decision = 'auto_link'").select("a", "b"))
+def _members(spark, d, ev=None):
+    """Cluster members; the evidence may be given, so that it is worked out once."""
+    return linkage.clusters(records(spark, d), (_ev(spark, d) if ev is None else ev).filter("decision = 'auto_link'").select("a", "b"))
+
+
+def _tokens(spark, d):
+    return pii.tokenized(records(spark, d), KEY)
 
 
 def _act(spark, d):
@@ -111,23 +124,23 @@ def pii_tokenized(spark, d):
 
 @query(f"{_EV} SELECT a, b, strategies FROM pairs")
 def blk_pairs(spark, d):
-    return linkage.candidate_pairs(linkage.block_keys(records(spark, d), ("pan", "pin_prefix")))
+    return linkage.candidate_pairs(linkage.block_keys(_tokens(spark, d)))
 
 
-@query(f"{_R}, k AS (SELECT record_id, substr(gstin, 1, 16) AS key FROM records WHERE gstin IS NOT NULL), s AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM k) SELECT a.record_id AS a, b.record_id AS b, 'gstin' AS strategies FROM s a JOIN s b USING (key) WHERE a.record_id < b.record_id AND a.n <= 1000")
-def blk_gstin(spark, d):
-    return linkage.candidate_pairs(linkage.block_keys(records(spark, d), ("gstin",)))
+def _blocked(strategy):
+    f = lambda spark, d: linkage.candidate_pairs(linkage.block_keys(_tokens(spark, d), (strategy,)))
+    f.__name__ = f"blk_{strategy}"
+    query(f"{_EV} SELECT DISTINCT x.record_id AS a, y.record_id AS b, '{strategy}' AS strategies FROM sized x JOIN sized y USING (strategy, key) WHERE strategy = '{strategy}' AND x.record_id < y.record_id AND x.n <= 1000")(f)
 
 
-@query()
-def blk_phonetic(spark, d):
-    return linkage.candidate_pairs(linkage.block_keys(records(spark, d), ("phonetic",))).groupBy("strategies").agg(F.count("*").alias("pairs"))
+for _strategy in linkage.STRATEGIES:
+    _blocked(_strategy)
 
 
 @query(f"{_EV} SELECT round(100 * (1 - (SELECT count(*) FROM pairs) / (n * (n - 1) / 2)), 6) AS reduction FROM (SELECT count(*) AS n FROM records)")
 def blk_reduction(spark, d):
     r = records(spark, d)
-    pairs = linkage.candidate_pairs(linkage.block_keys(r)).agg(F.count("*").alias("p"))
+    pairs = linkage.candidate_pairs(linkage.block_keys(_tokens(spark, d))).agg(F.count("*").alias("p"))
     return r.agg(F.count("*").alias("n")).join(pairs).select(F.round(100 * (1 - F.col("p") / (F.col("n") * (F.col("n") - 1) / 2)), 6).alias("reduction"))
 
 
@@ -153,13 +166,6 @@ def clu_attributes(spark, d):
     return linkage.cluster_attributes(_members(spark, d))
 
 
-@query(f"{_CC} SELECT ubid, least(100, CASE WHEN count(DISTINCT department) >= 3 THEN 15 ELSE 0 END + CASE WHEN count(DISTINCT pincode) > 1 THEN 20 ELSE 0 END + CASE WHEN count(DISTINCT business_name) > 1 THEN 10 ELSE 0 END) AS risk FROM ub GROUP BY 1")
-def rsk_base(spark, d):
-    c = linkage.cluster_attributes(_members(spark, d))
-    points = sum((F.when(x, n).otherwise(0) for x, n in ((F.col("departments_covered") >= 3, 15), (F.col("pincodes") > 1, 20), (F.col("names") > 1, 10))), F.lit(0))
-    return c.select("ubid", F.least(F.lit(100), points).alias("risk"))
-
-
 @query(f"{_CC} SELECT ubid, count(*) AS records, count(DISTINCT department) AS departments FROM ub GROUP BY 1 HAVING count(DISTINCT department) >= 2 ORDER BY records DESC, ubid LIMIT 20")
 def clu_cross_department(spark, d):
     m = _members(spark, d).groupBy("ubid").agg(F.count("*").alias("records"), F.countDistinct("department").alias("departments"))
@@ -206,9 +212,9 @@ def biq_departments(spark, d):
     return records(spark, d).groupBy("department").agg(F.count("*").alias("records"), F.min("record_id").alias("first_id"), F.count("pan").alias("with_pan"))
 
 
-@query(f"{_CC} SELECT DISTINCT ubid FROM ub u WHERE EXISTS (SELECT 1 FROM ub v WHERE v.ubid = u.ubid AND upper(v.district) LIKE '%AN%') AND EXISTS (SELECT 1 FROM ub v WHERE v.ubid = u.ubid AND v.department = 'commercial_taxes')")
+@query(f"{_CC} SELECT DISTINCT ubid FROM ub u WHERE EXISTS (SELECT 1 FROM ub v WHERE v.ubid = u.ubid AND upper(v.district) LIKE '%ON%') AND EXISTS (SELECT 1 FROM ub v WHERE v.ubid = u.ubid AND v.department = 'commercial_taxes')")
 def biq_conjunctive(spark, d):
-    m = _members(spark, d).groupBy("ubid").agg(F.max(F.contains(F.upper("district"), F.lit("AN"))).alias("x"), F.max(F.col("department") == "commercial_taxes").alias("y"))
+    m = _members(spark, d).groupBy("ubid").agg(F.max(F.contains(F.upper("district"), F.lit("ON"))).alias("x"), F.max(F.col("department") == "commercial_taxes").alias("y"))
     return m.filter("x and y").select("ubid")
 
 
@@ -218,23 +224,24 @@ def run_metrics(spark, d):
 
 
 _STOP = "('PVT', 'LTD', 'PRIVATE', 'LIMITED', 'AND', '&', 'THE', '')"
-
-
-@query(f"""{_EV}, j AS (SELECT p.a, p.b, upper(x.business_name) AS n1, upper(y.business_name) AS n2, x.district AS d1, y.district AS d2, x.pincode AS p1, y.pincode AS p2, upper(x.legal_status) AS l1, upper(y.legal_status) AS l2,
-    list_distinct(list_filter(string_split(upper(x.business_name), ' '), lambda w: w NOT IN {_STOP})) AS w1, list_distinct(list_filter(string_split(upper(y.business_name), ' '), lambda w: w NOT IN {_STOP})) AS w2
-    FROM pairs p JOIN records x ON x.record_id = p.a JOIN records y ON y.record_id = p.b)
-  SELECT a, b, round(jaro_winkler_similarity(n1, n2), 6) AS name_jw, round(1 - levenshtein(n1, n2) / greatest(length(n1), length(n2)), 6) AS name_lev,
-  round(len(list_intersect(w1, w2)) / len(list_distinct(w1 || w2)), 6) AS name_tokens, CASE WHEN d1 = d2 THEN 1.0::DOUBLE ELSE 0 END AS district, CASE WHEN p1 = p2 THEN 1.0::DOUBLE ELSE 0 END AS pincode, round(jaro_winkler_similarity(l1, l2), 6) AS legal_jw FROM j""")
+_GRAMS = "list_distinct(list_transform(range(1, length({0}) + 1), lambda i: substr(' ' || {0} || ' ', i, 3)))"
+_COS = lambda x, y: f"coalesce(CASE WHEN {x} <> '' AND {y} <> '' THEN len(list_intersect({_GRAMS.format(x)}, {_GRAMS.format(y)})) / sqrt(len({_GRAMS.format(x)}) * len({_GRAMS.format(y)})) END, 0.0)"
+_SAME = lambda c: f"CASE WHEN coalesce(upper(trim(x.{c})), '') <> '' AND upper(trim(x.{c})) = upper(trim(y.{c})) THEN 1.0::DOUBLE ELSE 0 END"
+_LIKE = lambda c: f"coalesce(CASE WHEN trim(x.{c}) <> '' AND trim(y.{c}) <> '' THEN round(jaro_winkler_similarity(upper(trim(x.{c})), upper(trim(y.{c}))), 6) END, 0.0)"
+_ADDRESS = lambda t: f"concat_ws(' ', nullif({t}.address_line1, ''), nullif({t}.address_line2, ''), nullif({t}.city, ''), nullif({t}.district, ''), nullif({t}.pincode, ''))"
+_PHONE = lambda t: f"right(regexp_replace({t}.phone, '[\\s\\-+]', '', 'g'), 10)"
+
+
+@query(f"""{_EV}, w AS (SELECT record_id, list_distinct(list_filter(string_split(upper(business_name), ' '), lambda v: v NOT IN {_STOP})) AS t, upper(trim(business_name)) AS n FROM records),
+  j AS (SELECT p.a, p.b, u.n AS n1, v.n AS n2, u.t AS t1, v.t AS t2, {_ADDRESS("x")} AS a1, {_ADDRESS("y")} AS a2, CASE WHEN x.pt = y.pt THEN 1.0::DOUBLE ELSE 0 END AS pan_token_match, CASE WHEN x.gt = y.gt THEN 1.0::DOUBLE ELSE 0 END AS gstin_token_match, {_SAME("udyam_number")} AS udyam_token_match,
+    {_LIKE("business_name")} AS name_jaro_winkler, {_LIKE("trade_name")} AS trade_name_jaro_winkler, {_SAME("pincode")} AS pincode_match, {_SAME("district")} AS district_match, {_LIKE("city")} AS city_jaro_winkler,
+    CASE WHEN length({_PHONE("x")}) = 10 AND {_PHONE("x")} = {_PHONE("y")} THEN 1.0::DOUBLE ELSE 0 END AS phone_match, {_SAME("email")} AS email_match, {_LIKE("legal_status")} AS legal_status_match, {_LIKE("business_type")} AS business_type_match
+    FROM pairs p JOIN tok x ON x.record_id = p.a JOIN tok y ON y.record_id = p.b JOIN w u ON u.record_id = p.a JOIN w v ON v.record_id = p.b)
+  SELECT * EXCLUDE (n1, n2, t1, t2, a1, a2), round(1 - levenshtein(n1, n2) / greatest(length(n1), length(n2)), 6) AS name_levenshtein_norm, round(len(list_intersect(t1, t2)) / len(list_distinct(t1 || t2)), 6) AS name_token_overlap,
+    round({_COS("n1", "n2")}, 6) AS name_sbert_cosine, round({_COS("a1", "a2")}, 6) AS address_sbert_cosine FROM j""")
 def fea_pairs(spark, d):
-    """Pair features; Jaro-Winkler runs on pairs in Arrow batches, the rest in built-ins."""
-    r = records(spark, d)
-    p = linkage.sided(linkage.candidate_pairs(linkage.block_keys(r)), r, ["business_name", "district", "pincode", "legal_status"])
-    n1, n2 = F.upper("business_name_a"), F.upper("business_name_b")
-    return p.select(
-        "a", "b", F.round(text.jw(n1, n2), 6).alias("name_jw"), F.round(text.levenshtein_sim(n1, n2), 6).alias("name_lev"), F.round(text.token_jaccard(n1, n2), 6).alias("name_tokens"),
-        text.exact(F.col("district_a"), F.col("district_b")).alias("district"), text.exact(F.col("pincode_a"), F.col("pincode_b")).alias("pincode"),
-        F.round(text.jw(F.upper("legal_status_a"), F.upper("legal_status_b")), 6).alias("legal_jw"),
-    )
+    """All 16 features of each candidate pair; Jaro-Winkler runs on distinct values in Arrow batches, the rest in built-ins."""
+    return features.pair_features(linkage.candidate_pairs(linkage.block_keys(_tokens(spark, d))), records(spark, d), KEY)
 
 
 @query("SELECT a.vec_id AS a, b.vec_id AS b, round(greatest(0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -244,20 +251,16 @@ def str_cosine(spark, d):
     return e.join(n, e.vec_id == n.a).select("a", "b", F.round(text.cosine(F.col("embedding"), F.col("other")), 5).alias("cosine"))
 
 
-@query(f"{_EV} SELECT a, b, concat_ws('; ', CASE WHEN pan_a = pan_b THEN 'PAN match +0.55' WHEN pan_a <> pan_b THEN 'PAN conflict -0.40' END, CASE WHEN da = db THEN 'District match +0.05' END, CASE WHEN pa = pb THEN 'Pincode match +0.05' END, CASE WHEN l1 = l2 THEN 'Legal status match +0.05' ELSE 'Legal status conflict -0.10' END) AS explanation FROM ev")
+@query(f"""{_EV} SELECT a, b, concat_ws('; ', CASE WHEN pan_a = pan_b THEN 'PAN: EXACT MATCH (+0.55)' WHEN pan_a <> pan_b THEN 'PAN: DIFFERENT (-0.40)' END, CASE WHEN gst_a = gst_b THEN 'GSTIN: MATCH (+0.15)' END,
+  printf('Name sim: %.2f (+%.3f)', floor(name_sim * 100 + 0.5) / 100, floor(name_sim * 300 + 0.5) / 1000), CASE WHEN da = db THEN 'District: MATCH (+0.05)' END, CASE WHEN pa = pb THEN 'Pincode: MATCH (+0.05)' END, CASE WHEN ha = hb THEN 'Phone: MATCH (+0.05)' END,
+  CASE WHEN la = lb THEN 'Legal status: MATCH (+0.05)' ELSE 'Legal status: CONFLICT (-0.10)' END) AS explanation FROM ev""")
 def scr_explanations(spark, d):
-    same = lambda c: F.col(f"{c}_a") == F.col(f"{c}_b")
-    return _ev(spark, d).select("a", "b", F.concat_ws("; ",
-        F.when(same("pan"), "PAN match +0.55").when(~same("pan"), "PAN conflict -0.40"), F.when(same("district"), "District match +0.05"), F.when(same("pincode"), "Pincode match +0.05"),
-        F.when(same("legal_status"), "Legal status match +0.05").otherwise("Legal status conflict -0.10")).alias("explanation"))
+    return _ev(spark, d).select("a", "b", linkage.explanation().alias("explanation"))
 
 
-@query(f"{_EV}, t AS (SELECT unnest([0.80, 0.85, 0.90, 0.92, 0.95]) AS t) SELECT CAST(round(t * 100) AS INT) AS pct, count(*) FILTER (confidence >= t AND safe) AS auto, count(*) FILTER (confidence < t AND confidence >= 0.65) AS review, count(*) FILTER (confidence < 0.65) AS rejected FROM t, ev GROUP BY 1")
+@query(f"{_EV}, t AS (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.92, 0.95, 0.98]) AS t) SELECT CAST(round(t * 100) AS INT) AS pct, count(*) FILTER (confidence >= t AND safe) AS auto, count(*) FILTER (confidence < t AND confidence >= 0.65) AS review, count(*) FILTER (confidence < 0.65) AS rejected, count(*) AS total, greatest(0, 100 - CAST(floor(t * 100) AS INT)) AS fp_risk FROM t, (SELECT round(confidence, 4) AS confidence, safe FROM ev) e GROUP BY t")
 def saf_calibration(spark, d):
-    levels = F.explode(F.array(*[F.lit(x) for x in (0.80, 0.85, 0.90, 0.92, 0.95)]))
-    c = F.col("confidence")
-    return _ev(spark, d).withColumn("t", levels).groupBy(F.round(F.col("t") * 100).cast("int").alias("pct")).agg(
-        F.count_if((c >= F.col("t")) & F.col("safe")).alias("auto"), F.count_if((c < F.col("t")) & (c >= 0.65)).alias("review"), F.count_if(c < 0.65).alias("rejected"))
+    return linkage.calibration(_ev(spark, d))
 
 
 @query(f"{_EV} SELECT e.a, e.b, confidence FROM (SELECT a, b, round(confidence, 6) AS confidence FROM ev WHERE decision = 'review') e ORDER BY abs(confidence - 0.785), a, b LIMIT 10")
@@ -321,4 +324,5 @@ def biq_search(spark, d):
 @query(f"""{_CC}, alone AS (SELECT ubid FROM ub GROUP BY 1 HAVING count(*) = 1) SELECT event, count(*) AS n FROM (SELECT 'ingested' AS event, a FROM ev WHERE decision = 'auto_link' UNION ALL SELECT 'ingested', b FROM ev WHERE decision = 'auto_link'
   UNION ALL SELECT 'auto_linked', a FROM ev WHERE decision = 'auto_link' UNION ALL SELECT 'sent_to_review', a FROM ev WHERE decision = 'review' UNION ALL SELECT 'standalone', ubid FROM alone) x GROUP BY 1""")
 def aud_events(spark, d):
-    return console.audit_events(_ev(spark, d), _members(spark, d)).groupBy("event").agg(F.count("*").alias("n"))
+    e = _ev(spark, d)
+    return console.audit_events(e, _members(spark, d, e)).groupBy("event").agg(F.count("*").alias("n"))
