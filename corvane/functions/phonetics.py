@@ -61,7 +61,7 @@ def metaphone(word: str) -> str:
 
 def _codes(words: pd.Series) -> pd.Series:
     seen = {w: metaphone(w) for w in words.dropna().unique()}
-    return words.map(seen)
+    return pd.Series([seen.get(w) for w in words.astype(object)], dtype=object)
 
 
 def metaphone_code(word: Column) -> Column:

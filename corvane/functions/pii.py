@@ -97,3 +97,11 @@ def mask_pan(x: Column | str) -> Column:
 
 def mask_gstin(x: Column | str) -> Column:
     return F.when(F.length(_c(x)) < 10, _c(x)).otherwise(F.concat(F.left(_c(x), F.lit(5)), F.lit("●●●●●●●●"), F.right(_c(x), F.lit(2))))
+
+
+def export_pan(x: Column | str) -> Column:
+    return F.when(F.length(_c(x)) >= 6, F.concat(F.left(_c(x), F.lit(4)), F.lit("****"), F.right(_c(x), F.lit(2)))).otherwise(F.coalesce(_c(x), F.lit("")))
+
+
+def export_gstin(x: Column | str) -> Column:
+    return F.when(F.length(_c(x)) >= 10, F.concat(F.left(_c(x), F.lit(5)), F.lit("*********"), F.right(_c(x), F.lit(2)))).otherwise(F.coalesce(_c(x), F.lit("")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ALIVE, ENDED = ("Active", "VALID", "RENEWED"), ("Cancelled", "REVOKED", "CLOSED")
@@ -36,6 +36,29 @@ def features(signals: DataFrame, reference: str) -> DataFrame:
     return out.withColumn("slope", F.when(many, F.col("slope")).otherwise(-1.0)).withColumn("last_value", F.when(many, F.col("last_value")).otherwise(-1.0)).drop("n_values")
 
 
+def compliance(signals: DataFrame, entities: DataFrame, reference: str) -> DataFrame:
+    """Of every entity, with signals or not: days since a deposit and a tax filing, whether it complied within 180 days and a filing says it is active; -1 is unknown."""
+    ref = F.to_date(F.lit(reference))
+    s = signals.withColumn("since", days_since(F.col("signal_date"), reference))
+    kind, gst = F.col("signal_type"), (F.col("signal_type") == "filing") & (F.col("department") == "commercial_taxes")
+    latest = lambda ok: F.coalesce(F.max_by("since", F.when(ok, F.col("signal_date"))), F.lit(-1))
+    cut = F.concat(F.date_sub(ref, 180).cast("string"), F.lit("T00:00:00+00:00"))
+    recent = kind.isin("filing", "renewal", "inspection") & (F.col("signal_date") >= cut)
+    out = s.groupBy("entity_key").agg(
+        latest(kind == "epf_deposit").alias("days_since_epf"), F.max(F.coalesce(recent, F.lit(False)).cast("int")).alias("compliant_6m"), latest(gst).alias("days_since_gst"),
+        F.coalesce(F.max(F.when(gst, (F.coalesce("status", F.lit("")) == "Active").cast("int"))), F.lit(-1)).alias("gst_active"),
+    )
+    columns = out.columns[1:]
+    return entities.join(out, "entity_key", "left").select("entity_key", *[F.coalesce(c, F.lit(-1)).alias(c) for c in columns])
+
+
+def days_since(text: Column, reference: str) -> Column:
+    """Whole days from an ISO date or time, Z or an offset or neither (then UTC), to the reference's midnight UTC; 0 at least, -1 where it can't be read."""
+    zoned = F.when(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), text).when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00Z"))).otherwise(F.concat(text, F.lit("Z")))
+    seconds = F.unix_seconds(F.to_timestamp(F.lit(reference + "T00:00:00Z"))) - F.unix_micros(F.try_to_timestamp(zoned)) / 1e6
+    return F.coalesce(F.greatest(F.lit(0), F.floor(seconds / 86400).cast("int")), F.lit(-1))
+
+
 def classified(f: DataFrame) -> DataFrame:
     """status, rule, confidence: closure, all cancelled, several departments, dormant; none is UNCERTAIN."""
     rules = [

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,25 +31,20 @@ def block_keys(df: DataFrame, strategies: tuple[str, ...] = STRATEGIES) -> DataF
     words = F.filter(F.slice(F.filter(F.split(name, r"\s+"), lambda w: w != ""), 1, 3), lambda w: F.length(w) >= 3)
     trimmed = lambda c: F.nullif(F.trim(c), F.lit(""))
     keys = {
-        "pan": trimmed("pan_token"), "gstin": F.substring(_text("gstin_token"), 1, 16), "phone": trimmed("phone"),
-        "pin_prefix": F.when((F.col("pincode") != "") & (F.length("business_name") >= 3), F.concat("pincode", F.lit(":"), F.upper(F.substring("business_name", 1, 3)))),
+        "pan": [trimmed("pan_token")], "gstin": [F.substring(_text("gstin_token"), 1, 16)], "phone": [trimmed("phone")],
+        "pin_prefix": [F.when((F.col("pincode") != "") & (F.length("business_name") >= 3), F.concat("pincode", F.lit(":"), F.upper(F.substring("business_name", 1, 3))))],
+        "phonetic": [F.concat(F.lit("SX:"), F.soundex(f"_w{i}")) for i in range(3)] + [F.concat(F.lit("MP:"), F.col(f"_m{i}")) for i in range(3)],
     }
-    parts = []
-    for s in strategies:
-        if s == "phonetic":
-            word = df.select("record_id", F.explode(F.array_distinct(words)).alias("word"))
-            codes = F.array(F.concat(F.lit("SX:"), F.soundex("word")), F.concat(F.lit("MP:"), metaphone_code(F.col("word"))))
-            part = word.select("record_id", F.lit(s).alias("strategy"), F.explode(codes).alias("key"))
-        else:
-            part = df.select("record_id", F.lit(s).alias("strategy"), keys[s].alias("key"))
-        parts.append(part.filter("key is not null"))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    if "phonetic" in strategies:
+        df = df.withColumn("_words", words).withColumns({f"_w{i}": F.get("_words", F.lit(i)) for i in range(3)}).withColumns({f"_m{i}": metaphone_code(F.col(f"_w{i}")) for i in range(3)})
+    all_keys = F.array(*[F.struct(F.lit(s).alias("strategy"), k.alias("key")) for s in strategies for k in keys[s]])
+    return df.select("record_id", F.explode(F.array_distinct(all_keys)).alias("k")).select("record_id", "k.*").filter("key is not null")
 
 
 def candidate_pairs(keys: DataFrame, cap: int = BLOCK_CAP) -> DataFrame:
     """Distinct (a, b), a < b, that share a block of 2 to cap records, with the strategies that gave them."""
-    sizes = keys.groupBy("strategy", "key").count().filter(f"count between 2 and {int(cap)}").drop("count")
-    kept = keys.join(sizes, ["strategy", "key"])
+    sizes = keys.groupBy("strategy", "key").agg(F.count("*").alias("n")).filter(F.col("n").between(2, cap)).drop("n")
+    kept = checkpointed(keys.join(sizes, ["strategy", "key"]))
     other = kept.select("strategy", "key", F.col("record_id").alias("b"))
     pairs = kept.withColumnRenamed("record_id", "a").join(other, ["strategy", "key"]).filter("a < b")
     return pairs.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("strategy")), ",").alias("strategies"))
@@ -131,7 +125,7 @@ PAIR = ["business_name", "department", "pan_token", "gstin_token", "legal_status
 
 def evidence(records: DataFrame, key: str, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
     """A row for each candidate pair of the records, scored, checked and routed on tokens alone."""
-    tokens = tokenized(records, key)
+    tokens = checkpointed(tokenized(records, key).select("record_id", *PAIR))  # read by the keys and by both sides of a pair
     return routed(safety(scored(sided(candidate_pairs(block_keys(tokens, strategies)), tokens, PAIR))))
 
 

@@ -74,7 +74,7 @@ def _members(spark, d, ev=None):
 
 
 def _tokens(spark, d):
-    return pii.tokenized(records(spark, d), KEY)
+    return linkage.checkpointed(pii.tokenized(records(spark, d), KEY))
 
 
 def _act(spark, d):

@@ -16,31 +16,32 @@ def _syllables(x: str) -> str:
     return " || ".join(f"{pick('BDFKLMNPRSTVZJKR', f'{n} % 16')} || {pick('AEOU', f'floor({n} / 16) % 4')}" for n in parts)
 
 
-_PAN = "chr(CAST(65 + src.k % 26 AS INT)) || chr(CAST(65 + floor(src.k / 26) % 26 AS INT)) || chr(CAST(65 + floor(src.k / 676) % 26 AS INT)) || 'PC' || lpad(CAST(src.k % 10000 AS STRING), 4, '0') || chr(CAST(65 + src.k % 26 AS INT))"
-_MOBILE = "'98' || lpad(CAST(src.k AS STRING), 8, '0')"
-_UDYAM = "'UDYAM-KA-' || lpad(CAST(src.k % 100 AS STRING), 2, '0') || '-' || lpad(CAST(src.k AS STRING), 7, '0')"
-_NAME = f"chr(CAST(65 + src.k % 26 AS INT)) || chr(CAST(65 + floor(src.k / 26) % 26 AS INT)) || ' ' || {_syllables('CAST(floor(src.k / 3) AS BIGINT) * 104729 + 7')} || ' ' || {_syllables('(src.k % 13) * 15485863 + 5')} || ' ' || upper(a.p_name)"
-#: The same text in Spark and in the SQL oracle.
+#: The same text in Spark and in the SQL oracle. Words and numbers are made once, below the joins.
 RECORDS_SQL = f"""
 SELECT src.p || '-' || lpad(CAST(src.k AS STRING), 7, '0') AS record_id, src.department AS department, src.k AS entity_key,
-  CASE WHEN src.p = 'SE' AND src.k % 10 = 3 THEN replace(replace(replace({_NAME}, 'KA', 'CA'), 'KO', 'CO'), 'KU', 'CU') ELSE {_NAME} END
+  src.initials || ' ' || CASE WHEN src.p = 'SE' AND src.k % 10 = 3 THEN replace(replace(replace(src.words, 'KA', 'CA'), 'KO', 'CO'), 'KU', 'CU') ELSE src.words END || ' ' || upper(a.p_name)
     || CASE WHEN src.p <> 'CT' AND src.k % 6 = 5 THEN ' TRADERS' WHEN src.p = 'CT' THEN ' PVT LTD' WHEN src.p = 'FB' THEN ' PRIVATE LIMITED' ELSE '' END AS business_name,
-  {_syllables('CAST(floor(src.k / 3) AS BIGINT) * 104729 + 7')} || CASE WHEN src.p = 'SE' THEN ' TRADERS' ELSE ' ' || upper(b.p_name) END AS trade_name,
-  CASE WHEN (src.p = 'FB' AND src.k % 5 = 0) OR (src.p = 'SE' AND src.k % 4 = 0) THEN NULL ELSE {_PAN} END AS pan,
-  CASE WHEN src.p = 'CT' OR (src.p = 'SE' AND src.k % 8 = 0) THEN '29' || {_PAN} || '1Z' || CAST(src.k % 10 AS STRING) END AS gstin,
-  CASE WHEN (src.p = 'CT' AND src.k % 5 < 3) OR (src.p = 'SE' AND src.k % 5 = 0) THEN {_UDYAM} END AS udyam_number,
+  src.word || CASE WHEN src.p = 'SE' THEN ' TRADERS' ELSE ' ' || upper(b.p_name) END AS trade_name,
+  CASE WHEN (src.p = 'FB' AND src.k % 5 = 0) OR (src.p = 'SE' AND src.k % 4 = 0) THEN NULL ELSE src.number END AS pan,
+  CASE WHEN src.p = 'CT' OR (src.p = 'SE' AND src.k % 8 = 0) THEN '29' || src.number || '1Z' || CAST(src.k % 10 AS STRING) END AS gstin,
+  CASE WHEN (src.p = 'CT' AND src.k % 5 < 3) OR (src.p = 'SE' AND src.k % 5 = 0) THEN 'UDYAM-KA-' || lpad(CAST(src.k % 100 AS STRING), 2, '0') || '-' || lpad(CAST(src.k AS STRING), 7, '0') END AS udyam_number,
   CASE WHEN src.p = 'SE' AND src.k % 9 = 0 THEN 'Proprietorship' ELSE CASE src.k % 7 WHEN 0 THEN 'Private Limited Company' WHEN 1 THEN 'Proprietorship' WHEN 2 THEN 'Partnership' WHEN 3 THEN 'LLP' WHEN 4 THEN 'Public Limited Company' WHEN 5 THEN 'One Person Company' ELSE 'HUF' END END AS legal_status,
   CASE WHEN src.p = 'FB' THEN 'Manufacturing' WHEN src.p = 'SE' AND src.k % 2 = 0 THEN 'Retail Trade' ELSE 'Wholesale Trade' END AS business_type,
   CASE WHEN src.p = 'FB' THEN 'Manufacturing' WHEN src.k % 3 = 0 THEN 'Trade' ELSE 'Services' END AS sector,
   'NO ' || CAST(src.k % 100 AS STRING) || ' MAIN ROAD' AS address_line1, CASE WHEN src.p = 'SE' THEN '' ELSE 'BLOCK ' || CAST(src.nk AS STRING) END AS address_line2,
   n.n_name || CASE WHEN src.p = 'SE' THEN ' TOWN' ELSE ' CITY' END AS city, n.n_name AS district, CAST(560000 + src.nk * 10 + src.k % 10 AS STRING) AS pincode,
-  CASE WHEN src.p = 'SE' AND src.k % 2 = 1 THEN '+91-' || {_MOBILE} WHEN src.p = 'FB' AND src.k % 2 = 1 THEN NULL ELSE {_MOBILE} END AS phone,
+  CASE WHEN src.p = 'SE' AND src.k % 2 = 1 THEN '+91-' || src.mobile WHEN src.p = 'FB' AND src.k % 2 = 1 THEN NULL ELSE src.mobile END AS phone,
   CASE WHEN src.p = 'FB' OR (src.p = 'SE' AND src.k % 3 = 1) THEN NULL WHEN src.p = 'SE' AND src.k % 3 = 0 THEN ' INFO' || CAST(src.k AS STRING) || '@EXAMPLE.COM ' ELSE 'info' || CAST(src.k AS STRING) || '@example.com' END AS email,
   CASE src.k % 7 WHEN 0 THEN 'Cancelled' WHEN 1 THEN 'Suspended' ELSE 'Active' END AS registration_status, '20' || lpad(CAST(src.k % 24 AS STRING), 2, '0') || '-0' || CAST(src.k % 9 + 1 AS STRING) || '-15' AS reg_date
 FROM (
-  SELECT 'CT' AS p, 'commercial_taxes' AS department, c_custkey AS k, c_nationkey AS nk FROM customer
-  UNION ALL SELECT 'FB', 'factories_board', s_suppkey, s_nationkey FROM supplier
-  UNION ALL SELECT 'SE', 'shops_establishments', c.c_custkey, c.c_nationkey FROM customer c JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 3 = 0) o ON o.o_custkey = c.c_custkey
+  SELECT p, department, k, nk, chr(CAST(65 + k % 26 AS INT)) || chr(CAST(65 + floor(k / 26) % 26 AS INT)) AS initials, '98' || lpad(CAST(k AS STRING), 8, '0') AS mobile,
+    {_syllables('CAST(floor(k / 3) AS BIGINT) * 104729 + 7')} AS word, {_syllables('CAST(floor(k / 3) AS BIGINT) * 104729 + 7')} || ' ' || {_syllables('(k % 13) * 15485863 + 5')} AS words,
+    chr(CAST(65 + k % 26 AS INT)) || chr(CAST(65 + floor(k / 26) % 26 AS INT)) || chr(CAST(65 + floor(k / 676) % 26 AS INT)) || 'PC' || lpad(CAST(k % 10000 AS STRING), 4, '0') || chr(CAST(65 + k % 26 AS INT)) AS number
+  FROM (
+    SELECT 'CT' AS p, 'commercial_taxes' AS department, c_custkey AS k, c_nationkey AS nk FROM customer
+    UNION ALL SELECT 'FB', 'factories_board', s_suppkey, s_nationkey FROM supplier
+    UNION ALL SELECT 'SE', 'shops_establishments', c.c_custkey, c.c_nationkey FROM customer c JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 3 = 0) o ON o.o_custkey = c.c_custkey
+  ) u
 ) src JOIN part a ON a.p_partkey = src.k % 200 JOIN part b ON b.p_partkey = (7 * src.k + 3) % 200 JOIN nation n ON n.n_nationkey = src.nk
 """
 SIGNALS_SQL = """
