@@ -8,7 +8,7 @@ by bands: BANDS sets of BITS sampled places, each hashed, over a fingerprint's l
 two but one, so lengths on both sides of a power of two meet; what shares a band is verified by likeness. Queries
 are the rows whose doc_id is divisible by EVERY, against all rows. Null text is empty, its fingerprint too; two
 empty ones are alike (1.0), but are not searched for; repeated rows are next to each other; a single row is next
-to itself; a null doc_id is no query and comes last.
+to itself; a null doc_id is no query and comes last. The search is a query of its own, ``near_fingerprints``.
 """
 
 from __future__ import annotations

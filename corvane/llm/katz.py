@@ -27,11 +27,11 @@ from .textblocks import _U, blocks, give_back, mix, owners
 ORDER, LEAST, GT_MAX, TOKENS_A_BUCKET = 3, 2, 5, 3_000_000
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 END = np.uint64(0x1F2E3D4C5B6A7988)
-#: What a part of a block holds: its own arrays, then 10 k + COUNT, AFTER, RATE or ALPHA of order k as the buckets answered.
+#: What a part of a block holds: its own arrays, then 10 k + COUNT, RATE or ALPHA of order k as the buckets answered.
 WORDS, OFTEN, CODES, IDS, NULL, HELD, LENGTHS = range(7)
 KINDS = {WORDS: "u8", OFTEN: "i8", CODES: "u4", IDS: "i8", NULL: "u1", HELD: "u1", LENGTHS: "i8"}
-COUNT, AFTER, RATE, ALPHA = range(4)
-ANSWERS = {COUNT: "i8", AFTER: "i8", RATE: "f8", ALPHA: "f8"}
+COUNT, RATE, ALPHA = range(3)
+ANSWERS = {COUNT: "i8", RATE: "f8", ALPHA: "f8"}
 #: Discounts and masses are whole multiples of these, so their sums are exact in any order.
 PART_OF_DISCOUNT, PART_OF_MASS = 2.0**-12, 2.0**-45
 PART = "block long, kind int, bucket int, data binary"
@@ -206,13 +206,21 @@ class Texts:
     def seen(self, k: int) -> np.ndarray:
         return self.count(k) >= (LEAST if k > 2 else 1)
 
+    def after(self, k: int) -> np.ndarray:
+        """How often each token's context is followed: as often as it occurs, and the one before a text as often as a text ends."""
+        below = self.count(k - 1)
+        out = np.empty_like(below)
+        out[1:] = below[:-1]
+        out[self.first] = self.count(1)[-1]
+        return out
+
     def p(self, k: int) -> np.ndarray:
         """Each token's probability after the k - 1 tokens before it."""
         c = self.count(k)
         kept = self.model.cut(k, c) * c
         if k == 1:
             return np.where(c > 0, kept * self.model.scale, self.model.unseen)
-        return np.where(self.seen(k), kept * self.answer(k, RATE, 1.0) / np.maximum(self.answer(k, AFTER, 1), 1), self.answer(k, ALPHA, 1.0) * self.p(k - 1))
+        return np.where(self.seen(k), kept * self.answer(k, RATE, 1.0) / np.maximum(self.after(k), 1), self.answer(k, ALPHA, 1.0) * self.p(k - 1))
 
 
 def _asks(model: Model, block: int, keys: np.ndarray, single: int, *columns: np.ndarray) -> pa.RecordBatch:
@@ -312,7 +320,7 @@ def _backoff(k: int):
         rate = np.where(some, held / np.where(some, kept, 1.0), 1.0)
         alpha = np.where(some, np.where(full, 0.0, (1 - held / np.maximum(c, 1e-300)) / np.where(full, 1.0, 1 - mass)), 1.0)
         alpha = (alpha.view("u8") & ~_U(0xFFF)).view("f8")  # 41 bits are kept, so that it packs better
-        return _answered(rows, ends, at, [(10 * k + AFTER, c), (10 * k + RATE, rate), (10 * k + ALPHA, alpha)], None)
+        return _answered(rows, ends, at, [(10 * k + RATE, rate), (10 * k + ALPHA, alpha)], None)
 
     return run
 
@@ -365,9 +373,9 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         model.counted(k, np.array(stats[: GT_MAX + 3]), stats[-2], stats[-1])
         if k > 1:
             # what order k has seen the order below has seen, so its probability needs no backoff weight
-            needed = [*(10 * j + COUNT for j in range(1, k + 1)), *(10 * j + x for j in range(2, k) for x in (AFTER, RATE))]
+            needed = [*(10 * j + COUNT for j in range(1, k + 1)), *(10 * j + RATE for j in range(2, k))]
             both = answered(told(_contexts(model, k), ASKED, *needed), _backoff(k), f"katz-contexts-{k}")
-            known |= {10 * k + x: both for x in (AFTER, RATE, ALPHA)}
+            known |= {10 * k + x: both for x in (RATE, ALPHA)}
     out = told(_scores(model, order), OUT, *known)
     return out.withColumn("train_tokens", F.lit(model.total).cast("long"))
 

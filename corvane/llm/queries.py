@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import exact_dedup, fingerprints, katz, licenses, mixing, ngram_join, packing, quality, sharding, toxicity
-from .shared import table
+from .shared import settled, table
 
 COLUMNS = {"op5": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]}
 
@@ -46,7 +46,13 @@ def op7_source_mix(spark, sf_dir):
 
 
 def op8_edit_fingerprints(spark, sf_dir):
-    return fingerprints.searched(table(spark, sf_dir, "documents"))
+    return fingerprints.with_edits(table(spark, sf_dir, "documents"))
+
+
+def near_fingerprints(spark, sf_dir):
+    """Of the documents whose id is divisible by 100, all with a near fingerprint, by bands and verified."""
+    prints = fingerprints.with_edits(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint")
+    return fingerprints.near_queries(settled(prints, "edit-prints"))
 
 
 def op9_quality_bradley_terry(spark, sf_dir):
@@ -58,7 +64,7 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("t")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_vector_packing, op3_toxicity_nnpu, op4_histogram_shards, op5_katz_scores, op6_ngram_jaccard, op7_source_mix, op8_edit_fingerprints, op9_quality_bradley_terry, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_vector_packing, op3_toxicity_nnpu, op4_histogram_shards, op5_katz_scores, op6_ngram_jaccard, op7_source_mix, op8_edit_fingerprints, op9_quality_bradley_terry, op10_exact_dedup, near_fingerprints)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = {
