@@ -103,6 +103,11 @@ def _stored(batches):
     give_back()
 
 
+def _summed(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([sum(int(unpacked(x, "i8").sum()) for x in batch.column(0).to_pylist())])], names=["n"])
+
+
 def discounts(freq: np.ndarray) -> np.ndarray:
     """d[r] for counts r up to GT_MAX by Good and Turing; 1 beyond (the last entry), and where counts of counts are too few."""
     d = np.ones(GT_MAX + 2)
@@ -349,7 +354,8 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         own = dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(_stored, PART), "katz-blocks", "block")
     finally:
         spark.conf.set(BATCH, rows)
-    tokens = sum(int(unpacked(r.data, "i8").sum()) for r in own.filter(F.col("kind") == LENGTHS).select("data").toLocalIterator())
+    lengths = own.filter(F.col("kind") == LENGTHS).select("data").mapInArrow(_summed, "n long")
+    tokens = int(lengths.agg(F.sum("n")).first()[0] or 0)
     model = Model(max(16, -(-tokens // TOKENS_A_BUCKET)))
     known: dict[int, DataFrame] = {}
 
