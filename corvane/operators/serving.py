@@ -46,7 +46,7 @@ def cluster_table(members: DataFrame, status: DataFrame, risk: DataFrame, flags:
     return c.withColumn("abi_status", F.coalesce("abi_status", F.lit("UNKNOWN")))
 
 
-def conjunctive(members: DataFrame, status: DataFrame, **where: str) -> DataFrame:
+def conjunctive(members: DataFrame, activity: DataFrame, **where: str) -> DataFrame:
     """ubid of the clusters that meet every condition, each by any of their records: pincode, district, department, business_type, sector, q, status."""
     has = lambda c, v: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(v.lower()))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
@@ -61,7 +61,7 @@ def conjunctive(members: DataFrame, status: DataFrame, **where: str) -> DataFram
         met = met.filter(f"_{k}")
     met = met.select("ubid", "records")
     if where.get("status"):
-        met = met.join(status.filter(F.col("status") == where["status"].upper()).select("ubid"), "ubid", "left_semi")
+        met = met.join(activity.filter(F.col("status") == where["status"].upper()).select("ubid"), "ubid", "left_semi")
     return met
 
 

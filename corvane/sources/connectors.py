@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import urllib.request
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -91,10 +93,6 @@ def demo_records(spark: SparkSession, path: str) -> DataFrame:
 
 def payload_hash(payload):
     """SHA-256 of a JSON payload with its keys in order, as Python writes it; distinct payloads are hashed once a batch."""
-    import hashlib
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def hashed(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if v is None else hashlib.sha256(json.dumps(json.loads(v), sort_keys=True).encode()).hexdigest())
