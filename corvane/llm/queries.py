@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, katz, licenses, mixing, ngram_join, packing, quality, sharding, toxicity
+from . import exact_dedup, fim, fingerprints, katz, licenses, mixing, ngram_join, packing, quality, sharding, toxicity
 from .shared import settled, table
 
 COLUMNS = {"op5": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]}
@@ -64,7 +64,13 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("t")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_vector_packing, op3_toxicity_nnpu, op4_histogram_shards, op5_katz_scores, op6_ngram_jaccard, op7_source_mix, op8_edit_fingerprints, op9_quality_bradley_terry, op10_exact_dedup, near_fingerprints)}
+def op11_fill_in_middle(spark, sf_dir):
+    made = fim.transformed(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c, 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restored("output", "form")).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_vector_packing, op3_toxicity_nnpu, op4_histogram_shards, op5_katz_scores, op6_ngram_jaccard, op7_source_mix, op8_edit_fingerprints, op9_quality_bradley_terry, op10_exact_dedup, op11_fill_in_middle, near_fingerprints)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = {
@@ -72,4 +78,13 @@ ORACLE = {
         WITH t AS (SELECT doc_id, {_LOW} AS low FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY low) AS keep_id, count(*) OVER (PARTITION BY low) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY low) AS kept, sha256(low) AS text_sha256 FROM t""",
+    "op11_fill_in_middle": f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        d AS (SELECT doc_id, text, length(text) AS n, {', '.join(f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))} FROM t),
+        r AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+              CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        p AS (SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM r)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256 FROM p""",
 }
