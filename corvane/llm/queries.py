@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fim, fingerprints, katz, licenses, mixing, ngram_join, packing, quality, sharding, toxicity
+from . import exact_dedup, fim, fingerprints, katz, licenses, mixing, ngram_join, packing, pivot_index, quality, sharding, toxicity
 from .shared import settled, table
 
 COLUMNS = {"op5": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]}
@@ -70,7 +70,11 @@ def op11_fill_in_middle(spark, sf_dir):
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restored("output", "form")).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_vector_packing, op3_toxicity_nnpu, op4_histogram_shards, op5_katz_scores, op6_ngram_jaccard, op7_source_mix, op8_edit_fingerprints, op9_quality_bradley_terry, op10_exact_dedup, op11_fill_in_middle, near_fingerprints)}
+def op12_pivot_permutation(spark, sf_dir):
+    return pivot_index.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_vector_packing, op3_toxicity_nnpu, op4_histogram_shards, op5_katz_scores, op6_ngram_jaccard, op7_source_mix, op8_edit_fingerprints, op9_quality_bradley_terry, op10_exact_dedup, op11_fill_in_middle, op12_pivot_permutation, near_fingerprints)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = {
