@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fim, fingerprints, katz, licenses, mixing, ngram_join, packing, pivot_index, quality, sharding, toxicity
+from . import exact_dedup, fim, fingerprints, katz, licenses, mixing, ngram_join, packing, pivot_index, prefix_trie, quality, sharding, toxicity
 from .shared import settled, table
 
 COLUMNS = {"op5": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]}
@@ -74,9 +74,15 @@ def op12_pivot_permutation(spark, sf_dir):
     return pivot_index.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_vector_packing, op3_toxicity_nnpu, op4_histogram_shards, op5_katz_scores, op6_ngram_jaccard, op7_source_mix, op8_edit_fingerprints, op9_quality_bradley_terry, op10_exact_dedup, op11_fill_in_middle, op12_pivot_permutation, near_fingerprints)}
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), prefix_trie.EVERY, prefix_trie.MOST)
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_vector_packing, op3_toxicity_nnpu, op4_histogram_shards, op5_katz_scores, op6_ngram_jaccard, op7_source_mix, op8_edit_fingerprints, op9_quality_bradley_terry, op10_exact_dedup, op11_fill_in_middle, op12_pivot_permutation, op13_prefix_trie, near_fingerprints)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: CRC-32 by its bits: each byte is put to the register, then shifted out.
+_CRC = "xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({0}, ''), lambda b: [ascii(b)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, b: CASE WHEN b < 0 THEN xor(a >> 1, 3988292384 * (a & 1)) ELSE xor(a, b) END))"
 ORACLE = {
     "op10_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOW} AS low FROM documents)
@@ -91,4 +97,22 @@ ORACLE = {
         SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
                sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
                sha256(text) AS restored_sha256 FROM p""",
+    "op12_pivot_permutation": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+        r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, least(vec_id, coalesce((SELECT min(b) FROM r WHERE r.a = vec_id), vec_id)) AS component_id FROM embeddings)
+        SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM c""",
+    "op13_prefix_trie": f"""
+        WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+        k AS (SELECT c, list({{'r': r, 'x': x}} ORDER BY i) AS l, {_CRC.format("CAST(c AS VARCHAR)")} % 6 AS h FROM t GROUP BY c),
+        g AS (SELECT k.c, list_concat(coalesce(o.l, [])[1:k.h], k.l[k.h + 1:]) AS l FROM k LEFT JOIN k o ON o.c = k.c - k.c % 100),
+        m AS (SELECT c, l, unnest(range(len(l) + 1)) AS d FROM g),
+        n AS (SELECT d, l[1:d] AS p, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(l) = d), '')) AS ends_sha256 FROM m GROUP BY 1, 2),
+        kids AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+        w AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.d > 0 THEN (n_convs - 1) * length(n.p[n.d].x) ELSE 0 END AS saves FROM n LEFT JOIN kids ON kids.d = n.d AND kids.p = n.p),
+        u AS (SELECT p, d, n_children, saves, unnest(range(d + 1)) AS e FROM w),
+        below AS (SELECT e AS d, p[1:e] AS p, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saves) AS BIGINT) AS saved_tokens FROM u GROUP BY 1, 2)
+        SELECT w.conv_id, w.d AS depth, up.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+        FROM w JOIN below ON below.d = w.d AND below.p = w.p LEFT JOIN n up ON w.d > 0 AND up.d = w.d - 1 AND up.p = w.p[1:w.d - 1]""",
 }
