@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STOP = ("PVT", "LTD", "PRIVATE", "LIMITED", "AND", "&", "THE")
@@ -45,15 +48,34 @@ def _matrix(texts: list[str], length: np.ndarray, pad: int) -> np.ndarray:
     return out
 
 
-def _jw(a: pd.Series, b: pd.Series) -> pd.Series:
-    pairs = pd.DataFrame({"a": a, "b": b})
-    one = pairs.dropna().drop_duplicates()
-    one = one.assign(v=jaro_winkler(one["a"].tolist(), one["b"].tolist()) if len(one) else pd.Series(dtype="float64"))
-    return pairs.merge(one, on=["a", "b"], how="left")["v"].astype("float64")
+def _of_distinct(measure):
+    """The measure of two string columns, worked out once for each distinct pair of a batch; null where either is null."""
+
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        (x, left), (y, right) = pd.factorize(a), pd.factorize(b)
+        ok, out = (x >= 0) & (y >= 0), np.full(len(a), np.nan)
+        if ok.any():
+            pairs, where = np.unique(x[ok].astype(np.int64) * len(right) + y[ok], return_inverse=True)
+            out[ok] = measure(left[pairs // len(right)].tolist(), right[pairs % len(right)].tolist())[where]
+        return pd.Series(out)
+
+    return of
+
+
+def _equal_places(a: list[str], b: list[str]) -> np.ndarray:
+    la, lb = np.array([*map(len, a)], np.int64), np.array([*map(len, b)], np.int64)
+    x, y = _matrix(a, la, 0), _matrix(b, lb, 1)
+    n = min(x.shape[1], y.shape[1])
+    return (x[:, :n] == y[:, :n]).sum(1).astype(float)
+
+
+def equal_places(a: Column, b: Column) -> Column:
+    """How many characters are equal at equal places."""
+    return F.pandas_udf(_of_distinct(_equal_places), "double")(a, b)
 
 
 def jw(a: Column, b: Column) -> Column:
-    return F.pandas_udf(_jw, "double")(a, b)
+    return F.pandas_udf(_of_distinct(jaro_winkler), "double")(a, b)
 
 
 def levenshtein_sim(a: Column, b: Column) -> Column:
@@ -61,20 +83,31 @@ def levenshtein_sim(a: Column, b: Column) -> Column:
     return F.when(n > 0, 1 - F.levenshtein(a, b) / n).otherwise(0.0)
 
 
-def token_jaccard(a: Column, b: Column) -> Column:
-    words = lambda x: F.array_distinct(F.filter(F.split(F.upper(F.trim(x)), r"\s+"), lambda w: ~w.isin(*STOP) & (w != "")))
-    union = F.size(F.array_union(words(a), words(b)))
-    return F.when(union > 0, F.size(F.array_intersect(words(a), words(b))) / union).otherwise(0.0)
+def content_words(x: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.upper(F.trim(x)), r"\s+"), lambda w: ~w.isin(*STOP) & (w != "")))
 
 
-def exact(a: Column, b: Column) -> Column:
-    x, y = (F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")) for c in (a, b))
-    return F.when((x != "") & (x == y), 1.0).otherwise(0.0)
+def set_jaccard(a: Column, b: Column) -> Column:
+    """Of two arrays of distinct values; 0 where both are empty."""
+    both = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - both
+    return F.when(union > 0, both / union).otherwise(0.0)
+
 
+def plain(x: Column) -> Column:
+    """Upper-cased, without white space around; empty where missing."""
+    return F.upper(F.regexp_replace(F.coalesce(x, F.lit("")), r"^\s+|\s+$", ""))
 
-def phone_match(a: Column, b: Column) -> Column:
-    x, y = (F.right(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s\-+]", ""), F.lit(10)) for c in (a, b))
-    return F.when((F.length(x) == 10) & (x == y), 1.0).otherwise(0.0)
+
+def phone_digits(x: Column) -> Column:
+    """The last ten characters without blanks, dashes and plus signs; empty where there are fewer."""
+    last = F.right(F.regexp_replace(F.coalesce(x, F.lit("")), r"[\s\-+]", ""), F.lit(10))
+    return F.when(F.length(last) == 10, last).otherwise("")
+
+
+def exact(a: Column, b: Column) -> Column:
+    """1 where values that ``plain`` or another norm gives are equal and not empty."""
+    return F.when((a != "") & (a == b), 1.0).otherwise(0.0)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -91,18 +124,49 @@ def email(x: Column) -> Column:
     return F.lower(F.trim(x))
 
 
+def trimmed(x: Column) -> Column:
+    return F.upper(F.trim(F.coalesce(x, F.lit(""))))
+
+
 def similar(a: Column, b: Column) -> Column:
-    """Jaro-Winkler of the upper-cased, trimmed texts; 0 where one is missing or empty."""
-    x, y = (F.upper(F.trim(F.coalesce(c, F.lit("")))) for c in (a, b))
-    return F.when((x != "") & (y != ""), jw(x, y)).otherwise(0.0)
+    """Jaro-Winkler of texts that are upper-cased and trimmed; 0 where one is empty."""
+    return F.when((a != "") & (b != ""), jw(a, b)).otherwise(0.0)
+
+
+class Encoder(NamedTuple):
+    """encode: distinct texts to arrays, one for each, in a batch; kind: their SQL type; likeness: of two such arrays."""
+
+    encode: Callable[[list[str]], list]
+    kind: str
+    likeness: Callable[[Column, Column], Column]
+
+
+def _trigrams(texts: list[str]) -> list[np.ndarray]:
+    out = []
+    for t in texts:
+        c = np.frombuffer(f" {t} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        out.append(np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:]) if t else c[:0])
+    return out
+
+
+def _set_cosine(a: Column, b: Column) -> Column:
+    return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.sqrt(F.size(a) * F.size(b).cast("double")), F.lit(0.0)), F.lit(0.0))
+
+
+#: Distinct character trigrams, a blank before and after each text: what stands for a sentence encoder where none is given.
+TRIGRAMS = Encoder(_trigrams, "array<bigint>", _set_cosine)
+
+
+def dense(model: Callable[[list[str]], np.ndarray]) -> Encoder:
+    """An encoder of any model that turns texts into rows of a matrix."""
+    return Encoder(lambda texts: list(np.asarray(model(texts), float)), "array<double>", cosine)
+
 
+def encoded(texts: DataFrame, encoder: Encoder = TRIGRAMS) -> DataFrame:
+    """(text, vector): each distinct text of the column ``text`` is encoded once, in Arrow batches."""
 
-def trigram_cosine(a: Column, b: Column) -> Column:
-    """Cosine of the distinct character trigrams of both texts, a blank before and after each: what stands for a sentence encoder where none is given. 0 where one is empty."""
-    def grams(c):
-        padded = F.concat(F.lit(" "), c, F.lit(" "))
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3))))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(vector=[list(v) for v in encoder.encode(batch["text"].tolist())])
 
-    x, y = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
-    both = F.size(F.array_intersect(grams(x), grams(y))) / F.sqrt(F.size(grams(x)) * F.size(grams(y)).cast("double"))
-    return F.when((x != "") & (y != ""), both).otherwise(0.0)
+    return texts.select("text").filter("text is not null").distinct().mapInPandas(run, f"text string, vector {encoder.kind}")

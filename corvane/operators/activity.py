@@ -12,11 +12,12 @@ DORMANT_DAYS = 540
 def features(signals: DataFrame, reference: str) -> DataFrame:
     """One row per entity. reference: a date; a signal of the cutoff day itself is outside, as its text sorts before the cutoff's."""
     ref = F.to_date(F.lit(reference))
-    since = F.when(F.to_date("signal_date").isNull(), -1).otherwise(F.greatest(F.lit(0), F.datediff(ref, F.to_date("signal_date"))))
+    since = days_since(F.col("signal_date"), reference)
     cut = lambda days: F.concat(F.date_sub(ref, days).cast("string"), F.lit("T00:00:00+00:00"))
     kind = lambda k: F.col("signal_type") == k
-    last = lambda k: F.coalesce(F.min(F.when(kind(k), F.col("since"))), F.lit(-1))
-    order = Window.partitionBy("entity_key").orderBy("signal_date", "value")
+    # the latest is the largest text, read or not
+    last = lambda k: F.coalesce(F.max_by("since", F.when(kind(k), F.col("signal_date"))), F.lit(-1))
+    order = Window.partitionBy("entity_key").orderBy(F.asc_nulls_first("signal_date"), "value")
     used = kind("consumption") & F.col("value").isNotNull()
     s = signals.withColumn("since", since)
     values = s.filter(used).withColumn("i", F.row_number().over(order))
@@ -28,7 +29,7 @@ def features(signals: DataFrame, reference: str) -> DataFrame:
         F.count_if(kind("renewal") & (F.col("signal_date") >= cut(1095))).alias("renewals_3y"),
         F.count_if(status.isin(*ALIVE)).alias("n_active"), F.count_if(status.isin(*ENDED)).alias("n_cancelled"),
         F.countDistinct(F.when(F.col("since") < 365, F.col("department"))).alias("departments_12m"),
-        F.greatest(F.lit(0), F.datediff(ref, F.to_date(F.max("signal_date")))).alias("days_since_any"),
+        days_since(F.max("signal_date"), reference).alias("days_since_any"),
         F.max(F.coalesce("formal_closure", F.lit(False)) & kind("closure")).alias("formally_closed"), F.count("*").alias("n_signals"),
     )
     out = out.join(slope, "entity_key", "left")
@@ -56,7 +57,7 @@ def days_since(text: Column, reference: str) -> Column:
     """Whole days from an ISO date or time, Z or an offset or neither (then UTC), to the reference's midnight UTC; 0 at least, -1 where it can't be read."""
     zoned = F.when(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), text).when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00Z"))).otherwise(F.concat(text, F.lit("Z")))
     seconds = F.unix_seconds(F.to_timestamp(F.lit(reference + "T00:00:00Z"))) - F.unix_micros(F.try_to_timestamp(zoned)) / 1e6
-    return F.coalesce(F.greatest(F.lit(0), F.floor(seconds / 86400).cast("int")), F.lit(-1))
+    return F.when(seconds.isNull(), -1).otherwise(F.greatest(F.lit(0), F.floor(seconds / 86400).cast("int")))
 
 
 def classified(f: DataFrame) -> DataFrame:

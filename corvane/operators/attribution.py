@@ -1,89 +1,24 @@
-"""What each feature adds to a pair's score: exact for the additive score, Shapley values for boosted trees."""
+"""What each term of the additive score adds to a pair's score, as the console shows it."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
-from math import factorial
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def additive(ev: DataFrame) -> DataFrame:
-    """(a, b, feature, contribution, direction, strength, bar_pct), a row for each feature that counts."""
+    """(a, b, place, feature, contribution, direction, strength, bar_pct), a row for each term that counts, in the order of places. bar_pct: hundreds of the size, cut to a whole number."""
     same = lambda c: F.col(f"{c}_a") == F.col(f"{c}_b")
-    part = lambda name, x: F.struct(F.lit(name).alias("feature"), x.cast("double").alias("contribution"))
-    parts = F.array(
-        part("PAN", F.when(same("pan_token"), 0.55).when(~same("pan_token"), -0.40)), part("GSTIN", F.when(same("gstin_token"), 0.15)), part("Phone", F.when(same("phone"), 0.05)), part("Name", F.lit(0.30) * F.col("name_sim")), part("District", F.when(same("district"), 0.05)),
-        part("Pincode", F.when(same("pincode"), 0.05)), part("Legal status", F.when(same("legal"), 0.05).when(~same("legal"), -0.10)),
-    )
-    x = ev.select("a", "b", F.explode(parts).alias("p")).select("a", "b", "p.*").filter("contribution is not null")
-    return described(x)
+    name = F.lit(0.30) * F.col("name_sim")
+    # What the terms are called and what they add.
+    terms = [("PAN Token Match", same("pan_token"), 0.55), ("PAN Token Conflict", ~same("pan_token"), -0.40), ("GSTIN Match", same("gstin_token"), 0.15), ("Name Similarity", F.lit(True), name)]
+    terms += [(f"{c.title()} Match", same(c), 0.05) for c in ("district", "pincode", "phone")] + [("Legal Status Match", same("legal"), 0.05), ("Legal Status Conflict", ~same("legal"), -0.10)]
+    value = lambda v: v if isinstance(v, Column) else F.lit(v)
+    parts = F.array(*[F.when(ok, F.struct(F.lit(i).alias("place"), F.lit(n).alias("feature"), value(v).cast("double").alias("size"))) for i, (n, ok, v) in enumerate(terms)])
+    x = ev.select("a", "b", F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("p")).select("a", "b", "p.*")
+    size, positive = F.col("size"), (F.col("size") > 0) | (F.col("feature") == "Name Similarity")
+    return x.select("a", "b", "place", "feature", F.round(size, 3).alias("contribution"), F.when(positive, "positive").otherwise("negative").alias("direction"), strength(F.abs(size)).alias("strength"), F.abs(size * 100).cast("int").alias("bar_pct"))
 
 
 def strength(size: Column) -> Column:
     return F.when(size > 0.15, "strong").when(size > 0.05, "moderate").otherwise("weak")
-
-
-def described(x: DataFrame) -> DataFrame:
-    c = F.col("contribution")
-    return x.withColumn("direction", F.when(c > 0, "positive").otherwise("negative")).withColumn("strength", strength(F.abs(c))).withColumn("bar_pct", F.round(c * 100, 9).cast("int"))
-
-
-def plain_tree(tree) -> tuple:
-    """A fitted tree as nested tuples: (value,) or (feature, threshold, left, right, share of rows that went left)."""
-
-    def of(node):
-        if node.getClass().getSimpleName() == "LeafNode":
-            return (float(node.prediction()),)
-        left, right = node.leftChild(), node.rightChild()
-        share = left.impurityStats().count() / (left.impurityStats().count() + right.impurityStats().count())
-        return int(node.split().featureIndex()), float(node.split().threshold()), of(left), of(right), float(share)
-
-    return of(tree._java_obj.rootNode())
-
-
-def _used(node: tuple) -> set[int]:
-    return set() if len(node) == 1 else {node[0]} | _used(node[2]) | _used(node[3])
-
-
-def _expected(node: tuple, x: np.ndarray, known: frozenset) -> np.ndarray:
-    """The tree's mean where only the known features are given; the others split as the training rows did."""
-    if len(node) == 1:
-        return np.full(len(x), node[0])
-    feature, threshold, left, right, share = node
-    low, high = _expected(left, x, known), _expected(right, x, known)
-    return np.where(x[:, feature] <= threshold, low, high) if feature in known else share * low + (1 - share) * high
-
-
-def shapley(tree: tuple, x: np.ndarray) -> tuple[float, np.ndarray]:
-    """(mean, value of each feature for each row). The work doubles with each feature that the tree uses: a tree of depth 3 has seven at most."""
-    used = sorted(_used(tree))
-    n, out = len(used), np.zeros(x.shape)
-    subsets = [frozenset(s) for k in range(n + 1) for s in combinations(used, k)]
-    value = {s: _expected(tree, x, s) for s in subsets}
-    for s in subsets:
-        for i in used:
-            if i not in s:
-                out[:, i] += factorial(len(s)) * factorial(n - len(s) - 1) / factorial(n) * (value[s | {i}] - value[s])
-    return float(value[frozenset()][0]) if len(x) else 0.0, out
-
-
-def boosted(model, x: DataFrame, features: list[str]) -> DataFrame:
-    """(a, b, base, margin, one column of each feature): base and the values sum up to the margin. x holds the features."""
-    trees = [(float(w), plain_tree(t)) for w, t in zip(model.treeWeights, model.trees)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values, base = np.zeros((len(batch), len(features))), 0.0
-            for weight, tree in trees:
-                mean, own = shapley(tree, batch[features].to_numpy(float))
-                base, values = base + weight * mean, values + weight * own
-            out = batch[["a", "b"]].assign(base=base, margin=base + values.sum(1))
-            yield out.assign(**{f: values[:, i] for i, f in enumerate(features)})
-
-    schema = "a string, b string, base double, margin double, " + ", ".join(f"{f} double" for f in features)
-    return x.select("a", "b", *features).mapInPandas(run, schema)

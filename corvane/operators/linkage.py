@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane import tables
+from corvane.functions import text
 from corvane.functions.phonetics import metaphone_code
 from corvane.functions.pii import tokenized
 
+from .components import components as connected
+
 AUTO, REVIEW, BLOCK_CAP = 0.92, 0.65, 1000
 # Legal forms that cannot be one business.
 INCOMPATIBLE = [("PROPRIETORSHIP", "PRIVATE LIMITED"), ("PROPRIETORSHIP", "PUBLIC LIMITED"), ("PARTNERSHIP", "PRIVATE LIMITED"), ("LLP", "PRIVATE LIMITED")]
@@ -56,23 +58,24 @@ def sided(pairs: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
     return pairs
 
 
-def name_sim(a: Column, b: Column) -> Column:
-    """Jaccard of words after PVT and LTD are spelt out, plus up to 0.15 for characters equal in place."""
-    spelt = lambda x: F.replace(F.replace(x, F.lit("PVT"), F.lit("PRIVATE")), F.lit("LTD"), F.lit("LIMITED"))
-    x, y = spelt(a), spelt(b)
-    u, v = F.array_distinct(F.split(F.trim(x), r"\s+")), F.array_distinct(F.split(F.trim(y), r"\s+"))
-    jaccard = F.size(F.array_intersect(u, v)) / F.size(F.array_union(u, v))
-    n = F.least(F.length(x), F.length(y))
-    equal = F.size(F.filter(F.sequence(F.lit(1), n), lambda i: F.substr(x, i, F.lit(1)) == F.substr(y, i, F.lit(1))))
-    whole = F.least(F.lit(1.0), jaccard + F.least(F.lit(0.15), equal / F.greatest(F.length(x), F.length(y))))
-    return F.when((F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == ""), 0.0).when(a == b, 1.0).otherwise(whole)
+def spelt(name: Column) -> tuple[Column, Column]:
+    """An upper-cased name with PVT and LTD spelt out, and its distinct words."""
+    x = F.replace(F.replace(F.upper(F.coalesce(name, F.lit(""))), F.lit("PVT"), F.lit("PRIVATE")), F.lit("LTD"), F.lit("LIMITED"))
+    return x, F.array_distinct(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
+
+
+def name_sim(a: Column, b: Column, words_a: Column, words_b: Column) -> Column:
+    """Jaccard of the words of spelt names, plus up to 0.15 for characters equal in place; 1 for equal names, 0 where one has no words."""
+    places = text.equal_places(a, b) / F.greatest(F.length(a), F.length(b))
+    whole = F.least(F.lit(1.0), text.set_jaccard(words_a, words_b) + F.least(F.lit(0.15), places))
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when((F.size(words_a) == 0) | (F.size(words_b) == 0), 0.0).otherwise(whole)
 
 
 def scored(p: DataFrame) -> DataFrame:
-    """The additive score, clamped to [0, 1]."""
+    """The additive score, clamped to [0, 1]; the sides have the spelt names and words of ``spelt``."""
     both = lambda c: _text(f"{c}_a").isNotNull() & _text(f"{c}_b").isNotNull()
     same = lambda c: both(c) & (F.col(f"{c}_a") == F.col(f"{c}_b"))
-    p = p.withColumn("name_sim", name_sim(F.upper("business_name_a"), F.upper("business_name_b")))
+    p = p.withColumn("name_sim", name_sim(*[F.col(f"_{c}_{side}") for c in ("spelt", "words") for side in "ab"])).drop(*[f"_{c}_{side}" for c in ("spelt", "words") for side in "ab"])
     p = p.withColumn("legal_a", F.upper("legal_status_a")).withColumn("legal_b", F.upper("legal_status_b"))
     total = F.when(same("pan_token"), 0.55).when(both("pan_token"), -0.40).otherwise(0.0) + F.when(same("gstin_token"), 0.15).otherwise(0.0) + 0.30 * F.col("name_sim")
     for c in ("district", "pincode", "phone"):
@@ -125,36 +128,21 @@ PAIR = ["business_name", "department", "pan_token", "gstin_token", "legal_status
 
 def evidence(records: DataFrame, key: str, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
     """A row for each candidate pair of the records, scored, checked and routed on tokens alone."""
-    tokens = checkpointed(tokenized(records, key).select("record_id", *PAIR))  # read by the keys and by both sides of a pair
-    return routed(safety(scored(sided(candidate_pairs(block_keys(tokens, strategies)), tokens, PAIR))))
+    name, words = spelt(F.col("business_name"))
+    # read by the keys and by both sides of a pair; what a pair needs of a name is made once for each record
+    tokens = checkpointed(tokenized(records, key).select("record_id", *PAIR, name.alias("_spelt"), words.alias("_words")))
+    return routed(safety(scored(sided(candidate_pairs(block_keys(tokens, strategies)), tokens, [*PAIR, "_spelt", "_words"]))))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that ``spark.checkpoint.dir`` names; only a local master may do without, in a folder of its own."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="corvane-"))
-    return df.checkpoint()
+    """Written to the shared folder and read again."""
+    return tables.settled(df, "linkage")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node that edges reach. Each round hooks nodes to their least neighbour and contracts the edges, and is checkpointed."""
-    pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-    edges = checkpointed(edges.select(*pair("a", "b")).filter("a < b").distinct())
-    labels = None
-    while not edges.isEmpty():
-        near = edges.select("a", "b").union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("up"))
-        near = checkpointed(near)
-        step = checkpointed(near.join(near.select(F.col("node").alias("up"), F.col("up").alias("label")), "up").select("node", "label"))
-        now = step.select(F.col("node").alias("label"), F.col("label").alias("new"))
-        labels = step if labels is None else checkpointed(labels.join(now, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
-        for c in "ab":
-            edges = edges.join(step.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), c)
-        edges = checkpointed(edges.select(*pair("a_label", "b_label")).filter("a < b").distinct())
-    return edges.select(F.col("a").alias("node"), F.col("a").alias("label")) if labels is None else labels
+    """(node, label): the least node that edges reach; the rounds' tables are deleted."""
+    with tables.tidied(edges.sparkSession):
+        return tables.settled(connected(edges, tables.settled), "linkage-labels", keep=True)
 
 
 def clusters(records: DataFrame, links: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvane import tables
 from corvane.functions import phonetics, pii
 from corvane.operators import activity, attribution, console, learning, linkage, normalize
 from corvane.sources.records import SIGNALS_SQL, from_text, records, signals
 
-from .registry import _CC, _EV, _F, _R, KEY, ORACLE, QUERIES, REFERENCE, _act, _ev, _members, _pads, query
+from .registry import _CC, _EV, _F, _R, KEY, ORACLE, QUERIES, REFERENCE, _act, _ev, _members, _pads, _pair_features, query
 
 _IDS = """SELECT c_custkey AS k, 'UDYAM-KA-' || lpad(CAST(c_custkey % 100 AS STRING), 2, '0') || '-' || lpad(CAST(c_custkey AS STRING), CAST(6 + c_custkey % 3 AS INT), '0') AS udyam,
   CAST(2 + c_custkey % 9 AS STRING) || ' ' || lpad(CAST(c_custkey * 7 AS STRING), 11, '0') AS aadhaar FROM customer"""
@@ -90,7 +91,7 @@ def _cluster_activity(spark, d, members):
 
 def _risk(spark, d):
     e = _ev(spark, d)
-    m = linkage.checkpointed(_members(spark, d, e))
+    m = _members(spark, d, e)
     return linkage.risk(m, e, _cluster_activity(spark, d, m))
 
 
@@ -162,13 +163,15 @@ def acq_shares(spark, d):
     return n.join(F.broadcast(n.agg(F.sum("n").alias("all")))).select("status", F.round(100.0 * F.col("n") / F.col("all"), 4).alias("share"))
 
 
-@query(f"""{_EV}, p AS (SELECT a, b, 'PAN' AS feature, CASE WHEN pan_a = pan_b THEN 0.55 WHEN pan_a <> pan_b THEN -0.40 END::DOUBLE AS contribution FROM ev UNION ALL SELECT a, b, 'Name', 0.30::DOUBLE * name_sim FROM ev
-  UNION ALL SELECT a, b, 'District', CASE WHEN da = db THEN 0.05::DOUBLE END FROM ev UNION ALL SELECT a, b, 'Pincode', CASE WHEN pa = pb THEN 0.05::DOUBLE END FROM ev UNION ALL SELECT a, b, 'GSTIN', CASE WHEN gst_a = gst_b THEN 0.15::DOUBLE END FROM ev UNION ALL SELECT a, b, 'Phone', CASE WHEN ha = hb THEN 0.05::DOUBLE END FROM ev
-  UNION ALL SELECT a, b, 'Legal status', CASE WHEN la = lb THEN 0.05 ELSE -0.10 END::DOUBLE FROM ev)
-  SELECT a, b, feature, round(contribution, 6) AS contribution, CASE WHEN contribution > 0 THEN 'positive' ELSE 'negative' END AS direction, CASE WHEN abs(contribution) > 0.15 THEN 'strong' WHEN abs(contribution) > 0.05 THEN 'moderate' ELSE 'weak' END AS strength,
-  CAST(trunc(round(contribution * 100, 9)) AS INT) AS bar_pct FROM p WHERE contribution IS NOT NULL""")
+@query(f"""{_EV}, p AS (SELECT a, b, unnest(list_filter([
+    CASE WHEN pan_a = pan_b THEN {{'place': 0, 'feature': 'PAN Token Match', 'size': 0.55::DOUBLE}} WHEN pan_a <> pan_b THEN {{'place': 1, 'feature': 'PAN Token Conflict', 'size': -0.40::DOUBLE}} END,
+    CASE WHEN gst_a = gst_b THEN {{'place': 2, 'feature': 'GSTIN Match', 'size': 0.15::DOUBLE}} END, {{'place': 3, 'feature': 'Name Similarity', 'size': 0.30::DOUBLE * name_sim}},
+    CASE WHEN da = db THEN {{'place': 4, 'feature': 'District Match', 'size': 0.05::DOUBLE}} END, CASE WHEN pa = pb THEN {{'place': 5, 'feature': 'Pincode Match', 'size': 0.05::DOUBLE}} END, CASE WHEN ha = hb THEN {{'place': 6, 'feature': 'Phone Match', 'size': 0.05::DOUBLE}} END,
+    CASE WHEN la = lb THEN {{'place': 7, 'feature': 'Legal Status Match', 'size': 0.05::DOUBLE}} ELSE {{'place': 8, 'feature': 'Legal Status Conflict', 'size': -0.10::DOUBLE}} END], lambda x: x IS NOT NULL)) AS p FROM ev)
+  SELECT a, b, p.place AS place, p.feature AS feature, round(p.size, 3) AS contribution, CASE WHEN p.size > 0 OR p.place = 3 THEN 'positive' ELSE 'negative' END AS direction,
+    CASE WHEN abs(p.size) > 0.15 THEN 'strong' WHEN abs(p.size) > 0.05 THEN 'moderate' ELSE 'weak' END AS strength, CAST(trunc(abs(p.size * 100)) AS INT) AS bar_pct FROM p""")
 def scr_contributions(spark, d):
-    return attribution.additive(_ev(spark, d)).withColumn("contribution", F.round("contribution", 6))
+    return attribution.additive(_ev(spark, d))
 
 
 @query(f"""{_R}, t AS (SELECT record_id, business_name, pan FROM records WHERE department = 'commercial_taxes'), n AS (SELECT record_id, business_name || ' NEW' AS business_name, 'X' AS pan FROM records WHERE entity_key % 4 = 0)
@@ -186,8 +189,49 @@ def blk_metaphone(spark, d):
     return words.withColumn("code", phonetics.metaphone_code(F.col("word"))).filter("code <> ''").groupBy("code").agg(F.sum("n").alias("n"), F.count("*").alias("words"))
 
 
+def _scorer(spark, d):
+    """(features of all pairs, the calibrated scorer that the rule's labels of a bounded sample teach)."""
+    x = _pair_features(spark, d)
+    return x, learning.fit_scorer(x.withColumn("label", learning.rule_label(F.concat("a", F.lit("___"), "b"))), ["a", "b"])
+
+
+_RULE = "CASE WHEN pan_token_match > 0.8 OR (name_jaro_winkler > 0.85 AND address_sbert_cosine > 0.8) OR (name_jaro_winkler > 0.9 AND pincode_match > 0.8 AND substr(md5(a || '___' || b), 1, 2) < 'b3') THEN 1 ELSE 0 END"
+
+
+@query(f"SELECT {_RULE} AS label, count(*) AS pairs FROM ({ORACLE['fea_pairs']}) f GROUP BY 1")
+def clf_rule_labels(spark, d):
+    x = _pair_features(spark, d)
+    return x.groupBy(learning.rule_label(F.concat("a", F.lit("___"), "b")).alias("label")).agg(F.count("*").alias("pairs"))
+
+
+@query()
+def clf_boosted(spark, d):
+    """Raw score, calibrated confidence and decision of every pair by 300 trees of depth 6 and their cross-fitted calibration."""
+    return learning.scored_pairs(*_scorer(spark, d))
+
+
 @query()
 def shp_boosted(spark, d):
-    """Shapley values of the boosted scorer's features for each pair."""
-    model, x = learning.boosted(_ev(spark, d))
-    return attribution.boosted(model, x, learning.FEATURES)
+    """Shapley values of all 16 features for each pair."""
+    return learning.shapley_values(*_scorer(spark, d))
+
+
+@query()
+def clf_explained(spark, d):
+    """The five features that count most in each pair that isn't rejected, and the decision in words."""
+    x, scorer = _scorer(spark, d)
+    scores = tables.settled(learning.scored_pairs(x, scorer).filter("decision <> 'reject'"), "clf-scores")
+    own = x.join(scores.select("a", "b"), ["a", "b"])
+    top = tables.settled(learning.top_contributors(own, learning.shapley_values(own, scorer), scorer.features), "clf-top")
+    five = top.groupBy("a", "b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda t: t["feature"]), ",").alias("top"))  # five at most
+    return learning.explained(scores, top).join(five, ["a", "b"])
+
+
+@query()
+def act_model(spark, d):
+    """Status and confidence of every entity of the records: the first rule that fires, else the four-class model that the rules' own entities teach."""
+    t = tables.settled(learning.activity_table(signals(spark, d), records(spark, d).select("entity_key").distinct(), REFERENCE), "activity")
+    places = F.create_map(*[F.lit(v) for i, s in enumerate(learning.STATUSES) for v in (s, i)])
+    # where no rule fires, an entity without a readable date teaches what is uncertain
+    taught = t.filter("rule <> 'none' or days_since_any < 0").withColumn("label", places[F.col("status")])
+    return learning.classified_activity(t, learning.fit_activity(taught, ["entity_key"]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvane import tables
 from corvane.functions import pii, text
 from corvane.operators import activity, console, features, learning, linkage
 from corvane.sources.records import RECORDS_SQL, SIGNALS_SQL, records, signals
@@ -42,13 +43,14 @@ _CC = f"""{_EV.replace("WITH records", "WITH RECURSIVE records")}, edge AS (SELE
   members AS (SELECT r.*, coalesce(least(r.record_id, m.least_other), r.record_id) AS root FROM records r LEFT JOIN (SELECT node, min(other) AS least_other FROM reach GROUP BY 1) m ON m.node = r.record_id),
   ub AS (SELECT *, 'UBID-KA-' || upper(substr(sha256(root), 1, 12)) AS ubid FROM members)"""
 _S = f"WITH signals AS ({SIGNALS_SQL})"
-_F = f"""{_S}, s AS (SELECT *, greatest(0, date_diff('day', CAST(signal_date AS DATE), DATE '{REFERENCE}')) AS since FROM signals),
-  v AS (SELECT entity_key, value, row_number() OVER (PARTITION BY entity_key ORDER BY signal_date, value) AS i FROM s WHERE signal_type = 'consumption' AND value IS NOT NULL),
+_SINCE = lambda d: f"CASE WHEN TRY_CAST({d} AS DATE) IS NULL THEN -1 ELSE greatest(0, date_diff('day', TRY_CAST({d} AS DATE), DATE '{REFERENCE}')) END"
+_F = f"""{_S}, s AS (SELECT *, {_SINCE("signal_date")} AS since FROM signals),
+  v AS (SELECT entity_key, value, row_number() OVER (PARTITION BY entity_key ORDER BY signal_date NULLS FIRST, value) AS i FROM s WHERE signal_type = 'consumption' AND value IS NOT NULL),
   sl AS (SELECT entity_key, regr_slope(value, i) AS slope, max_by(value, i) AS last_value, count(*) AS n_values FROM v GROUP BY 1),
-  g AS (SELECT entity_key, coalesce(min(since) FILTER (signal_type = 'filing'), -1) AS days_since_filing, count(*) FILTER (signal_type = 'filing' AND signal_date >= CAST(DATE '{REFERENCE}' - 365 AS VARCHAR) || 'T00:00:00+00:00') AS filings_12m,
-    coalesce(min(since) FILTER (signal_type = 'inspection'), -1) AS days_since_inspection, coalesce(max(overdue_days) FILTER (overdue_days > 0), 0) AS max_overdue,
+  g AS (SELECT entity_key, coalesce(arg_max(since, signal_date) FILTER (signal_type = 'filing'), -1) AS days_since_filing, count(*) FILTER (signal_type = 'filing' AND signal_date >= CAST(DATE '{REFERENCE}' - 365 AS VARCHAR) || 'T00:00:00+00:00') AS filings_12m,
+    coalesce(arg_max(since, signal_date) FILTER (signal_type = 'inspection'), -1) AS days_since_inspection, coalesce(max(overdue_days) FILTER (overdue_days > 0), 0) AS max_overdue,
     count(*) FILTER (signal_type = 'renewal' AND signal_date >= CAST(DATE '{REFERENCE}' - 1095 AS VARCHAR) || 'T00:00:00+00:00') AS renewals_3y, count(*) FILTER (status = 'Active') AS n_active, count(*) FILTER (status = 'Cancelled') AS n_cancelled,
-    count(DISTINCT department) FILTER (since < 365) AS departments_12m, greatest(0, date_diff('day', CAST(max(signal_date) AS DATE), DATE '{REFERENCE}')) AS days_since_any, bool_or(formal_closure AND signal_type = 'closure') AS formally_closed, count(*) AS n_signals FROM s GROUP BY 1),
+    count(DISTINCT department) FILTER (since < 365) AS departments_12m, {_SINCE("max(signal_date)")} AS days_since_any, bool_or(formal_closure AND signal_type = 'closure') AS formally_closed, count(*) AS n_signals FROM s GROUP BY 1),
   f AS (SELECT g.*, CASE WHEN n_values >= 2 THEN slope ELSE -1 END AS slope, CASE WHEN n_values >= 2 THEN last_value ELSE -1 END AS last_value FROM g LEFT JOIN sl USING (entity_key)),
   c AS (SELECT *, CASE WHEN formally_closed THEN 'explicit_closure' WHEN n_active = 0 AND n_cancelled > 0 THEN 'all_cancelled' WHEN departments_12m >= 3 AND days_since_any < 180 THEN 'multi_department' WHEN days_since_any >= 540 AND n_active > 0 THEN 'dormant' ELSE 'none' END AS rule,
     CASE WHEN formally_closed OR (n_active = 0 AND n_cancelled > 0) THEN 'CLOSED' WHEN departments_12m >= 3 AND days_since_any < 180 THEN 'ACTIVE' WHEN days_since_any >= 540 AND n_active > 0 THEN 'DORMANT' ELSE 'UNCERTAIN' END AS status FROM f)"""
@@ -64,13 +66,21 @@ def query(sql: str | None = None):
     return add
 
 
+_SOURCES = ("customer", "supplier", "orders", "part", "nation")
+
+
 def _ev(spark, d):
-    return linkage.evidence(records(spark, d), KEY)
+    """The evidence, a table that all queries of an application read."""
+    return tables.once(spark, "evidence", d, _SOURCES, lambda: linkage.evidence(records(spark, d), KEY))
 
 
 def _members(spark, d, ev=None):
-    """Cluster members; the evidence may be given, so that it is worked out once."""
-    return linkage.clusters(records(spark, d), (_ev(spark, d) if ev is None else ev).filter("decision = 'auto_link'").select("a", "b"))
+    """Cluster members; like the evidence, worked out once."""
+    return tables.once(spark, "members", d, _SOURCES, lambda: linkage.clusters(records(spark, d), (_ev(spark, d) if ev is None else ev).filter("decision = 'auto_link'").select("a", "b")))
+
+
+def _pair_features(spark, d):
+    return tables.once(spark, "features", d, _SOURCES, lambda: features.pair_features(linkage.candidate_pairs(linkage.block_keys(_tokens(spark, d))), records(spark, d), KEY))
 
 
 def _tokens(spark, d):
@@ -241,7 +251,7 @@ _PHONE = lambda t: f"right(regexp_replace({t}.phone, '[\\s\\-+]', '', 'g'), 10)"
     round({_COS("n1", "n2")}, 6) AS name_sbert_cosine, round({_COS("a1", "a2")}, 6) AS address_sbert_cosine FROM j""")
 def fea_pairs(spark, d):
     """All 16 features of each candidate pair; Jaro-Winkler runs on distinct values in Arrow batches, the rest in built-ins."""
-    return features.pair_features(linkage.candidate_pairs(linkage.block_keys(_tokens(spark, d))), records(spark, d), KEY)
+    return _pair_features(spark, d)
 
 
 @query("SELECT a.vec_id AS a, b.vec_id AS b, round(greatest(0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -292,11 +302,6 @@ def ext_minhash_names(spark, d):
     return learning.minhash_pairs(records(spark, d))
 
 
-@query()
-def clf_boosted(spark, d):
-    return learning.boosted_probabilities(_ev(spark, d))
-
-
 @query(f"{_EV} SELECT a || '___' || b AS pair_id, a AS record_id FROM ev WHERE decision <> 'reject' UNION ALL SELECT a || '___' || b, b FROM ev WHERE decision <> 'reject'")
 def snk_linked_via(spark, d):
     e = _ev(spark, d).filter("decision <> 'reject'").withColumn("pair_id", F.concat("a", F.lit("___"), "b"))

@@ -10,7 +10,7 @@ from corvane.sources.connectors import payload_hash
 from corvane.sources.records import records, signals
 
 from .details import _FU, _RISK, _cluster_activity
-from .registry import _CC, _EV, _R, _S, KEY, ORACLE, QUERIES, REFERENCE, _ev, _members, _tokens, query
+from .registry import _CC, _EV, _R, _S, _SINCE, KEY, ORACLE, QUERIES, REFERENCE, _ev, _members, _tokens, query
 
 _LABEL = "CASE department " + " ".join(f"WHEN '{d}' THEN '{v}'" for d, v in serving.LABELS.items()) + " ELSE department END"
 _FLAG = """flag AS (SELECT ub.ubid, CASE WHEN count(pan) > 0 AND count(DISTINCT business_name) > 2 THEN 'Flagged' WHEN bool_or(coalesce(c.status, '') = 'CLOSED') THEN 'Watch' WHEN count(DISTINCT department) = 1 AND count(DISTINCT pincode) > 1 THEN 'Watch'
@@ -21,9 +21,9 @@ _TABLE = f"""{_RISK}, {_FLAG}, tab AS (SELECT ub.ubid, coalesce(min_by(udyam_num
 
 
 def _built(spark, d):
-    """(evidence, members, activity of clusters): worked out once and checkpointed."""
-    e = linkage.checkpointed(_ev(spark, d))
-    m = linkage.checkpointed(_members(spark, d, e))
+    """(evidence, members, activity of clusters)."""
+    e = _ev(spark, d)
+    m = _members(spark, d, e)
     return e, m, _cluster_activity(spark, d, m)
 
 
@@ -125,9 +125,9 @@ def clu_platform(spark, d):
     return m.crossJoin(links).filter("total_records > 0 and total_links > 0")  # one row each
 
 
-@query(f"""{_S}, e AS (SELECT DISTINCT entity_key FROM ({_R} SELECT * FROM records) r), s AS (SELECT *, greatest(0, date_diff('day', CAST(signal_date AS DATE), DATE '{REFERENCE}')) AS since FROM signals),
-  g AS (SELECT entity_key, coalesce(min(since) FILTER (signal_type = 'epf_deposit'), -1) AS days_since_epf, CAST(coalesce(bool_or(signal_type IN ('filing', 'renewal', 'inspection') AND signal_date >= CAST(DATE '{REFERENCE}' - 180 AS VARCHAR) || 'T00:00:00+00:00'), false) AS INT) AS compliant_6m,
-    coalesce(min(since) FILTER (signal_type = 'filing' AND department = 'commercial_taxes'), -1) AS days_since_gst, CASE WHEN count(*) FILTER (signal_type = 'filing' AND department = 'commercial_taxes') > 0 THEN CAST(bool_or(signal_type = 'filing' AND department = 'commercial_taxes' AND coalesce(status, '') = 'Active') AS INT) ELSE -1 END AS gst_active FROM s GROUP BY 1)
+@query(f"""{_S}, e AS (SELECT DISTINCT entity_key FROM ({_R} SELECT * FROM records) r), s AS (SELECT *, {_SINCE("signal_date")} AS since FROM signals),
+  g AS (SELECT entity_key, coalesce(arg_max(since, signal_date) FILTER (signal_type = 'epf_deposit'), -1) AS days_since_epf, CAST(coalesce(bool_or(signal_type IN ('filing', 'renewal', 'inspection') AND signal_date >= CAST(DATE '{REFERENCE}' - 180 AS VARCHAR) || 'T00:00:00+00:00'), false) AS INT) AS compliant_6m,
+    coalesce(arg_max(since, signal_date) FILTER (signal_type = 'filing' AND department = 'commercial_taxes'), -1) AS days_since_gst, CASE WHEN count(*) FILTER (signal_type = 'filing' AND department = 'commercial_taxes') > 0 THEN CAST(bool_or(signal_type = 'filing' AND department = 'commercial_taxes' AND coalesce(status, '') = 'Active') AS INT) ELSE -1 END AS gst_active FROM s GROUP BY 1)
   SELECT e.entity_key, coalesce(days_since_epf, -1) AS days_since_epf, coalesce(compliant_6m, -1) AS compliant_6m, coalesce(days_since_gst, -1) AS days_since_gst, coalesce(gst_active, -1) AS gst_active FROM e LEFT JOIN g USING (entity_key)""")
 def act_all_entities(spark, d):
     """Deposits, compliance and tax filings of every entity of the records; -1 where it has no signals."""
@@ -157,7 +157,7 @@ def _guided_sql():
 
 @query(_guided_sql())
 def biq_guided(spark, d):
-    m = linkage.checkpointed(_members(spark, d))
+    m = _members(spark, d)
     return serving.guided(m, linkage.checkpointed(_cluster_activity(spark, d, m)))
 
 

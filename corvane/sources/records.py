@@ -53,7 +53,7 @@ FROM (
   SELECT user_id AS entity_key, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k,
     CASE event_id % 5 WHEN 0 THEN 'commercial_taxes' WHEN 1 THEN 'factories_board' WHEN 2 THEN 'shops_establishments' WHEN 3 THEN 'labour_dept' ELSE 'revenue_dept' END AS department,
     CASE event_type WHEN 'click' THEN 'filing' WHEN 'view' THEN 'inspection' WHEN 'signup' THEN 'renewal' WHEN 'purchase' THEN 'consumption' ELSE 'closure' END AS signal_type,
-    CAST(CAST(ts AS DATE) - CAST((user_id % 30) * 30 AS INT) AS STRING) AS signal_date,
+    CASE event_id % 97 WHEN 5 THEN '0000-00-00' WHEN 6 THEN 'unknown' WHEN 7 THEN NULL ELSE CAST(CAST(ts AS DATE) - CAST((user_id % 30) * 30 AS INT) AS STRING) END AS signal_date,
     CASE WHEN event_type = 'purchase' THEN value END AS value
   FROM events
 ) e

@@ -1,12 +1,8 @@
-import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
 from corvane.functions.phonetics import metaphone
-from corvane.operators import attribution, learning, linkage
-from corvane.sources.records import records
-
-SF = "/root/testdata/sf0.001"
+from corvane.operators import attribution
 
 
 @pytest.mark.parametrize("word, code", [("KNIGHT", "NT"), ("PHONE", "FN"), ("WRITE", "RT"), ("SHIP", "XP"), ("THUMB", "0M"), ("BRIDGE", "BRJ"), ("XENON", "SNN"), ("SCHOOL", "SKL"), ("NATION", "NXN"), ("SCIENCE", "SNS"), ("CITY", "ST"), ("42", "")])
@@ -14,15 +10,10 @@ def test_metaphone(word, code):
     assert metaphone(word) == code
 
 
-def test_values_sum_to_the_margin(spark):
-    model, x = learning.boosted(linkage.evidence(records(spark, SF)))
-    got = {(r.a, r.b): r for r in attribution.boosted(model, x, learning.FEATURES).collect()}
-    want = {(r.a, r.b): r.m for r in model.transform(x).select("a", "b", vector_to_array("rawPrediction")[1].alias("m")).collect()}
-    assert set(got) == set(want) and got
-    for k, r in got.items():
-        assert abs(r.margin - want[k]) < 1e-9 and abs(r.base + sum(r[f] for f in learning.FEATURES) - r.margin) < 1e-9
-
-
-def test_shapley_of_one_split():
-    base, values = attribution.shapley((1, 0.5, (2.0,), (6.0,), 0.75), np.array([[9.0, 0.0], [9.0, 1.0]]))
-    assert base == 3.0 and values.tolist() == [[0.0, -1.0], [0.0, 3.0]]
+def test_contributions_of_the_additive_score(spark):
+    row = {"a": "1", "b": "2", "name_sim": 0.97, "pan_token_a": "p", "pan_token_b": "q", "gstin_token_a": None, "gstin_token_b": "g", "district_a": "d", "district_b": "d", "pincode_a": "1", "pincode_b": "2", "phone_a": "9", "phone_b": "9", "legal_a": "LLP", "legal_b": "HUF"}
+    ev = spark.createDataFrame([row], ", ".join(f"{c} {'double' if c == 'name_sim' else 'string'}" for c in row))
+    got = [tuple(r) for r in attribution.additive(ev).orderBy("place").select("feature", "contribution", "direction", "bar_pct").collect()]
+    assert got == [("PAN Token Conflict", -0.4, "negative", 40), ("Name Similarity", 0.291, "positive", 29), ("District Match", 0.05, "positive", 5), ("Phone Match", 0.05, "positive", 5), ("Legal Status Conflict", -0.1, "negative", 10)]
+    zero = attribution.additive(ev.withColumn("name_sim", F.lit(0.0))).filter("feature = 'Name Similarity'").first()
+    assert (zero.contribution, zero.direction, zero.bar_pct) == (0.0, "positive", 0)
