@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, one_each, settled
+from .shared import WORD, one_each, settled, unused
 
 ROWS_A_BUCKET, FEW_SOURCES = 2000, 50_000
 
@@ -101,10 +101,11 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
     Rows that repeat in doc_id and text share their copies. Null texts have no words, so none is taken.
     """
-    copies = mix(docs, **how).groupBy(F.col("doc_id").alias("_mix_id"), F.col("t").alias("_mix_t")).agg(F.sum("copies").alias("_mix_n"), F.count("*").alias("_mix_rows")).filter("_mix_n > 0")
+    i, t, n, often, hashed, k = unused(docs.columns, "_mix_id", "_mix_t", "_mix_n", "_mix_rows", "_mix_hash", "_mix_k")
+    copies = mix(docs, **how).groupBy(F.col("doc_id").alias(i), F.col("t").alias(t)).agg(F.sum("copies").alias(n), F.count("*").alias(often)).filter(F.col(n) > 0)
     copies = settled(copies, "mix-copies")
-    if not copies.filter("_mix_rows > 1").isEmpty():
-        docs = one_each(docs, copies.select(F.col("_mix_id").alias("doc_id"), F.col("_mix_t").alias("t")))
-    rows = docs.withColumn("_mix_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    taken = rows.join(copies, (rows._mix_hash == copies._mix_t) & rows.doc_id.eqNullSafe(copies._mix_id))
-    return taken.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_n").cast("int")))).select(*[docs[c] for c in docs.columns])
+    if not copies.filter(F.col(often) > 1).isEmpty():
+        docs = one_each(docs, copies.select(F.col(i).alias("doc_id"), F.col(t).alias("t")))
+    rows = docs.withColumn(hashed, F.xxhash64(F.coalesce("text", F.lit(""))))
+    taken = rows.join(copies, (F.col(hashed) == F.col(t)) & F.col("doc_id").eqNullSafe(F.col(i)))
+    return taken.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -95,23 +95,34 @@ def dealt(df: DataFrame, name: str, key: str) -> DataFrame:
     return out
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores after it as no column needs; Spark doesn't tell cases apart."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def one_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose (doc_id, hash of the text) is among ``kept`` (doc_id, t), one for each: equal rows are told apart by a number of their own."""
+    """The rows of docs whose (doc_id, hash of the text) is among ``kept`` (doc_id, t), one for each: equal rows are told apart by a number of their own. docs may have any other columns."""
     t = F.xxhash64(F.coalesce("text", F.lit("")))
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("t").alias("_kept_t")).distinct()
-    kept = settled(kept, "kept")
-    rows = docs.withColumn("_kept_hash", t)
-    rows = rows.join(kept, (rows._kept_hash == kept._kept_t) & F.col("doc_id").cast("long").eqNullSafe(kept._kept_id), "left_semi")
-    keys = docs.select(F.col("doc_id").cast("long").alias("_again_id"), t.alias("_again_t")).groupBy("_again_id", "_again_t").count().filter("count > 1").drop("count")
-    again = settled(keys.join(kept, (keys._again_t == kept._kept_t) & keys._again_id.eqNullSafe(kept._kept_id), "left_semi"), "again")
+    hashed, kept_id, kept_t, again_id, again_t, row, how_often = unused(docs.columns, "_hash", "_kept_id", "_kept_t", "_again_id", "_again_t", "_row", "_often")
+    kept = settled(kept.select(F.col("doc_id").alias(kept_id), F.col("t").alias(kept_t)).distinct(), "kept")
+    rows = docs.withColumn(hashed, t)
+    same = lambda i, h: (F.col(hashed) == F.col(h)) & F.col("doc_id").cast("long").eqNullSafe(F.col(i))
+    rows = rows.join(kept, same(kept_id, kept_t), "left_semi")
+    keys = docs.select(F.col("doc_id").cast("long").alias(again_id), t.alias(again_t)).groupBy(again_id, again_t).agg(F.count("*").alias(how_often)).filter(F.col(how_often) > 1).drop(how_often)
+    again = settled(keys.join(kept, (F.col(again_t) == F.col(kept_t)) & F.col(again_id).eqNullSafe(F.col(kept_id)), "left_semi"), "again")
     if again.isEmpty():
-        return rows.drop("_kept_hash")
-    on = (rows._kept_hash == again._again_t) & F.col("doc_id").cast("long").eqNullSafe(again._again_id)
+        return rows.drop(hashed)
     # a repeated row moves; all of its columns are one value for the choice
-    repeated = rows.join(again, on, "left_semi")
+    repeated = rows.join(again, same(again_id, again_t), "left_semi")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = repeated.groupBy("doc_id", "_kept_hash").agg(F.first(whole).alias("_row")).select("_row.*")
-    return rows.join(again, on, "left_anti").drop("_kept_hash").unionByName(one)
+    one = repeated.groupBy("doc_id", hashed).agg(F.first(whole).alias(row)).select(f"{row}.*")
+    return rows.join(again, same(again_id, again_t), "left_anti").drop(hashed).unionByName(one)
 
 
 def ascii_lower(text: Column | str) -> Column:
