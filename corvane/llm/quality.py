@@ -52,9 +52,9 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, steps: int = 400, rate
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    rows = labelled(docs, labels, "quality", sample).mapInArrow(_featured, "doc_id long, label int, x binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.x)))
-    return fit(np.array([np.frombuffer(r.x) for r in rows]), np.array([r.label for r in rows]))
+    t = labelled(docs, labels, "quality", sample, _featured, "doc_id long, label int, x binary").toArrow()
+    rows = sorted(zip(t["doc_id"].to_pylist(), t["x"].to_pylist(), t["label"].to_pylist()))
+    return fit(np.array([np.frombuffer(r[1]) for r in rows]), np.array([r[2] for r in rows]))
 
 
 def scores(block: Block, model) -> np.ndarray:

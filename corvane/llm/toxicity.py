@@ -3,21 +3,23 @@
 Confirmed toxic rows are the positives; all rows of the training folds, whatever their labels, are drawn
 from as unlabelled. The risk is prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) under logistic loss, by
 full-batch Adam. The prior is the least ratio of the unlabelled rows' share above a score to the positives',
-each half scored by fits to the other. At most some SAMPLE positives and as many unlabelled rows are fitted. Null and empty texts get the score of a text without features; with
+each half scored by fits to the other. At most SAMPLE positives and as many other rows are fitted, which hashes of 63 bits choose at any
+number of rows and repeats. Null and empty texts get the score of a text without features; with
 no positives every score is 0; repeated rows are scored each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import features
-from .shared import fold
+from .shared import fold, settled
 from .textblocks import _U, blocks, mix
 
 SAMPLE = 12_000
@@ -25,24 +27,43 @@ SAMPLE = 12_000
 GUESSES = (0.5, 0.25, 0.1, 0.04, 0.015)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """Texts of the training folds' labelled rows, some ``sample`` of them by a hash of doc_id."""
+WIDE = 1 << 63
+
+
+def bounded(share: float) -> int:
+    """The hashes of 63 bits that lie below it are this share of all, at any number of rows."""
+    return min(WIDE - 1, int(WIDE * min(1.0, share)))
+
+
+def _hash(*columns) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(*columns), 1)
+
+
+def least(rows: DataFrame, sample: int) -> DataFrame:
+    """At most so many of a written table's rows, those whose doc_id and features hash least, however often a doc_id repeats."""
+    return rows.orderBy(_hash("doc_id", "x"), "x").limit(sample)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, work, schema: str) -> DataFrame:
+    """Features (doc_id, label, x) of the training folds' labelled rows, at most ``sample`` of them by hashes. work, schema: from doc_id, label, text."""
     own = labels.filter((fold() != 0) & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    n = own.count()
-    own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(n, 1))))
-    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("doc_id", "label", "text")
+    own = own.filter(_hash("doc_id") < bounded(sample / max(own.count(), 1)))
+    # the labels that are broadcast are some ``sample`` doc_ids
+    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text")
+    return least(settled(rows.mapInArrow(work, schema), "labelled"), sample)
 
 
 def drawn(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """Texts of the training folds: some ``sample`` confirmed positives and some ``sample`` of all rows, by hashes of doc_id."""
-    least = lambda n: int((1 << 20) * min(1.0, sample / max(n, 1)))
+    """Features (doc_id, label, x) of the training folds: at most ``sample`` confirmed positives (label 1) and as many of all rows (2), both (3), by hashes."""
     own = labels.filter((fold() != 0) & (F.col("toxic") == 1)).select("doc_id").distinct()
-    own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < least(own.count())).withColumn("positive", F.lit(True))
+    own = own.filter(_hash("doc_id") < bounded(sample / max(own.count(), 1))).withColumn("positive", F.lit(True))
     docs = docs.select("doc_id", "text").filter(fold() != 0)
-    any_label = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 20)) < least(docs.count())
+    any_label = _hash("doc_id", F.lit("unlabelled")) < bounded(sample / max(docs.count(), 1))
     rows = docs.withColumn("unlabelled", any_label).join(F.broadcast(own), "doc_id", "left")
     label = F.coalesce("positive", F.lit(False)).cast("int") + 2 * F.col("unlabelled").cast("int")
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), label.alias("label"), "text").filter("label > 0")
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), label.alias("label"), "text").filter("label > 0")
+    rows = settled(rows.mapInArrow(_featured, "doc_id long, label int, x binary"), "drawn")
+    return least(rows.filter("label % 2 = 1"), sample).unionByName(least(rows.filter("label = 2"), sample))
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,29 +71,46 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, block in blocks(batch):
             ptr, bucket = features.sparse(block)
             rows = [bucket[a:b].astype(np.int32).tobytes() for a, b in zip(ptr, ptr[1:])]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["doc_id", "label", "buckets"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["doc_id", "label", "x"])
+
+
+class Rows(NamedTuple):
+    """The buckets of rows one after another: row and bucket of each, and what each row is."""
+
+    row: np.ndarray
+    bucket: np.ndarray
+    positive: np.ndarray
+    unlabelled: np.ndarray
+
+    def part(self, use: np.ndarray) -> Rows:
+        new, own = np.cumsum(use) - 1, use[self.row]
+        return Rows(new[self.row[own]], self.bucket[own], self.positive[use], self.unlabelled[use])
+
+
+def gathered(x: list, positive: np.ndarray, unlabelled: np.ndarray) -> Rows:
+    arrays = [np.asarray(v, np.int32) for v in x]
+    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
+    return Rows(np.repeat(np.arange(len(x), dtype=np.int32), [len(v) for v in arrays]), flat, np.asarray(positive, bool), np.asarray(unlabelled, bool))
 
 
-def fit(x: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(rows: Rows, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights of the buckets and the bias. Kept buckets are those clearly more frequent in the positives than in the unlabelled."""
-    weights, n, n_p, n_u = np.zeros(features.BUCKETS, np.float32), len(x), int(positive.sum()), int(unlabelled.sum())
+    n, n_p, n_u = len(rows.positive), int(rows.positive.sum()), int(rows.unlabelled.sum())
+    weights = np.zeros(features.BUCKETS, np.float32)
     if not n_p or not n_u:
         return weights, 20.0 if n_p else -20.0
-    df, dp = np.zeros(features.BUCKETS), np.zeros(features.BUCKETS)
-    for v, is_p, is_u in zip(x, positive, unlabelled):  # a row has a bucket once
-        df[v] += is_u
-        dp[v] += is_p
+    dp, df = (np.bincount(rows.bucket[of[rows.row]], minlength=features.BUCKETS) for of in (rows.positive, rows.unlabelled))  # a row has a bucket once
     lift = ((dp + 0.5) / n_p) / ((df + 0.5) / n_u)
     used = np.flatnonzero((dp >= max(4, 0.004 * n_p)) & (lift > 1 + 0.5 * (1 / prior - 1)))
     if not len(used):
         return weights, float(np.log(prior / (1 - prior)))
-    at = np.full(features.BUCKETS, -1)
+    at = np.full(features.BUCKETS, -1, np.int32)
     at[used] = np.arange(len(used))
-    cols = [c[c >= 0] for c in (at[v] for v in x)]
-    row, col = np.repeat(np.arange(n), [len(c) for c in cols]), np.concatenate(cols)
+    col = at[rows.bucket]
+    row, col = rows.row[col >= 0], col[col >= 0]
     w, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     w[-1] = np.log(prior / (1 - prior))
-    of_p, of_u = prior * positive / n_p, unlabelled / n_u
+    of_p, of_u = prior * rows.positive / n_p, rows.unlabelled / n_u
     for t in range(1, steps + 1):
         z = np.bincount(row, w[col], n) + w[-1]
         p = 1 / (1 + np.exp(-z))
@@ -86,21 +124,20 @@ def fit(x: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray, prior
     return weights, float(w[-1])
 
 
-def class_prior(x: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray, half: np.ndarray) -> float:
+def class_prior(rows: Rows, half: np.ndarray) -> float:
     """The positives' share of the unlabelled rows: any score bounds it from above, so the least of several scores' bounds."""
-    n_p, n_u = int(positive.sum()), int(unlabelled.sum())
+    n_p, n_u = int(rows.positive.sum()), int(rows.unlabelled.sum())
     if not n_p or not n_u:
         return 0.5
     # a tail of few rows is no witness: a bound on both shares' errors is added before the least is sought
     slack, found = np.sqrt(np.log(40) / 2) * (n_p**-0.5 + n_u**-0.5), []
     for guess in GUESSES:
-        z = np.zeros(len(x))
+        z = np.zeros(len(half))
         for side in (False, True):
-            own = np.flatnonzero(half == side)
-            weights, _ = fit([x[i] for i in own], positive[own], unlabelled[own], guess, steps=100)
-            for i in np.flatnonzero(half != side):
-                z[i] = weights[x[i]].sum(dtype=np.float64)
-        p, u = np.sort(z[positive]), np.sort(z[unlabelled])
+            weights, _ = fit(rows.part(half == side), guess, steps=100)
+            other = half != side
+            z[other] = np.bincount(rows.row, weights[rows.bucket], len(half))[other]
+        p, u = np.sort(z[rows.positive]), np.sort(z[rows.unlabelled])
         above_p = 1 - np.searchsorted(p, p, "left") / n_p
         above_u = 1 - np.searchsorted(u, p, "left") / n_u
         best = np.argmin((above_u + slack) / above_p)
@@ -109,13 +146,13 @@ def class_prior(x: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarra
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    rows = drawn(docs, labels, sample).mapInArrow(_featured, "doc_id long, label int, buckets binary").collect()
-    rows.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.label, bytes(r.buckets)))
-    x, label = [np.frombuffer(r.buckets, np.int32) for r in rows], np.array([r.label for r in rows], int)
-    positive, unlabelled = label % 2 == 1, label >= 2
+    t = drawn(docs, labels, sample).toArrow()
+    rows = sorted(zip(t["doc_id"].to_pylist(), t["label"].to_pylist(), t["x"].to_pylist()))
+    label, ids = np.array([r[1] for r in rows], int), np.array([r[0] for r in rows], np.int64)
+    all_rows = gathered([np.frombuffer(r[2], np.int32) for r in rows], label % 2 == 1, label >= 2)
     # halves by doc_id, so that a repeated row isn't on both sides
-    half = (mix(np.array([r.doc_id or 0 for r in rows], np.int64).view(np.uint64)) & _U(1)) == 1
-    return fit(x, positive, unlabelled, class_prior(x, positive, unlabelled, half))
+    half = (mix(ids.view(np.uint64)) & _U(1)) == 1
+    return fit(all_rows, class_prior(all_rows, half))
 
 
 def scored(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
