@@ -1,11 +1,11 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Every document draws u from a hash of its doc_id, its text and a seed; its key -ln(u) / quality weight orders
+Every document draws u from a hash of its doc_id, its text, its number among its repeats and a seed; its key -ln(u) / quality weight orders
 its source. A source's budget takes whole epochs first, then documents in key order up to the rest. Prefix
 sums run within buckets of keys, whose totals are summed before, so that no source meets in one task. Sources
 are ranked within ranges of their names; their table is broadcast up to FEW_SOURCES, joined by a shuffle beyond.
-Null text has size 0; a null source comes last; a null doc_id draws as -1; rows that repeat tie and are taken
-in turn; no rows give no rows.
+Null text has size 0; a null source comes last; a null doc_id draws as -1; rows that repeat draw each
+on their own; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, one_each, settled, unused
+from .shared import WORD, one_each, settled, told_apart, unused
 
 ROWS_A_BUCKET, FEW_SOURCES = 2000, 50_000
 
@@ -71,9 +71,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42, quality: Column | None = None) -> DataFrame:
     """doc_id, t (the text's hash), source, size, source_size, target, taken, copies of each document. quality: its weight, above 0."""
     t = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.select("doc_id", t.alias("t"), "source", n_words().alias("size"), (quality_weight() if quality is None else quality).alias("quality"))
-    u = (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "t", F.lit(seed)), F.lit(2**52)) + 0.5) / float(2**52)
-    rows = settled(rows.withColumn("es_key", -F.log(u) / F.col("quality")), "mix-keys")
+    rows = docs.select("doc_id", t.alias("t"), "source", n_words().alias("size"), (quality_weight() if quality is None else quality).alias("quality"), F.spark_partition_id().alias("pid"))
+    rows = told_apart(settled(rows, "mix-rows"), ["doc_id", "t", "source"], "number").drop("pid")
+    draw = lambda *of: (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "t", F.lit(seed), *of), F.lit(2**52)) + 0.5) / float(2**52)
+    u = F.when(F.col("number") == 0, draw()).otherwise(draw(F.col("number")))
+    rows = settled(rows.withColumn("es_key", -F.log(u) / F.col("quality")).drop("number"), "mix-keys")
     targets = source_targets(rows, weights, share, most).withColumnRenamed("source", "s")
     # -ln(u)/w lies in [0, inf); this rising map of it to [0, 1) deals a source's rows out over its buckets
     n = F.ceil(F.col("source_rows") / ROWS_A_BUCKET)

@@ -1,9 +1,9 @@
 """Shards of near equal bytes by histogram sort.
 
-Rows are ordered by (hash of the text, hash of the doc_id). Exact bytes below candidate keys are counted over
+Rows are ordered by (hash of the text, hash of the doc_id and of the row's number among its repeats). Exact bytes below candidate keys are counted over
 all partitions; each round splits the intervals that hold a wanted boundary until a probe lies within TOLERANCE
 of a shard's bytes from it. A boundary that falls deeper into one group of equal texts is refined likewise by
-the hash of its doc_ids, so a group of any size is cut where its bytes ask for it. Then rows are exchanged once.
+that second key, so a group, were it one row repeated or all without doc_ids, of any size is cut where its bytes ask for it. Then rows are exchanged once.
 Null text has size 16; rows that repeat stay; an empty table gives no rows.
 """
 
@@ -14,9 +14,11 @@ import bisect
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settled
+from .shared import settled, told_apart
 
 BITS, STEP = 60, 12
+#: Of the second key, the bits of the row's number among rows of one text and doc_id.
+ROW_BITS = 20
 TOLERANCE = 0.001
 ROWS_A_BUCKET = 4000
 
@@ -25,6 +27,12 @@ def _key(column: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(column), 64 - BITS)
 
 
+def _second(doc_id: Column, number: Column) -> Column:
+    """By the doc_id first, so that only rows of one text and one doc_id, which are alike, are in the order of their numbers."""
+    high = F.shiftleft(F.shiftrightunsigned(F.xxhash64(doc_id), 64 - BITS + ROW_BITS), ROW_BITS)
+    return high.bitwiseOR(F.shiftrightunsigned(F.xxhash64(number), 64 - ROW_BITS))
+
+
 def splitters(keyed: DataFrame, wanted: list[tuple[int, float]], tolerance: float) -> list[tuple[int, float, int]]:
     """For each wanted (group, sum of bytes): (key, bytes still wanted of the rows with that key, all their bytes); 0 are wanted where the splitter meets the tolerance.
 
@@ -69,9 +77,10 @@ def shards(docs: DataFrame, n: int = 40, tolerance: float = TOLERANCE) -> DataFr
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), _key(text).alias("key"), _key(F.coalesce("doc_id", F.lit(-1))).alias("second"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), _key(text).alias("key"), F.spark_partition_id().alias("pid"),
     )
-    rows = settled(rows, "shard-keys")
+    rows = told_apart(settled(rows, "shard-keys"), ["key", "doc_id"], "number")
+    rows = settled(rows.withColumn("second", _second(F.coalesce("doc_id", F.lit(-1)), F.col("number"))).drop("pid", "number"), "shard-keys")
     groups = settled(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
     total = int(groups.agg(F.sum("bytes")).first()[0] or 0)
     wanted = [(0, total * k / n) for k in range(1, n)]
@@ -86,7 +95,7 @@ def shards(docs: DataFrame, n: int = 40, tolerance: float = TOLERANCE) -> DataFr
     inner = rows.filter(F.col("key").isin(list(cut))).select(F.col("key").alias("grp"), F.col("second").alias("key"), F.col("size").alias("bytes"))
     second: dict[int, list[int]] = {}
     for (key, goal), (k, left, b) in zip(goals, splitters(inner, goals, tolerance)):
-        # rows that are one in text and doc_id aren't told apart: the nearer side of them
+        # rows of one number's hash aren't told apart: the nearer side of them
         second.setdefault(key, []).append(k + int(left >= b / 2 and left > 0))
     shard = _rank(F.col("key"), sorted([*whole, *[key + 1 for key, cuts in second.items() for _ in cuts]]))
     for key, cuts in second.items():

@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -125,6 +125,33 @@ def one_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return rows.join(again, same(again_id, again_t), "left_anti").drop(hashed).unionByName(one)
 
 
+def told_apart(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """A written table's rows with their number among those with equal keys, from 0; which of these has which number is left open.
+
+    Rows of a key that repeats are counted by the task that wrote them (column ``pid``), then numbered after what other tasks
+    have, so a key of any size stays dealt over tasks. Keys that don't repeat move as counts alone.
+    """
+    again = settled(rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "again")
+    if again.isEmpty():
+        return rows.withColumn(number, F.lit(0).cast("long"))
+    same = lambda a, b: _every(a[k].eqNullSafe(b[k]) for k in keys)
+    own = rows.join(again, same(rows, again), "left_semi")
+    counts = own.groupBy(*keys, "pid").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = settled(counts.select(*keys, "pid", before.alias("_before")), "again-before")
+    inner = own.withColumn("_i", F.row_number().over(Window.partitionBy("pid", *keys).orderBy(*keys)) - 1)
+    told = inner.join(before, same(inner, before) & (inner["pid"] == before["pid"])).select(*[inner[c] for c in rows.columns], (F.col("_i") + F.col("_before")).alias(number))
+    alone = rows.join(again, same(rows, again), "left_anti").withColumn(number, F.lit(0).cast("long"))
+    return alone.unionByName(told)
+
+
+def _every(conditions) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
 def ascii_lower(text: Column | str) -> Column:
     """Null is empty; only A-Z change."""
     return F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), UPPER, LOWER)
