@@ -1,7 +1,7 @@
 """Vector bin packing of token pieces under limits on tokens, segments and loss-bearing tokens.
 
-As in instruction data, an example's front is its prompt and bears no loss: its first PROMPT-th part, or as many
-tokens as a column ``prompt_tokens`` tells. A long example gives full sequences of prompt and answer in proportion;
+As in instruction data, an example's front is its prompt and bears no loss: as many characters as an argument tells, or its
+first PROMPT-th part of the tokens. Of a prompt of characters are the ids with which both it and the whole text begin. A long example gives full sequences of prompt and answer in proportion;
 the rests of a window are packed: the next piece of a bin is the one whose demand (tokens, segments, loss) has
 the largest dot product with the room left, and where no whole piece fits, the longest front that does is cut
 off one. Bins that no piece can fill wait for the next window; what is left at a partition's end goes to
@@ -20,7 +20,8 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 CACHE = 1_600_000
@@ -213,9 +214,12 @@ def packer(path: str, tokens: int, segments: int, loss: int, window: int = WINDO
                 part = batch.slice(at, 512)
                 column = lambda name, part=part: part.column(part.schema.get_field_index(name)).to_pylist()
                 rows = []
-                for doc, prompt, ids in zip(column("doc_id"), column("prompt"), encode([x or "" for x in column("text")])):
+                texts, chars = [x or "" for x in column("text")], column("prompt")
+                fronts = encode([t[: max(c, 0)] for t, c in zip(texts, chars) if c is not None]) if any(c is not None for c in chars) else []
+                fronts = iter(fronts)
+                for doc, c, ids in zip(column("doc_id"), chars, encode(texts)):
                     n = len(ids)
-                    prompt = n // PROMPT if prompt is None else min(max(prompt, 0), n)
+                    prompt = n // PROMPT if c is None else shared_front(next(fronts)[:-1], ids)
                     sequences, short = cut(n, prompt, tokens, loss) if n >= tokens else ([], [(0, n)])
                     rows += placed([[(0, s, e) for s, e in one] for one in sequences], [(doc, 0, ids, n, prompt)])
                     rests += [(doc, s, ids[s:e], n, prompt) for s, e in short]
@@ -233,18 +237,27 @@ def packer(path: str, tokens: int, segments: int, loss: int, window: int = WINDO
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS) -> DataFrame:
-    """One row per piece. Every partition packs its own documents; no row is moved."""
-    prompt = "prompt_tokens" if "prompt_tokens" in docs.columns else "null"
-    return docs.selectExpr("cast(doc_id as long) doc_id", f"cast({prompt} as long) prompt", "text").mapInArrow(packer(tokenizer, tokens, segments, loss), SCHEMA)
+def shared_front(a: np.ndarray, b: np.ndarray) -> int:
+    """How many ids both begin with."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def pack(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, prompt_chars: Column | None = None) -> DataFrame:
+    """One row per piece. prompt_chars: of each example, how many characters of its text are the prompt; where it is null or not given, the share PROMPT. Every partition packs its own documents; no row is moved."""
+    prompt = F.lit(None).cast("long") if prompt_chars is None else prompt_chars.cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), prompt.alias("prompt"), "text").mapInArrow(packer(tokenizer, tokens, segments, loss), SCHEMA)
 
 
 def examples(conversations: DataFrame) -> DataFrame:
-    """doc_id, text and prompt_chars of each conversation: its turns in order, of which the last assistant turn alone is the answer."""
-    from pyspark.sql import functions as F
+    """doc_id, text and prompt_chars of each conversation: its turns in order (null first), of which the last turn's text alone is the answer if the assistant's.
 
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))))
-    one = conversations.groupBy(F.col("conv_id").alias("doc_id")).agg(turns.alias("t"))
+    Null roles and texts are empty; rows without a conversation are left out. A conversation becomes one text, so it is gathered in one row.
+    """
+    rows = conversations.filter("conv_id is not null")
+    turns = F.array_sort(F.collect_list(F.struct(F.col("turn").isNotNull().alias("told"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
+    one = rows.groupBy(F.col("conv_id").alias("doc_id")).agg(turns.alias("t"))
     text = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n")
     last = F.element_at("t", -1)
     answer = F.when(last["role"] == "assistant", F.length(last["text"])).otherwise(0)

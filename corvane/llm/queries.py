@@ -24,6 +24,12 @@ def op2_vector_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def packed_conversations(spark, sf_dir):
+    """All conversations as examples whose last assistant turn alone bears loss, packed like documents."""
+    made = packing.examples(table(spark, sf_dir, "conversations"))
+    return packing.pack(made, tokenizer(), prompt_chars=F.col("prompt_chars"))
+
+
 def op3_toxicity_nnpu(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, *toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -78,7 +84,7 @@ def op13_prefix_trie(spark, sf_dir):
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), prefix_trie.EVERY, prefix_trie.MOST)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_vector_packing, op3_toxicity_nnpu, op4_histogram_shards, op5_katz_scores, op6_ngram_jaccard, op7_source_mix, op8_edit_fingerprints, op9_quality_bradley_terry, op10_exact_dedup, op11_fill_in_middle, op12_pivot_permutation, op13_prefix_trie, near_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_vector_packing, op3_toxicity_nnpu, op4_histogram_shards, op5_katz_scores, op6_ngram_jaccard, op7_source_mix, op8_edit_fingerprints, op9_quality_bradley_terry, op10_exact_dedup, op11_fill_in_middle, op12_pivot_permutation, op13_prefix_trie, near_fingerprints, packed_conversations)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: CRC-32 by its bits: each byte is put to the register, then shifted out.

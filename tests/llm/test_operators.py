@@ -529,8 +529,9 @@ def test_toxicity_corrects_a_negative_risk():
     """Positives that are not among the unlabelled drive the risk below 0; the fit stays finite and the prior comes from elsewhere."""
     x = [np.array([k], np.int32) for k in [1] * 40 + [2] * 60]
     positive, unlabelled = np.arange(100) < 40, np.arange(100) >= 40
-    assert toxicity.class_prior(x, positive, unlabelled, np.arange(100) % 2 == 1) < 0.05
-    loose = toxicity.fit(x, positive, unlabelled, 0.3, steps=2000)
+    rows = toxicity.gathered(x, positive, unlabelled)
+    assert toxicity.class_prior(rows, np.arange(100) % 2 == 1) < 0.05
+    loose = toxicity.fit(rows, 0.3, steps=2000)
     assert abs(loose[0][1]) < 20 and loose[0][1] > 0
 
 
