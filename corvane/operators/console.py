@@ -82,11 +82,37 @@ def audit_events(ev: DataFrame, members: DataFrame) -> DataFrame:
     return ingested.unionByName(linked.select(F.lit("auto_linked").alias("event"), pair)).unionByName(review.select(F.lit("sent_to_review").alias("event"), pair)).unionByName(alone)
 
 
+#: Order of priorities, and the doubt that next cases lie nearest to.
+PRIORITIES, DOUBT = ("critical", "high", "normal", "low"), 0.785
+DECIDED = ("approve", "reject", "defer", "escalate", "merge", "separate")
+
+
 def review_state(queue: DataFrame, log: DataFrame) -> DataFrame:
-    """Each case with its latest decision; an undo puts it back to pending. log: case_id, at, decision, reviewer."""
-    last = log.groupBy("case_id").agg(F.max_by(F.struct("decision", "reviewer"), "at").alias("l"))
-    out = queue.join(last, "case_id", "left")
-    return out.withColumn("status", F.when(F.coalesce(F.col("l.decision"), F.lit("undo")) == "undo", "pending").otherwise("completed")).withColumn("decision", F.nullif(F.col("l.decision"), F.lit("undo"))).withColumn("reviewer", F.col("l.reviewer")).drop("l")
+    """Each case as its latest log row leaves it: pending, in_review once assigned, completed once decided; an undo puts it back to pending.
+
+    log (append-only): case_id, at, decision (assign, undo or one of DECIDED), reviewer; of rows of one time the one whose decision sorts last counts.
+    """
+    last = log.groupBy("case_id").agg(F.max_by(F.struct("decision", "reviewer"), F.struct("at", "decision")).alias("l"))
+    out, d = queue.join(last, "case_id", "left"), F.col("l.decision")
+    status = F.when(F.coalesce(d, F.lit("undo")) == "undo", "pending").when(d == "assign", "in_review").otherwise("completed")
+    return out.withColumn("status", status).withColumn("decision", F.when(d.isin(*DECIDED), d)).withColumn("reviewer", F.when(d != "undo", F.col("l.reviewer"))).drop("l")
+
+
+def next_cases(state: DataFrame, n: int = 10) -> DataFrame:
+    """The pending cases to review next: by priority, then nearest to the doubt, then by case id."""
+    rank = F.array_position(F.array(*[F.lit(p) for p in PRIORITIES]), F.col("priority"))
+    return state.filter("status = 'pending'").orderBy(rank, F.abs(F.col("confidence") - DOUBT), "case_id").limit(n)
+
+
+def assigned(state: DataFrame, reviewer: str, at: int, n: int = 10) -> DataFrame:
+    """Log rows that give a reviewer the next cases."""
+    return next_cases(state, n).select("case_id", F.lit(at).cast("int").alias("at"), F.lit("assign").alias("decision"), F.lit(reviewer).alias("reviewer"))
+
+
+def compensated(state: DataFrame, log: DataFrame, cases: DataFrame, at: int) -> DataFrame:
+    """Log rows that take back merges and separations: of the given cases those whose latest decision is one; nothing in the log changes."""
+    own = state.filter(F.col("decision").isin("merge", "separate", "approve", "reject")).join(cases.select("case_id"), "case_id", "left_semi")
+    return own.select("case_id", F.lit(at).cast("int").alias("at"), F.lit("undo").alias("decision"), "reviewer")
 
 
 def training_rows(state: DataFrame) -> DataFrame:
@@ -95,9 +121,16 @@ def training_rows(state: DataFrame) -> DataFrame:
     return state.withColumn("label", label).filter("label is not null")
 
 
-def review_statistics(state: DataFrame) -> DataFrame:
+def review_statistics(state: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """One row: cases by status, pending ones by priority, share of approvals, and of the log decisions made (those taken back too), taken back, and reviewers."""
     yes, no = F.count_if(F.col("decision") == "approve"), F.count_if(F.col("decision") == "reject")
-    return state.agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "completed").alias("completed"), F.round(yes / F.nullif(yes + no, F.lit(0)), 3).alias("approval_rate"), F.countDistinct("reviewer").alias("reviewers"))
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    pending = [F.count_if((F.col("status") == "pending") & (F.col("priority") == p)).alias(f"pending_{p}") for p in PRIORITIES] if "priority" in state.columns else []
+    out = state.agg(F.count("*").alias("total_cases"), n("pending"), n("in_review"), n("completed"), *pending, F.round(yes / F.nullif(yes + no, F.lit(0)), 3).alias("approval_rate"), F.countDistinct("reviewer").alias("reviewers"))
+    if log is None:
+        return out
+    more = log.agg(F.count_if(F.col("decision").isin(*DECIDED)).alias("total_reviewed"), F.count_if(F.col("decision") == "undo").alias("rollback_count"))
+    return out.crossJoin(more)  # one row each
 
 
 def readiness(members: DataFrame) -> DataFrame:

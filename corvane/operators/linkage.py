@@ -152,6 +152,27 @@ def clusters(records: DataFrame, links: DataFrame) -> DataFrame:
     return out.drop("node", "label").withColumn("ubid", F.concat(F.lit("UBID-KA-"), F.upper(F.substring(F.sha2("root", 256), 1, 12))))
 
 
+def united(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, merges) after new links: clusters that they join become one, of the least root, as a rebuild over all links gives; others aren't touched.
+
+    members: record_id, root, ubid and more; new records are there as clusters of their own. merges: ubid, status MERGED, merged_into,
+    moved (records of the loser), record_count (of the winner afterwards).
+    """
+    roots = members.select("record_id", "root")
+    ends = links.select("a", "b")
+    for c in "ab":
+        ends = ends.join(roots.select(F.col("record_id").alias(c), F.col("root").alias(f"root_{c}")), c)
+    labels = components(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).filter("a <> b"))
+    moved = tables.settled(labels.filter("node <> label").select(F.col("node").alias("root"), F.col("label").alias("new")), "united")
+    ubid = lambda c: F.concat(F.lit("UBID-KA-"), F.upper(F.substring(F.sha2(c, 256), 1, 12)))
+    out = members.join(moved, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new", "ubid").withColumn("ubid", ubid(F.col("root")))
+    out = out.select(members.columns)
+    sizes = members.join(moved, "root").groupBy("root", "new").agg(F.count("*").alias("moved"))
+    totals = out.groupBy(F.col("root").alias("new")).agg(F.count("*").alias("record_count"))
+    merges = sizes.join(totals, "new").select(ubid(F.col("root")).alias("ubid"), F.lit("MERGED").alias("status"), ubid(F.col("new")).alias("merged_into"), "moved", "record_count")
+    return out, merges
+
+
 def cluster_attributes(members: DataFrame) -> DataFrame:
     return members.groupBy("ubid").agg(
         F.count("*").alias("total_records"), F.countDistinct("department").alias("departments_covered"),

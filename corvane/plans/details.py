@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corvane import tables
 from corvane.functions import phonetics, pii
-from corvane.operators import activity, attribution, console, learning, linkage, normalize
+from corvane.operators import activity, attribution, console, keyed, learning, linkage, normalize
 from corvane.sources.records import SIGNALS_SQL, from_text, records, signals
 
-from .registry import _CC, _EV, _F, _R, KEY, ORACLE, QUERIES, REFERENCE, _act, _ev, _members, _pads, _pair_features, query
+from .registry import _CASES, _CC, _EV, _F, _R, KEY, ORACLE, QUERIES, REFERENCE, _act, _cases, _ev, _members, _pads, _pair_features, query
 
 _IDS = """SELECT c_custkey AS k, 'UDYAM-KA-' || lpad(CAST(c_custkey % 100 AS STRING), 2, '0') || '-' || lpad(CAST(c_custkey AS STRING), CAST(6 + c_custkey % 3 AS INT), '0') AS udyam,
   CAST(2 + c_custkey % 9 AS STRING) || ' ' || lpad(CAST(c_custkey * 7 AS STRING), 11, '0') AS aadhaar FROM customer"""
@@ -139,16 +141,87 @@ def rev_clusters(spark, d):
     return linkage.sided(e.filter("decision = 'review'").select("a", "b"), m, ["ubid"]).select("a", "b", F.least("ubid_a", "ubid_b").alias("ubid"))
 
 
-_DECIDED = f"WITH q AS ({ORACLE['rev_queue']}), s AS (SELECT *, CASE CAST(substr(case_id, 5) AS INT) % 4 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' WHEN 2 THEN 'defer' END AS decision FROM q)"
+#: A log over the queue: each third case is assigned, of these each second decided later, of these each third taken back.
+_LOG = f"""{_CASES}, i AS (SELECT *, CAST(substr(case_id, 5) AS INT) AS i FROM cases), log AS (SELECT case_id, 1 AS t, 'assign' AS decision, 'R' || (i % 4) AS reviewer FROM i WHERE i % 3 = 0
+  UNION ALL SELECT case_id, 2, CASE i % 4 WHEN 0 THEN 'approve' WHEN 2 THEN 'reject' END, 'R' || (i % 4) FROM i WHERE i % 6 = 0 UNION ALL SELECT case_id, 3, 'undo', 'R' || (i % 4) FROM i WHERE i % 18 = 0),
+  state AS (SELECT c.*, CASE WHEN l.decision IS NULL OR l.decision = 'undo' THEN 'pending' WHEN l.decision = 'assign' THEN 'in_review' ELSE 'completed' END AS status, CASE WHEN l.decision IN ('approve', 'reject') THEN l.decision END AS decision,
+    CASE WHEN l.decision <> 'undo' THEN l.reviewer END AS reviewer FROM cases c LEFT JOIN (SELECT case_id, arg_max(decision, t) AS decision, arg_max(reviewer, t) AS reviewer FROM log GROUP BY 1) l USING (case_id))"""
+
+
+def _log(spark, d):
+    """(queue, log): assignments, decisions and what takes some back, as the console's functions write them."""
+    q = tables.settled(_cases(spark, d), "review-cases")
+    i = F.substring("case_id", 5, 6).cast("int")
+    row = lambda ok, at, decision: q.filter(ok).select("case_id", F.lit(at).alias("at"), decision.alias("decision"), F.concat(F.lit("R"), i % 4).alias("reviewer"))
+    log = row(i % 3 == 0, 1, F.lit("assign")).unionByName(row(i % 6 == 0, 2, F.when(i % 4 == 0, "approve").otherwise("reject")))
+    log = tables.settled(log, "review-log")
+    back = console.compensated(console.review_state(q, log), log, q.filter(i % 18 == 0), 3)
+    return q, tables.settled(log.unionByName(back), "review-log")
+
+
+@query(f"{_LOG} SELECT case_id, priority, status, decision, reviewer FROM state")
+def rev_state(spark, d):
+    """Every case as the latest row of the decision log leaves it."""
+    return console.review_state(*_log(spark, d)).select("case_id", "priority", "status", "decision", "reviewer")
 
 
-@query(f"{_DECIDED} SELECT count(*) FILTER (decision IS NULL) AS pending, count(decision) AS completed, round(count(*) FILTER (decision = 'approve') / nullif(count(*) FILTER (decision IN ('approve', 'reject')), 0), 3) AS approval_rate, CAST(count(decision) > 0 AS BIGINT) AS reviewers FROM s")
+@query(f"{_LOG} SELECT case_id, label FROM (SELECT case_id, CASE decision WHEN 'approve' THEN 1 WHEN 'reject' THEN 0 END AS label FROM state) x WHERE label IS NOT NULL")
+def rev_training(spark, d):
+    return console.training_rows(console.review_state(*_log(spark, d))).select("case_id", "label")
+
+
+@query(f"{_LOG} SELECT status, count(*) AS cases, min(case_id) AS first_case FROM state GROUP BY 1")
+def rev_by_status(spark, d):
+    return console.review_state(*_log(spark, d)).groupBy("status").agg(F.count("*").alias("cases"), F.min("case_id").alias("first_case"))
+
+
+@query(f"""{_LOG} SELECT count(*) AS total_cases, {", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("pending", "in_review", "completed"))}, {", ".join(f"count(*) FILTER (status = 'pending' AND priority = '{p}') AS pending_{p}" for p in console.PRIORITIES)},
+  round(count(*) FILTER (decision = 'approve') / nullif(count(*) FILTER (decision IN ('approve', 'reject')), 0), 3) AS approval_rate, count(DISTINCT reviewer) AS reviewers,
+  (SELECT count(*) FROM log WHERE decision IN ('approve', 'reject')) AS total_reviewed, (SELECT count(*) FROM log WHERE decision = 'undo') AS rollback_count FROM state""")
 def rev_statistics(spark, d):
-    """Statistics of the queue after a log that decides three cases of four."""
-    q = linkage.review_queue(_ev(spark, d))
-    i = F.substring("case_id", 5, 6).cast("int") % 4
-    log = q.select("case_id", F.lit(1).alias("at"), F.when(i == 0, "approve").when(i == 1, "reject").when(i == 2, "defer").alias("decision"), F.lit("R1").alias("reviewer")).filter("decision is not null")
-    return console.review_statistics(console.review_state(q, log))
+    q, log = _log(spark, d)
+    return console.review_statistics(console.review_state(q, log), log)
+
+
+_FIRST = f"""{_CC}, edge1 AS (SELECT a AS x, b AS y FROM ev WHERE decision = 'auto_link' AND substr(b, 1, 2) <> 'SE' UNION SELECT b, a FROM ev WHERE decision = 'auto_link' AND substr(b, 1, 2) <> 'SE'),
+  reach1(node, other) AS (SELECT x, y FROM edge1 UNION SELECT reach1.node, edge1.y FROM reach1 JOIN edge1 ON reach1.other = edge1.x),
+  was AS (SELECT r.record_id, coalesce(least(r.record_id, m.least_other), r.record_id) AS root1 FROM records r LEFT JOIN (SELECT node, min(other) AS least_other FROM reach1 GROUP BY 1) m ON m.node = r.record_id)"""
+
+
+def _united(spark, d):
+    """Clusters of the links among two departments, then united by the links to the third."""
+    links = _ev(spark, d).filter("decision = 'auto_link'").select("a", "b")
+    late = F.col("b").startswith("SE")
+    before = tables.settled(linkage.clusters(records(spark, d), links.filter(~late)), "clusters")
+    return linkage.united(before, links.filter(late))
+
+
+@query(f"{_CC} SELECT record_id, root, ubid FROM ub")
+def clu_incremental(spark, d):
+    """Members after new links were united with stored clusters: as a rebuild over all links."""
+    return _united(spark, d)[0].select("record_id", "root", "ubid")
+
+
+@query(f"""{_FIRST} SELECT 'UBID-KA-' || upper(substr(sha256(root1), 1, 12)) AS ubid, 'MERGED' AS status, u.ubid AS merged_into, count(*) AS moved, any_value(n.record_count) AS record_count
+  FROM was JOIN ub u USING (record_id) JOIN (SELECT root, count(*) AS record_count FROM ub GROUP BY 1) n ON n.root = u.root WHERE root1 <> u.root GROUP BY root1, u.ubid""")
+def clu_merge_log(spark, d):
+    """The clusters that lost their UBID to another one, and the winner's count afterwards."""
+    return _united(spark, d)[1]
+
+
+@query()
+def snk_keyed_ubids(spark, d):
+    """The table of UBIDs, keyed at write time, after a first load and the merges of new links."""
+    now, merges = _united(spark, d)
+    merges = tables.settled(merges, "merges")
+    store = keyed.KeyedTable(spark, f"{tables.shared_dir(spark)}/corvane/keyed-{uuid.uuid4().hex}", "ubid string, status string, merged_into string, record_count long", ["ubid"])
+    store.put(merges.select("ubid", F.lit("ACTIVE").alias("status"), F.lit(None).cast("string").alias("merged_into"), F.col("moved").alias("record_count")), merge=False)
+    store.put(merges.select("ubid", "status", "merged_into", F.lit(0).cast("long").alias("record_count")))
+    store.put(now.groupBy("ubid").agg(F.lit("ACTIVE").alias("status"), F.lit(None).cast("string").alias("merged_into"), F.count("*").alias("record_count")))
+    return store.current()
+
+
+ORACLE["snk_keyed_ubids"] = f"{_FIRST}, merges AS ({ORACLE['clu_merge_log'].partition(_FIRST)[2]}) SELECT ubid, 'ACTIVE' AS status, CAST(NULL AS VARCHAR) AS merged_into, count(*) AS record_count FROM ub GROUP BY 1 UNION ALL SELECT ubid, 'MERGED', merged_into, 0 FROM merges"
 
 
 @query(f"{_F} SELECT entity_key, CAST(floor(days_since_any / 30) AS BIGINT) AS months FROM c WHERE status = 'DORMANT' AND floor(days_since_any / 30) <= 24")

@@ -273,10 +273,22 @@ def saf_calibration(spark, d):
     return linkage.calibration(_ev(spark, d))
 
 
-@query(f"{_EV} SELECT e.a, e.b, confidence FROM (SELECT a, b, round(confidence, 6) AS confidence FROM ev WHERE decision = 'review') e ORDER BY abs(confidence - 0.785), a, b LIMIT 10")
+_RANK = "CASE priority WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'normal' THEN 2 ELSE 3 END"
+
+
+def _cases(spark, d):
+    return linkage.review_queue(_ev(spark, d)).select("case_id", "a", "b", "priority", F.round("confidence", 6).alias("confidence"))
+
+
+_CASES = f"""{_EV}, cases AS (SELECT printf('REV-%06d', row_number() OVER (ORDER BY a, b) - 1) AS case_id, a, b, CASE WHEN confidence >= 0.75 AND confidence < 0.85 THEN 'critical' WHEN confidence >= 0.85 AND confidence < 0.92 THEN 'high'
+  WHEN confidence >= 0.70 AND confidence < 0.75 THEN 'normal' ELSE 'low' END AS priority, round(confidence, 6) AS confidence FROM ev WHERE decision = 'review')"""
+
+
+@query(f"{_CASES} SELECT case_id, priority, confidence FROM cases ORDER BY {_RANK}, abs(confidence - 0.785), case_id LIMIT 10")
 def rev_next(spark, d):
-    q = _ev(spark, d).filter("decision = 'review'").select("a", "b", F.round("confidence", 6).alias("confidence"))
-    return q.orderBy(F.abs(F.col("confidence") - 0.785), "a", "b").limit(10)
+    """The ten cases that a reviewer gets first."""
+    q = _cases(spark, d).withColumn("status", F.lit("pending"))
+    return console.next_cases(q).select("case_id", "priority", "confidence")
 
 
 @query(f"{_CC}, act AS (SELECT entity_key, max(status) AS status FROM (SELECT user_id AS entity_key, event_type AS status FROM events) GROUP BY 1) SELECT u.ubid, coalesce(max(a.status), 'UNKNOWN') AS status FROM ub u LEFT JOIN act a ON a.entity_key = u.entity_key GROUP BY 1")

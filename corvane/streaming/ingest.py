@@ -11,9 +11,7 @@ from corvane.operators.normalize import normalised
 
 def json_stream(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good, dead letters) of a folder of JSON lines; a malformed line is kept apart and never stops the stream."""
-    raw = spark.readStream.text(path).withColumn("x", F.from_json("value", schema))
-    bad = F.col("x").isNull() | F.coalesce(F.forall(F.array(*[F.col("x")[c.split()[0].strip("`")].isNull() for c in schema.split(", ")]), lambda v: v), F.lit(True))
-    return raw.filter(~bad).select("x.*"), raw.filter(bad).select(F.col("value").alias("payload"))
+    return _parsed(spark.readStream.text(path).withColumnRenamed("value", "payload"), schema)
 
 
 def kafka_stream(spark: SparkSession, servers: str, topics: list[str], per_trigger: int = 10_000) -> DataFrame:
@@ -26,6 +24,44 @@ def department_stream(spark: SparkSession, path: str, schema: str, department: s
     return normalised(department, json_stream(spark, path, schema)[0])
 
 
+#: Topic -> department, schema of its messages.
+Topics = dict[str, tuple[str, str]]
+
+
+def dispatched(messages: DataFrame, topics: Topics, out: str):
+    """A query over one stream of (topic, payload) that sends each topic's messages through its department's normaliser.
+
+    Below ``out``, records/<department> and dead/<department> get a folder for each batch. A batch that is run again after a
+    failure writes its folder anew, so each message is there once. Unreadable messages and those of unknown topics (department
+    ``unknown``) are dead letters. How many messages a batch takes is bounded by the source's options.
+    """
+    names = {d for d, _ in topics.values()}
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows = rows.persist()
+        try:
+            for topic, (department, schema) in topics.items():
+                good, bad = _parsed(rows.filter(F.col("topic") == topic), schema)
+                normalised(department, good).write.mode("overwrite").parquet(f"{out}/records/{department}/batch={number:09d}")
+                bad.write.mode("overwrite").parquet(f"{out}/dead/{department}/batch={number:09d}")
+            lost = rows.filter(~F.coalesce(F.col("topic").isin(*topics), F.lit(False))).select("payload")
+            lost.write.mode("overwrite").parquet(f"{out}/dead/unknown/batch={number:09d}")
+        finally:
+            rows.unpersist()
+
+    if len(names) < len(topics):
+        raise ValueError("a department has one topic")
+    return messages.select("topic", "payload").writeStream.option("checkpointLocation", f"{out}/checkpoint").foreachBatch(batch)
+
+
+def _parsed(messages: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(good rows, dead letters) of a column ``payload``."""
+    x = messages.withColumn("x", F.from_json("payload", schema))
+    empty = F.forall(F.array(*[F.col("x")[c.split()[0].strip("`")].cast("string").isNull() for c in schema.split(", ")]), lambda v: v)
+    bad = F.col("x").isNull() | F.coalesce(empty, F.lit(True))
+    return x.filter(~bad).select("x.*"), x.filter(bad).select("payload")
+
+
 def windowed_counts(signals: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
     return signals.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n")).select("window.start", "event_type", "n")
 
