@@ -184,12 +184,12 @@ def cluster_attributes(members: DataFrame) -> DataFrame:
 def risk(members: DataFrame, ev: DataFrame, status: DataFrame) -> DataFrame:
     """(ubid, risk, risk_factors): points for departments, activity, several pincodes and names, and an unsafe pair whose first record is a member. status: ubid, status."""
     unsafe = members.select("ubid", "record_id").join(ev.filter(~F.col("safe")).select(F.col("a").alias("record_id")).distinct(), "record_id").select("ubid").distinct().withColumn("unsafe", F.lit(True))
-    c = members.groupBy("ubid").agg(F.countDistinct("department").alias("departments"), F.countDistinct(_text("pincode")).alias("pincodes"), F.countDistinct("business_name").alias("names"))
+    c = members.groupBy("ubid").agg(F.countDistinct("department").alias("departments"), F.countDistinct(_text("pincode")).alias("pincodes"), F.array_join(F.array_sort(F.collect_set(_text("pincode"))), ", ").alias("places"), F.countDistinct("business_name").alias("names"))  # pincodes are few
     c = c.join(status.select("ubid", F.col("status").alias("abi")), "ubid", "left").join(unsafe, "ubid", "left")
     factor = lambda ok, name, points, severity: F.when(ok, F.struct(name.alias("factor"), F.lit(points).alias("contribution"), F.lit(severity).alias("severity")))
     factors = F.filter(F.array(
         factor(F.col("departments") >= 3, F.lit("Complex multi-dept entity"), 15, "medium"), factor(F.col("abi") == "UNCERTAIN", F.lit("Conflicting ABI signals"), 30, "high"),
-        factor(F.col("abi") == "DORMANT", F.lit("Dormant classification"), 15, "medium"), factor(F.col("pincodes") > 1, F.format_string("Address inconsistency: %d pincodes", "pincodes"), 20, "high"),
+        factor(F.col("abi") == "DORMANT", F.lit("Dormant classification"), 15, "medium"), factor(F.col("pincodes") > 1, F.format_string("Address inconsistency: %d pincodes (%s)", "pincodes", "places"), 20, "high"),
         factor(F.col("names") > 1, F.format_string("Name variations: %d variants", "names"), 10, "low"), factor(F.col("unsafe"), F.lit("Safety block on merge"), 15, "high"),
     ), lambda f: f.isNotNull())
     total = F.aggregate(factors, F.lit(0), lambda s, f: s + f["contribution"])
@@ -205,7 +205,8 @@ def threshold_sweep(ev: DataFrame, truth: Column, fp_cost: float = 5.0, fn_cost:
         F.sum(F.when(F.col("at") >= F.col("pct"), F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("at") >= F.col("pct"), F.col("neg")).otherwise(0)).alias("fp"),
         F.sum(F.when(F.col("at") < F.col("pct"), F.col("pos")).otherwise(0)).alias("fn"), F.sum(F.when(F.col("at") < F.col("pct"), F.col("neg")).otherwise(0)).alias("tn"),
     )
-    return s.withColumn("cost", fp_cost * F.col("fp") + fn_cost * F.col("fn"))
+    share = lambda of: F.round(F.col("tp") / F.greatest(F.col("tp") + F.col(of), F.lit(1)), 4)
+    return s.withColumns({"precision": share("fp"), "recall": share("fn"), "cost": F.round(fp_cost * F.col("fp") + fn_cost * F.col("fn"), 1)})
 
 
 def review_queue(ev: DataFrame) -> DataFrame:

@@ -66,9 +66,22 @@ def conjunctive(members: DataFrame, activity: DataFrame, **where: str) -> DataFr
 
 
 def guided(members: DataFrame, status: DataFrame) -> DataFrame:
-    """(id, clusters, records) of each saved query."""
-    one = lambda i, w: conjunctive(members, status, **w).agg(F.count("*").alias("clusters"), F.coalesce(F.sum("records"), F.lit(0)).alias("records")).withColumn("id", F.lit(i))
-    return union([one(i, w) for i, w in GUIDED.items()])
+    """(id, clusters, records) of each saved query; one pass over the members tells them all."""
+    has = lambda c, v: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(v.lower()))
+    of = {"pincode": lambda v: F.coalesce(F.col("pincode") == v, F.lit(False)), "district": lambda v: has("district", v), "sector": lambda v: has("sector", v)}
+    asked = sorted({(k, v) for w in GUIDED.values() for k, v in w.items() if k != "status"})
+    met = members.groupBy("ubid").agg(F.count("*").alias("records"), *[F.max(of[k](v)).alias(f"_{i}") for i, (k, v) in enumerate(asked)])
+    met = met.join(status.select("ubid", F.col("status").alias("_status")), "ubid", "left")
+
+    def all_of(w: dict) -> Column:
+        out = F.lit(True)
+        for k, v in w.items():
+            out = out & (F.coalesce(F.col("_status") == v, F.lit(False)) if k == "status" else F.col(f"_{asked.index((k, v))}"))
+        return out
+
+    sums = met.agg(*[x for i, w in GUIDED.items() for x in (F.count_if(all_of(w)).alias(f"c_{i}"), F.coalesce(F.sum(F.when(all_of(w), F.col("records"))), F.lit(0)).alias(f"r_{i}"))])
+    rows = F.array(*[F.struct(F.lit(i).alias("id"), F.col(f"c_{i}").alias("clusters"), F.col(f"r_{i}").alias("records")) for i in GUIDED])
+    return sums.select(F.explode(rows).alias("x")).select("x.*")
 
 
 def timeline(ev: DataFrame, members: DataFrame, status: DataFrame, started: str) -> DataFrame:
@@ -99,6 +112,17 @@ def statistics(members: DataFrame, ev: DataFrame, status: DataFrame) -> DataFram
     return m.crossJoin(e).crossJoin(status.agg(*[n(s) for s in ("ACTIVE", "DORMANT", "CLOSED", "UNCERTAIN")]))  # one row each
 
 
+def platform(now: DataFrame, alerts: DataFrame, before: DataFrame | None = None, runs: int = 1, processing: bool = False, rollbacks: int = 0, auto: float = 0.92, review: float = 0.65, role: str = "Admin") -> DataFrame:
+    """The 27 figures that the console polls: ``statistics`` of this run, changes since the run before (all, if there is none), open alerts, thresholds. Each table has one row."""
+    counted = {"delta_ubids": "total_ubids"} | {f"delta_{s}": f"{s}_count" for s in ("active", "dormant", "closed", "uncertain")}
+    if before is not None:
+        now = now.crossJoin(before.select(*[F.col(c).alias(f"_{d}") for d, c in counted.items()]))
+    since = lambda d, c: (F.col(c) - (F.col(f"_{d}") if before is not None else F.lit(0))).alias(d)
+    own = [c for c in now.columns if not c.startswith("_")]
+    fixed = {"pipeline_runs": runs, "is_processing": processing, "false_positive_cost": "₹2.4L per unsafe merge", "auto_threshold": auto, "review_threshold": review, "rollback_count": rollbacks, "current_role": role}
+    return now.crossJoin(alerts).select(*own, F.col("sent_to_review").alias("pending_reviews"), *[since(d, c) for d, c in counted.items()], "alert_count", *[F.lit(v).alias(k) for k, v in fixed.items()])
+
+
 def health(records: DataFrame) -> DataFrame:
     """Records of each department beside what is known of its feed."""
     known = F.create_map(*[x for d, (q, s, h) in HEALTH.items() for x in (F.lit(d), F.struct(F.lit(q).alias("quality"), F.lit(s).alias("score"), F.lit(h).alias("stale_hours")))])
@@ -140,6 +164,7 @@ def review_risk(ev: DataFrame) -> DataFrame:
     return ev.filter("decision = 'review'").select("a", "b", F.least(F.lit(100), F.floor(F.round((1 - F.col("confidence")) * 150, 9)).cast("int")).alias("risk"))
 
 
+# The sentences of safety_summary, feature_sentence and summary.
 def safety_summary() -> Column:
     hard = F.col("conflict_pan").cast("int") + F.col("conflict_legal").cast("int")
     pct = F.format_string("%.1f%%", F.floor(F.round(F.col("confidence") * 1000, 6) + 0.5) / 10)
@@ -157,7 +182,7 @@ def feature_sentence(feature: Column, value: Column, impact: Column) -> Column:
     band = F.when(value > 0.85, "Very high").when(value > 0.65, "Moderate").otherwise("Low")
     like = F.concat(name, F.lit(": "), band, F.format_string(" similarity (%.0f%%)", F.bround(value * 100)))
     same = F.concat(name, F.when(value > 0.5, ": Match confirmed").otherwise(": No match"))
-    plain = F.concat(name, F.format_string(": value=%.3f", value))
+    plain = F.concat(name, F.format_string(": value=%.3f", F.bround(value, 3)))
     return F.concat(
         F.when(feature == "pan_token_match", F.when(value > 0.5, "Both records share the same PAN number").otherwise("PAN numbers do not match or are unavailable"))
         .when(feature == "gstin_token_match", F.when(value > 0.5, "Both records have the same GSTIN").otherwise("GSTINs differ or are unavailable"))

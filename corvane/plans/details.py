@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corvane import tables
-from corvane.functions import phonetics, pii
+from corvane.functions import phonetics, pii, text
 from corvane.operators import activity, attribution, console, keyed, learning, linkage, normalize
 from corvane.sources.records import SIGNALS_SQL, from_text, records, signals
 
@@ -51,10 +51,11 @@ def saf_recommend(spark, d):
 
 
 @query(f"""{_EV} SELECT a, b, CAST(conflict_pan AS INT) + CAST(conflict_legal AS INT) AS hard, CAST(far_apart AS INT) AS soft,
-  concat_ws('; ', CASE WHEN confidence < 0.65 THEN 'Confidence below review threshold' END, CASE WHEN pan_a = pan_b AND name_sim < 0.5 THEN 'PAN match with unlike names' END) AS warnings FROM ev""")
+  concat_ws('; ', CASE WHEN confidence < 0.65 THEN 'Confidence below review threshold' END, CASE WHEN pan_a = pan_b AND jaro_winkler_similarity(upper(trim(na)), upper(trim(nb))) < 0.5 THEN 'PAN match with unlike names' END) AS warnings FROM ev""")
 def saf_evidence(spark, d):
     n = lambda c: F.col(c).cast("int")
-    alike = F.when((F.col("pan_token_a") == F.col("pan_token_b")) & (F.col("name_sim") < 0.5), "PAN match with unlike names")
+    like = text.similar(*[text.trimmed(F.col(f"business_name_{x}")) for x in "ab"])
+    alike = F.when((F.col("pan_token_a") == F.col("pan_token_b")) & (like < 0.5), "PAN match with unlike names")
     warnings = F.concat_ws("; ", F.when(F.col("confidence") < 0.65, "Confidence below review threshold"), alike)
     return _ev(spark, d).select("a", "b", (n("conflict_pan") + n("conflict_legal")).alias("hard"), n("far_apart").alias("soft"), warnings.alias("warnings"))
 
@@ -80,7 +81,7 @@ def clu_readiness(spark, d):
 #: The activity of a cluster: of all signals of its records' entities.
 _FU = f"""{_CC}, signals AS (SELECT u.ubid AS entity_key, g.* EXCLUDE (entity_key) FROM ({SIGNALS_SQL}) g JOIN (SELECT DISTINCT ubid, entity_key FROM ub) u USING (entity_key)), {_F.partition("signals AS (" + SIGNALS_SQL + "), ")[2]}"""
 _RISK = f"""{_FU}, unsafe AS (SELECT DISTINCT u.ubid FROM ev JOIN ub u ON u.record_id = ev.a WHERE NOT safe),
-  rk AS (SELECT u.ubid, count(DISTINCT department) AS departments, count(DISTINCT pincode) AS pincodes, count(DISTINCT business_name) AS names, max(c.status) AS abi, count(x.ubid) > 0 AS unsafe FROM ub u LEFT JOIN c ON c.entity_key = u.ubid LEFT JOIN unsafe x ON x.ubid = u.ubid GROUP BY 1),
+  rk AS (SELECT u.ubid, count(DISTINCT department) AS departments, count(DISTINCT pincode) AS pincodes, string_agg(DISTINCT pincode, ', ' ORDER BY pincode) AS places, count(DISTINCT business_name) AS names, max(c.status) AS abi, count(x.ubid) > 0 AS unsafe FROM ub u LEFT JOIN c ON c.entity_key = u.ubid LEFT JOIN unsafe x ON x.ubid = u.ubid GROUP BY 1),
   risk AS (SELECT *, least(100, CASE WHEN departments >= 3 THEN 15 ELSE 0 END + CASE abi WHEN 'UNCERTAIN' THEN 30 WHEN 'DORMANT' THEN 15 ELSE 0 END + CASE WHEN pincodes > 1 THEN 20 ELSE 0 END + CASE WHEN names > 1 THEN 10 ELSE 0 END + CASE WHEN unsafe THEN 15 ELSE 0 END) AS risk FROM rk)"""
 
 
@@ -103,7 +104,7 @@ def rsk_base(spark, d):
 
 
 @query(f"""{_RISK} SELECT ubid, concat_ws('; ', CASE WHEN departments >= 3 THEN 'Complex multi-dept entity +15 medium' END, CASE abi WHEN 'UNCERTAIN' THEN 'Conflicting ABI signals +30 high' WHEN 'DORMANT' THEN 'Dormant classification +15 medium' END,
-  CASE WHEN pincodes > 1 THEN 'Address inconsistency: ' || pincodes || ' pincodes +20 high' END, CASE WHEN names > 1 THEN 'Name variations: ' || names || ' variants +10 low' END, CASE WHEN unsafe THEN 'Safety block on merge +15 high' END) AS factors FROM risk""")
+  CASE WHEN pincodes > 1 THEN 'Address inconsistency: ' || pincodes || ' pincodes (' || places || ') +20 high' END, CASE WHEN names > 1 THEN 'Name variations: ' || names || ' variants +10 low' END, CASE WHEN unsafe THEN 'Safety block on merge +15 high' END) AS factors FROM risk""")
 def rsk_factors(spark, d):
     one = F.transform("risk_factors", lambda f: F.concat(f["factor"], F.lit(" +"), f["contribution"].cast("string"), F.lit(" "), f["severity"]))
     return _risk(spark, d).select("ubid", F.array_join(one, "; ").alias("factors"))

@@ -161,6 +161,7 @@ def evd_rows(spark, d):
 
 @query(f"""{_EV}, t AS (SELECT range + 50 AS pct FROM range(49)), e AS (SELECT CAST(floor(round(confidence, 9) * 100) AS INT) AS bin, ea = eb AS truth FROM ev)
   SELECT CAST(pct AS INT) AS pct, count(*) FILTER (bin >= pct AND truth) AS tp, count(*) FILTER (bin >= pct AND NOT truth) AS fp, count(*) FILTER (bin < pct AND truth) AS fn, count(*) FILTER (bin < pct AND NOT truth) AS tn,
+  round(count(*) FILTER (bin >= pct AND truth) / greatest(count(*) FILTER (bin >= pct), 1), 4) AS precision, round(count(*) FILTER (bin >= pct AND truth) / greatest(count(*) FILTER (truth), 1), 4) AS recall,
   CAST(5 * count(*) FILTER (bin >= pct AND NOT truth) + count(*) FILTER (bin < pct AND truth) AS DOUBLE) AS cost FROM t, e GROUP BY 1""")
 def saf_sweep(spark, d):
     return linkage.threshold_sweep(_ev(spark, d), F.col("entity_key_a") == F.col("entity_key_b"))

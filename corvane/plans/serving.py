@@ -248,9 +248,9 @@ _SENTENCES = " UNION ALL ".join(
   WHEN contains(feature, 'jaro_winkler') OR contains(feature, 'cosine') THEN label || ': ' || CASE WHEN value > 0.85 THEN 'Very high' WHEN value > 0.65 THEN 'Moderate' ELSE 'Low' END || printf(' similarity (%d%%)', CAST(round_even(value * 100, 0) AS INT))
   WHEN feature IN ('udyam_token_match', 'name_levenshtein_norm', 'name_token_overlap') THEN label || printf(': value=%.3f', value)
   ELSE label || CASE WHEN value > 0.5 THEN ': Match confirmed' ELSE ': No match' END END || ' (impact: +0.100)' AS sentence
-  FROM l JOIN (VALUES {", ".join(f"('{k}', '{v}')" for k, v in serving.FEATURE_LABELS.items())}) n(feature, label) USING (feature) WHERE feature NOT IN ('name_levenshtein_norm', 'name_token_overlap')""")
+  FROM l JOIN (VALUES {", ".join(f"('{k}', '{v}')" for k, v in serving.FEATURE_LABELS.items())}) n(feature, label) USING (feature)""")
 def fmt_features(spark, d):
     """A sentence for each feature of each pair, with a constant impact."""
-    long = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("value")) for n in features.NAMES if n not in ("name_levenshtein_norm", "name_token_overlap")])
+    long = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("value")) for n in features.NAMES])
     rows = QUERIES["fea_pairs"](spark, d).select("a", "b", F.explode(long).alias("f")).select("a", "b", "f.*")
     return rows.select("a", "b", "feature", serving.feature_sentence(F.col("feature"), F.col("value"), F.lit(0.1)).alias("sentence"))

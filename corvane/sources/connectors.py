@@ -95,7 +95,8 @@ def payload_hash(payload):
     """SHA-256 of a JSON payload with its keys in order, as Python writes it; distinct payloads are hashed once a batch."""
     @F.pandas_udf("string")
     def hashed(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else hashlib.sha256(json.dumps(json.loads(v), sort_keys=True).encode()).hexdigest())
+        once = {v: hashlib.sha256(json.dumps(json.loads(v), sort_keys=True).encode()).hexdigest() for v in x.dropna().unique()}
+        return x.map(once.get).astype(object).where(x.notna(), None)
 
     return hashed(payload)
 

@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from corvane.plans import serving  # noqa: F401
+from corvane.plans import views  # noqa: F401
 from corvane.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
