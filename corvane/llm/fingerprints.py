@@ -14,6 +14,8 @@ to itself; a null doc_id is no query and comes last. The search is a query of it
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -171,23 +173,29 @@ def _rank(x: Column, cuts: list[int]) -> Column:
 def with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of it with its end replaced by the next document's beginning.
 
-    Documents are dealt by ranges of doc_id; a range's first row is sent to the range before as well.
+    Documents are dealt by ranges of doc_id, and those of one doc_id or without one, if they fill several ranges, by ranges of a hash
+    of their text; a range's first row is sent to the range before as well.
     """
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("o", F.coalesce("doc_id", F.lit(-(2**63))))
-    cuts = rows.agg(F.percentile_approx("o", [k / parts for k in range(1, parts)], max(20_000, 10 * parts))).first()[0] or []
-    cuts = sorted(set(cuts))
-    rows = rows.withColumn("pid", _rank(F.col("o"), cuts))
-    heads = sorted((r.pid, r.o) for r in rows.groupBy("pid").agg(F.max("o").alias("o")).collect())
+    cuts = sorted(rows.agg(F.percentile_approx("o", [k / parts for k in range(1, parts)], max(20_000, 10 * parts))).first()[0] or [])
+    # a doc_id that is a cut several times has as many ranges of its own; they come in the order of the hash, the last one first
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    of_text = F.shiftrightunsigned("h", 1).cast("double") / 2.0**63
+    many = sorted((c, n) for c, n in Counter(cuts).items() if n > 1)
+    within = reduce(lambda x, cn: F.when(F.col("o") == cn[0], cn[1] - 1 - F.least(F.floor(of_text * cn[1]), F.lit(cn[1] - 1))).otherwise(x), many, F.lit(0))
+    rows = rows.withColumn("pid", (_rank(F.col("o"), cuts) + within).cast("int")).withColumn("back", -F.shiftrightunsigned("h", 1))
+    heads = sorted((r.pid, r.head.o, r.head.back) for r in rows.groupBy("pid").agg(F.max(F.struct("o", "back")).alias("head")).collect())
     if not heads:
         return spark.createDataFrame([], SCHEMA)
-    also = {o: heads[k + 1][0] if k + 1 < len(heads) else heads[0][0] for k, (_, o) in enumerate(heads)}
-    ghost = F.element_at(F.create_map(*[x for o, p in also.items() for x in (F.lit(o).cast("long"), F.lit(p))]), F.col("o"))
+    # a row for each range: the range before it in the order of documents, which is the next by number
+    first = [(o, back, heads[k + 1][0] if k + 1 < len(heads) else heads[0][0]) for k, (_, o, back) in enumerate(heads)]
+    also = F.broadcast(spark.createDataFrame(first, "o long, back long, also int"))
     own = F.struct(F.col("pid").alias("pid"), F.lit(False).alias("ghost"))
-    places = F.when(ghost.isNotNull(), F.array(own, F.struct(ghost.alias("pid"), F.lit(True).alias("ghost")))).otherwise(F.array(own))
-    dealt = rows.withColumn("place", F.explode(places)).select("place.pid", "place.ghost", "doc_id", "text", "o")
-    dealt = dealt.repartition(parts, "pid").sortWithinPartitions("pid", "ghost", F.desc("o"), F.xxhash64("text"))
+    places = F.when(F.col("also").isNotNull(), F.array(own, F.struct(F.col("also").alias("pid"), F.lit(True).alias("ghost")))).otherwise(F.array(own))
+    dealt = rows.join(also, ["o", "back"], "left").withColumn("place", F.explode(places)).select("place.pid", "place.ghost", "doc_id", "text", "o", "back")
+    dealt = dealt.repartition(parts, "pid").sortWithinPartitions("pid", "ghost", F.desc("o"), F.desc("back"))
     return dealt.select("pid", "ghost", "doc_id", "text").mapInArrow(_chained, SCHEMA)
 
 

@@ -1,5 +1,6 @@
 """Repeats, null ids, clashing columns and bounds of samples, operator by operator; accuracy on the given labels."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvane.llm import mixing, packing, quality, sharding, toxicity
+from corvane.llm import fingerprints, mixing, packing, quality, sharding, toxicity
 from corvane.llm.queries import tokenizer
 from corvane.llm.shared import settled, told_apart
 
@@ -112,3 +113,20 @@ def test_columns_that_operators_name_too(spark):
         got = stage(spark, wide, SF)
         assert got.columns == wide.columns
         assert sorted(map(str, got.select("doc_id", "text", "source").collect())) == sorted(map(str, stage(spark, plain, SF).collect()))
+
+
+def test_fingerprints_of_many_rows_of_one_id(spark):
+    """Most rows have no doc_id, or one: they are dealt over several ranges, and each is next to the row that follows by its text's hash."""
+    rnd = random.Random(12)
+    rows = [(None, f"text {rnd.random()}") for _ in range(300)] + [(7, f"seven {rnd.random()}") for _ in range(200)] + [(i, f"one {i}") for i in range(20, 60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made = fingerprints.with_edits(d)
+    sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 0.7 * len(rows)
+    h = {r.text: r.h for r in d.select("text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h")).collect()}
+    chain = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), h[r[1]]))
+    want = []
+    for (i, t), (_, after) in zip(chain, [*chain[1:], chain[0]]):
+        e = len(t) // 2
+        want.append((str(i), hashlib.sha256((t[: len(t) - e] + after[:e]).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in made.collect()) == sorted(want)
