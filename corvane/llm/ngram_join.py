@@ -19,10 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.components import components as connected
+
 from .shared import one_each, settled
-from .textblocks import _U, blocks, distinct, long, mix, shingles
+from .textblocks import _U, blocks, distinct, give_back, long, mix, shingles
 
-SHINGLES_A_BUCKET, FLUSH, SMALL_TILE, CENTRES, BLOCK_ITEMS, BLOCK_ROWS = 2_000_000, 1_000_000, 16, 4, 1_000_000, 500
+SHINGLES_A_BUCKET, FLUSH, SMALL_TILE, CENTRES, BLOCK_ITEMS, BLOCK_ROWS = 2_000_000, 500_000, 16, 4, 1_000_000, 500
+#: Of texts whose parts are keyed together; an executor's workers do so side by side.
+KEYED_BYTES = 1 << 20
 
 
 class Bands:
@@ -57,6 +61,7 @@ def _sets(k):
                 o, v, _ = distinct(owner, value)
                 size, cls = class_of(o, v, block.n)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), long(size), long(cls), bitmaps(o, v, size)], names=["doc_id", "t", "n", "cls", "bits"])
+        give_back()
 
     return run
 
@@ -84,7 +89,7 @@ def _keys(k, percent, buckets):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "keys", "ids"])
 
         for batch in batches:
-            for _, block in blocks(batch):
+            for _, block in blocks(batch, most=KEYED_BYTES):
                 value, owner = shingles(block, k)
                 o, v, _ = distinct(owner, value)
                 size, cls = class_of(o, v, block.n)
@@ -114,6 +119,7 @@ def _keys(k, percent, buckets):
                     held, count = [], 0
         if count:
             yield flush()
+        give_back()
 
     return run
 
@@ -159,6 +165,7 @@ def _arrays(k):
                 ptr = np.searchsorted(o, np.arange(block.n + 1))
                 rows = [v[s:e].tobytes() for s, e in zip(ptr, ptr[1:])]
                 yield pa.RecordBatch.from_arrays([long(cls), pa.array(rows, pa.binary())], names=["cls", "items"])
+        give_back()
 
     return run
 
@@ -261,23 +268,8 @@ def _rest(edges: DataFrame, labels: DataFrame, sets_of: Callable[[DataFrame], Da
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the least node that links reach. Each round hooks nodes to their least neighbour and contracts the links."""
-    pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-    edges = settled(links.select(*pair("a", "b")).filter("a < b").distinct(), "cc-links")
-    labels = edges.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
-    first = True
-    while not edges.isEmpty():
-        near = edges.select("a", "b").union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("up"))
-        near = settled(near, "cc-near")
-        higher = near.select(F.col("node").alias("up"), F.col("up").alias("label"))
-        step = settled(near.join(higher, "up").select("node", "label"), "cc-step")
-        now = step.select(F.col("node").alias("label"), F.col("label").alias("new"))
-        labels = step if first else settled(labels.join(now, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "cc-labels")
-        first = False
-        for c in "ab":
-            edges = edges.join(step.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), c)
-        edges = settled(edges.select(*pair("a_label", "b_label")).filter("a < b").distinct(), "cc-links")
-    return labels
+    """(node, label): the least node that links reach, in logarithmically many rounds."""
+    return connected(links, settled)
 
 
 def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
