@@ -25,6 +25,8 @@ from .shared import one_each, settled
 from .textblocks import _U, blocks, distinct, give_back, long, mix, shingles
 
 SHINGLES_A_BUCKET, FLUSH, SMALL_TILE, CENTRES, BLOCK_ITEMS, BLOCK_ROWS = 2_000_000, 500_000, 16, 4, 1_000_000, 500
+#: Bits of the bitmap that tells which rows' arrays are wanted; where it would be too full, a join tells.
+BITMAP = 1 << 26
 #: Of texts whose parts are keyed together; an executor's workers do so side by side.
 KEYED_BYTES = 1 << 20
 
@@ -155,9 +157,24 @@ def _tiles(t: pa.Table) -> pa.Table:
     })
 
 
-def _arrays(k):
+def bitmap_of(rows: DataFrame, n: int) -> np.ndarray:
+    """Of the hashes ``h`` of n rows: a bitmap of some 32 bits for each, that hashes of other rows seldom meet. It has BITMAP bits at most."""
+    bits = 1 << min(max(16, (32 * n).bit_length()), BITMAP.bit_length() - 1)
+    at = F.col("h").bitwiseAND(F.lit(bits - 1))
+    words = rows.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((h & {bits - 1}) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _arrays(k, bitmap=None):
+    """Sorted shingles of texts; bitmap: only of rows whose hash ``h`` it has."""
+
     def run(batches):
         for batch in batches:
+            if bitmap is not None:
+                h = batch.column(batch.schema.get_field_index("h")).to_numpy().view(np.uint64) & _U(64 * len(bitmap) - 1)
+                batch = batch.filter(pa.array((bitmap[h >> _U(6)] >> (h & _U(63)) & _U(1)).astype(bool)))
             for _, block in blocks(batch):
                 value, owner = shingles(block, k)
                 o, v, _ = distinct(owner, value)
@@ -288,8 +305,12 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(cls, items) of the wanted classes, and maybe of some others."""
         rows = wanted.distinct().join(classes.select("cls", "row"), "cls").select(F.col("row.doc_id").alias("_id"), F.col("row.t").alias("_t"))
-        own = texts.join(rows, (texts.t == rows._t) & texts.doc_id.eqNullSafe(rows._id), "left_semi")
-        arrays = own.mapInArrow(_arrays(k), "cls long, items binary")
+        rows = settled(rows.withColumn("h", F.xxhash64("_id", "_t")), "ngram-wanted")
+        if (n := rows.count()) * 8 <= BITMAP:  # few enough to be told by a bitmap, so no text moves
+            own, bitmap = texts.withColumn("h", F.xxhash64("doc_id", "t")), bitmap_of(rows, n)
+        else:
+            own, bitmap = texts.join(rows, (texts.t == rows._t) & texts.doc_id.eqNullSafe(rows._id), "left_semi"), None
+        arrays = own.mapInArrow(_arrays(k, bitmap), "cls long, items binary")
         return settled(arrays.dropDuplicates(["cls"]), "ngram-sets")
 
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")))
