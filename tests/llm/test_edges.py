@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvane.llm import fingerprints, mixing, packing, quality, sharding, toxicity
+from corvane.llm import fingerprints, mixing, ngram_join, packing, quality, sharding, toxicity
 from corvane.llm.queries import tokenizer
 from corvane.llm.shared import settled, told_apart
 
@@ -130,3 +130,25 @@ def test_fingerprints_of_many_rows_of_one_id(spark):
         e = len(t) // 2
         want.append((str(i), hashlib.sha256((t[: len(t) - e] + after[:e]).encode()).hexdigest()))
     assert sorted((str(r.doc_id), r.edited_sha256) for r in made.collect()) == sorted(want)
+
+
+def test_a_bitmap_and_a_join_fetch_the_same_arrays(spark, monkeypatch):
+    rnd = random.Random(14)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(60):
+        t = [rnd.choice(words) for _ in range(40)]
+        rows += [(3 * i, " ".join(t)), (3 * i + 1, " ".join(t[:-1] + ["zz"])), (None if i % 9 == 0 else 3 * i + 2, " ".join(["yy"] + t))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    told = sorted(map(str, ngram_join.ngram_components(d, 5, 70).collect()))
+    monkeypatch.setattr(ngram_join, "BITMAP", 1)
+    assert sorted(map(str, ngram_join.ngram_components(d, 5, 70).collect())) == told
+    assert len({r.component_id for r in ngram_join.ngram_components(d, 5, 70).collect()}) <= 60
+
+
+def test_a_bitmap_holds_what_it_was_made_of(spark):
+    rows = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    bitmap = ngram_join.bitmap_of(rows, 3000)
+    h = np.array([r.h for r in rows.collect()]).view(np.uint64) & np.uint64(64 * len(bitmap) - 1)
+    assert ((bitmap[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1)).all()
+    assert np.bitwise_count(bitmap).sum() <= 3000 < 64 * len(bitmap) / 16
