@@ -24,7 +24,7 @@ from corvane.operators.components import components as connected
 from .shared import one_each, settled
 from .textblocks import _U, blocks, distinct, give_back, long, mix, shingles
 
-SHINGLES_A_BUCKET, FLUSH, SMALL_TILE, CENTRES, BLOCK_ITEMS, BLOCK_ROWS = 2_000_000, 500_000, 16, 4, 1_000_000, 500
+SHINGLES_A_BUCKET, FLUSH, SMALL_TILE, CENTRES, BLOCK_ITEMS, BLOCK_ROWS = 2_000_000, 500_000, 16, 4, 3_000_000, 2_000
 #: Bits of the bitmap that tells which rows' arrays are wanted; where it would be too full, a join tells.
 BITMAP = 1 << 26
 #: Of texts whose parts are keyed together; an executor's workers do so side by side.
