@@ -24,9 +24,8 @@ def evidence_rows(ev: DataFrame) -> DataFrame:
         F.when(F.col("conflict_pan"), PAN_BLOCK), F.when(F.col("conflict_legal"), F.format_string(LEGAL_BLOCK, up("legal_status_a"), up("legal_status_b"))), F.when(F.col("far_apart"), F.format_string(PLACE_BLOCK, up("district_a"), up("district_b"))),
     )
     none = F.array().cast("array<string>")
-    xai = attribution.additive(ev).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("place", "feature", "contribution", "direction", "bar_pct"))).alias("x"))  # seven terms at most
-    xai = xai.select("a", "b", F.transform("x", lambda t: t.dropFields("place")).alias("xai_factors"))
-    return ev.join(xai, ["a", "b"]).select(
+    xai = F.transform(attribution.terms(), lambda t: F.struct(*[t[c].alias(c) for c in ("feature", "contribution", "direction", "bar_pct")]))
+    return ev.withColumn("xai_factors", xai).select(
         F.col("business_name_a").alias("record_a"), F.col("business_name_b").alias("record_b"), F.col("department_a").alias("dept_a"), F.col("department_b").alias("dept_b"), F.col("a").alias("record_a_id"), F.col("b").alias("record_b_id"),
         F.round("confidence", 4).alias("confidence"), "decision", linkage.explanation().alias("explanation"), features.alias("features"), "xai_factors", F.col("safe").alias("safety_ok"),
         F.when(F.col("safe"), none).otherwise(F.filter(blocks, lambda t: t.isNotNull())).alias("safety_blocks"),
@@ -64,21 +63,17 @@ def unlinked(records: DataFrame, links: DataFrame, n: int | None = None) -> Data
     return out if n is None else out.limit(n)
 
 
-def cluster_evidence(ev: DataFrame, members: DataFrame) -> DataFrame:
-    """(ubid, a, b, decision, confidence): each pair that touches a cluster, by an equi join of either side."""
-    sides = ev.select("a", "b", "decision", F.round("confidence", 6).alias("confidence"), F.explode(F.array("a", "b")).alias("record_id"))
-    return members.select("record_id", "ubid").join(sides, "record_id").select("ubid", "a", "b", "decision", "confidence").distinct()
+def cluster_detail(ev: DataFrame, touching: DataFrame, members: DataFrame, status: DataFrame, started: str, ubid: str | None = None) -> DataFrame:
+    """(ubid, part, at, subject, detail): the rows of a cluster's detail view - its records, activity, evidence, timeline by time, reviews - of all clusters or one.
 
-
-def cluster_detail(ev: DataFrame, members: DataFrame, status: DataFrame, started: str, ubid: str | None = None) -> DataFrame:
-    """(ubid, part, at, subject, detail): the rows of a cluster's detail view - its records, activity, evidence, timeline by time, reviews - of all clusters or one."""
+    ev: the evidence that isn't rejected; touching: what ``linkage.of_clusters`` gives of all evidence.
+    """
     if ubid is not None:
-        members, status = members.filter(F.col("ubid") == ubid), status.filter(F.col("ubid") == ubid)
+        members, status, touching = (t.filter(F.col("ubid") == ubid) for t in (members, status, touching))
     row = lambda part, at, subject, detail: [F.col("ubid"), F.lit(part).alias("part"), at.cast("string").alias("at"), subject.alias("subject"), detail.alias("detail")]
     none = F.lit("")
-    touching = cluster_evidence(ev, members)
     pair = F.concat("a", F.lit("___"), "b")
-    review = touching.filter("decision = 'review'").groupBy("a", "b").agg(F.min("ubid").alias("ubid"))
+    review = ev.filter("decision = 'review'").select("a", "b", F.explode(F.array("a", "b")).alias("record_id")).join(members.select("record_id", "ubid"), "record_id").groupBy("a", "b").agg(F.min("ubid").alias("ubid"))
     told = serving.timeline(ev, members, status, started)
     return serving.union([
         members.select(*row("record", none, F.col("record_id"), F.concat_ws(" | ", serving.label(F.col("department")), "business_name"))),

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from corvane.operators import linkage, serving, views
 from corvane.sources.records import SIGNALS_SQL, records, signals
 
-from .details import _FU, _cluster_activity
-from .registry import _CC, _EV, KEY, ORACLE, QUERIES, _ev, _members, _tokens, query  # noqa: F401
+from .details import _FU, _cluster_activity, _evidence_of_clusters
+from .registry import _CC, _EV, KEY, ORACLE, QUERIES, _ev, _kept, _members, _tokens, query  # noqa: F401
 from .serving import _LABEL, _TIMELINE, _TOKEN, _built
 
 _EXPLAINED = ORACLE["scr_explanations"].partition("SELECT a, b, ")[2].partition(" AS explanation FROM ev")[0]
@@ -35,13 +35,13 @@ _TRAIL = f"""{_EV}, k AS (SELECT *, {_EXPLAINED} AS explanation FROM ev WHERE de
 @query(f"{_TRAIL} SELECT * FROM tr")
 def jn_evidence_trails(spark, d):
     """Both orientations of every kept pair, the surest first."""
-    return views.trail(_ev(spark, d))
+    return views.trail(_kept(spark, d))
 
 
 @query(f"{_TRAIL} SELECT * FROM tr WHERE record_a = 'CT-0000003' OR record_b = 'CT-0000003'")
 def jn_evidence_trail(spark, d):
     """The trail of one record."""
-    return views.trail(_ev(spark, d), "CT-0000003")
+    return views.trail(_kept(spark, d), "CT-0000003")
 
 
 @query(f"""{_CC} SELECT {_TOKEN('PAN', 't.pt')} AS pan_token, t.department, t.record_id AS dept_record_id, t.business_name, u.ubid, n.canonical_name
@@ -54,12 +54,12 @@ def jn_pan_token_rows(spark, d):
 @query(f"{_EV} SELECT department, record_id, business_name, reg_date FROM records r WHERE NOT EXISTS (SELECT 1 FROM ev WHERE decision <> 'reject' AND (ev.a = r.record_id OR ev.b = r.record_id)) ORDER BY reg_date DESC, record_id LIMIT 50")
 def jn_unlinked_newest(spark, d):
     """The 50 newest records that no kept pair touches."""
-    return views.unlinked(records(spark, d), _ev(spark, d).filter("decision <> 'reject'"), 50)
+    return views.unlinked(records(spark, d), _kept(spark, d), 50)
 
 
 @query(f"{_CC} SELECT DISTINCT u.ubid, e.a, e.b, e.decision, round(e.confidence, 6) AS confidence FROM ub u JOIN (SELECT *, a AS r FROM ev UNION ALL SELECT *, b FROM ev) e ON e.r = u.record_id")
 def jn_cluster_evidence_rows(spark, d):
-    return views.cluster_evidence(_ev(spark, d), _members(spark, d))
+    return _evidence_of_clusters(spark, d)
 
 
 @query(f"""{_TIMELINE} SELECT ubid, 'record' AS part, '' AS "at", record_id AS subject, {_LABEL} || ' | ' || business_name AS detail FROM ub UNION ALL SELECT entity_key, 'activity', '', status, rule FROM c
@@ -68,8 +68,8 @@ def jn_cluster_evidence_rows(spark, d):
   UNION ALL SELECT least(x.ubid, y.ubid), 'review', '', e.a || '___' || e.b, 'pending' FROM ev e JOIN ub x ON x.record_id = e.a JOIN ub y ON y.record_id = e.b WHERE decision = 'review'""")
 def biq_cluster_rows(spark, d):
     """The detail view of every cluster as rows: records, activity, evidence, timeline, reviews."""
-    e, m, c = _built(spark, d)
-    return views.cluster_detail(e, m, linkage.checkpointed(c), "2024-02-01")
+    _, m, c = _built(spark, d)
+    return views.cluster_detail(_kept(spark, d), _evidence_of_clusters(spark, d), m, linkage.checkpointed(c), "2024-02-01")
 
 
 @query(f"""{_FU}, la AS (SELECT entity_key, max({{'signal_date': signal_date, 'signal_type': signal_type}}) FILTER (signal_date IS NOT NULL) AS l FROM signals GROUP BY 1), nm AS (SELECT ubid, min_by(business_name, record_id) AS business FROM ub GROUP BY 1)

@@ -62,6 +62,33 @@ def test_block_cap(spark):
     assert linkage.candidate_pairs(keys.filter("record_id <> '5'")).count() == 1000 * 999 // 2
 
 
+def test_pairs_are_not_written(spark, tmp_path, monkeypatch):
+    """Pairs grow with the square of their blocks: what is written for the counts of all pairs has rows as records and keys have."""
+    (tmp_path / "sf").symlink_to(SF)
+    written, settled = [], tables.settled
+    monkeypatch.setattr(tables, "settled", lambda df, name, keep=False: (out := settled(df, name, keep), written.append(out.count()))[0])
+    pairs = QUERIES["flagship_decisions"](spark, str(tmp_path / "sf")).agg(F.sum("pairs")).first()[0]
+    assert pairs == 2076 and 0 < max(written) < pairs // 2
+
+
+def test_pair_of_several_blocks_comes_once(spark):
+    rows = [("x", s, k) for s, k in (("pan", "p"), ("phone", "1"), ("phonetic", "SX:A"))] + [("y", s, k) for s, k in (("phone", "1"), ("phonetic", "SX:A"), ("gstin", "g"))]
+    got = linkage.candidate_pairs(spark.createDataFrame(rows, "record_id string, strategy string, key string")).collect()
+    assert [tuple(r) for r in got] == [("x", "y", "phone,phonetic")]
+
+
+def test_kept_evidence_is_all_that_is_not_rejected(spark):
+    """A GSTIN alone can carry a pair to review, with a PAN that isn't valid; nothing but PAN and GSTIN can."""
+    row = ("ACME FOODS", "d", "29AABCU1234R1Z5", "Partnership", "BIDAR", "585401", "98450", 1)
+    same = [(f"R{i}", pan, *row) for i, pan in enumerate(("bad", "bad", "AABCU1234R", "AABCU1234R", ""))] + [("R5", "", *row[:2], None, *row[3:]), ("R6", "", *row[:2], None, *row[3:])]
+    odd = spark.createDataFrame(same, "record_id string, pan string, business_name string, department string, gstin string, legal_status string, district string, pincode string, phone string, entity_key long")
+    for r in (odd, records.records(spark, SF)):
+        rows = linkage.blocked(r, "k")
+        want = linkage.evidence_of(rows).filter("decision <> 'reject'")
+        got = linkage.kept_evidence(rows)
+        assert want.count() > 0 and sorted(map(tuple, got.select("a", "b", "strategies", "confidence", "decision").collect())) == sorted(map(tuple, want.select("a", "b", "strategies", "confidence", "decision").collect()))
+
+
 def test_incompatible_legal_forms(spark):
     p = spark.createDataFrame([("Proprietorship", "Private Limited Company", 0.81)], "legal_status_a string, legal_status_b string, confidence double")
     for c in ("pan_token_a", "pan_token_b", "district_a", "district_b", "pincode_a", "pincode_b"):
