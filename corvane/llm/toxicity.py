@@ -28,6 +28,8 @@ GUESSES = (0.5, 0.25, 0.1, 0.04, 0.015)
 
 
 WIDE = 1 << 63
+#: How many features of rows are worked on at once.
+CHUNK = 1 << 20
 
 
 def bounded(share: float) -> int:
@@ -83,14 +85,39 @@ class Rows(NamedTuple):
     unlabelled: np.ndarray
 
     def part(self, use: np.ndarray) -> Rows:
-        new, own = np.cumsum(use) - 1, use[self.row]
+        new, own = (np.cumsum(use) - 1).astype(np.int32), use[self.row]
         return Rows(new[self.row[own]], self.bucket[own], self.positive[use], self.unlabelled[use])
 
+    def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """row and bucket in runs of CHUNK, so that what is worked out of them never lies in memory as a whole."""
+        for at in range(0, len(self.row), CHUNK):
+            yield self.row[at : at + CHUNK], self.bucket[at : at + CHUNK]
+
+    def counts(self, of: np.ndarray) -> np.ndarray:
+        """How many of the chosen rows have each bucket; a row has a bucket once."""
+        out = np.zeros(features.BUCKETS, np.int64)
+        for row, bucket in self.chunks():
+            out += np.bincount(bucket[of[row]], minlength=features.BUCKETS)
+        return out
+
+    def of_columns(self, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and column of those whose bucket has a column (not -1)."""
+        found = [(row[own], at[own]) for row, bucket in self.chunks() for at in (column[bucket],) for own in (at >= 0,)]
+        return tuple(np.concatenate([f[i] for f in found] or [np.zeros(0)]).astype(np.intp) for i in (0, 1))
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.positive))
+        for row, bucket in self.chunks():
+            out += np.bincount(row, weights[bucket], len(out))
+        return out
+
 
 def gathered(x: list, positive: np.ndarray, unlabelled: np.ndarray) -> Rows:
-    arrays = [np.asarray(v, np.int32) for v in x]
-    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
-    return Rows(np.repeat(np.arange(len(x), dtype=np.int32), [len(v) for v in arrays]), flat, np.asarray(positive, bool), np.asarray(unlabelled, bool))
+    length = np.array([len(v) for v in x], np.int64)
+    flat = np.empty(int(length.sum()), np.int32)
+    for v, end in zip(x, np.cumsum(length)):
+        flat[end - len(v) : end] = v
+    return Rows(np.repeat(np.arange(len(x), dtype=np.int32), length), flat, np.asarray(positive, bool), np.asarray(unlabelled, bool))
 
 
 def fit(rows: Rows, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -99,15 +126,14 @@ def fit(rows: Rows, prior: float, steps: int = 300, rate: float = 0.05, decay: f
     weights = np.zeros(features.BUCKETS, np.float32)
     if not n_p or not n_u:
         return weights, 20.0 if n_p else -20.0
-    dp, df = (np.bincount(rows.bucket[of[rows.row]], minlength=features.BUCKETS) for of in (rows.positive, rows.unlabelled))  # a row has a bucket once
+    dp, df = rows.counts(rows.positive), rows.counts(rows.unlabelled)
     lift = ((dp + 0.5) / n_p) / ((df + 0.5) / n_u)
     used = np.flatnonzero((dp >= max(4, 0.004 * n_p)) & (lift > 1 + 0.5 * (1 / prior - 1)))
     if not len(used):
         return weights, float(np.log(prior / (1 - prior)))
     at = np.full(features.BUCKETS, -1, np.int32)
     at[used] = np.arange(len(used))
-    col = at[rows.bucket]
-    row, col = rows.row[col >= 0], col[col >= 0]
+    row, col = rows.of_columns(at)
     w, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     w[-1] = np.log(prior / (1 - prior))
     of_p, of_u = prior * rows.positive / n_p, rows.unlabelled / n_u
@@ -136,7 +162,7 @@ def class_prior(rows: Rows, half: np.ndarray) -> float:
         for side in (False, True):
             weights, _ = fit(rows.part(half == side), guess, steps=100)
             other = half != side
-            z[other] = np.bincount(rows.row, weights[rows.bucket], len(half))[other]
+            z[other] = rows.sums(weights)[other]
         p, u = np.sort(z[rows.positive]), np.sort(z[rows.unlabelled])
         above_p = 1 - np.searchsorted(p, p, "left") / n_p
         above_u = 1 - np.searchsorted(u, p, "left") / n_u
@@ -145,11 +171,27 @@ def class_prior(rows: Rows, half: np.ndarray) -> float:
     return float(np.clip(min(found)[1], 1 / n_u, 0.95))
 
 
+class Late:
+    """Bytes that are copied when they are compared, that is for rows which are equal up to there."""
+
+    def __init__(self, buffer: pa.Buffer):
+        self.buffer = buffer
+
+    def __lt__(self, other: Late) -> bool:
+        return self.buffer.to_pybytes() < other.buffer.to_pybytes()
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Late) and self.buffer.equals(other.buffer)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     t = drawn(docs, labels, sample).toArrow()
-    rows = sorted(zip(t["doc_id"].to_pylist(), t["label"].to_pylist(), t["x"].to_pylist()))
-    label, ids = np.array([r[1] for r in rows], int), np.array([r[0] for r in rows], np.int64)
-    all_rows = gathered([np.frombuffer(r[2], np.int32) for r in rows], label % 2 == 1, label >= 2)
+    ids, label = t["doc_id"].to_numpy(), t["label"].to_numpy()
+    x = [v.as_buffer() for chunk in t["x"].chunks for v in chunk]  # views of the table
+    order = sorted(range(len(x)), key=lambda i: (ids[i], label[i], Late(x[i])))
+    ids, label = ids[order].astype(np.int64), label[order]
+    all_rows = gathered([np.frombuffer(x[i], np.int32) for i in order], label % 2 == 1, label >= 2)
+    del t, x
     # halves by doc_id, so that a repeated row isn't on both sides
     half = (mix(ids.view(np.uint64)) & _U(1)) == 1
     return fit(all_rows, class_prior(all_rows, half))

@@ -572,3 +572,29 @@ def test_quality_keeps_whole_rows(spark, docs):
     model = quality.fit(np.random.default_rng(1).random((40, wide)), np.arange(40) % 2)
     want = sorted(r.doc_id for r in quality.scored(docs, model).filter("predicted = 1").collect())
     assert sorted(r.doc_id for r in quality.kept(docs, model).collect()) == want
+
+
+def test_toxicity_fit_holds_few_bytes_a_feature():
+    """Beside the rows (8 bytes a feature) the fits hold less than 15 bytes for each: no array of all features in 64 bits is made."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(3)
+    x = [np.unique(rnd.integers(0, toxicity.features.BUCKETS, 900)).astype(np.int32) for _ in range(4000)]
+    positive = np.arange(4000) < 2000
+    rows = toxicity.gathered(x, positive, ~positive)
+    tracemalloc.start()
+    try:
+        toxicity.class_prior(rows, np.arange(4000) % 2 == 0)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 15 * len(rows.row)
+
+
+def test_encoder_remembers_a_bounded_number_of_chunks():
+    """An executor has a worker for each core, and what all remember lies beside its heap: 700,000 distinct words don't stay."""
+    encode = packing.Encoder(tokenizer())
+    for at in range(0, 700_000, 50_000):
+        encode([" ".join(f"w{i}" for i in range(at, at + 50_000))])
+    assert len(encode.code) <= 600_000
+    assert [x.tolist() for x in encode(["w3 w699999"])] == [x.tolist() for x in packing.Encoder(tokenizer())(["w3 w699999"])]
