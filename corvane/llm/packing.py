@@ -23,8 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textblocks import give_back
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-CACHE = 1_600_000
+#: Chunks that a worker remembers, some 200 bytes each; an executor has a worker for each core.
+CACHE = 500_000
 #: The share of an example that is its prompt, and the limits of a sequence.
 PROMPT, TOKENS, SEGMENTS, LOSS, WINDOW = 4, 2048, 256, 1792, 2048
 
@@ -76,6 +79,7 @@ class Encoder:
             words.append(None)  # the end
         if len(self.code) > CACHE:
             self.forget()
+            give_back()
         codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
         if self.code.fresh:
             ids, length = self.encoded(self.code.fresh)
@@ -182,6 +186,7 @@ def packer(path: str, tokens: int, segments: int, loss: int, window: int = WINDO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        give_back()  # what other stages' tasks have left in this worker
         base, sequence, encode = TaskContext.get().partitionId() << 40, 0, encoder(path)
 
         def placed(bins, rests):
