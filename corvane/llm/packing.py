@@ -27,7 +27,7 @@ from .textblocks import give_back
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Chunks that a worker remembers, some 200 bytes each; an executor has a worker for each core.
-CACHE = 500_000
+CACHE = 1_000_000
 #: The share of an example that is its prompt, and the limits of a sequence.
 PROMPT, TOKENS, SEGMENTS, LOSS, WINDOW = 4, 2048, 256, 1792, 2048
 
