@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane import tables
-from corvane.functions import pii
-from corvane.operators import linkage, normalize
+from corvane.functions import pii, text
+from corvane.operators import features, linkage, normalize
 from corvane.operators.components import components as connected
 from corvane.plans.registry import QUERIES
 from corvane.sources import records
@@ -89,6 +89,61 @@ def test_kept_evidence_is_all_that_is_not_rejected(spark):
         assert want.count() > 0 and sorted(map(tuple, got.select("a", "b", "strategies", "confidence", "decision").collect())) == sorted(map(tuple, want.select("a", "b", "strategies", "confidence", "decision").collect()))
 
 
+def test_pairs_with_an_equal_token_meet_once(spark):
+    """Where more records than the cap share a PAN, its block is gone and they meet in their other ones; of two equal tokens one makes the pair."""
+    rows = [("a", "p", "g", "1"), ("b", "p", "g", "1"), ("c", "p", "", "1"), ("d", "p", None, ""), ("e", "q", "h", "2"), ("f", "q", "h", "2"), ("g", None, "h", "2"), ("h", "r", None, "2")]
+    rows = spark.createDataFrame(rows, "record_id string, pan_token string, gstin_token string, phone string")
+    keys = linkage.block_keys(rows.withColumns({"business_name": F.lit(None).cast("string"), "pincode": F.lit(None).cast("string")}), ("pan", "gstin", "phone"))
+    rows = rows.join(linkage.blocks(keys, 3), "record_id")
+    got = linkage.paired(rows, ["pan_token", "gstin_token"], ("pan", "gstin")).select("a", "b").collect()
+    assert sorted(map(tuple, got)) == [("a", "b"), ("a", "c"), ("b", "c"), ("e", "f"), ("e", "g"), ("f", "g")]
+
+
+def test_blocks_within_lesser_ones_make_no_pairs(spark):
+    rows = [(r, "phonetic", "SX:A") for r in "abcd"] + [(r, "pan", "p") for r in "ab"] + [(r, "phone", "1") for r in "de"]
+    keys = spark.createDataFrame(rows, "record_id string, strategy string, key string")
+    assert {r.record_id: (len(r.blocks), len(r.made)) for r in linkage.blocks(keys).collect()} == {"a": (2, 1), "b": (2, 1), "c": (1, 1), "d": (2, 2), "e": (1, 1)}
+    got = linkage.candidate_pairs(keys).collect()
+    assert sorted(map(tuple, got)) == [("a", "b", "pan,phonetic"), ("a", "c", "phonetic"), ("a", "d", "phonetic"), ("b", "c", "phonetic"), ("b", "d", "phonetic"), ("c", "d", "phonetic"), ("d", "e", "phone")]
+
+
+def test_records_are_dealt_once_for_both_sides(spark):
+    """The pairs' two sides read one shuffle; words and light vectors aren't in it."""
+    rows = spark.createDataFrame([("x", [1, 7], [1], "A B", "R")], "record_id string, blocks array<long>, made array<long>, name string, address string")
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        p = linkage.paired(rows, ["name", "address"], beside=lambda df: features.worded(df, text.TRIGRAMS)).select("a", "b", "words_a", "words_b", "name_vector_a", "name_vector_b", "address_vector_a", "address_vector_b")
+        plan = p._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ReusedExchange") == 1 and plan.count("+- Exchange hashpartitioning") == 1
+        assert "array_distinct" in plan.partition("+- Exchange hashpartitioning")[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_light_trigrams_are_the_encoder_s(spark):
+    texts = ["", "A", "AB", "ABAB ABAB", "É😀 X"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.TRIGRAMS.light(F.col("t")).alias("v")).collect()
+    assert {r.t: sorted(r.v) for r in got} == {t: v.tolist() for t, v in zip(texts, text.TRIGRAMS.encode(texts))}
+
+
+def test_kept_tables_leave_nothing_else(spark, tmp_path):
+    """What was written on the way to a table that is kept is deleted."""
+    made = []
+
+    def build():
+        made.append(tables.settled(spark.range(3), "way"))
+        return made[0].filter("id > 0")
+
+    kept = tables.once(spark, "kept-test", str(tmp_path), (), build)
+    assert kept.count() == 2
+    folder = spark._jvm.org.apache.hadoop.fs.Path(made[0].inputFiles()[0]).getParent() if made[0].inputFiles() else None
+    assert folder is None or not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def test_incompatible_legal_forms(spark):
     p = spark.createDataFrame([("Proprietorship", "Private Limited Company", 0.81)], "legal_status_a string, legal_status_b string, confidence double")
     for c in ("pan_token_a", "pan_token_b", "district_a", "district_b", "pincode_a", "pincode_b"):
