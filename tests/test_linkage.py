@@ -124,6 +124,12 @@ def test_records_are_dealt_once_for_both_sides(spark):
             spark.conf.set(k, v)
 
 
+def test_scores_wait_for_no_python(spark):
+    """Rows that wait for a Python function are queued on disk where memory is short; all pairs' scores do without one."""
+    plan = QUERIES["flagship_decisions"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan
+
+
 def test_light_trigrams_are_the_encoder_s(spark):
     texts = ["", "A", "AB", "ABAB ABAB", "É😀 X"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.TRIGRAMS.light(F.col("t")).alias("v")).collect()
