@@ -33,8 +33,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each piece of a document in a sequence; a document that the mix took twice is packed twice."""
-    return packing.pack(docs, queries.tokenizer())
+    """One row for each piece of a document in a sequence; a document that the mix took twice is packed twice.
+
+    Workers remember fewer chunks than by default, as the stages before have left the executors' heaps large.
+    """
+    return packing.pack(docs, queries.tokenizer(), remember=200_000)
 
 
 STAGES = [("quality", keep_quality), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mix", mix_sources), ("pack", pack)]

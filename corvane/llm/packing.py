@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from .textblocks import give_back
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Chunks that a worker remembers, some 200 bytes each; an executor has a worker for each core.
+#: Chunks that a worker remembers, some 300 bytes each; an executor has a worker for each core.
 CACHE = 1_000_000
+#: Characters of texts that are cut into chunks at once, or one longer text.
+RUN = 1 << 20
 #: The share of an example that is its prompt, and the limits of a sequence.
 PROMPT, TOKENS, SEGMENTS, LOSS, WINDOW = 4, 2048, 256, 1792, 2048
 
@@ -44,19 +46,27 @@ class Codes(dict):
 
 
 class Encoder:
-    """Ids of whole texts; chunks between ASCII white space are encoded once and remembered, CACHE at most."""
+    """Ids of whole texts; chunks between ASCII white space are encoded once and remembered, so many and those of one run at most."""
 
-    def __init__(self, path: str, end: int = 1):
+    def __init__(self, path: str, remember: int = CACHE, end: int = 1):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks themselves are parallel
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end = Tokenizer.from_file(path), end
+        self.tokenizer, self.remember, self.end = Tokenizer.from_file(path), remember, end
         self.mark = self.encoded_each([MARK])[0]
-        self.forget()
+        self.code, self.pool, self.length, self.seen = Codes({None: 0}), np.array([self.end], "<u4"), np.array([1]), np.array([0])
+        self.code.fresh = []
 
     def forget(self) -> None:
-        self.code, self.pool, self.length = Codes({None: 0}), np.array([self.end], "<u4"), np.array([1])
+        """Most chunks are seen once only; of the others those seen most often stay, half of what is remembered at most, with half of their counts."""
+        often = 1 + np.flatnonzero(self.seen[1:] > 1)
+        often = np.sort(often[np.argsort(-self.seen[often], kind="stable")[: self.remember // 2]])
+        stay = np.concatenate([[0], often])
+        chunks = list(self.code)
+        self.code = Codes(zip(map(chunks.__getitem__, stay.tolist()), range(len(stay))))
         self.code.fresh = []
+        self.pool = self.gathered(stay)
+        self.length, self.seen = self.length[stay], self.seen[stay] // 2
 
     def encoded_each(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -73,22 +83,37 @@ class Encoder:
         found = self.encoded_each(chunks)
         return np.fromiter(chain.from_iterable(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found))
 
+    def gathered(self, codes: np.ndarray) -> np.ndarray:
+        """The ids of chunks, one after the other."""
+        start, n = np.cumsum(self.length) - self.length, self.length[codes]
+        to = np.cumsum(n)
+        return self.pool[np.repeat(start[codes] - (to - n), n) + np.arange(to[-1])]
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        out, at = [], 0
+        while at < len(texts):
+            to, room = at + 1, RUN - len(texts[at])
+            while to < len(texts) and len(texts[to]) <= room:
+                room -= len(texts[to])
+                to += 1
+            out += self.run(texts[at:to])
+            at = to
+        return out
+
+    def run(self, texts: list[str]) -> list[np.ndarray]:
         split = [x.split() if not OTHER_SPACE.search(x) else CHUNK.findall(x) for x in texts]
         for words in split:
             words.append(None)  # the end
-        if len(self.code) > CACHE:
+        if len(self.code) > self.remember:
             self.forget()
             give_back()
         codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
         if self.code.fresh:
             ids, length = self.encoded(self.code.fresh)
             self.length, self.pool, self.code.fresh = np.append(self.length, length), np.append(self.pool, ids), []
-        start = np.cumsum(self.length) - self.length
-        n = self.length[codes]
-        to = np.cumsum(n)
-        ids = self.pool[np.repeat(start[codes] - (to - n), n) + np.arange(to[-1])]
-        return np.split(ids, to[np.cumsum([len(w) for w in split])[:-1] - 1])
+        self.seen = np.bincount(codes, minlength=len(self.length)) + np.append(self.seen, np.zeros(len(self.length) - len(self.seen), np.int64))
+        to = np.cumsum(self.length[codes])
+        return np.split(self.gathered(codes), to[np.cumsum([len(w) for w in split])[:-1] - 1])
 
 
 #: A sign that is a word of its own.
@@ -96,9 +121,9 @@ MARK = "\u2665"
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remember: int = CACHE) -> Encoder:
     """One for all tasks of a Python worker."""
-    return Encoder(path)
+    return Encoder(path, remember)
 
 
 #: What str.split() takes as white space beyond ``[ \t-\r]``.
@@ -182,12 +207,12 @@ def _short(spans: list[tuple[int, int]], tokens: int) -> list[tuple[int, int]]:
     return [(s, min(s + tokens, e)) for b, e in spans for s in range(b, e, tokens)]
 
 
-def packer(path: str, tokens: int, segments: int, loss: int, window: int = WINDOW):
+def packer(path: str, tokens: int, segments: int, loss: int, window: int = WINDOW, remember: int = CACHE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         give_back()  # what other stages' tasks have left in this worker
-        base, sequence, encode = TaskContext.get().partitionId() << 40, 0, encoder(path)
+        base, sequence, encode = TaskContext.get().partitionId() << 40, 0, encoder(path, remember)
 
         def placed(bins, rests):
             """Rows of the bins; rests: (doc, first, ids, total, prompt) with ids from the example's token ``first`` on."""
@@ -215,6 +240,7 @@ def packer(path: str, tokens: int, segments: int, loss: int, window: int = WINDO
 
         rests: list = []
         for batch in batches:
+            give_back()
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 column = lambda name, part=part: part.column(part.schema.get_field_index(name)).to_pylist()
@@ -227,7 +253,7 @@ def packer(path: str, tokens: int, segments: int, loss: int, window: int = WINDO
                     prompt = n // PROMPT if c is None else shared_front(next(fronts)[:-1], ids)
                     sequences, short = cut(n, prompt, tokens, loss) if n >= tokens else ([], [(0, n)])
                     rows += placed([[(0, s, e) for s, e in one] for one in sequences], [(doc, 0, ids, n, prompt)])
-                    rests += [(doc, s, ids[s:e], n, prompt) for s, e in short]
+                    rests += [(doc, s, ids[s:e].copy(), n, prompt) for s, e in short]  # a view would keep its whole run's ids
                 if rows:
                     yield out(rows)
                 if len(rests) >= window:
@@ -249,10 +275,10 @@ def shared_front(a: np.ndarray, b: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-def pack(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, prompt_chars: Column | None = None) -> DataFrame:
-    """One row per piece. prompt_chars: of each example, how many characters of its text are the prompt; where it is null or not given, the share PROMPT. Every partition packs its own documents; no row is moved."""
+def pack(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, prompt_chars: Column | None = None, remember: int = CACHE) -> DataFrame:
+    """One row per piece. prompt_chars: of each example, how many characters of its text are the prompt; where it is null or not given, the share PROMPT. remember: how many chunks a worker does; fewer take less memory and more time. Every partition packs its own documents; no row is moved."""
     prompt = F.lit(None).cast("long") if prompt_chars is None else prompt_chars.cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), prompt.alias("prompt"), "text").mapInArrow(packer(tokenizer, tokens, segments, loss), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), prompt.alias("prompt"), "text").mapInArrow(packer(tokenizer, tokens, segments, loss, remember=remember), SCHEMA)
 
 
 def examples(conversations: DataFrame) -> DataFrame:

@@ -152,3 +152,12 @@ def test_a_bitmap_holds_what_it_was_made_of(spark):
     h = np.array([r.h for r in rows.collect()]).view(np.uint64) & np.uint64(64 * len(bitmap) - 1)
     assert ((bitmap[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1)).all()
     assert np.bitwise_count(bitmap).sum() <= 3000 < 64 * len(bitmap) / 16
+
+
+def test_chunks_seen_often_outlast_the_bound():
+    """A worker that remembers few chunks keeps those that come again and again, gives the same ids, and its pieces hold no whole run's ids."""
+    rows = [" ".join(f"often{j} rare{i}x{j}" for j in range(50)) for i in range(100)]
+    encode = packing.Encoder(tokenizer(), remember=1000)
+    got = [encode([t])[0].tolist() for t in rows]
+    assert len(encode.code) <= 1000 + 101 and all(f"often{j}" in encode.code for j in range(50))
+    assert got == [x.tolist() for x in packing.Encoder(tokenizer())(rows)]
