@@ -201,3 +201,14 @@ def test_jaro_winkler_of_many_pairs():
 
     pairs = [("MARTHA", "MARHTA", 0.9611), ("DIXON", "DICKSONX", 0.8133), ("", "", 1.0), ("A", "", 0.0), ("ABC", "XYZ", 0.0), ("SAME é", "SAME é", 1.0)]
     assert all(abs(x - w) < 1e-4 for x, (_, _, w) in zip(jaro_winkler([p[0] for p in pairs], [p[1] for p in pairs]), pairs))
+
+
+def test_pairs_wait_for_no_python_function(spark):
+    """Rows beside a Python function's arguments are queued, on disk where memory is short; pairs pass through Arrow batches instead."""
+    for name in ("fea_pairs", "fmt_features", "clf_rule_labels"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "EvalPython" not in plan and "MapInArrow" in plan
+    df = spark.createDataFrame([(1, "MARTHA", "MARHTA"), (2, "", ""), (3, None, "X"), (4, "X", ""), (5, "MARTHA", "MARTHA")], "id int, x string, y string")
+    got = {r.id: round(r.s, 4) for r in text.with_similar(df, {"s": ("x", "y")}).collect()}
+    assert got == {1: 0.9611, 2: 0.0, 3: 0.0, 4: 0.0, 5: 1.0}
+    assert text.with_similar(df.limit(0), {"s": ("x", "y")}).collect() == []
