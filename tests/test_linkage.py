@@ -124,6 +124,21 @@ def test_records_are_dealt_once_for_both_sides(spark):
             spark.conf.set(k, v)
 
 
+def test_partitions_grow_with_dealt_records(spark):
+    """However few partitions the session has, one gets a bounded number of records, which are sorted in memory."""
+    n = 6 * linkage.DEALT
+    rows = spark.range(n).selectExpr("format_string('r%06d', id) as record_id", "array(id div 2 * 5) as blocks", "array(id div 2 * 5) as made", "array() as wide", "concat('t', id div 2) as pan_token")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        for tokens in ((), ("pan",)):
+            pairs = linkage.paired(rows, ["pan_token"], tokens).withColumn("part", F.spark_partition_id())
+            got = pairs.groupBy("part").count().collect()
+            assert len(got) == 7 and sum(r["count"] for r in got) == n // 2 and max(r["count"] for r in got) < linkage.DEALT
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_scores_wait_for_no_python(spark):
     """Rows that wait for a Python function are queued on disk where memory is short; all pairs' scores do without one."""
     plan = QUERIES["flagship_decisions"](spark, SF)._jdf.queryExecution().executedPlan().toString()
