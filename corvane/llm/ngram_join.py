@@ -3,8 +3,8 @@
 Equal shingle sets are one class. In a band of set sizes, two linked sets differ in at most D shingles;
 dealt by hash into more than D parts, they agree in one. Sets with an equal part meet in a tile. Small
 tiles compare all their sets; large ones first compare with one set, then only sets of different
-components, so a group of near copies costs as much as its size. Hashed bitmaps bound the overlap
-from above, the sorted arrays then tell it exactly. No link is lost. Null and wordless texts have no
+components that share a large tile and whose bitmaps allow a link, so a group of near copies costs as much
+as its size. Hashed bitmaps bound the overlap from above, the sorted arrays then tell it exactly. No link is lost. Null and wordless texts have no
 shingles and link with nothing; a null doc_id is never a component's id unless alone; repeated rows
 share a class; an empty table gives no rows.
 """
@@ -258,8 +258,67 @@ def _compared(percent):
     return run
 
 
+def _plausible(percent):
+    """Of one block of a tile, its visitors against its homes of other labels: pairs that may link by size and bitmap, as many as join all that these join."""
+
+    def run(t: pa.Table) -> pa.Table:
+        node, label, home, n = (t[c].to_numpy() for c in ("node", "label", "home", "n"))
+        maps = [np.frombuffer(x, np.uint64) for x in t["bits"].to_pylist()]
+        length = np.array([len(x) for x in maps])
+        homes, guests, group, a, b = np.flatnonzero(home), np.flatnonzero(~home), {}, [], []
+
+        def top(x: int) -> int:
+            while (y := group.get(x, x)) != x:
+                group[x] = group.get(y, y)
+                x = y
+            return x
+
+        for least in np.unique(length):  # two maps compare at the shorter one's length, to which the longer one is folded
+            at = np.flatnonzero(length >= least)
+            folded = np.zeros((len(node), least), np.uint64)
+            folded[at] = [np.bitwise_or.reduce(maps[i].reshape(-1, least)) for i in at]
+            for v in guests[length[guests] >= least]:
+                c = homes[(length[homes] == least) if length[v] > least else (length[homes] >= least)]
+                c = c[(label[c] != label[v]) & (100 * np.minimum(n[c], n[v]) >= percent * np.maximum(n[c], n[v]))]
+                total = n[c] + n[v]
+                most = (total - np.bitwise_count(folded[c] ^ folded[v]).sum(1).astype(np.int64)) // 2
+                for i in c[100 * most >= percent * (total - most)]:
+                    x, y = top(int(node[i])), top(int(node[v]))
+                    if x != y:
+                        group[x] = y
+                        a.append(min(node[i], node[v]))
+                        b.append(max(node[i], node[v]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _left(star: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) that join the sets of all pairs of different labels that share a large tile and may link by their bitmaps.
+
+    A tile's sets outside its largest label visit the blocks of its sets, with bitmaps alone, so what is moved is a small part of the arrays.
+    """
+    sides = star.select("key", F.col("a").alias("node")).union(star.select("key", F.col("b").alias("node")))
+    sides = sides.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    mixed = sides.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
+    sides = sides.join(mixed, "key", "left_semi").distinct()
+    rows = settled(sides.join(classes.select(F.col("cls").alias("node"), "n", "bits"), "node").select("key", "node", "label", "n", "bits"), "ngram-mixed")
+    counts = settled(rows.groupBy("key", "label").agg(F.count("*").alias("count"), F.sum("n").alias("n")), "ngram-counts")
+    parts = lambda n, count: F.ceil(F.greatest(n / BLOCK_ITEMS, count / BLOCK_ROWS))
+    tiles = counts.groupBy("key").agg(F.max_by(F.struct("label", "n", "count"), F.struct("count", "label")).alias("most"), F.sum("n").alias("n"), F.sum("count").alias("count"))
+    own = (F.col("n") - F.col("most.n"), F.col("count") - F.col("most.count"))
+    tiles = settled(tiles.select("key", F.col("most.label").alias("largest"), parts(F.col("n"), F.col("count")).alias("blocks"), parts(*own).alias("chunks")), "ngram-guests")
+    rows = rows.join(tiles, "key")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    home = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("chunk", every("chunks"))
+    guest = rows.filter("label <> largest").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks")).withColumn("block", every("blocks"))
+    columns = ["key", "block", "chunk", "node", "label", "n", "bits"]
+    both = home.select(*columns, F.lit(True).alias("home")).unionByName(guest.select(*columns, F.lit(False).alias("home")))
+    return both.groupBy("key", "block", "chunk").applyInArrow(_plausible(percent), "a long, b long").distinct()
+
+
 def _rest(edges: DataFrame, labels: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """Links between sets of different labels in a group of tiles: enough to join all that links join.
+    """Links between sets of different labels in a group that edges join: enough to join all that links join.
 
     The sets outside a group's largest label visit the blocks of its sets in the bands of sizes around theirs.
     """
@@ -318,11 +377,8 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b")
     links = settled(both.mapInArrow(_verified(percent), "a long, b long"), "ngram-links")
     labels = components(links)
-    # large tiles whose sets are not of one component yet
-    star = tiles.filter("key is not null")
-    sides = star.select("key", F.col("a").alias("node")).union(star.select("key", F.col("b").alias("node")))
-    mixed = sides.join(labels, "node", "left").groupBy("key").agg(F.min(F.coalesce("label", "node")).alias("x"), F.max(F.coalesce("label", "node")).alias("y")).filter("x < y")
-    edges = settled(star.join(mixed.select("key"), "key", "left_semi").select("a", "b").distinct(), "ngram-mixed")
+    # of large tiles whose sets are not of one component yet, those that may link
+    edges = settled(_left(tiles.filter("key is not null"), labels, classes, percent), "ngram-left")
     if not edges.isEmpty():
         labels = components(links.union(_rest(edges, labels, sets_of, percent)))
     least = classes.select("cls", "first").join(labels, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("label", "cls").alias("label"))

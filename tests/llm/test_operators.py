@@ -95,6 +95,28 @@ def test_large_tiles_lose_no_link(spark):
     assert [got[i] for i in range(60)] == label
 
 
+def test_arrays_of_large_tiles_are_fetched_only_where_bitmaps_allow_a_link(spark, monkeypatch):
+    """300 texts share a line and so large tiles; a chain of near copies among them is all that may link."""
+    rnd = random.Random(6)
+    line = [f"c{i}" for i in range(10)]
+    texts = [" ".join(line + [f"w{rnd.randrange(10**6)}" for _ in range(12)]) for _ in range(300)]
+    chain = texts[0].split() + [f"y{i}" for i in range(20)]
+    for i in range(5):
+        texts.append(" ".join(chain))
+        chain[20 + 4 * i] = f"z{i}"
+    seen, rest = [], ngram_join._rest
+    monkeypatch.setattr(ngram_join, "_rest", lambda edges, *more: seen.extend(edges.collect()) or rest(edges, *more))
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [{tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    assert [got[i] for i in range(len(texts))] == [min(k for k, x in enumerate(label) if x == y) for y in label]
+    assert len({c for e in seen for c in e}) < 60
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
