@@ -172,8 +172,8 @@ _TIMELINE = f"""{_FU}, tl AS (
 
 @query(f"""{_TIMELINE} SELECT ubid, strftime(tl."at", '%Y-%m-%d %H:%M:%S') AS "at", action, details FROM tl""")
 def biq_timeline(spark, d):
-    e, m, c = _built(spark, d)
-    return serving.timeline(e, m, c, "2024-02-01").withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
+    m = _members(spark, d)  # nothing is told of rejected pairs
+    return serving.timeline(_kept(spark, d), m, _cluster_activity(spark, d, m), "2024-02-01").withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query(f"""{_TIMELINE}, n AS (SELECT ubid, count(*) AS records FROM ub GROUP BY 1), tn AS (SELECT ubid, count(*) AS events FROM tl GROUP BY 1), rn AS (SELECT least(x.ubid, y.ubid) AS ubid, count(*) AS reviews FROM ev e JOIN ub x ON x.record_id = e.a JOIN ub y ON y.record_id = e.b WHERE decision = 'review' GROUP BY 1),

@@ -80,3 +80,10 @@ def test_merge(spark):
     m = spark.createDataFrame([("U1", "a"), ("U2", "b")], "ubid string, record_id string")
     assert {r.ubid for r in console.merged(m, "U1", "U2").collect()} == {"U1"}
     assert {r.ubid for r in console.merged(m, "U9", "U2").collect()} == {"U1", "U2"}
+
+
+def test_a_timeline_makes_no_rejected_pairs(spark, monkeypatch):
+    from corvane.plans import serving as plans
+
+    monkeypatch.setattr(plans, "_ev", lambda *_: 1 / 0)
+    assert plans.biq_timeline(spark, "/root/testdata/sf0.001").count() > 0
