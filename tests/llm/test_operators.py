@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from corvane.llm import exact_dedup, fingerprints, katz, licenses, mixing, ngram_join, packing, quality, sharding, toxicity
+from corvane.llm import exact_dedup, fingerprints, katz, licenses, mixing, ngram_join, packing, quality, queries, sharding, toxicity
 from corvane.llm.queries import tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, label string, bucket string, key string"
@@ -477,6 +477,18 @@ def test_a_single_document_is_next_to_itself(spark):
     assert r.near_next == 1 and r.near_id is None and r.near_queries == 0
 
 
+def test_search_shuffles_no_text(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BLOCK_CHARS", 500)
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    want = sorted(tuple(r) for r in fingerprints.with_edits(docs).select("doc_id", "fingerprint").collect())
+    seen, settled = [], queries.settled
+    monkeypatch.setattr(queries, "settled", lambda df, name: seen.append(df) or settled(df, name))
+    queries.near_fingerprints(spark, "")
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert exchanges(seen[0]) == exchanges(docs)
+    assert sorted(tuple(r) for r in seen[0].collect()) == want and fingerprints.prints(empty).count() == 0
+
+
 def test_search_finds_near_fingerprints(spark):
     """Every found pair is near, and of all near pairs of the queries at least 0.9 are found; copies, edits, other lengths, repeats, nulls."""
     rnd = random.Random(7)
